@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash
+from . import packing, pii, quality, simhash
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.search(found, F.col("doc_id") % 100 == 0).drop("fp_hi", "fp_lo")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with pseudonyms; in production the key comes from the session's ``plumbline.pii.key``."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("plumbline.pii.key", "example key"))
+
+
 def _tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -37,6 +42,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
 }
