@@ -1,49 +1,64 @@
-"""Token ids of a byte-level BPE vocabulary, by the ``tokenizers`` library behind a bounded cache of words."""
+"""Token ids of a byte-level BPE vocabulary file of the ``tokenizers`` library."""
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
 import numpy as np
 
-#: White space other than the blank and the newline, which the fast path below does not reason about.
-_OTHER_SPACE = re.compile("[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: How GPT-2's pre-tokenizer cuts a text; the byte-level pre-tokenizer of the library uses the same.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space that ``tiktoken``'s regular expressions, which backtrack, may not get through.
+_LONG_BLANK = re.compile(r"\s{10000}")
 _ENCODERS: dict[int, Encoder] = {}
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable character that byte-level BPE writes for each byte: itself, or the next free one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
     """``ids(text)`` equals the library's ``encode(text, add_special_tokens=False)``.
 
-    The pre-tokenizer never joins what stands before a blank with what follows it when both neighbours of that blank are not white
-    space, so such a text may be cut there and its pieces encoded once each. Any other text is encoded whole.
+    Where the vocabulary is plain byte-level BPE whose ids follow the order of its merges, the merges are done by ``tiktoken`` with those
+    ids as ranks, which gives the same ids at a quarter of the time. Texts that hold an added token or a very
+    long run of white space, and other vocabularies, go to the library itself.
     """
 
-    def __init__(self, tokenizer_json: str, max_words: int = 300_000):
+    def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.max_words = max_words
-        self.words: dict[str, bytes] = {}
+        self.library = Tokenizer.from_str(tokenizer_json)
+        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        parts = json.loads(tokenizer_json)
+        self.added = [t["content"] for t in parts.get("added_tokens") or []]
+        self.fast = self._ranked(parts)
+
+    @staticmethod
+    def _ranked(parts: dict):
+        model, before = parts["model"], parts.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or parts.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return None
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if [model["vocab"][m] for m in merged] != list(range(256, 256 + len(merged))):
+            return None
+        import tiktoken
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        special, alphabet = {t["content"] for t in parts.get("added_tokens") or []}, byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in piece): i for piece, i in model["vocab"].items() if piece not in special}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.dtype)
-        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER_SPACE.search(text):
-            return np.frombuffer(self._direct([text])[0], self.dtype)
-        first, *rest = text.split(" ")
-        if len(self.words) > self.max_words:
-            self.words.clear()
-        found = list(map(self.words.get, rest))
-        if None in found:
-            missing = list({w for w, f in zip(rest, found, strict=True) if f is None})
-            self.words.update(zip(missing, self._direct([" " + w for w in missing]), strict=True))
-            found = list(map(self.words.get, rest))
-        return np.frombuffer(self._direct([first])[0] + b"".join(found), self.dtype)
+        if self.fast and not any(a in text for a in self.added) and not (len(text) >= 10_000 and _LONG_BLANK.search(text)):
+            return np.array(self.fast.encode_ordinary(text), self.dtype)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
 
 def encoder(tokenizer_json: str) -> Encoder:

@@ -24,10 +24,13 @@ def test_ids_equal_the_library(text):
     assert Encoder(JSON).ids(text).tolist() == plain(text)
 
 
-def test_ids_with_a_tiny_cache_on_random_texts():
-    rng, enc = random.Random(5), Encoder(JSON, max_words=20)
-    for _ in range(200):
-        text = "".join(rng.choice(["the ", "x", "'s", " ", "\n", "12", "é", ". ", "Word", "\t"]) for _ in range(rng.randint(0, 60)))
+def test_ids_of_random_texts_and_long_runs():
+    rng, enc = random.Random(5), Encoder(JSON)
+    assert enc.fast is not None
+    for _ in range(300):
+        text = "".join(rng.choice(["the ", "x", "'s", " ", "\n", "12", "é", ". ", "Word", "\t", "\u2003", "漢字", "<|endoftext|>"]) for _ in range(rng.randint(0, 60)))
+        assert enc.ids(text).tolist() == plain(text)
+    for text in ("a" * 20_000, " " * 100_000 + "x", "ab " * 50_000, "\n" * 30_000, "!?" * 10_000):
         assert enc.ids(text).tolist() == plain(text)
 
 
