@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, simhash
+from . import near_dedup, packing, pii, quality, simhash
 from .common import table
 
 
@@ -40,11 +40,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= model.at).cast("int").alias("predicted"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_rows", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 SQL: dict[str, str] = {}
