@@ -142,3 +142,15 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x), pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return docs.select(*keep, text_or_empty(text_col).alias("_text")).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the model's cut."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([measure(t.as_py() or "") for t in batch.column(at)]).reshape(-1, len(MEASURES))
+            yield batch.filter(pa.array(model.score(x) >= model.at, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
