@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, pii, quality, simhash
+from . import licenses, media, near_dedup, packing, pii, quality, sharding, simhash
 from .common import table
 
 
@@ -40,6 +40,34 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= model.at).cast("int").alias("predicted"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.numbered(sharding.assign(sharding.metadata(table(spark, sf_dir, "documents")), 24))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.texts_as_media(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda b: b["start"])
+    base = F.transform("base", lambda b: b["label"])
+    more = F.transform("spans", lambda s: s["label"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, more)).alias("labels"),
+        F.greatest(best, F.when(F.size("base") > 0, 0.5).otherwise(0.0)).alias("score"),
+    )
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_rows", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -50,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_sharding": op6_sharding,
+    "op7_media": op7_media,
+    "op8_licenses": op8_licenses,
     "op9_near_dedup": op9_near_dedup,
 }
 
