@@ -26,6 +26,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of at most ``size`` between the JVM and Python, unless the session sets its own; Spark's 64 MB a batch, several
+    times over for each running task, is much beside an executor of a few GB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b", "64MB", "64m"):
+        spark.conf.set(name, size)
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

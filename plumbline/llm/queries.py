@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, near_dedup, packing, pii, quality, sharding, simhash
+from . import licenses, media, near_dedup, packing, pieces, pii, quality, sharding, simhash
 from .common import table
 
 
@@ -73,6 +73,16 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_rows", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+    coded = pieces.encode(docs, model, ("doc_id", "text_sha256")).select("doc_id", "text_sha256", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "score", "ids")
+    back = pieces.decode(coded, model, ("doc_id", "n_ids", "ids_hash", "score", "text_sha256"))
+    return back.select("doc_id", "n_ids", "ids_hash", "score", "text_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_pii": op3_pii,
@@ -82,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media": op7_media,
     "op8_licenses": op8_licenses,
     "op9_near_dedup": op9_near_dedup,
+    "op10_pieces": op10_pieces,
 }
 
 SQL: dict[str, str] = {}
