@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, near_dedup, packing, pieces, pii, quality, sharding, simhash
+from . import licenses, media, near_dedup, packing, pieces, pii, quality, sharding, simhash, url_filter
 from .common import table
 
 
@@ -16,6 +16,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.search(found, F.col("doc_id") % 100 == 0).drop("fp_hi", "fp_lo")
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Words of hosts that serve as bad labels for the path templates.
+BAD_HOST_WORDS = ("casino", "bets", "pills", "adult", "poker", "viagra", "jackpot", "xxx", "porn", "payday", "replica")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, BAD_HOST_WORDS)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with pseudonyms; in production the key comes from the session's ``plumbline.pii.key``."""
     return pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("plumbline.pii.key", "example key"))
@@ -85,6 +94,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
