@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 
 def _riff(kind: bytes) -> Callable[[bytes, int], int | None]:
@@ -232,6 +232,7 @@ class Sniffer:
 def sniffed(df: DataFrame, value: str, declared: str, keep: list[str]) -> DataFrame:
     """Add ``media_type`` (the value's own type: what was found, else the declared one if it has no signature here, else unknown),
     ``corrected`` (the declared type was wrong) and ``media`` (offset, length, type of all found) to the ``keep`` columns."""
+    bounded_batches(df.sparkSession)
     known = {kind for _, kind, _ in FORMATS}
     fields = [df.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", media_type string, corrected boolean, media array<struct<offset: long, length: long, type: string>>"
@@ -294,6 +295,7 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     import hashlib
 
+    bounded_batches(docs.sparkSession)
     stored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.encode(text_or_empty(text_col), "UTF-8")).cast("long").alias("n_bytes"), as_wav(payload(F.col(text_col))).alias("media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import bags, band_keys, mix, shingles, signatures
-from .common import materialise, text_or_empty
+from .common import bounded_batches, materialise, text_or_empty
 from .components import components
 
 WIDTH, BANDS, EACH, THRESHOLD = 5, 24, 6, 0.8
@@ -209,6 +209,7 @@ def _blockwise(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, text_key, class_key (tells classes apart), class_id (the smallest doc_id of the class) and class_rows
     (documents in the class)."""
+    bounded_batches(docs.sparkSession)
     found = materialise(profiles(docs, id_col, text_col))
     nodes = found.groupBy("bag_hi", "bag_lo").agg(F.min("doc_id").alias("first_id"), F.max("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("n", *BAND_COLUMNS, *SKETCH_COLUMNS)])
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
