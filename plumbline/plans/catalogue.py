@@ -1,14 +1,694 @@
-"""Named queries over the standard tables, and the same questions in SQL."""
+"""Named queries over the standard tables, and the same questions in SQL.
+
+Values that a decision provider would give are derived from ids (``VALUE``), so that both engines have the same ones.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import features as X
+from ..functions import fixed as V
+from ..operators import baseline, chunks, corpus, decide, gate, report, spans, stats, validate
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]*[a-zA-Z0-9]"
+IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
+TOKEN = r'(?i)token\s*=\s*"[^"\n]*"'
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    show = lambda v: "NULL" if v is None else "true" if v is True else "false" if v is False else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows) + f") AS t({columns})"
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# Spans and features
+
+
+@query(
+    "q_email_features",
+    f"""
+    WITH m AS (SELECT lang, unnest(regexp_extract_all(text, '{EMAIL}')) AS v FROM documents),
+    f AS (SELECT lang, lower(split_part(v, '@', 1)) AS l, lower(split_part(v, '@', 2)) AS d FROM m)
+    SELECT lang, CASE WHEN d IN ({_quoted(V.FREE_MAIL)}) THEN 'free_mail' ELSE 'corporate' END AS domain_type,
+           CASE WHEN contains(l, '.') THEN 'dotted_name' WHEN contains(l, '-') THEN 'hyphenated' ELSE 'single_word' END AS shape,
+           l IN ({_quoted(V.ROLE_WORDS)}) OR {" OR ".join(f"starts_with(l, '{a}') OR ends_with(l, '{a}')" for a in V.ROLE_AFFIXES)} AS role, count(*) AS n
+    FROM f GROUP BY ALL""",
+)
+def q_email_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), 0)).alias("v"))
+    v = F.col("v")
+    return m.groupBy("lang", X.email_domain_type(v).alias("domain_type"), X.email_shape(v).alias("shape"), X.email_role(v).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q_ip_features",
+    rf"""
+    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{IPV4}')) AS v FROM documents),
+    o AS (SELECT doc_id, v, list_transform(string_split(v, '.'), lambda x: CAST(x AS BIGINT)) AS a FROM m),
+    n AS (SELECT doc_id, v, ((a[1] * 256 + a[2]) * 256 + a[3]) * 256 + a[4] AS n, a FROM o WHERE a[1] <= 255 AND a[2] <= 255 AND a[3] <= 255 AND a[4] <= 255)
+    SELECT CASE WHEN starts_with(v, '192.0.2.') OR starts_with(v, '198.51.100.') OR starts_with(v, '203.0.113.') THEN 'documentation'
+                WHEN a[1] = 127 THEN 'loopback'
+                WHEN a[1] IN (0, 10) OR a[1] >= 240 OR (a[1] = 169 AND a[2] = 254) OR (a[1] = 172 AND a[2] BETWEEN 16 AND 31)
+                  OR (a[1] = 192 AND a[2] = 168) OR (a[1] = 192 AND a[2] = 0 AND a[3] = 0) OR (a[1] = 198 AND a[2] IN (18, 19)) THEN 'private'
+                ELSE 'public' END AS ip_type, count(*) AS n, count(DISTINCT v) AS addresses
+    FROM n GROUP BY 1""",
+)
+def q_ip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(IPV4), 0)).alias("v"))
+    return m.withColumn("ip_type", X.ipv4_type(F.col("v"))).where("ip_type is not null").groupBy("ip_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("addresses"))
+
+
+@query(
+    "q_secret_kv",
+    f"""
+    WITH m AS (SELECT lang, unnest(regexp_extract_all(text, '{TOKEN}')) AS v FROM documents),
+    s AS (SELECT lang, regexp_extract(v, '"([^"]*)"', 1) AS x FROM m)
+    SELECT lang, CAST(length(x) AS INTEGER) AS value_length, regexp_matches(x, '[a-z]') AS has_lower, regexp_matches(x, '[A-Z]') AS has_upper,
+           regexp_matches(x, '[0-9]') AS has_digit, contains(lower(x), 'xxx') OR contains(lower(x), 'dummy') AS placeholder, count(*) AS n
+    FROM s GROUP BY ALL""",
+)
+def q_secret_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("v"))
+    x = F.regexp_extract("v", '"([^"]*)"', 1)
+    s = m.select("lang", x.alias("x"))
+    return s.groupBy("lang", F.length("x").alias("value_length"), F.col("x").rlike("[a-z]").alias("has_lower"), F.col("x").rlike("[A-Z]").alias("has_upper"), F.col("x").rlike("[0-9]").alias("has_digit"), (F.lower("x").contains("xxx") | F.lower("x").contains("dummy")).alias("placeholder")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q_placeholder_numbering",
+    rf"""
+    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{IPV4}')) AS v, generate_subscripts(regexp_extract_all(text, '{IPV4}'), 1) AS place FROM documents),
+    f AS (SELECT doc_id, v, min(place) AS first, count(*) AS occurrences FROM m GROUP BY doc_id, v)
+    SELECT doc_id, '[IP_' || CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS VARCHAR) || ']' AS placeholder, occurrences FROM f""",
+)
+def q_placeholder_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(IPV4), 0)).alias("at", "v"))
+    f = m.groupBy("doc_id", "v").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("occurrences"))
+    n = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first"))
+    return f.select("doc_id", F.concat(F.lit("[IP_"), n.cast("string"), F.lit("]")).alias("placeholder"), "occurrences")
+
+
+_COUNTED = f"""
+    WITH c AS (SELECT doc_id, lang, len(regexp_extract_all(text, '{EMAIL}')) AS emails, len(regexp_extract_all(text, '{IPV4}')) AS ips,
+                      len(regexp_extract_all(text, '{TOKEN}')) AS secrets FROM documents)"""
+
+
+@query(
+    "q_redaction_counters",
+    _COUNTED + " SELECT doc_id, emails + ips + secrets AS total, CAST(0 AS BIGINT) AS credentials, emails + ips AS pii FROM c WHERE emails + ips + secrets > 0",
+)
+def q_redaction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.candidates(table(spark, sf_dir, "documents"))
+    return spans.counters(found).select("doc_id", "total", "credentials", "pii")
+
+
+@query(
+    "q_mask_plain",
+    rf"""
+    SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{IPV4}', '[IP]', 'g')) AS masked_sha256 FROM documents""",
+)
+def q_mask_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = F.regexp_replace(F.regexp_replace("text", EMAIL, "[EMAIL]"), IPV4, "[IP]")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(masked, 256).alias("masked_sha256"))
+
+
+@query("q_masked_text")
+def q_masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", spans.scan(F.col("text")).alias("s"))
+    return found.select("doc_id", F.size("s.spans").alias("n_spans"), F.sha2("s.masked", 256).alias("masked_sha256"))
+
+
+@query("q_span_positions")
+def q_span_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.candidates(table(spark, sf_dir, "documents")).select("doc_id", "kind", "type", "start", "end", "line", "column", "end_line", "end_column", "placeholder")
+
+
+_OFFLINE = f"""
+    WITH m AS (
+      SELECT doc_id, lang, 'email' AS kind, 'undecided' AS outcome, unnest(regexp_extract_all(text, '{EMAIL}')) AS v FROM documents
+      UNION ALL SELECT doc_id, lang, 'secret', 'undecided', unnest(regexp_extract_all(text, '{TOKEN}')) FROM documents
+      UNION ALL SELECT doc_id, lang, 'ip', CASE WHEN regexp_matches(v, '^(10|0|127)\\.|^192\\.168\\.|^172\\.(1[6-9]|2\\d|3[01])\\.|^169\\.254\\.|^198\\.1[89]\\.|^2[45]\\d\\.') AND NOT starts_with(v, '127.') THEN 'sensitive' ELSE 'safe' END, v
+        FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '{IPV4}')) AS v FROM documents))"""
+
+
+@query("q_offline_gate", _OFFLINE + " SELECT lang, kind, outcome, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM m GROUP BY ALL")
+def q_offline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.candidates(table(spark, sf_dir, "documents"), keep=("doc_id", "lang"))
+    return found.groupBy("lang", "kind", decide.offline_outcome().alias("outcome")).agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query(
+    "q_violations_by_lang",
+    _OFFLINE + """ SELECT d.lang, count(*) AS documents, count(DISTINCT x.doc_id) AS failing
+    FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM m WHERE outcome IN ('personal', 'sensitive', 'secret')) x ON d.doc_id = x.doc_id GROUP BY d.lang""",
+)
+def q_violations_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    bad = F.exists(spans.scan(F.col("text"))["spans"], lambda s: F.when(s["kind"] == "email", s["domain_type"] == "free_mail").when(s["kind"] == "credential", ~s["is_example"]).when(s["kind"] == "phone", ~s["looks_like_support"]).when(s["kind"] == "ip", s["ip_type"] == "private").when(s["kind"] == "url", s["is_internal_tld"]).otherwise(False))
+    return docs.withColumn("bad", bad).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if("bad").alias("failing"))
+
+
+@query("q_mock_outcomes", f"""
+    WITH m AS (SELECT 'email' AS kind, 0.8 AS p, unnest(regexp_extract_all(text, '{EMAIL}')) AS v FROM documents
+      UNION ALL SELECT 'secret', 0.88, unnest(regexp_extract_all(text, '{TOKEN}')) FROM documents)
+    SELECT kind, CAST(p AS DOUBLE) AS probability, CASE kind WHEN 'email' THEN 'personal' ELSE 'secret' END AS outcome, false AS near_threshold, count(*) AS n FROM m GROUP BY ALL""")
+def q_mock_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.candidates(table(spark, sf_dir, "documents")).where(F.col("kind").isin("email", "secret")).withColumn("probability", decide.mock_probability())
+    p = F.col("probability")
+    return found.groupBy("kind", "probability", decide.online_outcome(p).alias("outcome"), decide.near_half(p).alias("near_threshold")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_candidate_questions", f"""
+    WITH m AS (SELECT doc_id, 'email' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '{EMAIL}'), lambda x: lower(x)))) AS v FROM documents
+      UNION ALL SELECT doc_id, 'ip', unnest(list_distinct(regexp_extract_all(text, '{IPV4}'))) FROM documents
+      UNION ALL SELECT doc_id, 'secret', unnest(regexp_extract_all(text, '{TOKEN}')) FROM documents),
+    n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)
+    SELECT doc_id, n AS questions, CAST((n + {V.BATCH - 1}) // {V.BATCH} AS BIGINT) AS requests FROM n""")
+def q_candidate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = decide.candidate_questions(spans.distinct_candidates(spans.candidates(table(spark, sf_dir, "documents"))))
+    return asked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("questions"), (F.max("batch") + 1).cast("long").alias("requests"))
+
+
+@query(
+    "q_url_features",
+    f"""
+    WITH h AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages)
+    SELECT host IN ({_quoted(V.EXAMPLE_DOMAINS)}) OR starts_with(host, 'example.') OR starts_with(host, 'api.example.') OR {" OR ".join(f"ends_with(host, '{e}')" for e in V.EXAMPLE_ENDINGS)} AS is_example,
+           {" OR ".join(f"ends_with(host, '{e}')" for e in V.INTERNAL_ENDINGS)} AS is_internal, host = 'github.com' OR ends_with(host, '.github.com') AS is_public_common, count(*) AS n, count(DISTINCT host) AS hosts
+    FROM h GROUP BY ALL""",
+)
+def q_url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "pages").select(X.url_host(F.col("url")).alias("host"))
+    host = F.col("host")
+    return h.groupBy(X.url_is_example(host).alias("is_example"), X.url_is_internal(host).alias("is_internal"), X.url_is_public_common(host).alias("is_public_common")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host").alias("hosts"))
+
+
+@query("q_comment_strip", r"""
+    SELECT page_id, sha256(regexp_replace(html, '<!--(?s:.*?)-->', '', 'g')) AS stripped_sha256, length(html) <> length(regexp_replace(html, '<!--(?s:.*?)-->', '', 'g')) AS changed
+    FROM pages WHERE NOT contains(html, '`') AND NOT contains(html, '~~~')""")
+def q_comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").where(~F.col("html").contains("`") & ~F.col("html").contains("~~~")).select("page_id", "html", chunks.strip_comments(F.col("html")).alias("s"))
+    return p.select("page_id", F.sha2("s", 256).alias("stripped_sha256"), (F.length("html") != F.length("s")).alias("changed"))
+
+
+# Chunks
+
+
+@query("q_guard_length", r"""
+    SELECT doc_id, sha256(CASE WHEN length(text) > 2000 THEN left(text, 1000) || chr(10) || chr(10) || '... [TRUNCATED ' || CAST(length(text) - 2000 AS VARCHAR) || ' CHARACTERS TO PREVENT TOKEN OVERFLOW] ...' || chr(10) || chr(10) || right(text, 1000) ELSE text END) AS guarded_sha256,
+           length(text) > 2000 AS was_truncated FROM documents""")
+def q_guard_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(chunks.guarded(t, 2000), 256).alias("guarded_sha256"), (F.length(t) > 2000).alias("was_truncated"))
+
+
+@query("q_chunk_plan", """
+    WITH p AS (SELECT lang, length(text) AS n FROM documents)
+    SELECT lang, n > 2000 AS was_truncated, CAST(CASE WHEN n > 2000 THEN ceil((n - 200) / 1800.0) ELSE 1 END AS INTEGER) AS chunks,
+           CAST(CASE WHEN n > 2000 THEN ceil((n - 200) / 1800.0) + 1 ELSE 1 END AS INTEGER) AS planned_calls, count(*) AS documents FROM p GROUP BY ALL""")
+def q_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "documents").select("lang", chunks.chunk_plan(F.length("text"), True, True, 2000, 200).alias("p")).select("lang", "p.*")
+    return p.groupBy("lang", "was_truncated", "chunks", "planned_calls").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("q_chunks")
+def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.chunks(F.col("text"), 2000, 200)).alias("chunk", "c"))
+    return c.select("doc_id", "chunk", F.col("c.start").alias("start"), F.length("c.text").alias("n_chars"), F.sha2("c.text", 256).alias("chunk_sha256"))
+
+
+@query("q_chunk_max_pool", """
+    SELECT conv_id, max((length(text) * 37 % 101) / 100.0::DOUBLE) AS pooled, count(*) AS chunks, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id""")
+def q_chunk_max_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.length("text") * 37 % 101 / 100.0).alias("pooled"), F.count(F.lit(1)).alias("chunks"), F.count_distinct("role").alias("roles"))
+
+
+# Gate
+
+
+_ASKED = [(q[1], float(i)) for i, q in enumerate(V.QUESTIONS) if q[0] == "design_doc"]
+_GATE = [(q[1], i, q[4], q[5], q[6], q[8], q[0] in V.WARN_ONLY) for i, q in enumerate(V.QUESTIONS) if q[0] in ("safety", "quality", "tech-spec") and q[2] != "choice"]
+_GATE_SQL = "WITH a AS (SELECT doc_id, q, w, lo, hi, adv OR warn AS warns, ((doc_id * 37 + i * 11) % 101) / 100.0::DOUBLE AS v FROM labels, " + _values(_GATE, "q, i, w, lo, hi, adv, warn") + ")"
+
+
+def _gate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(q[0]).alias("question_id"), F.lit(q[1]).alias("i")) for q in _GATE])
+    a = table(spark, sf_dir, "labels").select("doc_id", F.inline(rows))
+    return a.select("doc_id", "question_id", (((F.col("doc_id") * 37 + F.col("i") * 11) % 101) / 100.0).alias("value"))
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.gated(_gate_answers(spark, sf_dir), gate.questions(spark).where(F.col("preset").isin("safety", "quality", "tech-spec")))
+
+
+@query("q_threshold_gate", _GATE_SQL + """
+    SELECT q AS question_id, CASE WHEN v < lo THEN 'below_min' WHEN v > hi THEN 'above_max' END AS breach,
+           CASE WHEN v < lo OR v > hi THEN CASE WHEN warns THEN 'warning' ELSE 'error' END END AS level, count(*) AS n FROM a GROUP BY ALL""")
+def q_threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gated(spark, sf_dir).groupBy("question_id", "breach", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_near_threshold", _GATE_SQL + " SELECT q AS question_id, coalesce(abs(v - lo) <= 0.1 + 1e-9, false) OR coalesce(abs(v - hi) <= 0.1 + 1e-9, false) AS near_threshold, count(*) AS n FROM a GROUP BY ALL")
+def q_near_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gated(spark, sf_dir).groupBy("question_id", "near_threshold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_composite", _GATE_SQL + " SELECT doc_id, round(sum(v * w) / sum(w), 6) AS composite FROM a GROUP BY doc_id")
+def q_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.composite(_gated(spark, sf_dir)).select("doc_id", F.round("composite", 6).alias("composite"))
+
+
+@query("q_verdicts", _GATE_SQL + """
+    SELECT doc_id, count(*) FILTER (WHERE (v < lo OR v > hi) AND NOT warns) AS violations, count(*) FILTER (WHERE (v < lo OR v > hi) AND warns) AS warnings,
+           count(*) FILTER (WHERE (v < lo OR v > hi) AND NOT warns) = 0 AS passed FROM a GROUP BY doc_id""")
+def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.verdicts(_gated(spark, sf_dir))
+
+
+@query("q_exit_code", _GATE_SQL + " SELECT CASE WHEN count(*) FILTER (WHERE (v < lo OR v > hi) AND NOT warns) > 0 THEN 1 ELSE 0 END AS exit_code FROM a")
+def q_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = gate.verdicts(_gated(spark, sf_dir)).agg(F.sum("violations").alias("v"))
+    return v.select(gate.exit_code(F.col("v"), F.lit(0)).alias("exit_code"))
+
+
+@query("q_score_normalise", "SELECT linenumber_score AS score, round(least(greatest(linenumber_score / 3.0, 0), 1), 6) AS normalised, count(*) AS n FROM (SELECT l_linenumber - 2 AS linenumber_score FROM lineitem) GROUP BY ALL")
+def q_score_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 2).alias("score"))
+    return s.groupBy("score", F.round(gate.normalised_score(F.col("score"), 4), 6).alias("normalised")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_preflight_override", f"""
+    WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)@(gmail|yahoo)\\.com')) AS free FROM documents)
+    SELECT l.doc_id, q AS question_id, CASE WHEN q = 'has_pii' AND free > 0 THEN 1.0 ELSE ((l.doc_id * 37 + i * 11) % 101) / 100.0::DOUBLE END AS value
+    FROM labels l JOIN c USING (doc_id), {_values([("has_secrets", 0), ("has_pii", 1)], "q, i")}""")
+def q_preflight_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.counters(spans.candidates(table(spark, sf_dir, "documents")))
+    answers = _gate_answers(spark, sf_dir).where(F.col("question_id").isin("has_secrets", "has_pii"))
+    return gate.overridden(answers, found).select("doc_id", "question_id", "value")
+
+
+# Validation
+
+
+_RUNS = "SELECT l.doc_id, l.quality, r.run, ((l.doc_id * 37 + r.run * 7) % 101) / 100.0::DOUBLE AS v FROM labels l, (VALUES (0), (1), (2)) AS r(run)"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("run"))
+    return r.withColumn("value", ((F.col("doc_id") * 37 + F.col("run") * 7) % 101) / 100.0).withColumn("question_id", F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")))
+
+
+def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")).alias("question_id"), F.when(F.col("quality") == 1, "present").otherwise("absent").alias("expected"))
+    question = spark.createDataFrame([("q0", 0.5, None), ("q1", None, 0.3), ("q2", None, None)], "question_id string, min_threshold double, max_threshold double")
+    return validate.presence(runs, labels, question)
+
+
+_PRESENCE = f"""
+    WITH r AS ({_RUNS}),
+    z AS (SELECT doc_id, 'q' || CAST(doc_id % 3 AS VARCHAR) AS question_id, quality, bool_and(CASE WHEN doc_id % 3 = 1 THEN v <= 0.3 ELSE v < 0.5 END) AS all_absent, bool_or(CASE WHEN doc_id % 3 = 1 THEN v <= 0.3 ELSE v < 0.5 END) AS any_absent, max(v) - min(v) AS spread FROM r GROUP BY ALL),
+    x AS (SELECT doc_id, question_id, CASE quality WHEN 1 THEN 'present' ELSE 'absent' END AS expected,
+                 CASE WHEN quality = 1 THEN CASE WHEN any_absent THEN 'false_alarm' ELSE 'correct' END ELSE CASE WHEN all_absent THEN 'detected' ELSE 'missed' END END AS verdict, spread FROM z)"""
+
+
+@query("q_presence_verdict", _PRESENCE + " SELECT doc_id, question_id, expected, verdict, round(spread, 6) AS spread FROM x")
+def q_presence_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _presence(spark, sf_dir).withColumn("spread", F.round("spread", 6))
+
+
+@query("q_question_stats", _PRESENCE + """
+    SELECT question_id, count(*) FILTER (WHERE verdict = 'detected') AS detected, count(*) FILTER (WHERE expected = 'absent') AS n_absent, count(*) FILTER (WHERE verdict = 'false_alarm') AS false_alarms,
+           count(*) FILTER (WHERE expected = 'present') AS n_present, round(max(spread), 6) AS max_spread FROM x GROUP BY question_id""")
+def q_question_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.question_stats(_presence(spark, sf_dir)).withColumn("max_spread", F.round("max_spread", 6))
+
+
+@query("q_validation_summary", _PRESENCE + """
+    SELECT round(count(*) FILTER (WHERE verdict = 'detected') / count(*) FILTER (WHERE expected = 'absent'), 6) AS detection_rate,
+           round(count(*) FILTER (WHERE verdict = 'false_alarm') / count(*) FILTER (WHERE expected = 'present'), 6) AS false_alarm_rate FROM x""")
+def q_validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = validate.summary(validate.question_stats(_presence(spark, sf_dir)))
+    return s.select(F.round("detection_rate", 6).alias("detection_rate"), F.round("false_alarm_rate", 6).alias("false_alarm_rate"))
+
+
+_T = "CASE " + " ".join(f"WHEN n - 1 >= {k} THEN {V.T_TABLE[k]}" for k in sorted(V.T_TABLE, reverse=True)) + f" ELSE {V.T_NONE} END"
+
+
+@query("q_mean_ci95", f"""
+    WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS sd FROM events WHERE value IS NOT NULL GROUP BY event_type)
+    SELECT event_type, n, round(m, 6) AS mean, round(m - {_T} * sd / sqrt(n), 6) AS low, round(m + {_T} * sd / sqrt(n), 6) AS high FROM g""")
+def q_mean_ci95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.mean_ci(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+_PAIR_PARTS = f"""
+    d AS (SELECT doc_id AS pair_id, CASE doc_id % 4 WHEN 0 THEN 'shuffled' WHEN 1 THEN 'padded' WHEN 2 THEN 'swap' ELSE 'paraphrase' END AS kind,
+                 CASE WHEN doc_id % 4 < 2 THEN 'down' ELSE 'neutral' END AS expected, run, (CASE WHEN doc_id % 4 < 2 THEN v * 0.5 ELSE v + (run - 1) / 64.0 + 0.01 END) - v AS delta FROM r),
+    p AS (SELECT pair_id, kind, expected, avg(delta) AS mean_delta, count(*) AS runs FROM d GROUP BY ALL),
+    g AS (SELECT kind, expected, count(*) AS n, avg(mean_delta) AS m, coalesce(stddev_samp(mean_delta), 0) AS sd FROM p GROUP BY ALL),
+    i AS (SELECT kind, expected, n, m, m - {_T} * sd / sqrt(n) AS low, m + {_T} * sd / sqrt(n) AS high FROM g)"""
+_PAIRS = f"WITH r AS ({_RUNS}), {_PAIR_PARTS}"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _runs(spark, sf_dir)
+    k = F.col("doc_id") % 4
+    kind = F.when(k == 0, "shuffled").when(k == 1, "padded").when(k == 2, "swap").otherwise("paraphrase")
+    before = r.select(F.col("doc_id").alias("pair_id"), kind.alias("kind"), F.when(k < 2, "down").otherwise("neutral").alias("expected"), "run", "value")
+    after = r.select(F.col("doc_id").alias("pair_id"), "run", F.when(k < 2, F.col("value") * 0.5).otherwise(F.col("value") + (F.col("run") - 1) / 64.0 + 0.01).alias("value"))
+    return validate.pair_guard(validate.pair_deltas(before, after))
+
+
+@query("q_pair_delta", _PAIRS + " SELECT pair_id, kind, expected, round(mean_delta, 6) AS mean_delta, runs, CASE WHEN expected = 'down' THEN mean_delta <= 0 ELSE abs(mean_delta) <= 0.05 END AS guard_ok FROM p")
+def q_pair_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("mean_delta", F.round("mean_delta", 6))
+
+
+@query("q_pair_groups", _PAIRS + """
+    SELECT kind, expected, n, round(m, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high,
+           CASE WHEN n < 6 THEN NULL WHEN expected = 'down' THEN high < 0 ELSE greatest(abs(low), abs(high)) <= 0.05 END AS passed FROM i""")
+def q_pair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.groups(_pairs(spark, sf_dir)).select("kind", "expected", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "passed")
+
+
+@query("q_criteria", _PRESENCE + "," + _PAIR_PARTS + """
+    SELECT 'min_detected' AS criterion, (SELECT coalesce(count(*) FILTER (WHERE verdict = 'detected') / nullif(count(*) FILTER (WHERE expected = 'absent'), 0) >= 0.9, false) FROM x) AS passed
+    UNION ALL SELECT 'max_false_alarms', (SELECT count(*) FILTER (WHERE verdict = 'false_alarm') <= 0 FROM x)
+    UNION ALL SELECT 'max_spread', (SELECT max(spread) <= 0.1 FROM x)
+    UNION ALL SELECT 'pair_guard', (SELECT bool_and(CASE WHEN expected = 'down' THEN mean_delta <= 0 ELSE abs(mean_delta) <= 0.05 END) FROM p)
+    UNION ALL SELECT 'group_ci', (SELECT coalesce(bool_and(CASE WHEN n < 6 THEN NULL WHEN expected = 'down' THEN high < 0 ELSE greatest(abs(low), abs(high)) <= 0.05 END), true) FROM i)""")
+def q_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir)
+    return validate.criteria(validate.question_stats(_presence(spark, sf_dir)), pairs, validate.groups(pairs))
+
+
+@query("q_worst_pair", _PAIRS + """
+    , w AS (SELECT kind, pair_id, CASE WHEN expected = 'down' THEN mean_delta ELSE abs(mean_delta) END AS k FROM p)
+    SELECT kind, pair_id, round(k, 6) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(k, 9) DESC, pair_id) AS n FROM w) WHERE n = 1""")
+def q_worst_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir).withColumn("mean_delta", F.round("mean_delta", 9))
+    return validate.worst_pairs(pairs).withColumn("worst", F.round("worst", 6))
+
+
+@query("q_choice_distribution", "SELECT role, lang, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY role), 4) AS percent FROM (SELECT role, CASE conv_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS lang FROM conversations) GROUP BY role, lang")
+def q_choice_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("role", F.when(F.col("conv_id") % 3 == 0, "a").when(F.col("conv_id") % 3 == 1, "b").otherwise("c").alias("lang"))
+    g = c.groupBy("role", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("role")), 4))
+
+
+# Statistics
+
+
+_SCORES = "WITH s AS (SELECT d.doc_id, d.lang, l.quality, round(len(list_distinct(string_split(d.text, ' '))) * 1.0 / len(string_split(d.text, ' ')), 2) AS score FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("text", " ")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.round(F.size(F.array_distinct(words)) * 1.0 / F.size(words), 2).alias("score"))
+    return d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query("q_roc_auc", _SCORES + """
+    , c AS (SELECT score, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS q FROM s GROUP BY score),
+    b AS (SELECT *, coalesce(sum(q) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+    SELECT CAST(sum(p) AS BIGINT) AS n_positive, CAST(sum(q) AS BIGINT) AS n_negative, round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 4) AS auc FROM b""")
+def q_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.roc_auc(_scores(spark, sf_dir).withColumn("good", F.col("quality") == 1), [], "score", "good")
+
+
+@query("q_feasibility_by_lang", _SCORES + """
+    , c AS (SELECT lang, score, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS q FROM s GROUP BY ALL),
+    b AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY lang ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+    a AS (SELECT lang, sum(p) AS p, sum(q) AS q, CASE WHEN sum(p) = 0 OR sum(q) = 0 THEN 0.5 ELSE round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 4) END AS auc FROM b GROUP BY lang)
+    SELECT lang, CAST(p AS BIGINT) AS n_positive, CAST(q AS BIGINT) AS n_negative, auc, auc >= 0.75 AS feasible FROM a""")
+def q_feasibility_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.roc_auc(_scores(spark, sf_dir).withColumn("good", F.col("quality") == 1), ["lang"], "score", "good").withColumn("feasible", F.col("auc") >= 0.75)
+
+
+@query("q_false_alarm", _SCORES + """
+    , t AS (SELECT coalesce(median(score), 0.5) AS threshold FROM s WHERE quality = 0 AND doc_id % 2 = 0)
+    SELECT round(threshold, 6) AS threshold, round(avg(CASE WHEN score <= threshold THEN 1.0 ELSE 0.0 END), 6) AS false_alarm_rate FROM s, t WHERE quality = 1 AND doc_id % 2 = 1 GROUP BY threshold""")
+def q_false_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scores(spark, sf_dir)
+    threshold = s.where("quality = 0 and doc_id % 2 = 0").agg(F.coalesce(F.median("score"), F.lit(0.5)).alias("threshold")).withColumn("one", F.lit(1))
+    held = s.where("quality = 1 and doc_id % 2 = 1").groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    joined = held.join(F.broadcast(threshold), "one")
+    return joined.groupBy("threshold").agg(F.round(F.sum(F.when(F.col("score") <= F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("false_alarm_rate")).withColumn("threshold", F.round("threshold", 6))
+
+
+@query("q_spread_ratio", """
+    WITH m AS (SELECT user_id, avg(value) AS m FROM events WHERE value IS NOT NULL GROUP BY user_id), g AS (SELECT avg(m) AS a, stddev_samp(m) AS sd FROM m)
+    SELECT round(a, 6) AS mean_value, round(sd, 6) AS sd, round(abs(a) / sd, 2) AS ratio, round(abs(a) / sd, 2) >= 1.5 AS clearly_larger FROM g""")
+def q_spread_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.spread_ratio(table(spark, sf_dir, "events").where("value is not null"), "user_id", "value").withColumns({"mean_value": F.round("mean_value", 6), "sd": F.round("sd", 6)})
+
+
+@query("q_noise_pairs", f"""
+    WITH r AS ({_RUNS}) SELECT a.doc_id, a.run AS run_a, b.run AS run_b, round(abs(a.v - b.v), 6) AS diff FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.run < b.run""")
+def q_noise_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.noise_pairs(_runs(spark, sf_dir), ["doc_id"], "run", "value").withColumn("diff", F.round("diff", 6))
+
+
+@query("q_noise_stats", f"""
+    WITH r AS ({_RUNS}), d AS (SELECT 'q' || CAST(a.doc_id % 3 AS VARCHAR) AS question_id, abs(a.v - b.v) AS diff FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.run < b.run)
+    SELECT question_id, count(*) AS n, round(avg(diff), 6) AS mean_diff, round(max(diff), 6) AS max_diff, round(quantile_cont(diff, 0.99), 6) AS p99 FROM d GROUP BY GROUPING SETS ((question_id), ())""")
+def q_noise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = stats.noise_pairs(_runs(spark, sf_dir), ["doc_id", "question_id"], "run", "value")
+    return stats.noise_stats(pairs, "question_id").select("question_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_diff", "max_diff", "p99")])
+
+
+@query("q_run_median", f"WITH r AS ({_RUNS}) SELECT doc_id, round(median(v), 6) AS median_value FROM r GROUP BY doc_id")
+def q_run_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).groupBy("doc_id").agg(F.round(F.median("value"), 6).alias("median_value"))
+
+
+# Baseline
+
+
+@query("q_baseline_diff", """
+    WITH b AS (SELECT doc_id, doc_id % 2 AS risk, ((doc_id * 37) % 101) / 100.0::DOUBLE AS prev, ((doc_id * 37 + (doc_id % 5) * 9) % 101) / 100.0::DOUBLE AS cur FROM labels)
+    SELECT doc_id, CASE risk WHEN 1 THEN 'risk' ELSE 'good' END AS question_id, prev AS previous, cur AS current, round(cur - prev, 6) AS delta,
+           CASE WHEN risk = 1 THEN cur - prev > 0.10 ELSE prev - cur > 0.10 END AS regressed FROM b""")
+def q_baseline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(d % 2 == 1, "risk").otherwise("good").alias("question_id"), ((d * 37) % 101 / 100.0).alias("p"), ((d * 37 + (d % 5) * 9) % 101 / 100.0).alias("c"))
+    question = spark.createDataFrame([("risk", 0.5), ("good", None)], "question_id string, max_threshold double")
+    return baseline.diff(rows.select("doc_id", "question_id", F.col("c").alias("value")), rows.select("doc_id", "question_id", F.col("p").alias("value")), question).withColumn("delta", F.round("delta", 6))
+
+
+_PATHS = "SELECT DISTINCT regexp_extract(url, '://(.*)$', 1) AS u, page_id FROM pages"
+
+
+@query("q_baseline_match", f"""
+    WITH p AS ({_PATHS}), c AS (SELECT DISTINCT CASE page_id % 4 WHEN 0 THEN u WHEN 1 THEN './' || u WHEN 2 THEN 'docs/' || u ELSE u || '.new' END AS path FROM p),
+    v AS (SELECT DISTINCT CASE page_id % 4 WHEN 2 THEN 'repo/docs/' || u ELSE u END AS previous_path FROM p),
+    e AS (SELECT path, previous_path FROM c JOIN v ON path = previous_path),
+    n AS (SELECT path, previous_path, count(*) OVER (PARTITION BY path) AS k FROM c JOIN v ON regexp_replace(path, '^[./]+', '') = regexp_replace(previous_path, '^[./]+', '') WHERE path NOT IN (SELECT path FROM e)),
+    s AS (SELECT path, previous_path, count(*) OVER (PARTITION BY path) AS k FROM c JOIN v
+          ON ends_with('/' || regexp_replace(path, '^[./]+', ''), '/' || regexp_replace(previous_path, '^[./]+', '')) OR ends_with('/' || regexp_replace(previous_path, '^[./]+', ''), '/' || regexp_replace(path, '^[./]+', ''))
+          WHERE path NOT IN (SELECT path FROM e) AND path NOT IN (SELECT path FROM n)),
+    f AS (SELECT path, previous_path, 'exact' AS how FROM e UNION ALL SELECT path, previous_path, 'normalised' FROM n WHERE k = 1 UNION ALL SELECT path, previous_path, 'suffix' FROM s WHERE k = 1)
+    SELECT c.path, f.previous_path, coalesce(f.how, 'new') AS how FROM c LEFT JOIN f ON c.path = f.path""")
+def q_baseline_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://(.*)$", 1).alias("u"), "page_id")
+    k = F.col("page_id") % 4
+    cur = p.select(F.when(k == 0, F.col("u")).when(k == 1, F.concat(F.lit("./"), "u")).when(k == 2, F.concat(F.lit("docs/"), "u")).otherwise(F.concat("u", F.lit(".new"))).alias("path"))
+    prev = p.select(F.when(k == 2, F.concat(F.lit("repo/docs/"), "u")).otherwise(F.col("u")).alias("path"))
+    return baseline.matched(cur, prev)
+
+
+@query("q_exclude_filter", "SELECT page_id FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS p FROM pages) WHERE NOT (starts_with(p, 'de/') OR ends_with(p, '.html'))")
+def q_exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path"))
+    return p.where(~X.path_excluded(F.col("path"), ["de", "*.html"]) & ~X.default_ignored(F.col("path"))).select("page_id")
+
+
+@query("q_semi_changed", "SELECT d.source, count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) GROUP BY d.source")
+def q_semi_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").join(changed, "doc_id", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_missing_answers", "SELECT d.lang, count(*) AS missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY d.lang")
+def q_missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("missing"))
+
+
+# Corpus
+
+
+@query("q_heuristic_presence", r"""
+    WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '## Risks and drawbacks' WHEN 1 THEN '**Testing**' WHEN 2 THEN 'Summary' || chr(10) || '=====' ELSE 'plain words' END || chr(10) || 'body' AS t FROM documents)
+    SELECT doc_id, doc_id % 4 = 0 AS has_risks, doc_id % 4 = 1 AS has_testing, doc_id % 4 = 2 AS has_goal FROM d""")
+def q_heuristic_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    head = F.when(k == 0, "## Risks and drawbacks").when(k == 1, "**Testing**").when(k == 2, "Summary\n=====").otherwise("plain words")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit("\nbody")).alias("t"))
+    t = F.col("t")
+    return d.select("doc_id", chunks.has_item(t, "risks").alias("has_risks"), chunks.has_item(t, "testing").alias("has_testing"), chunks.has_item(t, "goal").alias("has_goal"))
+
+
+@query("q_diff_rule", """
+    WITH d AS (SELECT lang, length(text) AS n, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents)
+    SELECT lang, count(*) AS n, count(*) FILTER (WHERE abs(n - lines * 20 - n) > 0.1 * n) AS down FROM d GROUP BY lang""")
+def q_diff_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    d = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("n_chars"), lines.alias("lines"))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("lines") * 20) > 0.1 * F.col("n_chars")).alias("down"))
+
+
+@query("q_holdout_split", """
+    WITH s AS (SELECT lang, source, count(*) AS size FROM documents GROUP BY ALL),
+    o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY lang ORDER BY sha256('corpus:' || source), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY lang) AS total FROM s)
+    SELECT lang, source, size, before < CASE WHEN total >= 2 THEN greatest(round_even(total * 0.3, 0), 1) ELSE 0 END AS held_out FROM o""")
+def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.held_out(table(spark, sf_dir, "documents"), ["lang"], "source")
+
+
+@query("q_tuning_pick", """
+    WITH h AS (SELECT lang, source, doc_id, sha256('pick:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h) AS r FROM h),
+    p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS rank FROM o WHERE r = 1)
+    SELECT lang, source, doc_id, CAST(rank AS INTEGER) AS rank FROM p WHERE rank <= 2""")
+def q_tuning_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.picked(table(spark, sf_dir, "documents"), ["lang"], "source", "doc_id")
+
+
+@query("q_project_cap", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source HAVING count(*) > 2")
+def q_project_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.over_cap(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+@query("q_min_detected", "SELECT lang, CAST(ceil(0.8 * count(*) FILTER (WHERE quality = 0)) AS BIGINT) AS min_detected FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
+def q_min_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return j.groupBy("lang").agg(F.ceil(F.lit(0.8) * F.count_if(F.col("quality") == 0)).cast("long").alias("min_detected"))
+
+
+@query("q_dedup_content_hash", "SELECT sha256(text || '::' || lang) AS cache_key, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1")
+def q_dedup_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("::", "text", "lang"), 256).alias("cache_key"))
+    return d.groupBy("cache_key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("q_cache_misses", """
+    WITH c AS (SELECT DISTINCT sha256(text || '::v1') AS k FROM documents WHERE doc_id % 3 = 0)
+    SELECT lang, count(*) FILTER (WHERE k IS NOT NULL) AS hits, count(*) FILTER (WHERE k IS NULL) AS misses FROM (SELECT lang, c.k FROM documents d LEFT JOIN c ON sha256(d.text || '::v1') = c.k) GROUP BY lang""")
+def q_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    cache = docs.where("doc_id % 3 = 0").select(report.cache_key(F.col("text"), "v1").alias("cache_key")).distinct()
+    hits, misses = report.with_cache(docs, cache, "v1")
+    both = hits.select("lang", F.lit(1).alias("h")).unionByName(misses.select("lang", F.lit(0).alias("h")))
+    return both.groupBy("lang").agg(F.count_if(F.col("h") == 1).alias("hits"), F.count_if(F.col("h") == 0).alias("misses"))
+
+
+@query("q_doc_type", """
+    SELECT CASE WHEN contains(p, 'design_doc') THEN 'design_doc' WHEN contains(p, 'article') OR contains(p, 'zenn') THEN 'article' ELSE 'generic' END AS doc_type, count(*) AS n
+    FROM (SELECT lower(CASE page_id % 3 WHEN 0 THEN 'Design_Doc/' WHEN 1 THEN 'Articles/' ELSE '' END || url) AS p FROM pages) GROUP BY 1""")
+def q_doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    p = table(spark, sf_dir, "pages").select(F.concat(F.when(k == 0, "Design_Doc/").when(k == 1, "Articles/").otherwise(""), "url").alias("p"))
+    return p.groupBy(X.document_type(F.col("p")).alias("doc_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_path_normalise", "SELECT page_id, regexp_replace('../.' || regexp_extract(url, '://(.*)$', 1), '^[./]+', '') AS path FROM pages")
+def q_path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.normalised_path(F.concat(F.lit("../."), F.regexp_extract("url", "://(.*)$", 1))).alias("path"))
+
+
+@query("q_line_column", "SELECT doc_id, CAST(length(b) - length(replace(b, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(list_last(string_split(b, chr(10)))) + 1 AS INTEGER) AS col FROM (SELECT doc_id, left(text, length(text) // 2) AS b FROM documents)")
+def q_line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    half = F.floor(F.length("text") / 2).cast("int")
+    p = table(spark, sf_dir, "documents").select("doc_id", chunks.line_and_column(F.col("text"), half).alias("p"))
+    return p.select("doc_id", F.col("p.line").alias("line"), F.col("p.column").alias("col"))
+
+
+@query("q_union_violations", _GATE_SQL + """
+    , b AS (SELECT doc_id, q AS rule, 1 AS source FROM a WHERE v > hi UNION ALL SELECT doc_id, q, 2 FROM a WHERE v < lo)
+    SELECT rule, min(source) AS first_source, count(DISTINCT doc_id) AS documents FROM b GROUP BY rule""")
+def q_union_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _gated(spark, sf_dir)
+    high = g.where("breach = 'above_max'").select("doc_id", F.col("question_id").alias("rule"), F.lit(1).alias("source"))
+    low = g.where("breach = 'below_min'").select("doc_id", F.col("question_id").alias("rule"), F.lit(2).alias("source"))
+    return high.unionByName(low).groupBy("rule").agg(F.min("source").alias("first_source"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query("q_token_usage", "SELECT role, CAST(nullif(sum(length(text)), 0) AS BIGINT) AS input_tokens, count(*) AS calls FROM conversations GROUP BY role")
+def q_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.nullif(F.sum(F.length("text").cast("long")), F.lit(0).cast("long")).alias("input_tokens"), F.count(F.lit(1)).alias("calls"))
+
+
+# Reports and variants
+
+
+@query("q_json_report")
+def q_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.json_rows(gate.verdicts(_gated(spark, sf_dir)))
+
+
+@query("q_annotations", _GATE_SQL + " SELECT '::' || CASE WHEN warns THEN 'warning' ELSE 'error' END || ' file=doc-' || CAST(doc_id AS VARCHAR) || ',line=1::' || q || ' fails' AS line FROM a WHERE v < lo OR v > hi")
+def q_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _gated(spark, sf_dir).where("level is not null")
+    return report.annotations(v.select("level", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("column"), F.concat("question_id", F.lit(" fails")).alias("message")))
+
+
+@query("q_pivot_report", _GATE_SQL + " SELECT doc_id, max(v) FILTER (WHERE q = 'has_secrets') AS has_secrets, max(v) FILTER (WHERE q = 'has_pii') AS has_pii, max(v) FILTER (WHERE q = 'clarity') AS clarity FROM a GROUP BY doc_id")
+def q_pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.pivoted(_gate_answers(spark, sf_dir), ["has_secrets", "has_pii", "clarity"])
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## Part "), i.cast("string"), F.lit("\n"), x)).otherwise(x))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
+
+
+@query("q_ablation")
+def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _markdown(spark, sf_dir).select("doc_id", chunks.sections(F.col("text")).alias("s"))
+    v = s.select("doc_id", F.posexplode(chunks.ablations(F.col("s.preamble"), F.col("s.sections"))).alias("variant", "a"))
+    return v.select("doc_id", "variant", F.col("a.removed").alias("removed"), F.length("a.text").alias("n_chars"))
+
+
+@query("q_degradations")
+def q_degradations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["shuffled", "no_headings", "padded", "removed_middle", "swap_sections", "unrelated_addition"]
+    m = _markdown(spark, sf_dir)
+    return m.select("doc_id", *[F.sha2(corpus.variant(F.col("text"), k), 256).alias(k) for k in kinds])
+
+
+@query("q_changed_lines")
+def q_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _markdown(spark, sf_dir).withColumn("after", corpus.variant(F.col("text"), "removed_middle"))
+    return m.select("doc_id", corpus.changed_lines(F.col("text"), F.col("after")).alias("changed"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return q_offline_gate(spark, sf_dir)
+
+
