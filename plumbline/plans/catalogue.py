@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]*[a-zA-Z0-9]"
 IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
+_EXAMPLE_IP = r"^(127\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.)"
 TOKEN = r'(?i)token\s*=\s*"[^"\n]*"'
 
 
@@ -114,12 +115,13 @@ def q_placeholder_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COUNTED = f"""
     WITH c AS (SELECT doc_id, lang, len(regexp_extract_all(text, '{EMAIL}')) AS emails, len(regexp_extract_all(text, '{IPV4}')) AS ips,
+                      len(list_filter(regexp_extract_all(text, '{IPV4}'), lambda v: regexp_matches(v, '{_EXAMPLE_IP}'))) AS example_ips,
                       len(regexp_extract_all(text, '{TOKEN}')) AS secrets FROM documents)"""
 
 
 @query(
     "q_redaction_counters",
-    _COUNTED + " SELECT doc_id, emails + ips + secrets AS total, CAST(0 AS BIGINT) AS credentials, emails + ips AS pii FROM c WHERE emails + ips + secrets > 0",
+    _COUNTED + " SELECT doc_id, emails + ips + secrets AS total, CAST(0 AS BIGINT) AS credentials, emails + ips - example_ips AS pii FROM c WHERE emails + ips + secrets > 0",
 )
 def q_redaction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.candidates(table(spark, sf_dir, "documents"))
@@ -184,7 +186,7 @@ def q_mock_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_candidate_questions", f"""
     WITH m AS (SELECT doc_id, 'email' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '{EMAIL}'), lambda x: lower(x)))) AS v FROM documents
-      UNION ALL SELECT doc_id, 'ip', unnest(list_distinct(regexp_extract_all(text, '{IPV4}'))) FROM documents
+      UNION ALL SELECT doc_id, 'ip', unnest(list_filter(list_distinct(regexp_extract_all(text, '{IPV4}')), lambda v: NOT regexp_matches(v, '{_EXAMPLE_IP}'))) FROM documents
       UNION ALL SELECT doc_id, 'secret', unnest(regexp_extract_all(text, '{TOKEN}')) FROM documents),
     n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id)
     SELECT doc_id, n AS questions, CAST((n + {V.BATCH - 1}) // {V.BATCH} AS BIGINT) AS requests FROM n""")
