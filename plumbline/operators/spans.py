@@ -31,6 +31,12 @@ SPAN = (
 RESULT = f"struct<spans: array<{SPAN}>, masked: string>"
 _FIELDS = re.findall(r"(\w+): ", SPAN)
 _CREDENTIALS = [(re.compile(p, re.I if i else 0), t, real, example) for p, i, t, real, example in V.CREDENTIALS]
+#: What a text must hold for a pattern to match at all: a cheap search spares most texts the pattern.
+_HINTS = ["akia", "gh", "sk_", "sk-", "apikey_", "bearer", "private key", "xox"]
+_KEY_HINTS = ["password", "passwd", "pwd", "api_key", "apikey", "token", "secret"]
+_DIGIT = re.compile("[0-9]")
+_IP_HINT = re.compile(r"\d\.\d|[0-9a-fA-F:]:")
+_PHONE_HINT = re.compile(r"\+[1-9]|\b0[1-9]|\b1-800")
 _KEY_VALUE, _EMAIL, _URL, _IP, _PHONE = re.compile(V.KEY_VALUE, re.I), re.compile(V.EMAIL), re.compile(V.URL, re.I), re.compile(V.IP), re.compile(V.PHONE)
 
 
@@ -107,9 +113,12 @@ def is_placeholder(token: str) -> bool:
 def scan_text(text: str, role_globs: tuple[str, ...] = (), mask: bool = True) -> tuple[list[dict], str]:
     """(spans in scan order, masked text)."""
     places, spans, edits = _Places(), [], []
-    newlines = [i for i, c in enumerate(text) if c == "\n"]
+    lower = text.lower()
+    newlines: list[int] = []
 
     def at(offset: int) -> tuple[int, int]:
+        if not newlines:  # most texts have no span and need no index
+            newlines.extend([m.start() for m in re.finditer("\n", text)] or [len(text)])
         line = bisect_left(newlines, offset)
         return line + 1, offset - (newlines[line - 1] if line else -1)
 
@@ -120,8 +129,8 @@ def scan_text(text: str, role_globs: tuple[str, ...] = (), mask: bool = True) ->
         spans.append(dict.fromkeys(_FIELDS) | {"kind": kind, "start": m.start(), "end": m.end(), "ord": n, "placeholder": placeholder, "replacement": replacement, "line": line, "column": column, "end_line": end_line, "end_column": end_column, "is_example": example, "is_redaction": True} | features)
 
     secrets = 0
-    for pattern, name, real, example in _CREDENTIALS:
-        for m in pattern.finditer(text):
+    for hint, (pattern, name, real, example) in zip(_HINTS, _CREDENTIALS, strict=True):
+        for m in pattern.finditer(text) if hint in lower else ():
             if not places.free(*m.span()):
                 continue
             if is_placeholder(m[0]):
@@ -129,7 +138,7 @@ def scan_text(text: str, role_globs: tuple[str, ...] = (), mask: bool = True) ->
             else:
                 secrets += 1
                 accept("credential", m, real, real, secrets, False, type=name, **secret_features(name, m[0], text[max(0, m.start() - 60) : m.end() + 60], True))
-    for m in _KEY_VALUE.finditer(text):
+    for m in _KEY_VALUE.finditer(text) if any(h in lower for h in _KEY_HINTS) else ():
         if places.free(*m.span()):
             secrets += 1
             features = secret_features(m["key"], m["val"], text[max(0, m.start() - 60) : m.end() + 60], False)
@@ -151,10 +160,15 @@ def scan_text(text: str, role_globs: tuple[str, ...] = (), mask: bool = True) ->
             name = type_of(features)
             accept(kind, m, f"[{kind.upper()}_{n}]", f"[{kind.upper()}_{n}]", n, name.startswith("example"), type=name, **features)
 
-    numbered("email", _EMAIL, lambda v, m: email_features(v, role_globs), lambda f: "email_free_mail" if f["domain_type"] == "free_mail" else "email_role" if f["known_role_word"] or f["matches_custom_role"] else "email_personal", str.lower)
-    numbered("url", _URL, lambda v, m: url_features(v), lambda f: "example_url" if f["is_example_domain"] or f["is_public_common"] else "url_internal" if f["is_internal_tld"] else "url_public")
-    numbered("ip", _IP, lambda v, m: {"ip_type": t} if (t := ip_type(v)) else None, lambda f: {"documentation": "example_ip", "loopback": "example_ip", "private": "ip_private"}.get(f["ip_type"], "ip_public"))
-    numbered("phone", _PHONE, lambda v, m: phone_features(v, text[max(0, m.start() - 50) : m.end() + 50]), lambda f: "phone_support" if f["looks_like_support"] else "phone_personal")
+    if "@" in text:
+        numbered("email", _EMAIL, lambda v, m: email_features(v, role_globs), lambda f: "email_free_mail" if f["domain_type"] == "free_mail" else "email_role" if f["known_role_word"] or f["matches_custom_role"] else "email_personal", str.lower)
+    if "://" in text:
+        numbered("url", _URL, lambda v, m: url_features(v), lambda f: "example_url" if f["is_example_domain"] or f["is_public_common"] else "url_internal" if f["is_internal_tld"] else "url_public")
+    digits = _DIGIT.search(text)
+    if (digits or ":" in text) and _IP_HINT.search(text):
+        numbered("ip", _IP, lambda v, m: {"ip_type": t} if (t := ip_type(v)) else None, lambda f: {"documentation": "example_ip", "loopback": "example_ip", "private": "ip_private"}.get(f["ip_type"], "ip_public"))
+    if digits and _PHONE_HINT.search(text):
+        numbered("phone", _PHONE, lambda v, m: phone_features(v, text[max(0, m.start() - 50) : m.end() + 50]), lambda f: "phone_support" if f["looks_like_support"] else "phone_personal")
     if not mask:
         return spans, text
     parts, last = [], 0
