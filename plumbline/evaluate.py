@@ -1,7 +1,8 @@
 """Evaluation of a table of documents under a preset: offline rules, a deterministic mock, or a provider.
 
 Input: ``doc_id`` and ``text`` (other columns are carried). Output: the input without its text, and preset_name, composite_score, passed,
-violations, structured_violations, warnings, redactions_count, was_truncated, api_calls, model, mock and error.
+violations, structured_violations, warnings, redactions_count, was_truncated, api_calls, model, mock,
+error and answers (value by question).
 
 The scan is one Arrow pass; what follows is native on the array of spans, so the rules-only modes shuffle nothing. A provider is asked
 once for each chunk and batch of questions; its answers are pooled by document and joined with the (broadcast) questions.
@@ -70,8 +71,8 @@ def structured(messages: Column, level: str, spans: Column) -> Column:
     return F.transform(messages, one)
 
 
-def _finished(df: DataFrame, preset: str, composite: Column, passed: Column, violations: Column, warnings: Column, truncated: Column, calls: Column, model: str | Column, mock: bool, error: Column) -> DataFrame:
-    own = {"preset_name": F.lit(preset), "composite_score": composite, "passed": passed, "violations": violations, "warnings": warnings, "was_truncated": truncated, "api_calls": calls.cast("int"), "model": F.lit(model), "mock": F.lit(mock), "error": error}
+def _finished(df: DataFrame, preset: str, composite: Column, passed: Column, violations: Column, warnings: Column, truncated: Column, calls: Column, model: str | Column, mock: bool, error: Column, answers: Column | None = None) -> DataFrame:
+    own = {"preset_name": F.lit(preset), "composite_score": composite, "passed": passed, "violations": violations, "warnings": warnings, "was_truncated": truncated, "api_calls": calls.cast("int"), "model": F.lit(model), "mock": F.lit(mock), "error": error, "answers": answers if answers is not None else F.create_map().cast("map<string,double>")}
     out = df.withColumns(own)
     out = out.withColumn("structured_violations", F.concat(structured(F.col("violations"), "error", F.col("spans")), structured(F.col("warnings"), "warning", F.col("spans"))))
     return out.drop("text", "spans", "masked", *[c for c in out.columns if c.startswith("_")])
@@ -88,12 +89,17 @@ def offline(docs: DataFrame, preset: str, role_globs: tuple[str, ...] = (), max_
 
 
 def mock(docs: DataFrame, preset: str, role_globs: tuple[str, ...] = (), max_chars: int = V.MAX_CHARS) -> DataFrame:
-    """Fixed answers: 0.85 for scores, 0.78 for predicates, 0.05 for has_secrets and has_pii. Never fails."""
+    """Fixed answers: 0.85 for scores, 0.78 for predicates, 0.05 (0.90 if a plain phrase
+    says so) for has_secrets and has_pii. Never fails."""
     found = scanned(docs, role_globs)
     rows = [r for r in V.QUESTIONS if r[0].replace("-", "_") == preset.lower().replace("-", "_")]
-    weights = [(0.85 if r[2] == "score" else 0.05 if r[1] in ("has_secrets", "has_pii") else 0.78, r[4]) for r in rows if r[2] != "choice" and r[4]]
+    given = {r[1]: F.lit(0.85 if r[2] == "score" else 0.78) for r in rows if r[2] != "choice"}
+    prose = {"has_secrets": r"(?i)password\s+is\s+[^\s.,]+", "has_pii": r"\b(Taro Yamada|Hanako Tanaka|Jane Doe|John Doe)\b"}  # fixed values
+    given |= {q: F.when(F.col("text").rlike(p), 0.90).otherwise(0.05) for q, p in prose.items() if q in given}
+    weights = [(0.85 if r[2] == "score" else 0.78, r[4]) for r in rows if r[2] != "choice" and r[4]]
+    answers = F.map_from_arrays(F.array(*[F.lit(q) for q in given]), F.array(*given.values())) if given else None
     composite = F.lit(sum(v * w for v, w in weights) / sum(w for _, w in weights)) if weights else F.lit(None).cast("double")
-    return _finished(found, preset, composite, F.lit(True), _none(), _none(), F.length("masked") > max_chars, F.lit(0), "mock", True, F.lit(None).cast("string"))
+    return _finished(found, preset, composite, F.lit(True), _none(), _none(), F.length("masked") > max_chars, F.lit(0), "mock", True, F.lit(None).cast("string"), answers)
 
 
 def _requests(found: DataFrame, question: list, max_chars: int, overlap: int, batch: int) -> DataFrame:
@@ -176,7 +182,7 @@ def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], ro
     out = joined.withColumn("_violations", F.concat(texts(errors), *extra)).withColumn("_warnings", texts(warns))
     error = F.col("_error")
     passed = F.when(error.isNull(), F.size("_violations") == 0)
-    return _finished(out, preset, composite, passed, F.col("_violations"), F.col("_warnings"), F.length("masked") > max_chars, F.coalesce("_calls", F.lit(0)), "provider", False, error)
+    return _finished(out, preset, composite, passed, F.col("_violations"), F.col("_warnings"), F.length("masked") > max_chars, F.coalesce("_calls", F.lit(0)), "provider", False, error, F.col("_answers"))
 
 
 def exit_code(results: DataFrame) -> int:

@@ -31,7 +31,10 @@ def test_mock_never_fails(spark):
     df = spark.createDataFrame([(1, TEXT)], "doc_id long, text string")
     r = evaluate.mock(df, "tech_spec").first()
     assert r.passed and r.mock and r.violations == [] and abs(r.composite_score - 0.78) < 1e-12
-    assert evaluate.mock(df, "safety").first().composite_score is None
+    safe = evaluate.mock(df, "safety").first()
+    assert safe.composite_score is None and safe.answers == {"has_secrets": 0.05, "has_pii": 0.05, "confidentiality_risk": 0.85}
+    prose = spark.createDataFrame([(1, "the password is abc, says Jane Doe")], df.schema)
+    assert evaluate.mock(prose, "safety").first().answers["has_secrets"] == 0.9
 
 
 class Provider:
