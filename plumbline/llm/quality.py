@@ -85,14 +85,17 @@ def fit(x: np.ndarray, y: np.ndarray, at: float = 0.7, pairs_each: int = 40, rid
     most, least = max(len(good), len(bad)), min(len(good), len(bad))
     rounds = max(1, min(pairs_each, least))
     i = np.arange(most)
-    differences = np.concatenate([good[(i if len(good) == most else i + k * 7919) % len(good)] - bad[(i if len(bad) == most else i + k * 7919) % len(bad)] for k in range(rounds)])
     w = np.zeros(n)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -35, 35)))
-        gradient = -differences.T @ p / rounds + ridge * w
-        hessian = (differences * (p * (1 - p))[:, None]).T @ differences / rounds + ridge * np.eye(n)
+        gradient, hessian = ridge * w, ridge * np.eye(n)
+        for k in range(rounds):  # one pairing of the two classes at a time, so that memory holds one row for each labelled document
+            other = (i + k * 7919) % least if k else i % least
+            d = good - bad[other] if len(good) == most else good[other] - bad
+            p = 1 / (1 + np.exp(np.clip(d @ w, -35, 35)))
+            gradient = gradient - d.T @ p / rounds
+            hessian = hessian + (d * (p * (1 - p))[:, None]).T @ d / rounds
         step = np.linalg.solve(hessian, gradient)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     strength = every @ w
