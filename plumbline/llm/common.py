@@ -61,11 +61,21 @@ def range_bounds(df: DataFrame, key: str, rows_per_bucket: int = 2_000, max_buck
     return sorted({stats["low"], *(found or [])})
 
 
+def _literal(bounds: list[int]) -> Column:
+    """An array that the optimizer folds into one literal."""
+    return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+
+
+def bound_of(bucket: Column, bounds: list[int]) -> Column:
+    """The first key of a bucket."""
+    return F.element_at(_literal(bounds), bucket + 1)
+
+
 def bucket_of(key: Column, bounds: list[int]) -> Column:
     """Index of the last bound that is not above ``key``: a binary search inside one native expression."""
     if len(bounds) <= 1:
         return F.lit(0)
-    array = F.array(*[F.lit(int(b)).cast("long") for b in bounds]) if len(bounds) <= 64 else F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    array = _literal(bounds)
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     n = len(bounds)
     found = F.aggregate(

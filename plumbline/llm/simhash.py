@@ -17,7 +17,7 @@ from math import comb, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialise, range_bounds, text_or_empty
+from .common import bound_of, bucket_of, materialise, range_bounds, text_or_empty
 
 BITS = 128
 _LANES = 0x0000000100000001
@@ -93,7 +93,7 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounds = range_bounds(source.select("_key"), "_key") or [_SMALLEST]
     n = len(bounds)
     placed = source.withColumn("_bucket", bucket_of(F.col("_key"), bounds))
-    first = F.col("_key").isin(bounds) if n <= 64 else F.array_contains(F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>"), F.col("_key"))
+    first = F.col("_key") == bound_of(F.col("_bucket"), bounds)
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(False).alias("guest"))
     guest = F.struct(F.pmod(F.col("_bucket") + (n - 1), F.lit(n)).cast("int").alias("bucket"), F.lit(True).alias("guest"))
     rows = placed.select("_key", "_id", "_text", F.inline(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("_b", "_guest"))
