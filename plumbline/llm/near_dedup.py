@@ -40,6 +40,8 @@ BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 SKETCH_COLUMNS = [f"s{i}" for i in range(SIZE // 8)]
 _SLICE = 200_000
 _NO_ID = -(2**63)
+#: Columns that the input is given for a while; no table has such names.
+_OWN = ("near_dedup:id", "near_dedup:key", "near_dedup:nth")
 _ROWS, _SHINGLES = 500, 1_500_000
 
 
@@ -246,9 +248,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest id (of rows that repeat, one)."""
     found = classes(docs, threshold, id_col, text_col)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("text_key").alias("_key")))
-    kept = found.groupBy("class_key").agg(first.alias("first")).select("first._id", "first._key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("text_key").alias("key")))
+    kept = found.groupBy("class_key").agg(first.alias("first")).select(F.col("first.id").alias(_OWN[0]), F.col("first.key").alias(_OWN[1]))
     columns = docs.columns
-    tagged = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_key": F.xxhash64(text_or_empty(text_col))})
-    stay = tagged.join(kept, ["_id", "_key"], "left_semi")
-    return stay.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).where("_nth = 1").select(*columns)
+    tagged = docs.withColumns({_OWN[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), _OWN[1]: F.xxhash64(text_or_empty(text_col))})
+    stay = tagged.join(kept, list(_OWN[:2]), "left_semi")
+    return stay.withColumn(_OWN[2], F.row_number().over(Window.partitionBy(*_OWN[:2]).orderBy(F.lit(0)))).where(F.col(_OWN[2]) == 1).select(*columns)

@@ -84,13 +84,14 @@ def agree(got, want):
 def test_classes_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "_ROWS", block)
     rows = corpus()
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, class_id string, n int").repartition(3)
+    df = spark.createDataFrame([(*r, "x", 1, r[0]) for r in rows], "doc_id long, text string, class_id string, _key int, node long").repartition(3)
     want = brute(rows)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()}
     wrong = [(rows[i], got[rows[i][0]], w) for i, w in want.items() if got[rows[i][0]] != w]
     assert not wrong
     kept = near_dedup.deduplicate(df).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values())) and kept[0].__fields__ == df.columns
+    assert all(r._key == 1 and r.class_id == "x" and r.node == r.doc_id for r in kept)
 
 
 def test_classes_on_the_small_table(spark):
