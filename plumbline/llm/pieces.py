@@ -29,7 +29,7 @@ from .common import bounded_batches, text_or_empty
 
 MARKER = "▁"
 _SEGMENT = re.compile(rb" *[^ ]+| +$")
-_SLICE, _CHUNK, _LONG = 300_000, 16_384, 512
+_SLICE, _CHUNK, _CELLS, _LONG = 150_000, 16_384, 400_000, 512
 _CODECS: dict[int, Codec] = {}
 
 
@@ -142,7 +142,8 @@ class Codec:
         ids, counts, scores = [], np.zeros(len(words), np.int64), np.zeros(len(words))
         at = 0
         while at < len(order):
-            n = 1 if lengths[order[at]] > _LONG else _CHUNK
+            longest = int(lengths[order[at]])
+            n = 1 if longest > _LONG else max(1, min(_CHUNK, _CELLS // longest))
             rows = order[at : at + n]
             size = lengths[rows]
             text = np.full((len(rows), int(size[0])), 32, np.uint8)
