@@ -104,3 +104,17 @@ def integrity(docs: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def front_matter(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\A---\n.*?\n---\n", 0)
+
+
+def seeded_hold_out(docs: DataFrame, key: str, share: float = 0.3, seed: str = "holdout") -> DataFrame:
+    """Mark ``max(1, round(n * share))`` documents, never all, in hash order; a single document is both tuning and held out.
+
+    The cut is the hash of that rank, so only one value comes to the driver.
+    """
+    ids = docs.select(key).distinct().withColumn("_h", hash_order(seed, F.col(key).cast("string")))
+    n = ids.count()
+    if n < 2:
+        return ids.select(key, F.lit(True).alias("held_out"), F.lit(True).alias("tuning"))
+    take = min(max(1, round(n * share)), n - 1)
+    cut = ids.orderBy("_h").offset(take - 1).limit(1).first()["_h"]
+    return ids.select(key, (F.col("_h") <= cut).alias("held_out"), (F.col("_h") > cut).alias("tuning"))

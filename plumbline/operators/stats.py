@@ -56,3 +56,19 @@ def spread_ratio(df: DataFrame, doc: str, value: str) -> DataFrame:
     g = means.agg(F.avg("m").alias("mean_value"), F.coalesce(F.stddev_samp("m"), F.lit(0.0)).alias("sd"))
     ratio = F.round(F.abs("mean_value") / F.nullif(F.col("sd"), F.lit(0.0)), 2)
     return g.select("mean_value", "sd", ratio.alias("ratio"), F.coalesce(ratio >= 1.5, F.lit(False)).alias("clearly_larger"))
+
+
+def feasibility(scores: DataFrame, keys: list[str], least_auc: float = 0.75, most_false_alarms: float = 0.10) -> DataFrame:
+    """Verdict from score pairs (is_holdout, better_score, worse_score) by ``keys``: threshold from the tuning pairs, the rest held out.
+
+    The threshold is the median of the worse tuning scores (0.5 without any); a false alarm is a better held-out score at or under it.
+    """
+    rows = scores.withColumns({"_k": F.lit(0)} if not keys else {})
+    by = keys or ["_k"]
+    threshold = rows.where(~F.col("is_holdout")).groupBy(*by).agg(F.median("worse_score").alias("t"))
+    held = rows.where("is_holdout")
+    long = held.select(*by, F.col("better_score").alias("s"), F.lit(True).alias("p")).unionByName(held.select(*by, F.col("worse_score").alias("s"), F.lit(False).alias("p")))
+    auc = roc_auc(long, by, "s", "p").select(*by, "auc")
+    alarms = held.join(threshold, by, "left").groupBy(*by).agg(F.round(F.avg((F.col("better_score") <= F.coalesce("t", F.lit(0.5))).cast("double")), 4).alias("false_alarm_rate"), F.count(F.lit(1)).alias("n_held_out"))
+    out = auc.join(alarms, by).withColumn("feasible", (F.col("auc") >= least_auc) & (F.col("false_alarm_rate") <= most_false_alarms))
+    return out.drop("_k")

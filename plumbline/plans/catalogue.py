@@ -464,6 +464,27 @@ def q_false_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("threshold").agg(F.round(F.sum(F.when(F.col("score") <= F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("false_alarm_rate")).withColumn("threshold", F.round("threshold", 6))
 
 
+_SCORE_PAIRS = "SELECT doc_id, quality, doc_id % 2 = 1 AS is_holdout, ((doc_id * 37) % 101) / 200.0::DOUBLE + 0.45 AS better_score, ((doc_id * 53) % 101) / 200.0::DOUBLE AS worse_score FROM labels"
+
+
+@query("q_feasibility", f"""
+    WITH s AS ({_SCORE_PAIRS}), t AS (SELECT quality, median(worse_score) AS t FROM s WHERE NOT is_holdout GROUP BY quality), h AS (SELECT * FROM s WHERE is_holdout),
+    a AS (SELECT b.quality, round(avg(CASE WHEN b.better_score > w.worse_score THEN 1.0 WHEN b.better_score = w.worse_score THEN 0.5 ELSE 0.0 END), 4) AS auc FROM h b JOIN h w ON b.quality = w.quality GROUP BY b.quality),
+    f AS (SELECT h.quality, round(avg(CASE WHEN better_score <= coalesce(t.t, 0.5) THEN 1.0 ELSE 0.0 END), 4) AS false_alarm_rate, count(*) AS n_held_out FROM h LEFT JOIN t ON h.quality = t.quality GROUP BY h.quality)
+    SELECT a.quality, auc, false_alarm_rate, n_held_out, auc >= 0.75 AND false_alarm_rate <= 0.10 AS feasible FROM a JOIN f ON a.quality = f.quality""")
+def q_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    pairs = table(spark, sf_dir, "labels").select("quality", (d % 2 == 1).alias("is_holdout"), ((d * 37) % 101 / 200.0 + 0.45).alias("better_score"), ((d * 53) % 101 / 200.0).alias("worse_score"))
+    return stats.feasibility(pairs, ["quality"])
+
+
+@query("q_seeded_hold_out", """
+    WITH i AS (SELECT DISTINCT source, sha256('holdout:' || source) AS h FROM documents), o AS (SELECT *, row_number() OVER (ORDER BY h) AS r, count(*) OVER () AS n FROM i)
+    SELECT source, r <= least(greatest(round_even(n * 0.3, 0), 1), n - 1) AS held_out, r > least(greatest(round_even(n * 0.3, 0), 1), n - 1) AS tuning FROM o""")
+def q_seeded_hold_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.seeded_hold_out(table(spark, sf_dir, "documents"), "source")
+
+
 @query("q_spread_ratio", """
     WITH m AS (SELECT user_id, avg(value) AS m FROM events WHERE value IS NOT NULL GROUP BY user_id), g AS (SELECT avg(m) AS a, stddev_samp(m) AS sd FROM m)
     SELECT round(a, 6) AS mean_value, round(sd, 6) AS sd, round(abs(a) / sd, 2) AS ratio, round(abs(a) / sd, 2) >= 1.5 AS clearly_larger FROM g""")

@@ -86,3 +86,33 @@ def images(docs: DataFrame, files: DataFrame, most: int = IMAGES_EACH) -> DataFr
     found = refs.withColumn("mime_type", mime).where("mime_type is not null").join(files.select(F.col("path").alias("source"), "content", "length"), "source").where(F.col("length") <= IMAGE_BYTES)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
     return found.withColumn("nth", nth).where(F.col("nth") <= min(most, IMAGES_MOST)).select("doc_id", "ord", "source", "mime_type", F.col("length").alias("byte_size"), F.concat(F.lit("data:"), "mime_type", F.lit(";base64,"), F.base64("content")).alias("data_url"))
+
+
+def score_pairs(raw: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of texts from rows of id, doc_id, before, after (paths or null), before_text, after_text, better, split.
+
+    ``texts`` has path and text. The better side is after unless given; splits count only if every row has one. A path without a text is
+    an error of its row.
+    """
+    side = lambda s: texts.select(F.col("path").alias(s), F.col("text").alias(f"_{s}"))
+    joined = raw.join(side("before"), "before", "left").join(side("after"), "after", "left")
+    all_split = raw.agg(F.coalesce(F.every(F.coalesce(F.col("split").isin("tuning", "heldout"), F.lit(False))), F.lit(False)).alias("all_split"))
+    lost = (F.col("before").isNotNull() & F.col("_before").isNull()) | (F.col("after").isNotNull() & F.col("_after").isNull())
+    out = joined.withColumn("_one", F.lit(1)).join(F.broadcast(all_split.withColumn("_one", F.lit(1))), "_one")
+    return out.select(
+        "id",
+        F.coalesce("doc_id", "id").alias("doc_id"),
+        F.coalesce("better", F.lit("after")).alias("better"),
+        F.when(F.col("all_split"), F.col("split")).alias("split"),
+        F.coalesce("_before", "before_text", F.lit("")).alias("before_text"),
+        F.coalesce("_after", "after_text", F.lit("")).alias("after_text"),
+        F.when(lost, F.lit("missing file")).alias("error"),
+    )
+
+
+def resolved(label_rows: DataFrame, listing: DataFrame, folder: str) -> DataFrame:
+    """Add ``file`` to label rows: the path itself if absolute, else below the labels' folder if it is there, else as it stands."""
+    near = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("path"))
+    there = listing.select(F.col("path").alias("_near")).distinct()
+    joined = label_rows.withColumn("_near_path", near).join(there, F.col("_near_path") == F.col("_near"), "left")
+    return joined.withColumn("file", F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.coalesce("_near", "path"))).drop("_near", "_near_path")

@@ -117,3 +117,36 @@ def test_stream_equals_batch_and_skips_what_is_known(spark, tmp_path):
     spark.createDataFrame([(9, rows[0][1]), (10, "new 10.9.9.9")], "doc_id long, text string").write.mode("append").parquet(src)
     incremental.run_once(incremental.documents(spark, src, df.schema), out, check).awaitTermination()
     assert {r.doc_id for r in spark.read.parquet(f"{out}/spans").collect()} == {1, 2, 10}
+
+
+def test_project_config(tmp_path):
+    from plumbline.sources import project
+
+    inner = tmp_path / "a" / "b"
+    inner.mkdir(parents=True)
+    (tmp_path / ".git").mkdir()
+    assert project.loaded(inner) is None
+    (tmp_path / "pyproject.toml").write_text('[tool.plumbline]\npreset = "quality"\n[tool.plumbline.questions.clarity]\nmin_threshold = 0.8\n[tool.plumbline.questions.own]\ntype = "noul"\n')
+    name, rows = project.loaded(inner)
+    assert name == "quality" and [(r[1], r[5]) for r in rows] == [("clarity", 0.8), ("tone", None), ("own", None)] and rows[0][3] == "Clarity & Structure"
+    (inner / ".plumbline.yaml").write_text("name: mine\nquestions:\n  q: {type: score, max_threshold: 0.4}\n")
+    assert project.loaded(inner) == ("mine", [("mine", "q", "score", None, None, None, 0.4, None, False, [])])
+    for bad in ({"preset": "none"}, {"questions": {"x": {"label": "y"}}}):
+        with pytest.raises(ValueError):
+            project.merged(bad)
+
+
+def test_score_pairs_and_label_paths(spark):
+    raw = spark.createDataFrame([("1", "d", "a.md", None, None, "new", None, "tuning"), ("2", None, None, "gone.md", "x", None, "before", None)], "id string, doc_id string, before string, after string, before_text string, after_text string, better string, split string")
+    texts = spark.createDataFrame([("a.md", "old")], "path string, text string")
+    got = {r.id: r for r in files.score_pairs(raw, texts).collect()}
+    assert (got["1"].before_text, got["1"].after_text, got["1"].better, got["1"].split, got["1"].error) == ("old", "new", "after", None, None)
+    assert (got["2"].doc_id, got["2"].better, got["2"].error) == ("2", "before", "missing file")
+    labels = spark.createDataFrame([("x.md",), ("y.md",), ("/abs.md",)], "path string")
+    listing = spark.createDataFrame([("lab/x.md",), ("y.md",)], "path string")
+    assert {r.path: r.file for r in files.resolved(labels, listing, "lab/").collect()} == {"x.md": "lab/x.md", "y.md": "y.md", "/abs.md": "/abs.md"}
+
+
+def test_single_document_is_on_both_sides(spark):
+    one = spark.createDataFrame([("a",), ("a",)], "k string")
+    assert [tuple(r) for r in corpus.seeded_hold_out(one, "k").collect()] == [("a", True, True)]
