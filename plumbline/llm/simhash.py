@@ -2,7 +2,7 @@
 
 Every run of three words is a term. A term's weight (1 to 3) grows with the letters in it, because long words are rare ones; its
 128 hash bits vote with that weight, once for each occurrence, and a bit of the fingerprint is set where the weighted ones outnumber
-the zeros. Two votes share one 64-bit sum (two lanes of 32 bits), so a document needs 64 sums and not 128.
+the zeros. In a text of up to 32 words each word is a term of weight 1 as well, because an edit leaves it few runs. Two votes share one 64-bit sum (two lanes of 32 bits), so a document needs 64 sums and not 128.
 
 Edge cases: a null text is an empty one. A text without words is hashed as one term, so all empty texts share a fingerprint. A text of
 one or two words is padded to one term. Equal texts have equal fingerprints. Rows that repeat, or share an id, are kept and ordered by
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import bound_of, bucket_of, materialise, range_bounds, text_or_empty
 
 BITS = 128
+SHORT = 32
 _LANES = 0x0000000100000001
 _SMALLEST = -(2**63)
 
@@ -41,7 +42,11 @@ def vote(df: DataFrame, keys: list[str], text: str, carried: dict[str, Column] |
     carried = carried or {}
     words = df.select(*keys, *[c.alias(n) for n, c in carried.items()], term_words(F.col(text)).alias("_w"))
     size = F.size("_w")
-    terms = words.select(*keys, *carried, F.inline(F.arrays_zip(F.slice("_w", 1, size - 2).alias("a"), F.slice("_w", 2, size - 2).alias("b"), F.slice("_w", 3, size - 2).alias("c"))).alias("a", "b", "c"))
+    short = size <= SHORT
+    none = F.array().cast("array<long>")
+    singles, blanks = F.when(short, F.col("_w")).otherwise(none), F.when(short, F.array_repeat(F.lit(0).cast("long"), size)).otherwise(none)
+    run = lambda k, more: F.concat(F.slice("_w", k, size - 2), more)
+    terms = words.select(*keys, *carried, F.inline(F.arrays_zip(run(1, singles).alias("a"), run(2, blanks).alias("b"), run(3, blanks).alias("c"))).alias("a", "b", "c"))
     high, low, weight = _votes(F.col("a"), F.col("b"), F.col("c"))
     terms = terms.select(*keys, *carried, high.alias("_h"), low.alias("_l"), weight.alias("_v"))
     sums = [F.sum(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_LANES)) * F.col("_v")).alias(f"{x}{k}") for x in ("_h", "_l") for k in range(32)]
