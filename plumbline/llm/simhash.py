@@ -2,7 +2,8 @@
 
 Every run of three words is a term. A term's weight (1 to 3) grows with the letters in it, because long words are rare ones; its
 128 hash bits vote with that weight, once for each occurrence, and a bit of the fingerprint is set where the weighted ones outnumber
-the zeros. In a text of up to 32 words each word is a term of weight 1 as well, because an edit leaves it few runs. Two votes share one 64-bit sum (two lanes of 32 bits), so a document needs 64 sums and not 128.
+the zeros. In a text of up to 32 words each word is a term of weight 1 as well, because an edit leaves it few runs. Two votes share
+one 64-bit sum (two lanes of 32 bits), so a document needs 64 sums and not 128.
 
 Edge cases: a null text is an empty one. A text without words is hashed as one term, so all empty texts share a fingerprint. A text of
 one or two words is padded to one term. Equal texts have equal fingerprints. Rows that repeat, or share an id, are kept and ordered by
