@@ -46,6 +46,24 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+FILTER_BITS = 1 << 22
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashes in the long column ``key``, as at most 65,536 rows (word, bits), whatever the size of ``keys``."""
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    return keys.groupBy(F.shiftright(place, 6).cast("int").alias("bitmap:word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{key}`, {FILTER_BITS}L) % 64 as int))")).alias("bitmap:bits"))
+
+
+def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """Add ``bitmap:hit``: false only if ``key`` is not among the bitmap's. Rows that it rules out need not be shuffled for an exact join;
+    the more keys the bitmap has, the fewer it rules out, and the join does the rest. The broadcast has a fixed bound."""
+    word = F.shiftright(F.pmod(F.col(key), F.lit(FILTER_BITS)), 6).cast("int")
+    joined = df.withColumn("bitmap:word", word).join(F.broadcast(bits), "bitmap:word", "left")
+    bit = F.expr(f"shiftright(`bitmap:bits`, cast(pmod(`{key}`, {FILTER_BITS}L) % 64 as int)) & 1")
+    return joined.withColumn("bitmap:hit", F.coalesce(bit == 1, F.lit(False))).drop("bitmap:word", "bitmap:bits")
+
+
 def range_bounds(df: DataFrame, key: str, rows_per_bucket: int = 2_000, max_buckets: int = 20_000) -> list[int]:
     """Ascending distinct values of the non-null integer column ``key`` that cut it into buckets of near equal counts.
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import bags, band_keys, mix, shingles, signatures
-from .common import bounded_batches, materialise, text_or_empty
+from .common import bitmap, bounded_batches, materialise, maybe_in, text_or_empty
 from .components import components
 
 WIDTH, BANDS, EACH, THRESHOLD = 5, 24, 6, 0.8
@@ -228,8 +228,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
     likely = likely.where((F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")) & (_equal_bytes("a_", "b_") >= least)).select("a", "b")
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "text_key"), "node")
+    wanted = materialise(members.select("node").distinct().join(nodes.select("node", "text_key"), "node"))
     whole = docs.select(F.xxhash64(text_or_empty(text_col)).alias("text_key"), text_or_empty(text_col).alias("text"))
+    whole = maybe_in(whole, "text_key", bitmap(wanted, "text_key")).where("`bitmap:hit`")
     texts = whole.join(wanted, "text_key").dropDuplicates(["node"])
     bag = materialise(_multisets(texts))
 
@@ -247,10 +248,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest id (of rows that repeat, one)."""
-    found = classes(docs, threshold, id_col, text_col)
+    several = materialise(classes(docs, threshold, id_col, text_col).where("class_rows > 1"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("text_key").alias("key")))
-    kept = found.groupBy("class_key").agg(first.alias("first")).select(F.col("first.id").alias(_OWN[0]), F.col("first.key").alias(_OWN[1]))
-    columns = docs.columns
-    tagged = docs.withColumns({_OWN[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), _OWN[1]: F.xxhash64(text_or_empty(text_col))})
-    stay = tagged.join(kept, list(_OWN[:2]), "left_semi")
-    return stay.withColumn(_OWN[2], F.row_number().over(Window.partitionBy(*_OWN[:2]).orderBy(F.lit(0)))).where(F.col(_OWN[2]) == 1).select(*columns)
+    own_id, own_key, nth = _OWN
+    kept = several.groupBy("class_key").agg(first.alias("first")).select(F.col("first.id").alias(own_id), F.col("first.key").alias(own_key))
+    touched = several.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias(own_id), F.col("text_key").alias(own_key))
+    gone = touched.join(kept, [own_id, own_key], "left_anti").distinct()
+    tagged = docs.withColumns({own_id: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), own_key: F.xxhash64(text_or_empty(text_col))})
+    tagged = maybe_in(tagged, own_key, bitmap(touched, own_key))
+    alone = tagged.where("not `bitmap:hit`")  # in a class of its own for sure: stays without a shuffle
+    rest = tagged.where("`bitmap:hit`").join(gone, [own_id, own_key], "left_anti")
+    rest = rest.withColumn(nth, F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    return alone.select(*docs.columns).unionByName(rest.select(*docs.columns))
