@@ -68,3 +68,40 @@ def test_buckets(spark):
     bounds = range_bounds(df, "k", rows_per_bucket=50)
     got = df.groupBy(bucket_of(F.col("k"), bounds).alias("b")).agg(F.count("*").alias("n"), F.min("k").alias("low")).collect()
     assert len(got) == len(bounds) and all(r.low == bounds[r.b] and r.n < 100 for r in got)
+
+
+def test_wide_radius_misses_no_pair(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    values = set(base)
+    for b in base:
+        for _ in range(30):
+            values.add(b ^ sum(1 << bit for bit in rng.sample(range(128), rng.randint(1, 26))))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    unsigned = lambda h, l: ((h & (2**64 - 1)) << 64) | (l & (2**64 - 1))
+    frame = lambda vs: spark.createDataFrame([(signed(v >> 64), signed(v & (2**64 - 1))) for v in vs], "fp_hi long, fp_lo long")
+    values = sorted(values)
+    for radius in (7, 13, simhash.RADIUS):
+        want = {(a, b) for a in values[::5] for b in values if (a ^ b).bit_count() <= radius}
+        got = [(unsigned(r.q_hi, r.q_lo), unsigned(r.fp_hi, r.fp_lo)) for r in simhash.within_radius(frame(values[::5]), frame(values), radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_search_finds_planted_near_copies_by_id(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(3000)]
+    rows, want = [], {}
+    for k in range(25):
+        text = rng.choices(words, k=300)
+        edited = list(text)
+        for at in (20, 90, 160, 230):  # 4 * 5 of 296 runs of five words: Jaccard 276 / 316 = 0.87
+            edited[at] = "changed"
+        rows += [(100 * k, " ".join(text)), (100 * k + 1, " ".join(edited)), (100 * k + 2, " ".join(text)), (100 * k + 3, " ".join(rng.choices(words, k=300)))]
+        want[100 * k] = [100 * k, 100 * k + 1, 100 * k + 2]
+    rows.append((None, rows[0][1]))
+    want[0] = [None, *want[0]]
+    found = simhash.search(simhash.with_neighbours(spark.createDataFrame(rows, "doc_id long, text string")), F.col("doc_id") % 100 == 0).collect()
+    got = {r.doc_id: r.near_ids for r in found if r.doc_id is not None and r.doc_id % 100 == 0}
+    assert len(found) == len(rows) and got == want
+    assert all(r.near_docs == (len(r.near_ids) if r.near_ids is not None else None) for r in found)
+    assert all(r.near_ids is None for r in found if r.doc_id is None or r.doc_id % 100)
