@@ -125,9 +125,9 @@ def headings(text: Column) -> Column:
     return F.filter(F.transform(lines, one), lambda h: h.isNotNull())
 
 
-def has_item(text: Column, question: str) -> Column:
-    """Presence of a question's item by keywords of headings, references, or an opening summary."""
-    lowered = F.transform(headings(text), lambda h: F.lower(h))
+def has_item(text: Column, question: str, found_headings: Column | None = None) -> Column:
+    """Presence of a question's item by keywords of headings (of the text, unless given), references, or an opening summary."""
+    lowered = F.transform(headings(text) if found_headings is None else found_headings, lambda h: F.lower(h))
     found = F.exists(lowered, lambda h: h.rlike("|".join(re.escape(k) for k in V.KEYWORDS[question])))
     if question == "related_issues":
         found = found | text.rlike(V.ISSUE_REF)

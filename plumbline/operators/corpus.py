@@ -34,6 +34,13 @@ def over_cap(docs: DataFrame, keys: list[str], cap: int = 2) -> DataFrame:
     return docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
 
 
+def diff_rule(before: Column, after: Column) -> Column:
+    """Whether an edit looks like a degradation: fewer headings, or a length that changes by more than a tenth."""
+    from .chunks import headings
+
+    return (F.size(headings(after)) < F.size(headings(before))) | (F.abs(F.length(after) - F.length(before)) > 0.1 * F.length(before))
+
+
 def blocks_of(text: str) -> list[str]:
     """Paragraphs; a fenced code block is one."""
     out, now, fenced = [], [], False

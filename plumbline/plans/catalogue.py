@@ -570,20 +570,41 @@ def q_missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '## Risks and drawbacks' WHEN 1 THEN '**Testing**' WHEN 2 THEN 'Summary' || chr(10) || '=====' ELSE 'plain words' END || chr(10) || 'body' AS t FROM documents)
     SELECT doc_id, doc_id % 4 = 0 AS has_risks, doc_id % 4 = 1 AS has_testing, doc_id % 4 = 2 AS has_goal FROM d""")
 def q_heuristic_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heuristics(spark, sf_dir).select("doc_id", "has_risks", "has_testing", "has_goal")
+
+
+def _heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question over the whole text behind a heading that the id picks."""
     k = F.col("doc_id") % 4
     head = F.when(k == 0, "## Risks and drawbacks").when(k == 1, "**Testing**").when(k == 2, "Summary\n=====").otherwise("plain words")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit("\nbody")).alias("t"))
-    t = F.col("t")
-    return d.select("doc_id", chunks.has_item(t, "risks").alias("has_risks"), chunks.has_item(t, "testing").alias("has_testing"), chunks.has_item(t, "goal").alias("has_goal"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("t"))
+    d = d.select("doc_id", "t", chunks.headings(F.col("t")).alias("h"))
+    return d.select("doc_id", *[chunks.has_item(F.col("t"), q, F.col("h")).alias(f"has_{q}") for q in V.KEYWORDS])
+
+
+@query("q_heuristic_items")
+def q_heuristic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heuristics(spark, sf_dir)
 
 
 @query("q_diff_rule", """
     WITH d AS (SELECT lang, length(text) AS n, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents)
     SELECT lang, count(*) AS n, count(*) FILTER (WHERE abs(n - lines * 20 - n) > 0.1 * n) AS down FROM d GROUP BY lang""")
 def q_diff_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited text has a line of 20 characters more for each line break, behind the whole text."""
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    d = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("n_chars"), lines.alias("lines"))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("lines") * 20) > 0.1 * F.col("n_chars")).alias("down"))
+    d = table(spark, sf_dir, "documents").select("lang", "text", F.concat("text", F.repeat(F.lit("\nadds nothing to it."), lines)).alias("after"))
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(corpus.diff_rule(F.col("text"), F.col("after"))).alias("down"))
+
+
+@query("q_diff_agreement")
+def q_diff_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the rule agrees with what each kind of edit is: a degradation or neutral."""
+    kinds = ["shuffled", "no_headings", "padded", "removed_middle", "swap_sections", "unrelated_addition"]
+    m = _markdown(spark, sf_dir).select("text", *[corpus.variant(F.col("text"), k).alias(k) for k in kinds])
+    edits = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit("down" if i < 4 else "neutral").alias("expected"), corpus.diff_rule(F.col("text"), F.col(k)).alias("down")) for i, k in enumerate(kinds)])
+    e = m.select(F.inline(edits))
+    return e.groupBy("kind", "expected").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("down") == (F.col("expected") == "down")).alias("agrees"))
 
 
 @query("q_holdout_split", """
