@@ -61,3 +61,49 @@ def test_diff_rule_over_edited_texts(spark, tmp_path):
                 pair[1] += down == (i < 4)
     got = {r.kind: [r.pairs, r.agrees] for r in catalogue.QUERIES["q_diff_agreement"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def stripped(text):
+    """Comments outside fenced and inline code, one character at a time."""
+    out, at = "", 0
+    while at < len(text):
+        start = at == 0 or text[at - 1] == "\n"
+        fence = re.match(r" {0,3}(`{3,}|~{3,})[^\n]*\n", text[at:]) if start else None
+        if fence:
+            end = at + fence.end()
+            while end < len(text):
+                line = text[end:].split("\n", 1)[0]
+                end += len(line) + 1
+                if re.fullmatch(r" {0,3}" + re.escape(fence[1]) + r"[`~]* *", line):
+                    break
+            out, at = out + text[at:end], end
+        elif text[at] == "`":
+            ticks = re.match("`+", text[at:])[0]
+            close = text.find(ticks, at + len(ticks))
+            end = close + len(ticks) if close >= 0 and not re.search(r"\n\s*\n", text[at:close]) else at + 1
+            out, at = out + text[at:end], end
+        elif text.startswith("<!--", at) and "-->" in text[at + 4 :]:
+            at = text.index("-->", at + 4) + 3
+        else:
+            out, at = out + text[at], at + 1
+    return out
+
+
+def test_comments_of_pages_with_code(spark, tmp_path):
+    import hashlib
+
+    pages = [
+        "<p>a<!-- x -->b</p>",
+        "a `<!-- kept -->` b <!-- gone -->",
+        "```\n<!-- kept -->\n```\n<!-- gone -->\nend",
+        "~~~ html\n<!-- kept -->\n~~~\n<!-- gone\nover lines -->end",
+        "```\n<!-- never closed fence -->",
+        "<!-- unclosed ` <!-- x",
+        "~~~",
+        "``<!-- kept -->`` <!-- a --><!-- b -->",
+        None,
+    ]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.stripped_sha256, r.changed) for r in catalogue.QUERIES["q_comment_strip"](spark, str(tmp_path)).collect()}
+    want = {i: (hashlib.sha256(stripped(h).encode()).hexdigest(), stripped(h) != h) if h is not None else (None, None) for i, h in enumerate(pages)}
+    assert got == want
