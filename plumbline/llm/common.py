@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,18 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(name, size)
 
 
+@contextmanager
+def deep_expressions(spark: SparkSession) -> Iterator[None]:
+    """Let the analyzer take the rounds that lambdas within lambdas need; each level is resolved in rounds of its own."""
+    name = "spark.sql.analyzer.maxIterations"
+    before = spark.conf.get(name, "100")
+    spark.conf.set(name, str(max(2000, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
