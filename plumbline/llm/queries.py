@@ -17,12 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Words of hosts that serve as bad labels for the path templates.
-BAD_HOST_WORDS = ("casino", "bets", "pills", "adult", "poker", "viagra", "jackpot", "xxx", "porn", "payday", "replica")
+#: Words that mark a page as bad where its visible text has them.
+BAD_WORDS = ("casino", "casinos", "bets", "betting", "pills", "adult", "poker", "viagra", "jackpot", "xxx", "porn", "payday", "replica", "spam", "ads")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, BAD_HOST_WORDS)
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.content_label(F.col("html"), BAD_WORDS))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,20 @@
 The tree has, under each host, the segments of its paths. Building it:
 
 1. Segments that are numbers, hexadecimal or mixed ids are wildcards by their shape ({n}, {x}, {id}), which leaves few distinct paths.
-2. Level by level, a node with more than ``most_children`` children that are seen rarely on average gets one wildcard child (*).
-3. Sibling branches whose labelled purities do not differ (their 90 % Wilson intervals overlap, in order of purity) become one branch.
+2. Level by level, a node with more than ``most_children`` children that are seen rarely on average (under ``rare`` URLs) gets one wildcard
+   child (*).
+3. Sibling branches whose labelled purities do not differ become one branch: the children are ranked by purity in steps of 1/64, and a
+   step belongs to the branch before it if their 90 % Wilson intervals overlap.
 4. A template's purity is the share of bad ones among its labelled URLs, smoothed with ``weight`` (1) URL of its host's purity; a host's is
-   the mean of its branches, smoothed with the share over all (at most a half). Templates of purity ``reject`` or more are rejected.
+   the mean of its branches, smoothed with the share over all. Templates of purity ``reject`` or more are rejected.
 
-Labels come with the rows (true: bad, false: good, null: unknown). Levels are worked on distinct templates, not on URLs; joins on hosts
-are salted, so that a host with a third of all rows is dealt over many tasks. Segments beyond ``depth`` are one last segment.
+Labels come with the rows (true: bad, false: good, null: unknown): a rule's verdict, else what the page's own text shows
+(:func:`content_label`). No label says anything of a host: a host with a bad name and clean pages is allowed, and a bad branch of any host is
+rejected, with the URLs in it that have no label.
+
+Levels are worked on distinct templates, not on URLs. Keys that hold over a thousandth of a join's rows, of which there are at most a
+thousand, are joined by broadcast, the others by shuffle, so no host is one task. Segments beyond ``depth`` (6; no URL of the given tables
+has more than 3) are one last segment, which the wildcards of step 2 cover like others.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path; it forms a template like others. Rows that repeat are judged
 alike, null ids are carried, other columns are not read. Without any label every verdict that no rule gives is allow. An empty table
@@ -23,9 +30,9 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 
-SALTS = 32
+STEPS = 64
 _Z = 1.645
 
 
@@ -62,68 +69,72 @@ def segments(path: Column, depth: int) -> Column:
     return F.transform(cut, shaped)
 
 
+def content_label(html: Column, bad_words: tuple[str, ...], least_words: int = 30) -> Column:
+    """Whether a page is bad: its visible text has one of ``bad_words`` as a word; good if it has none and at least ``least_words`` words;
+    else, and for a null page, unknown."""
+    visible = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    bad = visible.rlike(r"(?i)(?<!\p{L})(?:" + "|".join(bad_words) + r")(?!\p{L})") if bad_words else F.lit(False)
+    return F.when(bad, F.lit(True)).when(F.size(F.split(F.trim(visible), r"\s+")) >= least_words, F.lit(False))
+
+
 def _wilson(bad: Column, n: Column) -> tuple[Column, Column]:
     p, z2 = bad / n, _Z * _Z
     centre, half = (p + z2 / (2 * n)) / (1 + z2 / n), _Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
     return centre - half, centre + half
 
 
-def _salted(left: DataFrame, right: DataFrame, on: list[str], salt: Column) -> DataFrame:
-    """Left join on keys of which some are hot; ``right`` has one row a key."""
-    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(spread, [*on, "_salt"], "left").drop("_salt")
+def _branches(children: DataFrame) -> DataFrame:
+    """(host, template, step, name) where several children of a node form one branch; at most 65 rows of a node reach a window."""
+    known = F.col("bad") + F.col("good")
+    low, high = _wilson(F.col("bad"), known)
+    ranked = children.where("not wild and bad + good > 0").select("host", "template", "child", low.alias("low"), high.alias("high"), "step")
+    steps = ranked.groupBy("host", "template", "step").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("child").alias("first"), F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("host", "template").orderBy("step")
+    steps = steps.withColumn("starts", F.coalesce(F.lag("high").over(order) < F.col("low"), F.lit(True)).cast("int"))
+    steps = steps.withColumn("branch", F.sum("starts").over(order))
+    whole = Window.partitionBy("host", "template", "branch")
+    steps = steps.withColumn("all", F.sum("size").over(whole)).withColumn("name", F.concat(F.min("first").over(whole), F.lit("~"), F.col("all").cast("string")))
+    return steps.where(F.col("all") > 1).select("host", "template", "step", "name", "size")
 
 
 def template_tree(urls: DataFrame, depth: int = 6, most_children: int = 16, rare: float = 8.0, weight: float = 1.0) -> DataFrame:
-    """``urls``: host, segs (array), bad (boolean or null). One row a distinct (host, raw): template, its counts and purity."""
+    """``urls``: host, segs (array), bad (boolean or null). One row a distinct (host, raw): template, its counts and purity, and n."""
     raw = urls.groupBy("host", F.col("segs").alias("raw")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad")).alias("bad"), F.count_if(~F.col("bad")).alias("good"))
     tree = materialise(raw.withColumn("rest", F.col("raw")).withColumn("template", F.lit("")))
-    levels = tree.agg(F.max(F.size("rest")).alias("d")).first()["d"] or 0
+    rows, levels = tree.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("rest")), F.lit(0)).alias("d")).first()
     for _ in range(levels):
-        child = F.try_element_at("rest", F.lit(1))
-        open_ = tree.where(F.size("rest") > 0)
-        children = open_.groupBy("host", "template", child.alias("child")).agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+        open_ = tree.withColumn("child", F.try_element_at("rest", F.lit(1)))
+        step = F.round(F.col("bad") / F.nullif(F.col("bad") + F.col("good"), F.lit(0)) * STEPS)
+        children = open_.where("child is not null").groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("raws")).withColumn("step", F.coalesce(step, F.lit(-1)))
+        children = materialise(children)
         nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
-        wild = nodes.where((F.col("kinds") > most_children) & (F.col("all") / F.col("kinds") < rare)).select("host", "template", F.lit(True).alias("wild"))
-        tame = children.where("bad + good > 0").join(wild, ["host", "template"], "left_anti")
-        low, high = _wilson(F.col("bad"), F.col("bad") + F.col("good"))
-        order = Window.partitionBy("host", "template").orderBy("p", "child")
-        ranked = tame.select("host", "template", "child", low.alias("low"), high.alias("high"), (F.col("bad") / (F.col("bad") + F.col("good"))).alias("p"))
-        ranked = ranked.withColumn("starts", F.coalesce(F.lag("high").over(order) < F.col("low"), F.lit(True)).cast("int"))
-        ranked = ranked.withColumn("branch", F.sum("starts").over(order))
-        merged = ranked.groupBy("host", "template", "branch").agg(F.min("child").alias("first"), F.count(F.lit(1)).alias("size"))
-        named = ranked.join(merged, ["host", "template", "branch"]).where("size > 1").select("host", "template", "child", F.concat(F.col("first"), F.lit("~"), F.col("size").cast("string")).alias("name"))
-        step = _salted(tree.withColumn("child", child), wild, ["host", "template"], F.col("child"))
-        step = step.join(named, ["host", "template", "child"], "left")
+        nodes = nodes.withColumn("wild", (F.col("kinds") > most_children) & (F.col("all") / F.col("kinds") < rare))
+        marked = hot_join(children, nodes, ["host", "template"], "kinds", rows, F.col("child"))
+        named = hot_join(marked, _branches(marked), ["host", "template", "step"], "size", rows, F.col("child"))
         name = F.when(F.col("wild"), F.lit("*")).otherwise(F.coalesce("name", "child"))
-        template = F.when(F.size("rest") > 0, F.concat("template", F.lit("/"), name)).otherwise(F.col("template"))
+        names = materialise(named.select("host", "template", "child", "raws", name.alias("part")))
+        step = hot_join(open_, names, ["host", "template", "child"], "raws", rows, F.col("raw"))
+        template = F.when(F.col("child").isNotNull(), F.concat("template", F.lit("/"), "part")).otherwise(F.col("template"))
         tree = materialise(step.select("host", "raw", "n", "bad", "good", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"), template.alias("template")))
     whole = tree.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     known = (whole["bad"] or 0) + (whole["good"] or 0)
-    prior = min(0.5, whole["bad"] / known) if known else 0.0
-    templates = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+    prior = whole["bad"] / known if known else 0.0
+    templates = materialise(tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("raws")))
     own = (F.col("bad") + weight * prior) / (F.col("bad") + F.col("good") + weight)
-    hosts = templates.groupBy("host").agg(((F.sum(own) + prior) / (F.count(F.lit(1)) + 1)).alias("host_purity"))
-    judged = _salted(templates, hosts, ["host"], F.col("template")).withColumn("purity", (F.col("bad") + weight * F.col("host_purity")) / (F.col("bad") + F.col("good") + weight))
-    judged = judged.select("host", "template", "purity", F.col("n").alias("template_urls"))
-    return _salted(tree.select("host", "raw", "template"), judged, ["host", "template"], F.col("raw"))
-
+    hosts = templates.groupBy("host").agg(((F.sum(own) + prior) / (F.count(F.lit(1)) + 1)).alias("host_purity"), F.count(F.lit(1)).alias("templates"))
+    judged = hot_join(templates, hosts, ["host"], "templates", rows, F.col("template")).withColumn("purity", (F.col("bad") + weight * F.col("host_purity")) / (F.col("bad") + F.col("good") + weight))
+    judged = judged.select("host", "template", "purity", F.col("n").alias("template_urls"), "raws")
+    return hot_join(tree.select("host", "raw", "template", "n"), judged, ["host", "template"], "raws", rows, F.col("raw"))
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], bad_words: tuple[str, ...] = (), reject: float = 0.7, depth: int = 6, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """host, path, rule, verdict, template and purity of every row.
 
-    A row's label is its rule's verdict; without one, a host with one of ``bad_words`` as a part between dots and hyphens is bad.
-    """
+def judge(pages: DataFrame, rules: list[tuple[str, str]], label: Column | None = None, reject: float = 0.7, depth: int = 6, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """host, path, rule, verdict, template, purity and template_urls of every row; ``label`` says whether a row that no rule fits is bad."""
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), (label if label is not None else F.lit(None).cast("boolean")).alias("bad"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path"), depth).alias("segs"))
-    seeded = F.col("host").rlike(r"(^|[.-])(" + "|".join(bad_words) + r")([.-]|$)") if bad_words else F.lit(False)
-    rows = rows.withColumn("bad", F.when(seeded, F.lit(True)).otherwise(F.col("ruled") == "block"))
-    tree = template_tree(rows.select("host", "segs", "bad"), depth)
-    keyed = rows.select(id_col, "host", "path", "rule", "ruled", F.col("segs").alias("raw"))
-    spread = tree.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(F.col(id_col), F.col("path")), F.lit(SALTS)).cast("int")
-    found = keyed.withColumn("_salt", salt).join(spread, ["host", "raw", "_salt"], "left")
+    rows = rows.select(id_col, "host", "path", "bad", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path"), depth).alias("raw"))
+    tree = materialise(template_tree(rows.select("host", F.col("raw").alias("segs"), F.coalesce(F.col("ruled") == "block", "bad").alias("bad")), depth))
+    total = tree.agg(F.sum("n")).first()[0] or 0
+    found = hot_join(rows.drop("bad"), tree, ["host", "raw"], "n", total, F.struct(id_col, "path"))
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise("allow")
     return found.select(id_col, "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity", "template_urls")
