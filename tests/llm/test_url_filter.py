@@ -165,7 +165,8 @@ def test_tree_generalises_merges_and_rejects(spark):
     rows += [(100 + i, f"http://shop.net/tag/word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abc' [i // 26]}") for i in range(60)]
     rows += [(200 + i, f"http://shop.net/bad{k}/{i}") for i in range(40) for k in "ab"]
     rows += [(300 + i, f"http://calm.net/p/{i}") for i in range(9)]
-    rules = [("block", "shop.net/bada/1"), ("block", "shop.net/bada/2"), ("block", "shop.net/badb/1"), ("block", "shop.net/badb/2"), ("allow", "shop.net/item/1"), ("allow", "shop.net/tag/")]
+    rules = [("block", "shop.net/bada/1"), ("block", "shop.net/bada/2"), ("block", "shop.net/badb/1"), ("block", "shop.net/badb/2"), ("allow", "shop.net/item/1"), ("allow", "ok.net/")]
+    rows += [(400 + i, f"http://ok.net/x/{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = url_filter.judge(df, rules).collect()
     by = {}
