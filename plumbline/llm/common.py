@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder named in ``spark.checkpoint.dir``; set one of our own only where none is set (tests)."""
+    """Keep the shared folder named in ``spark.checkpoint.dir``; set one of our own only where none is set, and only where driver and
+    executors are one process (tests, benches)."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
         return
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
 
 
@@ -36,6 +39,21 @@ def materialise(df: DataFrame) -> DataFrame:
         conf.set(_CLEANUP, before)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*done: DataFrame) -> None:
+    """Delete the files of results of :func:`materialise` that no later job reads."""
+    for df in done:
+        file = df._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most ``size`` between the JVM and Python, unless the session sets its own; Spark's 64 MB a batch, several
     times over for each running task, is much beside an executor of a few GB."""
@@ -78,59 +96,26 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-FILTER_BITS = 1 << 22
+#: A bitmap has 16 bits a key, but at least the first and at most the second number (32 MB), whatever the number of keys.
+FEWEST_BITS, MOST_BITS = 1 << 22, 1 << 28
+_BLOCK = 1 << 15
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the hashes in the long column ``key``, as at most 65,536 rows (word, bits), whatever the size of ``keys``."""
-    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
-    return keys.groupBy(F.shiftright(place, 6).cast("int").alias("bitmap:word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{key}`, {FILTER_BITS}L) % 64 as int))")).alias("bitmap:bits"))
+def bitmap_size(keys: int) -> int:
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << (16 * keys).bit_length()))
 
 
-def maybe_in(df: DataFrame, key: str, bits: DataFrame) -> DataFrame:
-    """Add ``bitmap:hit``: false only if ``key`` is not among the bitmap's. Rows that it rules out need not be shuffled for an exact join;
-    the more keys the bitmap has, the fewer it rules out, and the join does the rest. The broadcast has a fixed bound."""
-    word = F.shiftright(F.pmod(F.col(key), F.lit(FILTER_BITS)), 6).cast("int")
-    joined = df.withColumn("bitmap:word", word).join(F.broadcast(bits), "bitmap:word", "left")
-    bit = F.expr(f"shiftright(`bitmap:bits`, cast(pmod(`{key}`, {FILTER_BITS}L) % 64 as int)) & 1")
-    return joined.withColumn("bitmap:hit", F.coalesce(bit == 1, F.lit(False))).drop("bitmap:word", "bitmap:bits")
-
+def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A bitmap of the hashes in the long column ``key``, as at most ``bits`` / 32,768 rows of 4 KB."""
+    place = F.pmod(F.col(key), F.lit(bits).cast("long"))
+    return keys.groupBy(F.shiftright(place, 15).cast("int").alias("bitmap:block")).agg(F.bitmap_construct_agg(place % _BLOCK).alias("bitmap:bits"))
 
-def range_bounds(df: DataFrame, key: str, rows_per_bucket: int = 2_000, max_buckets: int = 20_000) -> list[int]:
-    """Ascending distinct values of the non-null integer column ``key`` that cut it into buckets of near equal counts.
 
-    The first bound is the minimum, so bucket ``i`` starts exactly at ``bounds[i]``. Only at most ``max_buckets`` numbers
-    reach the driver, whatever the size of ``df``. An empty table gives no bounds.
-    """
-    stats = df.agg(F.count(key).alias("n"), F.min(key).alias("low")).first()
-    if not stats["n"]:
-        return []
-    buckets = min(max_buckets, max(1, -(-stats["n"] // rows_per_bucket)))
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(key, shares, max(10_000, 20 * buckets)).alias("q")).first()["q"] if shares else []
-    return sorted({stats["low"], *(found or [])})
-
-
-def _literal(bounds: list[int]) -> Column:
-    """An array that the optimizer folds into one literal."""
-    return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
-
-
-def bound_of(bucket: Column, bounds: list[int]) -> Column:
-    """The first key of a bucket."""
-    return F.element_at(_literal(bounds), bucket + 1)
-
-
-def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """Index of the last bound that is not above ``key``: a binary search inside one native expression."""
-    if len(bounds) <= 1:
-        return F.lit(0)
-    array = _literal(bounds)
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    n = len(bounds)
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda low, step: F.when(low + step >= n, low).otherwise(F.when(F.element_at(array, F.least(low + step, F.lit(n - 1)) + 1) <= key, low + step).otherwise(low)),
-    )
-    return found
+def maybe_in(df: DataFrame, key: str, found: DataFrame, bits: int) -> DataFrame:
+    """Add ``bitmap:hit``: false only if ``key`` is not among the bitmap's. Rows that it rules out need not be shuffled for an exact join;
+    beyond ``MOST_BITS`` / 16 keys it rules out fewer and fewer, and the join does the rest. The broadcast has a fixed bound."""
+    place = F.pmod(F.col(key), F.lit(bits).cast("long"))
+    joined = df.withColumn("bitmap:block", F.shiftright(place, 15).cast("int")).join(F.broadcast(found), "bitmap:block", "left")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap:bits"), (F.floor(place % _BLOCK / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (place % 8).cast("int")) == 1
+    return joined.withColumn("bitmap:hit", F.coalesce(hit, F.lit(False))).drop("bitmap:block", "bitmap:bits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,9 @@ def components(links: DataFrame) -> DataFrame:
         jump = lower.select(F.col("node").alias("via"), F.col("via").alias("to"))
         after = materialise(lower.join(jump, "via").select("node", "was", F.least("via", "to").alias("component")))
         moved = after.where("component <> was").limit(1).count()
-        labels = after.select("node", "component")
+        release(lower, labels)
         if not moved:
-            return labels
+            release(both)
+            return materialise(after.select("node", "component"))
+        labels = materialise(after.select("node", "component"))
+        release(after)
