@@ -8,9 +8,12 @@ linked when the weighted Jaccard similarity of their multisets is 0.8 or more; a
 2. Nodes that share a band key are a bucket. The bucket's leader is the node with most neighbours over all its bands; each member is
    paired with the leaders of its buckets. Pairs whose sketches cannot belong to a similarity of 0.8 (4.5 standard deviations) go, the
    others are verified on the multisets. This is linear in the bucket, however large, and links nearly all.
-3. What the leaders left apart: members of a bucket in different components, leaders aside, are compared in blocks of bounded rows and
-   shingles inside a task: those outside the bucket's largest component against the others. A block hands on only the links that join
-   components, never its pairs. So every pair that shares a band is either connected or verified.
+3. What the leaders left apart: of each leader's members, those outside the largest component are compared with all others, in blocks of
+   bounded rows and shingles inside a task. A block takes the shingles that most of its rows have as a base and indexes only how each row
+   differs from it, so that near copies that are not linked cost their differences and not their lengths; that gives every overlap
+   exactly. A block hands on only the links that join components, never its pairs. So every pair that shares a band is either connected
+   or verified. One block holds 20,000 rows or 4 million shingles; beyond, a cloud of near copies below the threshold, in which nothing
+   can be linked, is sent once for each block of its other side.
 
 With 24 bands of six, a pair at similarity 0.8 shares a band with probability 0.9993. A multiset's elements are verified as 32-bit
 hashes, which changes an overlap by under one element in ten thousand pairs of ordinary texts.
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import bags, band_keys, mix, shingles, signatures
-from .common import bitmap, bounded_batches, materialise, maybe_in, text_or_empty
+from .common import bitmap, bitmap_size, bounded_batches, materialise, maybe_in, release, text_or_empty
 from .components import components
 
 WIDTH, BANDS, EACH, THRESHOLD = 5, 24, 6, 0.8
@@ -42,7 +45,7 @@ _SLICE = 200_000
 _NO_ID = -(2**63)
 #: Columns that the input is given for a while; no table has such names.
 _OWN = ("near_dedup:id", "near_dedup:key", "near_dedup:nth")
-_ROWS, _SHINGLES = 500, 1_500_000
+_ROWS, _SHINGLES = 20_000, 4_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -151,13 +154,39 @@ def _verified(pairs: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
 
-def _compared(least: int, threshold: float):
-    """For one block of a bucket: links that join components which the block's pairs connect."""
+def _index(bags: list[np.ndarray], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How each bag differs from ``base``: (distinct elements, first place of each, rows by element, differences of each row)."""
+    differ = [np.setxor1d(x, base, assume_unique=True) for x in bags]
+    sizes = np.array([len(d) for d in differ], np.int64)
+    elements, rows = np.concatenate(differ), np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
+    order = np.argsort(elements, kind="stable")
+    elements = elements[order]
+    first = np.flatnonzero(np.concatenate([[True], elements[1:] != elements[:-1]])) if len(elements) else np.zeros(0, np.int64)
+    return elements[first], np.append(first, len(elements)), rows[order], sizes
+
+
+def shared_elements(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each left bag, its number of common elements with every right bag (sets of sorted distinct numbers)."""
+    values, counts = np.unique(np.concatenate(right), return_counts=True)
+    base = values[2 * counts > len(right)]
+    elements, first, rows, sizes = _index(right, base)
+    lengths = np.array([len(x) for x in right], np.int64)
+    for x in left:
+        own = np.setxor1d(x, base, assume_unique=True)
+        at = np.searchsorted(elements, own)
+        at = at[(at < len(elements)) & (elements[np.minimum(at, len(elements) - 1)] == own)] if len(elements) else at[:0]
+        start, n = first[at], first[at + 1] - first[at]
+        places = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(rows[places], minlength=len(right))
+        yield (len(x) + lengths - (len(own) + sizes - 2 * both)) // 2
+
+
+def _compared(threshold: float):
+    """For one block of a leader's members: links that join components which the block's pairs connect."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["node", "minor"], kind="stable")
+        frame = frame.sort_values(["node"], kind="stable")
         left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        key = frame["key"].iloc[0]
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -168,15 +197,16 @@ def _compared(least: int, threshold: float):
         links = []
         if len(left) and len(right):
             nodes, comps, minor = right["node"].to_numpy(), right["component"].to_numpy(), right["minor"].to_numpy()
-            keys, sketches = np.stack(right["bands"].to_numpy()), np.stack(right["sketch"].to_numpy()).astype(np.int64).view(np.uint8)
-            bag = right["bag"].tolist()
-            for node, comp, bands, sketch, own in zip(left["node"], left["component"], left["bands"], left["sketch"], left["bag"], strict=True):
-                equal = (sketches == np.asarray(sketch).astype(np.int64).view(np.uint8)).sum(axis=1)
-                first = keys[np.arange(len(keys)), (keys == np.asarray(bands)).argmax(axis=1)] == key
-                rows = np.flatnonzero(first & (equal >= least) & (comps != comp) & (~minor | (nodes > node)))
-                for j in rows[np.argsort(-equal[rows], kind="stable")]:
+            raw = right["bag"].tolist()
+            bags = [np.unique(np.frombuffer(x, np.uint32)) for x in raw]
+            lengths = np.array([len(x) for x in bags])
+            mine = [np.unique(np.frombuffer(x, np.uint32)) for x in left["bag"]]
+            for node, comp, own, bag, shared in zip(left["node"], left["component"], left["bag"], mine, shared_elements(mine, bags), strict=True):
+                alike = shared / np.maximum(1, len(bag) + lengths - shared)
+                rows = np.flatnonzero((alike >= threshold - 0.01) & (comps != comp) & (~minor | (nodes > node)))
+                for j in rows[np.argsort(-alike[rows], kind="stable")]:
                     a, b = root(int(comp)), root(int(comps[j]))
-                    if a != b and similarity(own, bag[j]) >= threshold:
+                    if a != b and similarity(own, raw[j]) >= threshold:
                         parent[max(a, b)] = min(a, b)
                         links.append((int(node), int(nodes[j])))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -184,28 +214,30 @@ def _compared(least: int, threshold: float):
     return run
 
 
-def _blockwise(members: DataFrame, leaders: DataFrame, labels: DataFrame, nodes: DataFrame, bag: DataFrame, least: int, threshold: float) -> DataFrame:
-    """Links between components that meet in a bucket and were not compared through its leader."""
-    rest = members.join(leaders, "key").where("node <> leader").select("key", "node")
-    rest = rest.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+def _dealt(led: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(leader, i, j, side, node, component, minor): the blocks in which members of different components are compared."""
+    rest = led.join(labels, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("component"))
     rest = rest.join(nodes.select("node", "n"), "node")
-    by_component = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    buckets = (
-        by_component.groupBy("key")
+    by_component = rest.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    groups = (
+        by_component.groupBy("leader")
         .agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("rows", F.col("component").alias("c"))).alias("largest"), F.sum("rows").alias("all_rows"), F.sum("shingles").alias("all_shingles"))
         .where("components > 1")
-        .select("key", F.col("largest.c").alias("major"), F.col("largest.rows").alias("major_rows"), "all_rows", "all_shingles")
+        .select("leader", F.col("largest.c").alias("major"), F.col("largest.rows").alias("major_rows"), "all_rows", "all_shingles")
     )
     blocks = lambda rows: F.greatest(F.ceil(rows / _ROWS), F.ceil(F.col("all_shingles") * rows / F.col("all_rows") / _SHINGLES), F.lit(1)).cast("int")
-    buckets = buckets.select("key", "major", blocks(F.col("all_rows") - F.col("major_rows")).alias("left_blocks"), blocks(F.col("all_rows")).alias("right_blocks"))
-    placed = rest.join(buckets, "key").withColumn("minor", F.col("component") != F.col("major"))
+    groups = groups.select("leader", "major", blocks(F.col("all_rows") - F.col("major_rows")).alias("left_blocks"), blocks(F.col("all_rows")).alias("right_blocks"))
+    placed = rest.join(groups, "leader").withColumn("minor", F.col("component") != F.col("major"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     right = F.transform(F.sequence(F.lit(0), F.col("left_blocks") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), own("right_blocks").alias("j")))
     left = F.transform(F.sequence(F.lit(0), F.col("right_blocks") - 1), lambda j: F.struct(F.lit(0).alias("side"), own("left_blocks").alias("i"), j.alias("j")))
-    dealt = placed.select("key", "node", "component", "minor", F.inline(F.when(F.col("minor"), F.concat(left, right)).otherwise(right)))
-    info = nodes.select("node", F.array(*BAND_COLUMNS).alias("bands"), F.array(*SKETCH_COLUMNS).alias("sketch")).join(bag, "node")
-    full = dealt.join(info, "node")
-    return full.groupBy("key", "i", "j").applyInPandas(_compared(least, threshold), "a long, b long")
+    return placed.select("leader", "node", "component", "minor", F.inline(F.when(F.col("minor"), F.concat(left, right)).otherwise(right)))
+
+
+def _blockwise(led: DataFrame, labels: DataFrame, nodes: DataFrame, bag: DataFrame, threshold: float) -> DataFrame:
+    """Links between components that meet under a leader and were not compared through it."""
+    full = _dealt(led, labels, nodes).join(bag, "node")
+    return full.groupBy("leader", "i", "j").applyInPandas(_compared(threshold), "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,8 +245,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     (documents in the class)."""
     bounded_batches(docs.sparkSession)
     found = materialise(profiles(docs, id_col, text_col))
-    nodes = found.groupBy("bag_hi", "bag_lo").agg(F.min("doc_id").alias("first_id"), F.max("text_key").alias("text_key"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("n", *BAND_COLUMNS, *SKETCH_COLUMNS)])
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()))
+    # Of the copies of a text one is read again: the one of the smallest id, known by a hash of text and id.
+    nodes = found.groupBy("bag_hi", "bag_lo").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "doc_id")).alias("copy"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("n", *BAND_COLUMNS, *SKETCH_COLUMNS)])
+    nodes = materialise(nodes.withColumns({"node": F.monotonically_increasing_id(), "copy": F.xxhash64("copy.text_key", "copy.doc_id")}))
     least = _least_equal(threshold)
 
     keyed = nodes.where("n > 0").select("node", F.explode(F.array(*BAND_COLUMNS)).alias("key"))
@@ -222,27 +255,32 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     members = materialise(keyed.join(shared, "key"))
     central = members.groupBy("node").agg(F.sum("rows").alias("score"))
     leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("low"))).alias("most")).select("key", (-F.col("most.low")).alias("leader"))
-    leaders = materialise(leaders)
-    pairs = members.join(leaders, "key").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    led = materialise(members.join(leaders, "key").where("node <> leader").select("leader", "node").distinct())
+    pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     sketch = lambda p: nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in SKETCH_COLUMNS])
     likely = pairs.join(sketch("a"), "a").join(sketch("b"), "b")
     likely = likely.where((F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")) & (_equal_bytes("a_", "b_") >= least)).select("a", "b")
 
-    wanted = materialise(members.select("node").distinct().join(nodes.select("node", "text_key"), "node"))
-    whole = docs.select(F.xxhash64(text_or_empty(text_col)).alias("text_key"), text_or_empty(text_col).alias("text"))
-    whole = maybe_in(whole, "text_key", bitmap(wanted, "text_key")).where("`bitmap:hit`")
-    texts = whole.join(wanted, "text_key").dropDuplicates(["node"])
-    bag = materialise(_multisets(texts))
+    wanted = materialise(members.select("node").distinct().join(nodes.select("node", "copy"), "node"))
+    bits = bitmap_size(wanted.count())
+    text = text_or_empty(text_col)
+    whole = docs.select(F.xxhash64(F.xxhash64(text), F.col(id_col).cast("long")).alias("copy"), text.alias("text"))
+    whole = maybe_in(whole, "copy", bitmap(wanted, "copy", bits), bits).where("`bitmap:hit`").select("copy", "text")
+    bag = materialise(_multisets(whole.dropDuplicates(["copy"]).join(wanted, "copy")))
+    release(members, wanted)
 
     links = materialise(_verified(likely, bag, threshold))
     labels = components(links)
-    more = materialise(_blockwise(members, leaders, labels, nodes, bag, least, threshold))
+    more = materialise(_blockwise(led, labels, nodes, bag, threshold))
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        old, labels = labels, components(links.unionByName(more))
+        release(old)
     grouped = nodes.select("node", "bag_hi", "bag_lo", "first_id", "copies").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped)
+    release(led, bag, links, more, labels, nodes)
     totals = materialise(grouped.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows")))
     of_bag = materialise(grouped.join(totals, "component").select("bag_hi", "bag_lo", F.col("component").alias("class_key"), "class_id", "class_rows"))
+    release(grouped, totals)
     return found.select("doc_id", "text_key", "bag_hi", "bag_lo").join(of_bag, ["bag_hi", "bag_lo"]).select("doc_id", "text_key", "class_key", "class_id", "class_rows")
 
 
@@ -255,7 +293,8 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     touched = several.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias(own_id), F.col("text_key").alias(own_key))
     gone = touched.join(kept, [own_id, own_key], "left_anti").distinct()
     tagged = docs.withColumns({own_id: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), own_key: F.xxhash64(text_or_empty(text_col))})
-    tagged = maybe_in(tagged, own_key, bitmap(touched, own_key))
+    bits = bitmap_size(several.count())
+    tagged = maybe_in(tagged, own_key, bitmap(touched, own_key, bits), bits)
     alone = tagged.where("not `bitmap:hit`")  # in a class of its own for sure: stays without a shuffle
     rest = tagged.where("`bitmap:hit`").join(gone, [own_id, own_key], "left_anti")
     rest = rest.withColumn(nth, F.row_number().over(Window.partitionBy(own_id, own_key).orderBy(F.lit(0)))).where(F.col(nth) == 1)

@@ -1,13 +1,16 @@
 from __future__ import annotations
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import bagminhash, near_dedup
+from plumbline.llm.common import bitmap, bitmap_size, materialise, maybe_in, release
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -124,3 +127,40 @@ def test_signatures_estimate_weighted_jaccard():
             estimates.append((s[0] == s[1]).mean())
         true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
         assert abs(np.mean(estimates) - true) < 4 * (true * (1 - true) / 256 / 30) ** 0.5 + 0.005
+
+
+def test_shared_elements_against_sets():
+    rng = random.Random(5)
+    base = set(rng.sample(range(10**6), 300))
+    make = lambda: np.array(sorted({x for x in base if rng.random() < 0.9} | set(rng.sample(range(10**6), rng.randint(0, 40)))), np.uint32)
+    left = [make() for _ in range(30)] + [np.zeros(0, np.uint32), np.arange(5, dtype=np.uint32)]
+    for right in ([make() for _ in range(50)] + [np.zeros(0, np.uint32)], [np.arange(3, dtype=np.uint32)], [np.zeros(0, np.uint32)]):
+        got = np.stack(list(near_dedup.shared_elements(left, right)))
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
+def test_rows_of_the_block_step_are_linear_in_a_cloud_below_the_threshold(spark):
+    """Near copies of one text that are just not linked: each is sent twice under each leader, however many there are."""
+    sent = []
+    for n in (500, 1000, 2000):
+        led = spark.range(1, n).select(F.lit(0).cast("long").alias("leader"), F.col("id").alias("node"))
+        nodes = spark.range(n).select(F.col("id").alias("node"), F.lit(400).cast("long").alias("n"))
+        sent.append(near_dedup._dealt(led, nodes.select("node", F.col("node").alias("component")), nodes).count())
+    assert sent == [2 * 499 - 1, 2 * 999 - 1, 2 * 1999 - 1]
+
+
+def test_bitmap_rules_out_no_key(spark):
+    keys = spark.range(500).select(F.xxhash64("id").alias("k"))
+    bits = bitmap_size(500)
+    rows = spark.range(2000).select("id", F.xxhash64("id").alias("k"))
+    got = maybe_in(rows, "k", bitmap(keys, "k", bits), bits).collect()
+    assert all(r["bitmap:hit"] for r in got if r.id < 500) and sum(r["bitmap:hit"] for r in got) < 510 and len(got) == 2000
+    assert (bitmap_size(0), bitmap_size(10**6), bitmap_size(10**12)) == (1 << 22, 1 << 24, 1 << 28)
+
+
+def test_checkpoint_files_go_when_they_are_released(spark):
+    df = materialise(spark.range(10))
+    file = df._jdf.logicalPlan().rdd().getCheckpointFile().get().replace("file:", "")
+    assert os.path.isdir(file)
+    release(df)
+    assert not os.path.exists(file)
