@@ -4,7 +4,11 @@ All templates are put into one suffix automaton over their words. A text streams
 state of the longest run of words, ending here, that occurs in some template (the matching statistic). Where such a run ends and has at
 least ``shortest`` words it is a match, at the places in the templates that its state knows. Matches that follow each other both in the
 text and in a template, with small gaps, are chained; a chain that covers enough of its template is a span with the template's label.
-Where spans overlap, the one that covers more of its template and then more words stays.
+A chain that ended more than a gap ago is closed, so the work grows with the text and not with its square. Where spans overlap, the one
+that covers more of its template and then more words stays.
+
+The templates at hand are notices and passages of the common licences. Whole licence texts can be added from a folder
+(:func:`folder_templates`), one file a licence.
 
 Words are runs of digits, lower-cased A-Z and non-ASCII characters. Only words that occur in templates can extend a match, so all others
 reset the automaton at no cost.
@@ -15,8 +19,10 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,6 +59,17 @@ TEMPLATES = [
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc0", "Licensed under CC0 1.0 Universal"),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"),
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("gpl", "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"),
+    ("mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
 ]
 #: For each byte the one that words are made of, or a blank.
 _WORD_BYTE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
@@ -62,10 +79,16 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_WORD_BYTE).split()
 
 
+def folder_templates(folder: str) -> list[tuple[str, str]]:
+    """(label, text) of every file of a folder of licence texts, such as a distribution's; the label is the file's name, lower-cased."""
+    return [(p.name.lower(), p.read_text(encoding="utf-8", errors="replace")) for p in sorted(Path(folder).iterdir()) if p.is_file() and not p.is_symlink()]
+
+
 class Automaton:
-    """Generalised suffix automaton over word lists; ``places`` gives the (template, end) pairs of a state."""
+    """Generalised suffix automaton over word lists; ``places`` gives the (template, end) pairs of a state, of those whose longest run has
+    at least ``shortest`` words."""
 
-    def __init__(self, templates: list[list[bytes]]):
+    def __init__(self, templates: list[list[bytes]], shortest: int = 1):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length, self.places = [-1], [0], [set()]
         for t, words in enumerate(templates):
@@ -74,7 +97,7 @@ class Automaton:
                 last = self._extend(last, w)
                 self.places[last].add((t, i + 1))
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
-            if self.link[s] > 0:
+            if self.link[s] > 0 and self.length[self.link[s]] >= shortest:
                 self.places[self.link[s]] |= self.places[s]
 
     def _new(self, length: int) -> int:
@@ -140,7 +163,7 @@ class Scanner:
     def __init__(self, templates=TEMPLATES, phrases=PHRASES, shortest: int = 3, gap: int = 8, enough: float = 0.8):
         self.labels = [label for label, _ in templates]
         self.words = [words_of(text) for _, text in templates]
-        self.automaton = Automaton(self.words)
+        self.automaton = Automaton(self.words, shortest)
         self.phrases: dict[bytes, list[tuple[list[bytes], str]]] = {}
         for phrase, label in phrases.items():
             parts = words_of(phrase)
@@ -162,27 +185,39 @@ class Scanner:
     def spans(self, words: list[bytes]) -> list[Span]:
         known = self.known
         at = [i for i, w in enumerate(words) if w in known]
-        chains: dict[int, list[list[int]]] = {}  # by template: [text start, text end, template end, words matched]
+        chains: dict[int, list[list[int]]] = {}  # by template, those not closed: [text start, text end, template end, words matched]
+        found: list[Span] = []
+
+        def close(t: int, some: list[list[int]]) -> None:
+            for start, end, _, matched in some:
+                coverage = matched / max(len(self.words[t]), end - start)
+                if coverage >= self.enough:
+                    found.append(Span(self.labels[t], start, end, coverage))
+
         for end, run, state in self.automaton.matches(words, at, self.shortest):
             for t, place in self.automaton.places[state]:
                 start, begin = end - run, place - run
-                fits = [c for c in chains.get(t, ()) if 0 <= start - c[1] <= self.gap and 0 <= begin - c[2] <= self.gap]
+                active = chains.get(t, [])
+                if active and active[0][1] < start - self.gap:
+                    close(t, [c for c in active if c[1] < start - self.gap])
+                    chains[t] = active = [c for c in active if c[1] >= start - self.gap]
+                fits = [c for c in active if c[1] <= start and 0 <= begin - c[2] <= self.gap]
                 if fits:
                     c = max(fits, key=lambda c: c[3])
                     c[1], c[2], c[3] = end, place, c[3] + run
+                    active.sort(key=lambda c: c[1])
                 else:
                     chains.setdefault(t, []).append([start, end, place, run])
-        found = []
         for t, some in chains.items():
-            for start, end, _, matched in some:
-                coverage = matched / max(len(self.words[t]), end - start)
-                if coverage >= self.enough:
-                    found.append(Span(self.labels[t], start, end, coverage))
-        chosen: list[Span] = []
+            close(t, some)
+        starts: list[int] = []
+        chosen: dict[int, Span] = {}
         for s in sorted(found, key=lambda s: (-s.coverage, s.start - s.end, s.start, s.label)):
-            if all(s.end <= c.start or s.start >= c.end for c in chosen):
-                chosen.append(s)
-        return sorted(chosen, key=lambda s: s.start)
+            i = bisect_left(starts, s.end)
+            if not i or chosen[starts[i - 1]].end <= s.start:
+                starts.insert(i, s.start)
+                chosen[s.start] = s
+        return [chosen[k] for k in starts]
 
 
 _SCHEMA = "doc_id long, n_words long, base array<struct<start: long, label: string>>, spans array<struct<label: string, start: long, end: long, coverage: double>>"

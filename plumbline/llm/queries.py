@@ -59,7 +59,9 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents"))
+    """The session's ``plumbline.licenses.folder`` may name a folder of whole licence texts, which are added to the templates."""
+    folder = spark.conf.get("plumbline.licenses.folder", None)
+    found = licenses.scan(table(spark, sf_dir, "documents"), templates=licenses.TEMPLATES + (licenses.folder_templates(folder) if folder else []))
     starts = F.transform("base", lambda b: b["start"])
     base = F.transform("base", lambda b: b["label"])
     more = F.transform("spans", lambda s: s["label"])

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import os
 import random
 import re
+import time
 
-from pyspark.sql import functions as F
+import pytest
 
 from plumbline.llm import licenses
 from plumbline.llm.queries import op8_licenses
@@ -76,4 +78,52 @@ def test_edited_templates_are_still_covered(spark):
     assert [s.label for s in got[0].spans] == [label] and got[0].spans[0].start == 1 and got[0].spans[0].coverage < 1
     assert got[1].spans == []
     assert [s.label for s in got[2].spans] == ["cc-by"] and [s.label for s in got[3].spans] == ["cc-by-nc"]
-    assert F is not None
+
+
+def test_chains_against_all_pairs():
+    """Closing chains early changes no span: the same rule with all chains kept, and spans chosen by comparing all."""
+    rng = random.Random(3)
+    scanner = licenses.Scanner([("a", "one two three four five six"), ("b", "four five six seven"), ("c", "two three four")], shortest=2, gap=3, enough=0.6)
+    for _ in range(300):
+        words = [rng.choice(b"one two three four five six seven other more".split()) for _ in range(60)]
+        if rng.random() < 0.7:
+            for _ in range(4):
+                i = rng.randrange(50)
+                words[i : i + 6] = rng.choice(scanner.words)[: len(words[i : i + 6])]
+        at = [i for i, w in enumerate(words) if w in scanner.known]
+        chains = {}
+        for end, run, state in scanner.automaton.matches(words, at, 2):
+            for t, place in scanner.automaton.places[state]:
+                start, begin = end - run, place - run
+                fits = [c for c in chains.get(t, ()) if 0 <= start - c[1] <= 3 and 0 <= begin - c[2] <= 3]
+                if fits:
+                    c = max(sorted(fits, key=lambda c: c[1]), key=lambda c: c[3])
+                    c[1], c[2], c[3] = end, place, c[3] + run
+                else:
+                    chains.setdefault(t, []).append([start, end, place, run])
+        found = [licenses.Span(scanner.labels[t], c[0], c[1], c[3] / max(len(scanner.words[t]), c[1] - c[0])) for t, some in chains.items() for c in some]
+        chosen = []
+        for s in sorted((s for s in found if s.coverage >= 0.6), key=lambda s: (-s.coverage, s.start - s.end, s.start, s.label)):
+            if all(s.end <= c.start or s.start >= c.end for c in chosen):
+                chosen.append(s)
+        assert scanner.spans(words) == sorted(chosen, key=lambda s: s.start)
+
+
+def test_time_is_linear_in_repeated_lines():
+    scanner, took = licenses.Scanner(), []
+    words = licenses.words_of("Released under the MIT License. ")
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        assert len(scanner.spans(words * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no folder of licence texts here")
+def test_whole_licence_texts_from_a_folder(spark):
+    whole = licenses.folder_templates("/usr/share/common-licenses")
+    texts = dict(whole)
+    df = spark.createDataFrame([(i, "intro " + t + " outro") for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, templates=[*licenses.TEMPLATES, *whole]).collect()}
+    for i, label in enumerate(texts):
+        assert max(got[i].spans, key=lambda s: s.end - s.start).label == label
