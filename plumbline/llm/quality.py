@@ -5,7 +5,8 @@ the logistic probability of the difference of their strengths, and the weights a
 the quantile of the training strengths that separates the labels best, and strengths are mapped to 0..1 so that the cut falls on a fixed
 score. Labels are only read for the fit; the score of a document depends on its text alone.
 
-The fit uses a documented sample: at most ``max_labelled`` labelled rows, chosen by a hash of the id. Everything else covers all rows.
+The fit uses a documented sample: at most ``max_labelled`` labelled ids, chosen by a hash of the id, with one text each. Everything else
+covers all rows.
 
 Edge cases: a null or empty text has all measures zero and gets a score. Rows that repeat are scored alike. A label table without both
 labels in the training rows gives the neutral model, whose score is 1 for every text. An empty table gives an empty result. Labels that
@@ -130,7 +131,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
         return fit(np.zeros((0, len(MEASURES))), np.zeros(0), at)
     label = {r["doc_id"]: r["label"] for r in sample}
     ids = docs.sparkSession.createDataFrame([(k,) for k in label], "doc_id long")
-    rows = measured(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")).collect()
+    # Of rows that share an id the text of the smallest hash is measured, so no more rows than ids are collected.
+    texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = measured(texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["measures"]))
     return fit(np.array([r["measures"] for r in rows]).reshape(-1, len(MEASURES)), np.array([int(label[r["doc_id"]] >= 1) for r in rows]), at)
 

@@ -45,3 +45,37 @@ def test_edge_cases(spark):
     neutral = quality.learn(docs, labels.where("false"))
     assert all(r.score >= 0.7 for r in quality.scored(docs, neutral).collect())
     assert random.Random(0) and len(quality.measure("x")) == len(quality.MEASURES) == len(quality.measure(""))
+
+
+def test_fit_against_all_pairs_and_cut_against_all_quantiles():
+    """The weights are where the loss over every pair of a good and a bad row has no slope, and no other cut separates better."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(70, len(quality.MEASURES)))
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=70) > 1).astype(int)
+    model = quality.fit(x, y)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    good, bad = z[y == 1], z[y == 0]
+    rounds = min(len(good), len(bad))
+    assert rounds <= 40  # every pair is in the fit then
+    w = np.array(model.weights)
+    d = (good[:, None, :] - bad[None, :, :]).reshape(-1, x.shape[1])
+    slope = 2.0 * w - d.T @ (1 / (1 + np.exp(d @ w))) / rounds
+    assert np.abs(slope).max() < 1e-6
+    strength = z @ w
+    right = lambda cut: np.mean(strength[y == 1] >= cut) + np.mean(strength[y == 0] < cut)
+    assert right(model.cut) >= max(right(c) for c in [*strength, strength.max() + 1]) - 1e-9
+    ties = quality.fit(np.repeat(x, 2, axis=0), np.repeat(y, 2))
+    assert np.allclose(ties.centre, model.centre) and right(ties.cut) > 0
+
+
+def test_one_text_an_id_is_collected(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "BAD!! " * 30)] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    whole = quality.fit
+    quality.fit = lambda x, y, at: (seen.append(len(x)), whole(x, y, at))[1]
+    try:
+        quality.learn(docs, labels)
+    finally:
+        quality.fit = whole
+    assert seen == [2]
