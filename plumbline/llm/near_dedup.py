@@ -12,7 +12,7 @@ linked when the weighted Jaccard similarity of their multisets is 0.8 or more; a
    bounded rows and shingles inside a task. A block takes the shingles that most of its rows have as a base and indexes only how each row
    differs from it, so that near copies that are not linked cost their differences and not their lengths; that gives every overlap
    exactly. A block hands on only the links that join components, never its pairs. So every pair that shares a band is either connected
-   or verified. One block holds 20,000 rows or 4 million shingles; beyond, a cloud of near copies below the threshold, in which nothing
+   or verified. One block holds 20,000 rows or 1.5 million shingles; beyond, a cloud of near copies below the threshold, in which nothing
    can be linked, is sent once for each block of its other side.
 
 With 24 bands of six, a pair at similarity 0.8 shares a band with probability 0.9993. A multiset's elements are verified as 32-bit
@@ -45,7 +45,7 @@ _SLICE = 200_000
 _NO_ID = -(2**63)
 #: Columns that the input is given for a while; no table has such names.
 _OWN = ("near_dedup:id", "near_dedup:key", "near_dedup:nth")
-_ROWS, _SHINGLES = 20_000, 4_000_000
+_ROWS, _SHINGLES = 20_000, 1_500_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -209,6 +209,9 @@ def _compared(threshold: float):
                     if a != b and similarity(own, raw[j]) >= threshold:
                         parent[max(a, b)] = min(a, b)
                         links.append((int(node), int(nodes[j])))
+            del raw, bags, mine
+        del frame, left, right
+        pa.default_memory_pool().release_unused()  # the worker is used again, and its memory counts all the while
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
