@@ -4,8 +4,9 @@ Input: ``doc_id`` and ``text`` (other columns are carried). Output: the input wi
 violations, structured_violations, warnings, redactions_count, was_truncated, api_calls, model, mock,
 error and answers (value by question).
 
-The scan is one Arrow pass; what follows is native on the array of spans, so the rules-only modes shuffle nothing. A provider is asked
-once for each chunk and batch of questions; its answers are pooled by document and joined with the (broadcast) questions.
+The scan is one Arrow pass; what follows is native on the array of spans, so the rules-only modes shuffle nothing. With a provider the scan
+and the answers are each written once to the checkpoint folder: a document is scanned once, and a chunk and batch of questions is asked
+once, however often the result is read. Answers are pooled by document.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import fixed as V
+from .functions.storage import materialise
 from .operators import chunks, decide, gate
-from .operators.spans import scan
+from .operators.spans import placed, scan, token_hashes
 
 _TEXT = {"email": "is an individual address", "phone": "is an individual phone number", "ip": "is an internal/sensitive IP address", "url": "is an internal/sensitive URL", "secret": "is an exposed secret"}
 
@@ -71,9 +73,26 @@ def structured(messages: Column, level: str, spans: Column) -> Column:
     return F.transform(messages, one)
 
 
-def _finished(df: DataFrame, preset: str, composite: Column, passed: Column, violations: Column, warnings: Column, truncated: Column, calls: Column, model: str | Column, mock: bool, error: Column, answers: Column | None = None) -> DataFrame:
-    own = {"preset_name": F.lit(preset), "composite_score": composite, "passed": passed, "violations": violations, "warnings": warnings, "was_truncated": truncated, "api_calls": calls.cast("int"), "model": F.lit(model), "mock": F.lit(mock), "error": error, "answers": answers if answers is not None else F.create_map().cast("map<string,double>")}
-    out = df.withColumns(own)
+def _finished(df: DataFrame, preset: str, composite: Column, passed: Column, violations: Column, warnings: Column, truncated: Column, calls: Column, model: str | Column, mock: bool, error: Column, answers: Column | None = None, **more: Column) -> DataFrame:
+    none = F.lit(None)
+    own = {
+        "preset_name": F.lit(preset),
+        "composite_score": composite,
+        "passed": passed,
+        "violations": violations,
+        "warnings": warnings,
+        "was_truncated": truncated,
+        "api_calls": calls.cast("int"),
+        "model": F.lit(model),
+        "mock": F.lit(mock),
+        "error": error,
+        "answers": answers if answers is not None else F.create_map().cast("map<string,double>"),
+        "choices": F.create_map().cast("map<string,string>"),
+        "near_threshold": _none(),
+        "input_tokens": none.cast("long"),
+        "output_tokens": none.cast("long"),
+    }
+    out = df.withColumns(own | more)
     out = out.withColumn("structured_violations", F.concat(structured(F.col("violations"), "error", F.col("spans")), structured(F.col("warnings"), "warning", F.col("spans"))))
     return out.drop("text", "spans", "masked", *[c for c in out.columns if c.startswith("_")])
 
@@ -102,46 +121,84 @@ def mock(docs: DataFrame, preset: str, role_globs: tuple[str, ...] = (), max_cha
     return _finished(found, preset, composite, F.lit(True), _none(), _none(), F.length("masked") > max_chars, F.lit(0), "mock", True, F.lit(None).cast("string"), answers)
 
 
-def _requests(found: DataFrame, question: list, max_chars: int, overlap: int, batch: int) -> DataFrame:
-    """One row a document, chunk and batch of questions: doc_id, part (the chunk, or -1 for the truncated whole), state, questions."""
+def _requests(found: DataFrame, question: list, max_chars: int, overlap: int, batch: int, mask: bool) -> DataFrame:
+    """One row a document, chunk and batch of questions: doc_id, part (the chunk, or -1 for the truncated whole), state, images, questions."""
     nouls = F.array(*[F.lit(r[1]) for r in question if r[2] == "noul"]).cast("array<string>")
     others = F.array(*[F.lit(r[1]) for r in question if r[2] != "noul"]).cast("array<string>")
-    asked = F.filter("_candidates", lambda s: F.coalesce(F.when(s["kind"] == "email", s["domain_type"] == "corporate").when(s["kind"] == "phone", ~s["is_support_prefix"]).when(s["kind"] == "ip", ~s["ip_type"].isin("documentation", "loopback")).when(s["kind"] == "url", ~(s["is_example_domain"] | s["is_public_common"] | F.coalesce(s["ip_type"].isin("documentation", "loopback"), F.lit(False)))).when(s["kind"] == "secret", ~s["placeholder_syntax"]), F.lit(False)))
-    base = found.select("doc_id", "masked", F.transform(asked, lambda s: F.struct(s["placeholder"].alias("p"), F.concat(s["kind"], F.lit("_"), s["ord"].cast("string")).alias("q"))).alias("c"))
+    asked = F.transform("_asked", lambda s: F.struct(s["placeholder"].alias("p"), F.concat(s["kind"], F.lit("_"), s["ord"].cast("string")).alias("q")))
+    images = F.col("images") if "images" in found.columns else F.array().cast("array<string>")
+    base = found.select("doc_id", "masked", images.alias("images"), asked.alias("c"), (F.col("_hashes") if not mask else F.lit(None)).alias("_hashes"))
     long = F.length("masked") > max_chars
     parts = F.when(long, F.transform(chunks.chunks(F.col("masked"), max_chars, overlap), lambda c: c["text"])).otherwise(F.array("masked"))
-    split = base.select("doc_id", "c", long.alias("long"), "masked", F.posexplode(parts).alias("part", "state"))
+    split = base.select("doc_id", "c", "images", "_hashes", long.alias("long"), "masked", F.posexplode(parts).alias("part", "state"))
+    if not mask:
+        split = split.withColumns({"_own": token_hashes(F.col("state")), "_kept": token_hashes(F.col("masked"))})
+    here = (lambda x, c, h: F.contains(c, x["p"])) if mask else (lambda x, c, h: placed(x["p"], F.col("_hashes"), h))
+    state, masked = (F.col("state"), F.lit(None) if mask else F.col("_own")), (F.col("masked"), F.lit(None) if mask else F.col("_kept"))
     # What is in no chunk, because a cut goes through it or a comment held it, is asked in every chunk.
-    inside = F.filter("c", lambda x: F.contains(F.col("state"), x["p"]) | ~F.contains(F.col("masked"), x["p"]))
+    inside = F.filter("c", lambda x: here(x, *state) | ~here(x, *masked))
     own = F.concat(nouls, F.when(F.col("long"), F.array().cast("array<string>")).otherwise(others))
-    per_chunk = split.select("doc_id", "part", "state", F.concat(own, F.transform(inside, lambda x: x["q"])).alias("all"))
-    whole = base.where(long).select("doc_id", F.lit(-1).alias("part"), chunks.guarded(F.col("masked"), max_chars).alias("state"), others.alias("all"))
+    per_chunk = split.select("doc_id", "part", "state", "images", F.concat(own, F.transform(inside, lambda x: x["q"])).alias("all"))
+    whole = base.where(long).select("doc_id", F.lit(-1).alias("part"), chunks.guarded(F.col("masked"), max_chars).alias("state"), "images", others.alias("all"))
     rows = per_chunk.unionByName(whole).where(F.size("all") > 0)
     n = F.size("all")
     batches = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / batch).cast("int")), lambda b: F.slice(F.col("all"), b * batch + 1, batch))
-    return rows.select("doc_id", "part", "state", F.explode(batches).alias("questions"))
+    return rows.select("doc_id", "part", "state", "images", F.explode(batches).alias("questions"))
 
 
-def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], role_globs: tuple[str, ...] = (), max_chars: int = V.MAX_CHARS, overlap: int = V.OVERLAP, batch: int = V.BATCH, own: list[tuple] | None = None, pause: float = 0.5) -> DataFrame:
+def unplaced(asked: Column, before: Column, after: Column, parts: Column) -> Column:
+    """Placeholders of ``asked`` that are in none of the chunks ``parts``, without those that went with a comment (in ``before``, the masked
+    text, but not in ``after``, the text without comments)."""
+    names = F.array_distinct(F.transform(asked, lambda s: s["placeholder"]))
+    lost = F.filter(names, lambda p: ~F.exists(parts, lambda c: F.contains(c, p)))
+    stripped = F.filter(names, lambda p: F.contains(before, p) & ~F.contains(after, p))
+    return F.array_sort(F.array_except(lost, stripped))
+
+
+def unplaced_message(names: Column, n_parts: Column) -> Column:
+    head = F.concat(F.size(names).cast("string"), F.lit(" redacted item(s) ("), F.array_join(names, ", "), F.lit(") were not found in any of "), n_parts.cast("string"))
+    return F.when(F.size(names) > 0, F.concat(head, F.lit(" chunks and were treated as present in every chunk; any candidate probabilities for them may be less reliable.")))
+
+
+def definitions(rows: list[tuple]) -> dict[str, dict]:
+    """Type, instructions and criteria by question id; without instructions of its own a question asks for what its label names."""
+    def text(r: tuple) -> str:
+        given = r[10].get("instructions") if len(r) > 10 and isinstance(r[10], dict) else None
+        label = r[3] or r[1].replace("_", " ")
+        return given or {"noul": f"Whether the document has or shows: {label}", "score": f"How far the document reaches: {label}", "choice": f"Which one describes the document: {label}"}[r[2]]
+
+    return {r[1]: {"type": r[2], "instructions": text(r), "criteria": list(r[9]) if r[9] else None} for r in rows}
+
+
+def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], role_globs: tuple[str, ...] = (), max_chars: int = V.MAX_CHARS, overlap: int = V.OVERLAP, batch: int = V.BATCH, own: list[tuple] | None = None, pause: float = 0.5, mask: bool = True) -> DataFrame:
     """Ask a provider. Predicates are pooled over chunks by their maximum; a missing answer or a failed call is the row's ``error``."""
     questions = {(r[0], r[1]): r for r in V.QUESTIONS} | {(r[0], r[1]): r for r in own or []}
     rows = [r for r in questions.values() if r[0].replace("-", "_") == preset.lower().replace("-", "_")]
     if not rows:
         raise ValueError(f"unknown preset: {preset}")
-    found = scanned(docs, role_globs).withColumn("_candidates", _first_of_each(F.col("spans")))
-    requests = _requests(found, rows, max_chars, overlap, batch)
-    answers = decide.provider_answers(requests, make_provider, pause=pause)
-    pooled = answers.groupBy("doc_id", "question_id").agg(F.max("probability").alias("value"), F.max("error").alias("error"))
-    by_doc = pooled.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("question_id", "value"))).alias("_answers"), F.max("error").alias("_error"))
+    found = docs.withColumn("_scan", scan(F.col("text"), role_globs, mask))
+    count = F.size(F.filter("_scan.spans", lambda s: s["is_redaction"])) if mask else F.lit(0)
+    found = found.withColumns({"spans": F.col("_scan.spans"), "_before": F.col("_scan.masked"), "masked": chunks.strip_comments(F.col("_scan.masked")), "redactions_count": count}).drop("_scan")
+    if not mask:
+        found = found.withColumn("_hashes", token_hashes(F.col("text"), role_globs))
+    found = materialise(found)
+    first = _first_of_each(F.col("spans"))
+    found = found.withColumn("_candidates", first).withColumn("_asked", F.filter("_candidates", lambda s: decide.needs_question(s["kind"], lambda c: s[c])))
+    requests = _requests(found, rows, max_chars, overlap, batch, mask)
+    answers = materialise(decide.provider_answers(requests, make_provider, definitions(rows), pause=pause))
+    pooled = answers.groupBy("doc_id", "question_id").agg(F.max("probability").alias("value"), F.max("choice").alias("choice"), F.max("error").alias("error"))
+    valued = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("question_id", c))))
+    by_doc = pooled.groupBy("doc_id").agg(valued("value").alias("_answers"), valued("choice").alias("_choices"), F.max("error").alias("_error"))
     calls = requests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_calls"))
-    joined = found.join(by_doc, "doc_id", "left").join(calls, "doc_id", "left")
+    used = decide.usage(answers).select("doc_id", F.col("input_tokens").alias("_in"), F.col("output_tokens").alias("_out"), F.col("model").alias("_model"))
+    joined = found.join(by_doc, "doc_id", "left").join(calls, "doc_id", "left").join(used, "doc_id", "left")
     value = lambda q: F.try_element_at("_answers", F.lit(q))
 
     warn_only = preset.lower().replace("-", "_") in [p.replace("-", "_") for p in V.WARN_ONLY]
     credentials = F.size(F.filter("spans", lambda s: (s["kind"] == "credential") & ~s["is_example"]))
     free = F.size(F.filter("spans", lambda s: s["type"] == "email_free_mail"))
-    errors, warns, weighted = [], [], []
-    for _, q, kind, label, weight, low, high, preflight, advisory, _ in rows:
+    errors, warns, weighted, near = [], [], [], []
+    for _, q, kind, label, weight, low, high, preflight, advisory, *_ in rows:
         if kind == "choice":
             continue
         v = value(q)
@@ -153,6 +210,8 @@ def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], ro
         below = F.when(v < low, F.concat(F.lit(f"{label or q}: score "), _two(v), F.lit(f" is below {'' if soft else 'required '}minimum {low:.2f}{mark}"))) if low is not None else F.lit(None)
         above = F.when(v > high, F.concat(F.lit(f"{label or q}: risk "), _two(v), F.lit(f" exceeds {'' if soft else 'allowed '}maximum {high:.2f}{mark}"))) if high is not None else F.lit(None)
         (warns if soft else errors).append(F.coalesce(by_scan, below, above))
+        close = [F.abs(v - t) <= V.NEAR + V.EPSILON for t in (low, high) if t is not None]
+        near += [F.when(F.greatest(*close) if len(close) > 1 else close[0], F.lit(q))] if close else []
         if weight:
             weighted.append((v, float(weight)))
     texts = lambda cs: F.filter(F.array(*cs).cast("array<string>"), lambda m: m.isNotNull()) if cs else _none()
@@ -179,10 +238,14 @@ def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], ro
     known = F.transform(F.filter("spans", lambda s: (s["kind"] == "credential") & ~s["is_example"]), lambda s: F.concat(F.lit("Credential Exposure: "), s["placeholder"], F.lit(" is a known format secret")))
     extra = [F.concat(known, of("secret"))] if "has_secrets" in ids else []
     extra += [of(k) for k in ("email", "phone", "ip", "url")] if "has_pii" in ids else []
-    out = joined.withColumn("_violations", F.concat(texts(errors), *extra)).withColumn("_warnings", texts(warns))
+    parts = F.transform(chunks.chunks(F.col("masked"), max_chars, overlap), lambda c: c["text"])
+    out = joined.withColumn("_parts", F.when(F.length("masked") > max_chars, parts)) if mask else joined.withColumn("_parts", F.lit(None).cast("array<string>"))
+    lost = F.when(F.col("_parts").isNotNull(), unplaced_message(unplaced(F.col("_asked"), F.col("_before"), F.col("masked"), F.col("_parts")), F.size("_parts")))
+    out = out.withColumn("_violations", F.concat(texts(errors), *extra)).withColumn("_warnings", F.filter(F.concat(texts(warns), F.array(lost)), lambda m: m.isNotNull()))
     error = F.col("_error")
     passed = F.when(error.isNull(), F.size("_violations") == 0)
-    return _finished(out, preset, composite, passed, F.col("_violations"), F.col("_warnings"), F.length("masked") > max_chars, F.coalesce("_calls", F.lit(0)), "provider", False, error, F.col("_answers"))
+    more = {"choices": F.col("_choices"), "near_threshold": texts(near), "input_tokens": F.col("_in"), "output_tokens": F.col("_out")}
+    return _finished(out, preset, composite, passed, F.col("_violations"), F.col("_warnings"), F.length("masked") > max_chars, F.coalesce("_calls", F.lit(0)), F.coalesce("_model", F.lit("provider")), False, error, F.col("_answers"), **more)
 
 
 def exit_code(results: DataFrame) -> int:

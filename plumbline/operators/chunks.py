@@ -3,45 +3,71 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 
 
-def guarded(text: Column, limit: int = V.MAX_CHARS) -> Column:
-    """Both ends of a text over ``limit``, around a note of how much is left out."""
+def guarded(text: Column, limit: int = V.MAX_CHARS, strict: bool = False) -> Column:
+    """Both ends of a text over ``limit``, around a note of how much is left out; with ``strict`` such a text is an error."""
     half = max(limit // 2, 1)
     n = F.length(text)
+    if strict:
+        return F.when(n > limit, F.raise_error(F.concat(F.lit("the document has "), n.cast("string"), F.lit(f" characters; at most {limit} are allowed")))).otherwise(text)
     left_out = F.greatest(n - 2 * half, F.lit(0)).cast("string")
     note = F.concat(F.lit("\n\n... [TRUNCATED "), left_out, F.lit(" CHARACTERS TO PREVENT TOKEN OVERFLOW] ...\n\n"))
     return F.when(n > limit, F.concat(F.left(text, F.lit(half)), note, F.right(text, F.lit(half)))).otherwise(text)
 
 
-def split_text(text: str, limit: int = V.MAX_CHARS, overlap: int = V.OVERLAP) -> list[tuple[int, str]]:
-    """(start, chunk) of overlapping chunks that end, and begin, at a blank line or else a line break near their bound."""
+class _Breaks:
+    """Where a text may be cut: behind its blank lines, or else behind its line breaks."""
+
+    def __init__(self, text: str):
+        lines = [m.end() for m in re.finditer("\n", text)]
+        blank = [b for a, b in zip(lines, lines[1:], strict=False) if b == a + 1]
+        self.levels = ((blank, 2), (lines, 1))
+
+    def latest(self, low: int, high: int) -> int | None:
+        """The last cut at or before ``high`` whose line breaks do not begin before ``low``."""
+        for places, width in self.levels:
+            i = bisect_right(places, high)
+            if i and places[i - 1] - width >= low:
+                return places[i - 1]
+        return None
+
+    def earliest(self, low: int, high: int) -> int | None:
+        for places, width in self.levels:
+            i = bisect_left(places, low + width)
+            if i < len(places) and places[i] <= high:
+                return places[i]
+        return None
+
+
+def chunk_spans(text: str, limit: int = V.MAX_CHARS, overlap: int = V.OVERLAP) -> list[tuple[int, int]]:
+    """(start, end) of chunks of at most ``limit`` characters that cover a text and overlap by about ``overlap``.
+
+    A chunk ends at the last break within ``BREAK_WINDOW`` of its bound, but leaves more than the overlap; the next one starts at the first
+    break within ``SNAP``, and half the overlap, of where the overlap begins. Without a break there, both are where the numbers put them.
+    """
     if limit <= 0:
         raise ValueError("limit must be positive")
-    overlap, at, out = min(max(overlap, 0), limit // 2), 0, []
+    overlap = min(max(overlap, 0), limit // 2)
+    breaks, spans, start = _Breaks(text), [], 0
+    while start + limit < len(text):
+        bound = start + limit
+        end = breaks.latest(max(start + overlap, bound - V.BREAK_WINDOW), bound) or bound
+        spans.append((start, end))
+        earliest = max(start + 1, end - overlap)
+        start = breaks.earliest(earliest, min(earliest + min(V.SNAP, overlap // 2), end)) or earliest
+    return [*spans, (start, len(text))] if start < len(text) or not spans else spans
 
-    def after(first: int, stop: int, last: bool) -> int | None:
-        for mark in ("\n\n", "\n"):
-            i = text.rfind(mark, first, stop) if last else text.find(mark, first, stop)
-            if i >= 0:
-                return i + len(mark)
-        return None
 
-    while len(text) - at > limit:
-        bound = at + limit
-        end = after(max(at + overlap, bound - V.BREAK_WINDOW), bound, True) or bound
-        out.append((at, text[at:end]))
-        start = max(at + 1, end - overlap)
-        at = after(start, min(start + min(V.SNAP, overlap // 2), end), False) or start
-    if at < len(text) or not out:
-        out.append((at, text[at:]))
-    return out
+def split_text(text: str, limit: int = V.MAX_CHARS, overlap: int = V.OVERLAP) -> list[tuple[int, str]]:
+    return [(a, text[a:b]) for a, b in chunk_spans(text, limit, overlap)]
 
 
 def chunks(text: Column, limit: int = V.MAX_CHARS, overlap: int = V.OVERLAP) -> Column:
@@ -108,6 +134,13 @@ def ablations(preamble: Column, parts: Column) -> Column:
     return F.transform(parts, lambda s, i: F.struct(slug(s["title"]).alias("removed"), F.array_join(F.concat(F.array(preamble), F.transform(F.filter(parts, lambda o, j: j != i), lambda o: o["body"])), "\n").alias("text")))
 
 
+def ablation_labels(variants: DataFrame, questions: list[str]) -> DataFrame:
+    """(variant, question_id, expected) of variants (variant, removed): what a variant's removed section answers is absent, all else present."""
+    asked = F.explode(F.array(*[F.lit(q) for q in questions])).alias("question_id")
+    rows = variants.select("variant", "removed", asked)
+    return rows.select("variant", "question_id", F.when(F.col("removed") == F.col("question_id"), "absent").otherwise("present").alias("expected"))
+
+
 def headings(text: Column) -> Column:
     """Lines with ``#``, lines above a row of =, -, ~ or ^, and bold-only lines, in order."""
     lines = F.split(text, "\n")
@@ -136,6 +169,15 @@ def has_item(text: Column, question: str, found_headings: Column | None = None)
     return found
 
 
+def presence_counts(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The heuristic against labels (doc_id, question_id, expected): by question, absent ones found absent, false alarms, and populations."""
+    marked = docs.withColumn("_h", headings(F.col(text)))
+    asked = [F.struct(F.lit(q).alias("question_id"), has_item(F.col(text), q, F.col("_h")).alias("there")) for q in V.KEYWORDS]
+    rows = marked.select("doc_id", F.inline(F.array(*asked))).join(labels, ["doc_id", "question_id"])
+    gone, asked_for = ~F.col("there"), F.col("expected") == "absent"
+    return rows.groupBy("question_id").agg(F.count_if(gone & asked_for).alias("detected"), F.count_if(asked_for).alias("n_absent"), F.count_if(gone & ~asked_for).alias("false_alarms"), F.count_if(~asked_for).alias("n_present"))
+
+
 def line_and_column(text: Column, offset: Column) -> Column:
     """1-based line and column of a 0-based offset."""
     before = F.left(text, offset)

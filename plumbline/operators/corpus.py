@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import difflib
-import random
+import hashlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,12 +15,17 @@ def hash_order(seed: str, project: str | Column) -> Column:
     return F.sha2(F.concat(F.lit(seed + ":"), F.col(project) if isinstance(project, str) else project), 256)
 
 
-def held_out(docs: DataFrame, cells: list[str], project: str, seed: str = "corpus", share: float = 0.3) -> DataFrame:
-    """Whole projects are held out, in hash order, while fewer than the target are before them: (cells, project, size, held_out)."""
-    sizes = docs.groupBy(*cells, project).agg(F.count(F.lit(1)).alias("size"))
-    totals = sizes.groupBy(*cells).agg(F.sum("size").alias("all"))
+def held_out(docs: DataFrame, cells: list[str], project: str, seed: str = "corpus", share: float = 0.3, paired: Column | None = None) -> DataFrame:
+    """Whole projects are held out, in hash order, while fewer than the target are before them: (cells, project, size, held_out).
+
+    The target is ``share`` of the cell, at least one of two or more; in a cell with a row that is ``paired`` and with seven or more, at
+    least three.
+    """
+    paired = F.lit(False) if paired is None else paired
+    sizes = docs.groupBy(*cells, project).agg(F.count(F.lit(1)).alias("size"), F.some(paired).alias("_paired"))
+    totals = sizes.groupBy(*cells).agg(F.sum("size").alias("all"), F.some("_paired").alias("pairs"))
     order = Window.partitionBy(*cells).orderBy(hash_order(seed, project), project).rowsBetween(Window.unboundedPreceding, -1)
-    target = F.when(F.col("all") >= 2, F.greatest(F.bround(F.col("all") * share), F.lit(1))).otherwise(0)
+    target = F.when(F.col("all") >= 2, F.greatest(F.bround(F.col("all") * share), F.when(F.col("pairs") & (F.col("all") >= 7), 3).otherwise(1))).otherwise(0)
     return sizes.join(totals, cells).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).select(*cells, project, "size", (F.col("before") < target).alias("held_out"))
 
 
@@ -56,11 +62,16 @@ def blocks_of(text: str) -> list[str]:
     return [*out, "\n".join(now)] if now else out
 
 
-def degraded(text: str, kind: str, seed: int = 7, filler: str = "This part repeats what is known and adds nothing to it.") -> str:
-    """shuffled, no_headings, padded or removed_middle; swap_sections and unrelated_addition are the neutral edits."""
-    blocks = blocks_of(text)
+# Paragraphs that are put in, by language.
+FILLERS = {"en": "This part repeats what is known and adds nothing to it.", "ja": "この段落は既に述べた内容を繰り返すだけで、新しい情報はありません。"}
+DEGRADATIONS, NEUTRAL_EDITS = ("shuffled", "no_headings", "padded", "removed_middle"), ("swap_sections", "unrelated_addition")
+
+
+def degraded(text: str, kind: str, seed: int = 7, lang: str = "en") -> str:
+    """One of ``DEGRADATIONS`` or ``NEUTRAL_EDITS`` of a text. Blocks are shuffled in the order of a hash of the seed and their place."""
+    blocks, filler = blocks_of(text), FILLERS[lang]
     if kind == "shuffled":
-        random.Random(seed).shuffle(blocks)
+        blocks = [blocks[i] for i in sorted(range(len(blocks)), key=lambda i: hashlib.sha256(f"{seed}:{i}".encode()).hexdigest())]
     elif kind == "no_headings":
         blocks = [b for b in blocks if not b.lstrip().startswith("#")]
     elif kind == "padded":
@@ -82,10 +93,47 @@ def degraded(text: str, kind: str, seed: int = 7, filler: str = "This part repea
     return "\n\n".join(blocks)
 
 
-def variant(text: Column, kind: str, seed: int = 7) -> Column:
+def inserted(text: Column, pattern: str, where: str, section: str) -> Column:
+    """The text with ``section`` put before or behind the first place that ``pattern`` (lines by ^ and $) fits; null where it fits none."""
+    if where not in ("before", "after"):
+        raise ValueError(f"where must be before or after, not {where!r}")
+    first = rf"(?m)(?s:\A(.*?))({pattern})"
+    found = F.regexp_replace(text, first, "$1\u0000$2\u0001")  # marks around the first place
+    put = {"before": F.replace(F.replace(found, F.lit("\u0000"), F.lit(section)), F.lit("\u0001"), F.lit("")), "after": F.replace(F.replace(found, F.lit("\u0000"), F.lit("")), F.lit("\u0001"), F.lit(section))}[where]
+    return F.when(text.rlike(f"(?m){pattern}"), put)
+
+
+def diff_agreement(pairs: DataFrame) -> DataFrame:
+    """pairs: kind, expected (down or neutral), before, after. By kind how often :func:`diff_rule` says what is expected."""
+    rows = pairs.withColumn("_down", diff_rule(F.col("before"), F.col("after")))
+    return rows.groupBy("kind", "expected").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("_down") == (F.col("expected") == "down")).alias("agrees"))
+
+
+def manifest(parts: list[DataFrame], files: DataFrame) -> DataFrame:
+    """The rows of all manifests, whatever columns each has, whose document is among ``files`` (doc_id); with ``project``, the lower-cased
+    repository or source repository, and ``edit_source``, unknown where it is not given."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    of = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    kept = rows.join(files.select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.withColumns({"project": F.lower(F.coalesce(of("repo"), of("source_repo"))), "edit_source": F.coalesce(of("edit_source"), F.lit("unknown"))})
+
+
+def fetched(raw: DataFrame, parts: DataFrame) -> DataFrame:
+    """Downloaded texts (doc_id, text) with line ends made one character, and whether each has the hash that the manifest recorded."""
+    text = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    joined = raw.withColumn("text", text).join(parts.select("doc_id", "sha256"), "doc_id")
+    return joined.withColumn("intact", F.sha2("text", 256) == F.lower("sha256"))
+
+
+def with_split(labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """Labels (path, ...) with the split of their document (path, split); a label without one is in none (null)."""
+    return labels.join(documents.select("path", "split").distinct(), "path", "left")
+
+
+def variant(text: Column, kind: str, seed: int = 7, lang: str = "en") -> Column:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: degraded(t, kind, seed) if isinstance(t, str) else None)
+        return texts.map(lambda t: degraded(t, kind, seed, lang) if isinstance(t, str) else None)
 
     return run(text)
 
@@ -113,15 +161,27 @@ def front_matter(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\A---\n.*?\n---\n", 0)
 
 
-def seeded_hold_out(docs: DataFrame, key: str, share: float = 0.3, seed: str = "holdout") -> DataFrame:
-    """Mark ``max(1, round(n * share))`` documents, never all, in hash order; a single document is both tuning and held out.
+def _cut_hash(hashes: DataFrame, rank: int, few: int = 4096) -> str:
+    """The ``rank``-th smallest (from 1) of the hexadecimal ``_h``: counts by four more digits narrow it down, so the driver sees at most 65,536
+    counts a step and ``few`` hashes."""
+    prefix = ""
+    while True:
+        inside = hashes.where(F.col("_h").startswith(prefix))
+        counts = sorted(inside.groupBy(F.substring("_h", len(prefix) + 1, 4).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for part, n in counts:
+            if rank <= n:
+                break
+            rank -= n
+        prefix += part
+        if n <= few or len(prefix) >= 64:
+            return sorted(r["_h"] for r in hashes.where(F.col("_h").startswith(prefix)).collect())[rank - 1]
 
-    The cut is the hash of that rank, so only one value comes to the driver.
-    """
+
+def seeded_hold_out(docs: DataFrame, key: str, share: float = 0.3, seed: str = "holdout") -> DataFrame:
+    """Mark ``max(1, round(n * share))`` documents, never all, in hash order; a single document is both tuning and held out."""
     ids = docs.select(key).distinct().withColumn("_h", hash_order(seed, F.col(key).cast("string")))
     n = ids.count()
     if n < 2:
         return ids.select(key, F.lit(True).alias("held_out"), F.lit(True).alias("tuning"))
-    take = min(max(1, round(n * share)), n - 1)
-    cut = ids.orderBy("_h").offset(take - 1).limit(1).first()["_h"]
+    cut = _cut_hash(ids, min(max(1, round(n * share)), n - 1))
     return ids.select(key, (F.col("_h") <= cut).alias("held_out"), (F.col("_h") > cut).alias("tuning"))

@@ -7,6 +7,7 @@ UDF: a span carries its place, placeholder, replacement and features.
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 import re
 import urllib.parse
@@ -189,6 +190,27 @@ def scan(text: Column, role_globs: tuple[str, ...] = (), mask: bool = True) -> C
     return run(text)
 
 
+def token_hashes(text: Column, role_globs: tuple[str, ...] = ()) -> Column:
+    """(placeholder, hash) of every value that a scan finds. Two texts hold the same value, as a whole and not as a part of a longer one, if
+    they share a hash; the values themselves never leave the worker."""
+
+    @F.pandas_udf("array<struct<placeholder: string, hash: string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        def of(t: str) -> list[dict]:
+            found = scan_text(t, role_globs, False)[0]
+            return [{"placeholder": s["placeholder"], "hash": hashlib.sha256(t[s["start"] : s["end"]].encode()).hexdigest()} for s in found]
+
+        return texts.map(lambda t: of(t) if isinstance(t, str) else [])
+
+    return run(text)
+
+
+def placed(placeholder: Column, whole: Column, part: Column) -> Column:
+    """Whether a chunk of an unmasked text holds the value of a placeholder; ``whole`` and ``part`` are :func:`token_hashes` of both."""
+    own = F.transform(F.filter(whole, lambda t: t["placeholder"] == placeholder), lambda t: t["hash"])
+    return F.arrays_overlap(own, F.transform(part, lambda t: t["hash"]))
+
+
 def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), role_globs: tuple[str, ...] = ()) -> DataFrame:
     """One row a span, with the ``keep`` columns."""
     return docs.select(*keep, F.explode(scan(F.col(text), role_globs)["spans"]).alias("s")).select(*keep, "s.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,15 +25,17 @@ def run_once(docs: DataFrame, results: str, checkpoint: str) -> StreamingQuery:
     """Scan what is new since the last call; texts seen before under any id are left out."""
 
     def write(batch: DataFrame, epoch: int) -> None:
+        """A batch has a folder of its own, which a replay after a crash replaces."""
         spark = batch.sparkSession
         keyed = batch.withColumn("content_key", F.sha2("text", 256)).dropDuplicates(["content_key"])
         try:
             seen = spark.read.parquet(f"{results}/keys").where(F.col("epoch") != epoch)
             keyed = keyed.join(seen.select("content_key"), "content_key", "left_anti")
-        except Exception as error:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:  # the first batch has no table yet
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        keyed.select("content_key").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{results}/keys")
-        outcomes(keyed.drop("content_key")).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{results}/spans")
+        # Written before the keys are replaced, which the selection reads.
+        outcomes(keyed.drop("content_key")).write.mode("overwrite").parquet(f"{results}/spans/epoch={epoch}")
+        keyed.select("content_key").write.mode("overwrite").parquet(f"{results}/keys/epoch={epoch}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -99,7 +99,7 @@ class Fake:
 
     def decide(self, state, questions):
         self.calls += 1
-        if state == "broken":
+        if state["document"] == "broken":
             raise RuntimeError("bad request 400")
         if self.calls == 1:
             raise RuntimeError("status 503")

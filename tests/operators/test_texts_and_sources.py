@@ -150,3 +150,70 @@ def test_score_pairs_and_label_paths(spark):
 def test_single_document_is_on_both_sides(spark):
     one = spark.createDataFrame([("a",), ("a",)], "k string")
     assert [tuple(r) for r in corpus.seeded_hold_out(one, "k").collect()] == [("a", True, True)]
+
+
+def test_cut_hash_against_sorting(spark):
+    ids = spark.range(2000).select(F.sha2(F.col("id").cast("string"), 256).alias("_h"))
+    every = sorted(r["_h"] for r in ids.collect())
+    for rank in (1, 7, 1000, 2000):
+        assert corpus._cut_hash(ids, rank, few=3) == every[rank - 1]
+
+
+def test_corpus_building(spark):
+    df = spark.createDataFrame([("# T\n### Non-Goals\nold\n### Non-Goals\n",), ("nothing",)], "t string")
+    put = lambda where: [r[0] for r in df.select(corpus.inserted(F.col("t"), r"^### Non-Goals\n", where, "- $1 new\n")).collect()]
+    assert put("after") == ["# T\n### Non-Goals\n- $1 new\nold\n### Non-Goals\n", None]
+    assert put("before") == ["# T\n- $1 new\n### Non-Goals\nold\n### Non-Goals\n", None]
+    one = spark.createDataFrame([("d1", "Org/Repo", None), ("d2", None, "given")], "doc_id string, repo string, edit_source string")
+    two = spark.createDataFrame([("d3", "Src/X"), ("gone", "Y")], "doc_id string, source_repo string")
+    files_ = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "doc_id string")
+    got = {r.doc_id: (r.project, r.edit_source) for r in corpus.manifest([one, two], files_).collect()}
+    assert got == {"d1": ("org/repo", "unknown"), "d2": (None, "given"), "d3": ("src/x", "unknown")}
+    import hashlib
+
+    raw = spark.createDataFrame([("d1", "a\r\nb\rc"), ("d2", "x")], "doc_id string, text string")
+    parts = spark.createDataFrame([("d1", hashlib.sha256(b"a\nb\nc").hexdigest().upper()), ("d2", "0")], "doc_id string, sha256 string")
+    assert {r.doc_id: (r.text, r.intact) for r in corpus.fetched(raw, parts).collect()} == {"d1": ("a\nb\nc", True), "d2": ("x", False)}
+    labels = spark.createDataFrame([("p1",), ("p2",)], "path string")
+    docs = spark.createDataFrame([("p1", "tuning"), ("p1", "tuning")], "path string, split string")
+    assert {r.path: r.split for r in corpus.with_split(labels, docs).collect()} == {"p1": "tuning", "p2": None}
+    cell = spark.createDataFrame([("c", f"p{i}", i == 0) for i in range(7)], "cell string, project string, pair boolean")
+    held = lambda **kw: corpus.held_out(cell, ["cell"], "project", **kw).where("held_out").count()
+    assert held() == 2 and held(paired=F.col("pair")) == 3
+    assert corpus.FILLERS["ja"] in corpus.degraded("a\n\nb", "padded", lang="ja")
+
+
+def test_heuristic_counts_and_ablation_labels(spark):
+    docs = spark.createDataFrame([(1, "## Risks\nx"), (2, "plain")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "risks", "present"), (2, "risks", "absent"), (1, "testing", "present")], "doc_id long, question_id string, expected string")
+    got = {r.question_id: (r.detected, r.n_absent, r.false_alarms, r.n_present) for r in chunks.presence_counts(docs, labels).collect()}
+    assert got == {"risks": (1, 1, 0, 1), "testing": (0, 0, 1, 1)}
+    v = spark.createDataFrame([(0, "risks"), (1, "goal")], "variant int, removed string")
+    assert {(r.variant, r.question_id): r.expected for r in chunks.ablation_labels(v, ["risks", "goal"]).collect()} == {(0, "risks"): "absent", (0, "goal"): "present", (1, "risks"): "present", (1, "goal"): "absent"}
+    with pytest.raises(Exception, match="at most 3"):
+        docs.select(chunks.guarded(F.col("text"), 3, strict=True)).collect()
+
+
+def test_token_containment_without_mask(spark):
+    from plumbline.operators import spans
+
+    df = spark.createDataFrame([("mail joe@gmail.com and 10.0.0.1", "see JOE@gmail.com", "10.0.0.11 xjoe@gmail.com")], "whole string, a string, b string")
+    whole = spans.token_hashes(F.col("whole"))
+    at = lambda p, c: spans.placed(F.lit(p), F.col("w"), spans.token_hashes(F.col(c)))
+    r = df.withColumn("w", whole).select(at("[EMAIL_1]", "whole"), at("[EMAIL_1]", "b"), at("[IP_1]", "b"), at("[IP_1]", "whole")).first()
+    assert tuple(r) == (True, False, False, True)
+
+
+def test_replayed_batch_is_written_once(spark, tmp_path):
+    """A crash after a batch is written, before its commit is recorded, repeats the batch."""
+    import shutil
+
+    src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    df = spark.createDataFrame([(1, "mail joe@gmail.com"), (2, "x 10.0.0.1")], "doc_id long, text string")
+    df.write.parquet(src)
+    incremental.run_once(incremental.documents(spark, src, df.schema), out, check).awaitTermination()
+    before = sorted(map(str, spark.read.parquet(f"{out}/spans").collect()))
+    shutil.rmtree(f"{check}/commits")
+    incremental.run_once(incremental.documents(spark, src, df.schema), out, check).awaitTermination()
+    assert sorted(map(str, spark.read.parquet(f"{out}/spans").collect())) == before and len(before) == 2
+    assert spark.read.parquet(f"{out}/keys").count() == 2

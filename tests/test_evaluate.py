@@ -41,10 +41,11 @@ class Provider:
     """Answers by what the state holds."""
 
     def decide(self, state, questions):
-        assert "hunter2" not in state and len(questions) <= V.BATCH
-        if "FAIL" in state:
+        text = state["document"]
+        assert "hunter2" not in text and len(questions) <= V.BATCH and all(q["instructions"] for q in questions.values())
+        if "FAIL" in text:
             raise RuntimeError("400")
-        given = {"clarity": 0.55, "has_secrets": 0.9 if "late secret" in state else 0.1, "has_pii": 0.05, "confidentiality_risk": 0.3, "policy_compliance": 0.0}
+        given = {"clarity": {"score": 1.1}, "has_secrets": 0.9 if "late secret" in text else 0.1, "has_pii": 0.05, "confidentiality_risk": 0.3, "policy_compliance": {"choice": "compliant"}}
         return {q: given.get(q, 0.8 if q in ("email_2", "secret_3") else 0.2) for q in questions}
 
 
@@ -61,7 +62,7 @@ def test_online(spark):
         "PII Exposure: [EMAIL_1] is an individual address (free-mail)",
         "PII Exposure: [EMAIL_2] is an individual address (model: 0.80)",
     ]
-    assert r[2].passed and r[2].api_calls == 1 and r[2].error is None
+    assert r[2].passed and r[2].api_calls == 1 and r[2].error is None and r[2].choices == {"policy_compliance": "compliant"}
     assert r[3].violations == ["Credential Exposure: risk 0.90 exceeds allowed maximum 0.20"] and r[3].was_truncated and r[3].api_calls > 2
     assert r[4].error and r[4].passed is None
     q = evaluate.online(df.where("doc_id = 2"), "quality", Provider, pause=0.0).first()
