@@ -13,7 +13,7 @@ QUESTIONS = "preset string, question_id string, type string, label string, weigh
 def questions(spark: SparkSession, preset: str | None = None, own: list[tuple] | None = None) -> DataFrame:
     """The question table of a preset (dash and underscore are the same), or of all; ``own`` adds or replaces rows by (preset, question)."""
     rows = {(r[0], r[1]): r for r in V.QUESTIONS} | {(r[0], r[1]): r for r in own or []}
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows.values())], QUESTIONS)
+    df = spark.createDataFrame([(*r[:10], i) for i, r in enumerate(rows.values())], QUESTIONS)
     return df if preset is None else df.where(F.replace(F.lower("preset"), F.lit("-"), F.lit("_")) == preset.lower().replace("-", "_"))
 
 
@@ -23,8 +23,8 @@ def normalised_score(score: Column, levels: Column | int) -> Column:
 
 
 def gated(answers: DataFrame, question: DataFrame) -> DataFrame:
-    """Join the (small, broadcast) questions; add breach, level and near_threshold."""
-    joined = answers.join(F.broadcast(question), "question_id")
+    """Join the questions, which Spark broadcasts if they are small; add breach, level and near_threshold."""
+    joined = answers.join(question, "question_id")
     v, low, high = F.col("value"), F.col("min_threshold"), F.col("max_threshold")
     breach = F.when(v < low, "below_min").when(v > high, "above_max")
     near = F.coalesce(F.abs(v - low) <= V.NEAR + V.EPSILON, F.lit(False)) | F.coalesce(F.abs(v - high) <= V.NEAR + V.EPSILON, F.lit(False))

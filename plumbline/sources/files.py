@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import subprocess
+from functools import reduce
+from pathlib import Path
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +20,51 @@ IMAGE_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "g
 IMAGE_BYTES, IMAGES_EACH, IMAGES_MOST = 10 * 1024 * 1024, 5, 128
 
 
+_GLOB = re.compile(r"[*?\[{]")
+
+
+def _root(pattern: str) -> str:
+    """The folder of a pattern before its first wildcard."""
+    fixed = pattern[: m.start()] if (m := _GLOB.search(pattern)) else pattern
+    return fixed[: fixed.rfind("/") + 1]
+
+
 def text_files(spark: SparkSession, paths: str | list[str], exclude: list[str] | None = None) -> DataFrame:
-    """One row a file, whole: path, filename, text. Files below ignored folders and excluded ones are not read."""
-    df = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
-    df = df.where(~default_ignored(F.col("path")))
-    return df.where(~path_excluded(F.col("path"), exclude)) if exclude else df
+    """One row a file, whole: path, filename, text, and an error where the bytes are no UTF-8 (the text is null then).
+
+    A path without wildcards must exist and is always read; of what a pattern finds, files below ignored folders, as seen from where its
+    wildcards begin, are not. Excluded files are not read. A file that several paths name is read once.
+    """
+    parts = []
+    for given in [paths] if isinstance(paths, str) else paths:
+        wild = bool(_GLOB.search(given))
+        if not wild and "://" not in given and not Path(given).exists():
+            raise FileNotFoundError(given)
+        try:
+            df = spark.read.format("binaryFile").load(given if "://" in given else str(Path(given).absolute()))
+        except AnalysisException as error:
+            if wild and error.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
+        path = F.regexp_replace("path", "^file:/+", "/")
+        df = df.select(path.alias("path"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+        below = F.replace("path", F.lit(str(Path(_root(given)).absolute()) + "/" if "://" not in given else _root(given)), F.lit(""))
+        parts.append(df.where(~default_ignored(below)) if wild else df)
+    if not parts:
+        return spark.createDataFrame([], "path string, filename string, text string, error string")
+    df = reduce(DataFrame.unionByName, parts).dropDuplicates(["path"])
+    df = df.where(~path_excluded(F.col("path"), exclude)) if exclude else df
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return df.select("path", "filename", text.alias("text"), F.when(text.isNull(), "the file is not valid UTF-8").alias("error"))
+
+
+def git_changes(since: str | None = None, folder: str = ".") -> list[str]:
+    """Absolute paths of files that are added, copied, modified or renamed: staged, or since a revision; those that still exist."""
+    which = ["--cached"] if since is None else [f"{since}...HEAD"]
+    run = lambda *args: subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=True).stdout
+    top = Path(run("rev-parse", "--show-toplevel").strip())
+    names = run("diff", "--name-only", "--diff-filter=ACMR", "-z", *which).split("\0")
+    return [str(top / n) for n in names if n and (top / n).exists()]
 
 
 def changed(files: DataFrame, changed_paths: DataFrame, explicit: bool) -> DataFrame:
@@ -40,24 +86,28 @@ def labels(spark: SparkSession, text: str) -> dict[str, DataFrame]:
     wrong = [x for *_, x in docs if x not in ("present", "absent")] + [p[4] for p in pairs if p[4] not in ("down", "neutral")]
     if wrong:
         raise ValueError(f"unknown labels: {sorted(set(wrong))}")
+    for p in raw.get("pairs") or []:
+        if more := set(p) - {"before", "after", "expect", "kind", "doc_id", "runs"}:
+            raise ValueError(f"unknown keys of a pair: {sorted(more)}")
     return {"documents": spark.createDataFrame(docs, "path string, question_id string, expected string"), "pairs": spark.createDataFrame(pairs, "pair_id int, before string, after string, question_id string, expected string, kind string")}
 
 
 def preset(text: str) -> list[tuple]:
-    """Question rows of a preset in YAML, in the shape of the fixed ones."""
+    """Question rows of a preset in YAML, in the shape of the fixed ones; last comes what else a question has (instructions, max_drop)."""
     import yaml
 
     raw = yaml.safe_load(text)
     out = []
     for q, c in (raw.get("questions") or {}).items():
         criteria = c.get("criteria") or []
-        out.append((raw["name"], q, c["type"], c.get("label"), c.get("weight"), c.get("min_threshold"), c.get("max_threshold"), c.get("preflight"), bool(c.get("advisory", False)), list(criteria)))
+        more = {k: c[k] for k in ("instructions", "max_drop") if k in c}
+        out.append((raw["name"], q, c["type"], c.get("label"), c.get("weight"), c.get("min_threshold"), c.get("max_threshold"), c.get("preflight"), bool(c.get("advisory", False)), list(criteria), more))
     return out
 
 
 def unknown_questions(label_rows: DataFrame, question: DataFrame) -> DataFrame:
     """Labelled ids that the preset lacks, or that are choices; must be empty."""
-    return label_rows.join(F.broadcast(question.where("type <> 'choice'")), "question_id", "left_anti")
+    return label_rows.join(question.where("type <> 'choice'"), "question_id", "left_anti")
 
 
 def baseline(spark: SparkSession, path: str, preset_name: str) -> DataFrame:
@@ -76,16 +126,31 @@ def image_references(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(plain, F.lit(r"!\[[^\]]*\]\(\s*<?([^)\s>]+)"), 1), F.regexp_extract_all(plain, F.lit(r"(?i)<img[^>]*\ssrc=[\"']([^\"']+)"), 1))
 
 
+def pictures(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Image files below folders: path as documents of the folder refer to it, content, length."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(IMAGE_TYPES)}}}")
+    parts = []
+    for folder in folders:
+        root = str(Path(folder).absolute()) + "/"
+        below = F.replace(F.regexp_replace("path", "^file:/+", "/"), F.lit(root), F.lit(""))
+        parts.append(reader.load(root).select(below.alias("path"), "content", "length"))
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["path"])
+
+
 def images(docs: DataFrame, files: DataFrame, most: int = IMAGES_EACH) -> DataFrame:
-    """First ``most`` usable local images of each document; ``files`` is a binaryFile source with a path relative to the documents."""
+    """First ``most`` usable images of each document, local ones and those written out as data; ``files`` is a binaryFile source with a path relative to the documents."""
     from pyspark.sql import Window
 
     refs = docs.select("doc_id", F.posexplode(image_references(F.col("text"))).alias("ord", "source")).where(~F.col("source").rlike("^(?i)https?:"))
+    inline = r"^data:(image/(?:png|jpeg|gif|webp));base64,([A-Za-z0-9+/=]+)$"
+    given = refs.where(F.col("source").rlike(inline)).select("doc_id", "ord", F.lit("data:").alias("source"), F.regexp_extract("source", inline, 1).alias("mime_type"), F.floor(F.length(F.regexp_extract("source", inline, 2)) * 3 / 4).alias("byte_size"), F.col("source").alias("data_url"))
     kind = F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1))
     mime = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in IMAGE_TYPES.items()])
-    found = refs.withColumn("mime_type", mime).where("mime_type is not null").join(files.select(F.col("path").alias("source"), "content", "length"), "source").where(F.col("length") <= IMAGE_BYTES)
+    found = refs.withColumn("mime_type", mime).where("mime_type is not null").join(files.select(F.col("path").alias("source"), "content", "length"), "source")
+    coded = F.concat(F.lit("data:"), "mime_type", F.lit(";base64,"), F.base64("content")).alias("data_url")
+    found = found.select("doc_id", "ord", "source", "mime_type", F.col("length").alias("byte_size"), coded).unionByName(given).where(F.col("byte_size") <= IMAGE_BYTES)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
-    return found.withColumn("nth", nth).where(F.col("nth") <= min(most, IMAGES_MOST)).select("doc_id", "ord", "source", "mime_type", F.col("length").alias("byte_size"), F.concat(F.lit("data:"), "mime_type", F.lit(";base64,"), F.base64("content")).alias("data_url"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= min(most, IMAGES_MOST)).drop("nth")
 
 
 def score_pairs(raw: DataFrame, texts: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.md").write_text("one\ntwo")
     (tmp_path / "build").mkdir()
     (tmp_path / "build" / "b.md").write_text("no")
-    df = files.text_files(spark, [str(tmp_path / "*.md"), str(tmp_path / "build" / "*.md")])
+    df = files.text_files(spark, [str(tmp_path / "*.md"), str(tmp_path / "*" / "*.md")])
     assert [(r.filename, r.text) for r in df.collect()] == [("a.md", "one\ntwo")]
     got = files.labels(spark, "preset: safety\ndocuments:\n- path: x\n  expect: {has_pii: present, tone: absent}\npairs:\n- {before: a, after: b, expect: {clarity: down}, kind: k}\n")
     assert got["documents"].count() == 2 and got["pairs"].first().kind == "k"
