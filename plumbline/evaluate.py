@@ -186,7 +186,7 @@ def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], ro
     found = found.withColumn("_candidates", first).withColumn("_asked", F.filter("_candidates", lambda s: decide.needs_question(s["kind"], lambda c: s[c])))
     requests = _requests(found, rows, max_chars, overlap, batch, mask)
     answers = materialise(decide.provider_answers(requests, make_provider, definitions(rows), pause=pause))
-    pooled = answers.groupBy("doc_id", "question_id").agg(F.max("probability").alias("value"), F.max("choice").alias("choice"), F.max("error").alias("error"))
+    pooled = decide.pooled(answers)
     valued = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("question_id", c))))
     by_doc = pooled.groupBy("doc_id").agg(valued("value").alias("_answers"), valued("choice").alias("_choices"), F.max("error").alias("_error"))
     calls = requests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_calls"))

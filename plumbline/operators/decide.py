@@ -158,6 +158,11 @@ def provider_answers(requests: DataFrame, make: Callable[[], object], known: dic
     return requests.select("doc_id", "questions", "state", images).mapInPandas(run, ANSWERS)
 
 
+def pooled(answers: DataFrame) -> DataFrame:
+    """One row a document and question: over its chunks the largest value, the last choice in order, and an error if there is one."""
+    return answers.groupBy("doc_id", "question_id").agg(F.max("probability").alias("value"), F.max("choice").alias("choice"), F.max("error").alias("error"))
+
+
 def usage(answers: DataFrame) -> DataFrame:
     """Tokens of each document; null where none were counted."""
     total = lambda c: F.nullif(F.sum(c), F.lit(0).cast("long")).alias(c)

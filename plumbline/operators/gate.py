@@ -42,6 +42,12 @@ def verdicts(gated_answers: DataFrame) -> DataFrame:
     return gated_answers.groupBy("doc_id").agg(F.count_if(F.col("level") == "error").alias("violations"), F.count_if(F.col("level") == "warning").alias("warnings"), (F.count_if(F.col("level") == "error") == 0).alias("passed"))
 
 
+def violations(gated_answers: DataFrame) -> DataFrame:
+    """(doc_id, rule, source) of all breaches: those over a maximum (1) and those under a minimum (2)."""
+    of = lambda breach, n: gated_answers.where(F.col("breach") == breach).select("doc_id", F.col("question_id").alias("rule"), F.lit(n).alias("source"))
+    return of("above_max", 1).unionByName(of("below_min", 2))
+
+
 def overridden(answers: DataFrame, counters: DataFrame) -> DataFrame:
     """Preflight: found credentials force has_secrets to 1, found free mail forces has_pii to 1."""
     found = answers.join(counters.select("doc_id", "credentials", F.coalesce(F.try_element_at("by_type", F.lit("email_free_mail")), F.lit(0)).alias("free_mail")), "doc_id", "left")

@@ -231,6 +231,11 @@ def all_passed(criterion_rows: DataFrame, group_rows: DataFrame, criteria: Crite
     return criteria.group_by != "kind" or not group_rows.where("passed = false").limit(1).count()
 
 
+def least_detected(labels: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """(keys, min_detected): how many of the absent labels of a split must be found, rounded up."""
+    return labels.groupBy(*keys).agg(F.ceil(F.lit(share) * F.count_if(F.col("expected") == "absent")).cast("long").alias("min_detected"))
+
+
 def unplaced_warning(message: Column) -> Column:
     """Warnings that something masked was found in none of a document's chunks."""
     return message.contains("not found in any") & message.contains("chunk")

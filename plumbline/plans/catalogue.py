@@ -5,14 +5,19 @@ Values that a decision provider would give are derived from ids (``VALUE``), so
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import evaluate
 from ..functions import features as X
 from ..functions import fixed as V
 from ..operators import baseline, chunks, corpus, decide, gate, report, spans, stats, validate
+from ..sources import files
+from ..streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,72 +88,6 @@ def q_ip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("ip_type", X.ipv4_type(F.col("v"))).where("ip_type is not null").groupBy("ip_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("addresses"))
 
 
-@query(
-    "q_secret_kv",
-    f"""
-    WITH m AS (SELECT lang, unnest(regexp_extract_all(text, '{TOKEN}')) AS v FROM documents),
-    s AS (SELECT lang, regexp_extract(v, '"([^"]*)"', 1) AS x FROM m)
-    SELECT lang, CAST(length(x) AS INTEGER) AS value_length, regexp_matches(x, '[a-z]') AS has_lower, regexp_matches(x, '[A-Z]') AS has_upper,
-           regexp_matches(x, '[0-9]') AS has_digit, contains(lower(x), 'xxx') OR contains(lower(x), 'dummy') AS placeholder, count(*) AS n
-    FROM s GROUP BY ALL""",
-)
-def q_secret_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("v"))
-    x = F.regexp_extract("v", '"([^"]*)"', 1)
-    s = m.select("lang", x.alias("x"))
-    return s.groupBy("lang", F.length("x").alias("value_length"), F.col("x").rlike("[a-z]").alias("has_lower"), F.col("x").rlike("[A-Z]").alias("has_upper"), F.col("x").rlike("[0-9]").alias("has_digit"), (F.lower("x").contains("xxx") | F.lower("x").contains("dummy")).alias("placeholder")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    "q_placeholder_numbering",
-    rf"""
-    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{IPV4}')) AS v, generate_subscripts(regexp_extract_all(text, '{IPV4}'), 1) AS place FROM documents),
-    f AS (SELECT doc_id, v, min(place) AS first, count(*) AS occurrences FROM m GROUP BY doc_id, v)
-    SELECT doc_id, '[IP_' || CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS VARCHAR) || ']' AS placeholder, occurrences FROM f""",
-)
-def q_placeholder_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(IPV4), 0)).alias("at", "v"))
-    f = m.groupBy("doc_id", "v").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("occurrences"))
-    n = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first"))
-    return f.select("doc_id", F.concat(F.lit("[IP_"), n.cast("string"), F.lit("]")).alias("placeholder"), "occurrences")
-
-
-_COUNTED = f"""
-    WITH c AS (SELECT doc_id, lang, len(regexp_extract_all(text, '{EMAIL}')) AS emails, len(regexp_extract_all(text, '{IPV4}')) AS ips,
-                      len(list_filter(regexp_extract_all(text, '{IPV4}'), lambda v: regexp_matches(v, '{_EXAMPLE_IP}'))) AS example_ips,
-                      len(regexp_extract_all(text, '{TOKEN}')) AS secrets FROM documents)"""
-
-
-@query(
-    "q_redaction_counters",
-    _COUNTED + " SELECT doc_id, emails + ips + secrets AS total, CAST(0 AS BIGINT) AS credentials, emails + ips - example_ips AS pii FROM c WHERE emails + ips + secrets > 0",
-)
-def q_redaction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.candidates(table(spark, sf_dir, "documents"))
-    return spans.counters(found).select("doc_id", "total", "credentials", "pii")
-
-
-@query(
-    "q_mask_plain",
-    rf"""
-    SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{IPV4}', '[IP]', 'g')) AS masked_sha256 FROM documents""",
-)
-def q_mask_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masked = F.regexp_replace(F.regexp_replace("text", EMAIL, "[EMAIL]"), IPV4, "[IP]")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(masked, 256).alias("masked_sha256"))
-
-
-@query("q_masked_text")
-def q_masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", spans.scan(F.col("text")).alias("s"))
-    return found.select("doc_id", F.size("s.spans").alias("n_spans"), F.sha2("s.masked", 256).alias("masked_sha256"))
-
-
-@query("q_span_positions")
-def q_span_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.candidates(table(spark, sf_dir, "documents")).select("doc_id", "kind", "type", "start", "end", "line", "column", "end_line", "end_column", "placeholder")
-
-
 _OFFLINE = f"""
     WITH m AS (
       SELECT doc_id, lang, 'email' AS kind, 'undecided' AS outcome, unnest(regexp_extract_all(text, '{EMAIL}')) AS v FROM documents
@@ -238,18 +177,6 @@ def q_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("lang", "was_truncated", "chunks", "planned_calls").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("q_chunks")
-def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.chunks(F.col("text"), 2000, 200)).alias("chunk", "c"))
-    return c.select("doc_id", "chunk", F.col("c.start").alias("start"), F.length("c.text").alias("n_chars"), F.sha2("c.text", 256).alias("chunk_sha256"))
-
-
-@query("q_chunk_max_pool", """
-    SELECT conv_id, max((length(text) * 37 % 101) / 100.0::DOUBLE) AS pooled, count(*) AS chunks, count(DISTINCT role) AS roles FROM conversations GROUP BY conv_id""")
-def q_chunk_max_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.length("text") * 37 % 101 / 100.0).alias("pooled"), F.count(F.lit(1)).alias("chunks"), F.count_distinct("role").alias("roles"))
-
-
 # Gate
 
 
@@ -304,16 +231,6 @@ def q_score_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("score", F.round(gate.normalised_score(F.col("score"), 4), 6).alias("normalised")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_preflight_override", f"""
-    WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)@(gmail|yahoo)\\.com')) AS free FROM documents)
-    SELECT l.doc_id, q AS question_id, CASE WHEN q = 'has_pii' AND free > 0 THEN 1.0 ELSE ((l.doc_id * 37 + i * 11) % 101) / 100.0::DOUBLE END AS value
-    FROM labels l JOIN c USING (doc_id), {_values([("has_secrets", 0), ("has_pii", 1)], "q, i")}""")
-def q_preflight_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.counters(spans.candidates(table(spark, sf_dir, "documents")))
-    answers = _gate_answers(spark, sf_dir).where(F.col("question_id").isin("has_secrets", "has_pii"))
-    return gate.overridden(answers, found).select("doc_id", "question_id", "value")
-
-
 # Validation
 
 
@@ -576,11 +493,6 @@ def q_noise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.noise_stats(pairs, "question_id").select("question_id", "n", *[F.round(c, 6).alias(c) for c in ("mean_diff", "max_diff", "p99")])
 
 
-@query("q_run_median", f"WITH r AS ({_RUNS}) SELECT doc_id, round(median(v), 6) AS median_value FROM r GROUP BY doc_id")
-def q_run_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).groupBy("doc_id").agg(F.round(F.median("value"), 6).alias("median_value"))
-
-
 # Baseline
 
 
@@ -622,17 +534,6 @@ def q_exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(~X.path_excluded(F.col("path"), ["de", "*.html"]) & ~X.default_ignored(F.col("path"))).select("page_id")
 
 
-@query("q_semi_changed", "SELECT d.source, count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) GROUP BY d.source")
-def q_semi_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changed = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").join(changed, "doc_id", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("q_missing_answers", "SELECT d.lang, count(*) AS missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY d.lang")
-def q_missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("missing"))
-
-
 # Corpus
 
 
@@ -657,26 +558,6 @@ def q_heuristic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heuristics(spark, sf_dir)
 
 
-@query("q_diff_rule", """
-    WITH d AS (SELECT lang, length(text) AS n, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents)
-    SELECT lang, count(*) AS n, count(*) FILTER (WHERE abs(n - lines * 20 - n) > 0.1 * n) AS down FROM d GROUP BY lang""")
-def q_diff_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edited text has a line of 20 characters more for each line break, behind the whole text."""
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    d = table(spark, sf_dir, "documents").select("lang", "text", F.concat("text", F.repeat(F.lit("\nadds nothing to it."), lines)).alias("after"))
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(corpus.diff_rule(F.col("text"), F.col("after"))).alias("down"))
-
-
-@query("q_diff_agreement")
-def q_diff_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the rule agrees with what each kind of edit is: a degradation or neutral."""
-    kinds = ["shuffled", "no_headings", "padded", "removed_middle", "swap_sections", "unrelated_addition"]
-    m = _markdown(spark, sf_dir).select("text", *[corpus.variant(F.col("text"), k).alias(k) for k in kinds])
-    edits = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit("down" if i < 4 else "neutral").alias("expected"), corpus.diff_rule(F.col("text"), F.col(k)).alias("down")) for i, k in enumerate(kinds)])
-    e = m.select(F.inline(edits))
-    return e.groupBy("kind", "expected").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("down") == (F.col("expected") == "down")).alias("agrees"))
-
-
 @query("q_holdout_split", """
     WITH s AS (SELECT lang, source, count(*) AS size FROM documents GROUP BY ALL),
     o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY lang ORDER BY sha256('corpus:' || source), source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER (PARTITION BY lang) AS total FROM s)
@@ -699,12 +580,6 @@ def q_project_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.over_cap(table(spark, sf_dir, "documents"), ["lang", "source"])
 
 
-@query("q_min_detected", "SELECT lang, CAST(ceil(0.8 * count(*) FILTER (WHERE quality = 0)) AS BIGINT) AS min_detected FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
-def q_min_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    return j.groupBy("lang").agg(F.ceil(F.lit(0.8) * F.count_if(F.col("quality") == 0)).cast("long").alias("min_detected"))
-
-
 @query("q_dedup_content_hash", "SELECT sha256(text || '::' || lang) AS cache_key, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1")
 def q_dedup_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("::", "text", "lang"), 256).alias("cache_key"))
@@ -743,29 +618,9 @@ def q_line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", F.col("p.line").alias("line"), F.col("p.column").alias("col"))
 
 
-@query("q_union_violations", _GATE_SQL + """
-    , b AS (SELECT doc_id, q AS rule, 1 AS source FROM a WHERE v > hi UNION ALL SELECT doc_id, q, 2 FROM a WHERE v < lo)
-    SELECT rule, min(source) AS first_source, count(DISTINCT doc_id) AS documents FROM b GROUP BY rule""")
-def q_union_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _gated(spark, sf_dir)
-    high = g.where("breach = 'above_max'").select("doc_id", F.col("question_id").alias("rule"), F.lit(1).alias("source"))
-    low = g.where("breach = 'below_min'").select("doc_id", F.col("question_id").alias("rule"), F.lit(2).alias("source"))
-    return high.unionByName(low).groupBy("rule").agg(F.min("source").alias("first_source"), F.count_distinct("doc_id").alias("documents"))
-
-
-@query("q_token_usage", "SELECT role, CAST(nullif(sum(length(text)), 0) AS BIGINT) AS input_tokens, count(*) AS calls FROM conversations GROUP BY role")
-def q_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.nullif(F.sum(F.length("text").cast("long")), F.lit(0).cast("long")).alias("input_tokens"), F.count(F.lit(1)).alias("calls"))
-
-
 # Reports and variants
 
 
-@query("q_json_report")
-def q_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.json_rows(gate.verdicts(_gated(spark, sf_dir)))
-
-
 @query("q_annotations", _GATE_SQL + " SELECT '::' || CASE WHEN warns THEN 'warning' ELSE 'error' END || ' file=doc-' || CAST(doc_id AS VARCHAR) || ',line=1::' || q || ' fails' AS line FROM a WHERE v < lo OR v > hi")
 def q_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _gated(spark, sf_dir).where("level is not null")
@@ -777,29 +632,563 @@ def q_pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.pivoted(_gate_answers(spark, sf_dir), ["has_secrets", "has_pii", "clarity"])
 
 
+@query("q_changed_lines")
+def q_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _markdown(spark, sf_dir).withColumn("after", corpus.variant(F.col("text"), "removed_middle"))
+    return m.select("doc_id", corpus.changed_lines(F.col("text"), F.col("after")).alias("changed"))
+
+
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## Part "), i.cast("string"), F.lit("\n"), x)).otherwise(x))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
 
 
-@query("q_ablation")
+# What the scan finds, on whole texts with a line put behind them whose content goes by the id
+
+
+def _behind(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
+    """Documents with a line behind their text."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
+
+
+#: Prefixes of credentials, in parts so that no file holds a whole one.
+_PARTS = [("AK", "IA"), ("gh", "p_"), ("sk", "_live_"), ("sk", "-"), ("apikey", "_"), ("Bea", "rer "), ("-----BEGIN RSA PRIV", "ATE KEY-----"), ("xo", "xb-"), ("gh", "p_example")]
+_CREDENTIAL_TYPES = ["aws_key", "github_token", "secret_key", "secret_key", "api_key", "bearer_token", "private_key", "slack_token", "example_github_token"]
+_CREDENTIAL_PLACES = ["[REDACTED_AWS_KEY]", "[REDACTED_GH_TOKEN]", "[REDACTED_SECRET_KEY]", "[REDACTED_SECRET_KEY]", "[REDACTED_API_KEY]", "Bearer [REDACTED_TOKEN]", "[REDACTED_PRIVATE_KEY]", "[REDACTED_SLACK_TOKEN]", "[EXAMPLE_GH_TOKEN]"]
+_CREDENTIAL_SQL = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{a}' || '{b}' || " + ("upper(left(h, 16))" if i == 0 else "''" if i == 6 else "h || left(h, 8)") for i, (a, b) in enumerate(_PARTS)) + " END"
+
+
+def _case(column: str, values: list) -> str:
+    show = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else "NULL" if v is None else str(v)
+    return f"CASE {column} " + " ".join(f"WHEN {i} THEN {show(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _picked(column: Column, values: list[Column]) -> Column:
+    out = F.lit(None)
+    for i, v in reversed(list(enumerate(values))):
+        out = F.when(column == i, v).otherwise(out)
+    return out
+
+
+def _credential() -> Column:
+    h = F.md5(F.col("doc_id").cast("string"))
+    tail = lambda i: F.upper(F.left(h, F.lit(16))) if i == 0 else F.lit("") if i == 6 else F.concat(h, F.left(h, F.lit(8)))
+    return _picked(F.col("doc_id") % 9, [F.concat(F.lit(a + b), tail(i)) for i, (a, b) in enumerate(_PARTS)])
+
+
+_WITH_CREDENTIAL = f"""
+    WITH k AS (SELECT doc_id, lang, coalesce(text, '') AS text, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    c AS (SELECT *, {_CREDENTIAL_SQL} AS v FROM k)"""
+_NEW_LINE = "length(text) - length(replace(text, chr(10), '')) + 2"
+
+
+@query("q_scan_credentials", _WITH_CREDENTIAL + f"""
+    SELECT doc_id, {_case("doc_id % 9", _CREDENTIAL_TYPES)} AS type, {_case("doc_id % 9", _CREDENTIAL_PLACES)} AS placeholder, doc_id % 9 = 8 AS is_example,
+           CAST(length(text) + 5 AS INTEGER) AS start, CAST(length(text) + 5 + length(v) AS INTEGER) AS end, CAST({_NEW_LINE} AS INTEGER) AS line, 5 AS "column", CAST(5 + length(v) AS INTEGER) AS end_column FROM c""")
+def q_scan_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.candidates(_behind(spark, sf_dir, F.concat(F.lit("key "), _credential(), F.lit(" end")))).where("kind = 'credential'")
+    return found.select("doc_id", "type", "placeholder", "is_example", "start", "end", "line", "column", "end_column")
+
+
+_EMAIL_ROLE = f"(l IN ({_quoted(V.ROLE_WORDS)}) OR {' OR '.join("starts_with(l, '" + a + "') OR ends_with(l, '" + a + "')" for a in V.ROLE_AFFIXES)})"
+_PRIVATE_IP = r"'^(10|0)\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^169\.254\.|^198\.1[89]\.|^2[45]\d\.'"
+
+
+@query("q_redaction_counters", _WITH_CREDENTIAL + rf""",
+    e AS (SELECT doc_id, count(*) AS emails, count(*) FILTER (WHERE {_EMAIL_ROLE} AND d NOT IN ({_quoted(V.FREE_MAIL)})) AS roles
+          FROM (SELECT doc_id, lower(split_part(m, '@', 1)) AS l, lower(split_part(m, '@', 2)) AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS m FROM k)) GROUP BY doc_id),
+    i AS (SELECT doc_id, count(*) AS ips, count(*) FILTER (WHERE regexp_matches(m, '{_EXAMPLE_IP}')) AS example_ips, count(*) FILTER (WHERE regexp_matches(m, {_PRIVATE_IP})) AS private_ips
+          FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{IPV4}')) AS m FROM k) GROUP BY doc_id),
+    s AS (SELECT doc_id, len(regexp_extract_all(text, '{TOKEN}')) AS secrets FROM k)
+    SELECT k.doc_id, coalesce(emails, 0) + coalesce(ips, 0) + secrets + CASE WHEN k.doc_id % 9 = 8 THEN 0 ELSE 1 END AS total, CAST(CASE WHEN k.doc_id % 9 = 8 THEN 0 ELSE 1 END AS BIGINT) AS credentials,
+           coalesce(emails, 0) + coalesce(ips, 0) - coalesce(example_ips, 0) AS pii, coalesce(emails, 0) - coalesce(roles, 0) + coalesce(private_ips, 0) AS pii_personal, coalesce(roles, 0) AS pii_role,
+           coalesce(example_ips, 0) + CASE WHEN k.doc_id % 9 = 8 THEN 1 ELSE 0 END AS examples
+    FROM k LEFT JOIN e ON k.doc_id = e.doc_id LEFT JOIN i ON k.doc_id = i.doc_id JOIN s ON k.doc_id = s.doc_id""")
+def q_redaction_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.candidates(_behind(spark, sf_dir, F.concat(F.lit("key "), _credential(), F.lit(" end"))))
+    return spans.counters(found).select("doc_id", "total", "credentials", "pii", "pii_personal", "pii_role", "examples")
+
+
+@query("q_preflight_override", f"""
+    WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)@(gmail|yahoo)\\.com')) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS free FROM documents)
+    SELECT l.doc_id, q AS question_id, CASE WHEN q = 'has_secrets' AND l.doc_id % 9 <> 8 THEN 'credentials' WHEN q = 'has_pii' AND free > 0 THEN 'pii' END AS overridden_by,
+           CASE WHEN q = 'has_secrets' AND l.doc_id % 9 <> 8 OR q = 'has_pii' AND free > 0 THEN 1.0 ELSE ((l.doc_id * 37 + i * 11) % 101) / 100.0::DOUBLE END AS value
+    FROM labels l JOIN c USING (doc_id), {_values([("has_secrets", 0), ("has_pii", 1)], "q, i")}""")
+def q_preflight_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mail = F.when(F.col("doc_id") % 2 == 0, F.lit(" ann@yahoo.com")).otherwise("")
+    found = spans.counters(spans.candidates(_behind(spark, sf_dir, F.concat(F.lit("key "), _credential(), F.lit(" end"), mail))))
+    answers = _gate_answers(spark, sf_dir).where(F.col("question_id").isin("has_secrets", "has_pii"))
+    return gate.overridden(answers, found).select("doc_id", "question_id", "overridden_by", "value")
+
+
+_URLS = ["https://wiki.corp/a?b=1", "http://localhost:8080/x", "https://api.example.com/v", "https://github.com/o/r", "ldap://dir.intra/x", "https://site.org/p"]
+_URL_TYPES = ["url_internal", "example_url", "example_url", "example_url", "url_internal", "url_public"]
+
+
+@query("q_scan_urls", f"""
+    WITH u AS (SELECT doc_id, coalesce(text, '') AS text, {_case("doc_id % 6", _URLS)} AS v FROM documents)
+    SELECT doc_id, '[URL_1]' AS placeholder, {_case("doc_id % 6", _URL_TYPES)} AS type, doc_id % 6 IN (1, 2) AS is_example_domain, doc_id % 6 IN (0, 4) AS is_internal_tld, doc_id % 6 = 3 AS is_public_common,
+           {_case("doc_id % 6", [".corp", None, None, None, ".intra", None])} AS suffix_class, CAST(length(text) + 5 AS INTEGER) AS start, CAST(length(text) + 5 + length(v) AS INTEGER) AS end FROM u""")
+def q_scan_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = _picked(F.col("doc_id") % 6, [F.lit(u) for u in _URLS])
+    found = spans.candidates(_behind(spark, sf_dir, F.concat(F.lit("see "), url, F.lit(".), end")))).where("kind = 'url'")
+    return found.select("doc_id", "placeholder", "type", "is_example_domain", "is_internal_tld", "is_public_common", "suffix_class", "start", "end")
+
+
+_PHONES = ["+81 90-1234-5678", "1-800-555-0199", "090-1234-5678", "0120-123-456", "03-1234-5678"]
+
+
+@query("q_scan_phones", f"""
+    WITH u AS (SELECT doc_id, coalesce(text, '') AS text, {_case("doc_id % 5", _PHONES)} AS v FROM documents)
+    SELECT doc_id, '[PHONE_1]' AS placeholder, CASE WHEN doc_id % 5 IN (1, 3, 4) THEN 'phone_support' ELSE 'phone_personal' END AS type, {_case("doc_id % 5", ["international", "US", "JP", "JP", "JP"])} AS country_format,
+           doc_id % 5 IN (1, 3) AS is_support_prefix, doc_id % 5 = 4 AS near_support_keyword, doc_id % 5 = 2 AS is_mobile, CAST(length(text) + 62 + CASE WHEN doc_id % 5 = 4 THEN 8 ELSE 0 END AS INTEGER) AS start, CAST(length(v) AS INTEGER) AS n_chars FROM u""")
+def q_scan_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = _picked(F.col("doc_id") % 5, [F.lit(p) for p in _PHONES])
+    near = F.when(F.col("doc_id") % 5 == 4, "support ").otherwise("")
+    found = spans.candidates(_behind(spark, sf_dir, F.concat(F.lit("." * 60 + " "), near, number, F.lit(" " + "." * 60)))).where("kind = 'phone'")
+    return found.select("doc_id", "placeholder", "type", "country_format", "is_support_prefix", "near_support_keyword", "is_mobile", "start", (F.col("end") - F.col("start")).alias("n_chars"))
+
+
+@query("q_scan_overlap", """
+    WITH u AS (SELECT doc_id, length(coalesce(text, '')) + 1 AS p, length(CAST(doc_id AS VARCHAR)) AS n FROM documents)
+    SELECT doc_id, 'secret' AS kind, CAST(p AS INTEGER) AS start, CAST(p + 21 + n AS INTEGER) AS end FROM u
+    UNION ALL SELECT doc_id, 'url', CAST(p + 26 + n AS INTEGER), CAST(p + 45 + n AS INTEGER) FROM u""")
+def q_scan_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An address in a secret and an IP in a URL are no spans of their own."""
+    line = F.concat(F.lit("password=ann"), F.col("doc_id").cast("string"), F.lit("@mail.org see http://10.0.0.5/x/y end"))
+    docs = _behind(spark, sf_dir, line).withColumn("n", F.length("text") - F.length(line))
+    return spans.candidates(docs, keep=("doc_id", "n")).where("start >= n").select("doc_id", "kind", "start", "end")
+
+
+@query("q_secret_features", f"""
+    WITH m AS (SELECT lang, unnest(regexp_extract_all(text, '{TOKEN}')) AS v FROM documents),
+    s AS (SELECT lang, regexp_extract(v, '"([^"]*)"', 1) AS x FROM m)
+    SELECT lang, 'token' AS key_name, CAST(length(x) AS INTEGER) AS value_length, regexp_matches(x, '[a-z]') AS has_lower, regexp_matches(x, '[A-Z]') AS has_upper, regexp_matches(x, '[0-9]') AS has_digit,
+           {" OR ".join(f"contains(lower(x), '{w}')" for w in V.SECRET_PLACEHOLDERS)} AS placeholder_syntax, false AS is_known_format, count(*) AS n
+    FROM s GROUP BY ALL""")
+def q_secret_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.candidates(table(spark, sf_dir, "documents"), keep=("doc_id", "lang")).where("kind = 'secret'")
+    has = lambda c: F.array_contains("character_classes", c).alias(f"has_{c}")
+    return found.groupBy("lang", F.lower("key_name").alias("key_name"), "value_length", has("lower"), has("upper"), has("digit"), "placeholder_syntax", "is_known_format").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_placeholder_numbering", rf"""
+    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{IPV4}')) AS v, generate_subscripts(regexp_extract_all(text, '{IPV4}'), 1) AS place FROM documents),
+    f AS (SELECT doc_id, v, min(place) AS first, count(*) AS occurrences FROM m GROUP BY doc_id, v)
+    SELECT doc_id, '[IP_' || CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS VARCHAR) || ']' AS placeholder, occurrences FROM f""")
+def q_placeholder_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.candidates(table(spark, sf_dir, "documents")).where("kind = 'ip'")
+    return found.groupBy("doc_id", "placeholder").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+_MASKED = rf"regexp_replace(regexp_replace(regexp_replace(text, '(?i)(token)\s*=\s*\"[^\"\n]*\"', '\1=[SECRET]', 'g'), '{EMAIL}', '[EMAIL]', 'g'), '{IPV4}', '[IP]', 'g')"
+
+
+@query("q_masked_text", f"""
+    SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL}')) + len(regexp_extract_all(text, '{IPV4}')) + len(regexp_extract_all(text, '{TOKEN}')) AS INTEGER) AS n_spans, sha256({_MASKED}) AS masked_sha256 FROM documents""")
+def q_masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked text, its placeholders without their numbers."""
+    found = table(spark, sf_dir, "documents").select("doc_id", spans.scan(F.col("text")).alias("s"))
+    plain = F.regexp_replace("s.masked", r"\[(EMAIL|IP|SECRET)_\d+\]", "[$1]")
+    return found.select("doc_id", F.size("s.spans").alias("n_spans"), F.sha2(plain, 256).alias("masked_sha256"))
+
+
+def _places_sql(kind: str, pattern: str) -> str:
+    return f"SELECT doc_id, text, '{kind}' AS kind, regexp_split_to_array(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS ms FROM documents"
+
+
+@query("q_span_positions", f"""
+    WITH s AS ({_places_sql("email", EMAIL)} UNION ALL {_places_sql("ip", IPV4)} UNION ALL {_places_sql("secret", TOKEN)}),
+    u AS (SELECT doc_id, text, kind, parts, ms, unnest(generate_series(1, len(ms))) AS k FROM s WHERE len(ms) > 0),
+    p AS (SELECT doc_id, text, kind, list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k-1], lambda x: length(x))), 0) AS a, length(ms[k]) AS n FROM u),
+    b AS (SELECT doc_id, kind, a, a + n AS z, left(text, CAST(a AS BIGINT)) AS before, left(text, CAST(a + n AS BIGINT)) AS whole FROM p)
+    SELECT doc_id, kind, CAST(a AS INTEGER) AS start, CAST(z AS INTEGER) AS end, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(list_last(string_split(before, chr(10)))) + 1 AS INTEGER) AS "column",
+           CAST(length(whole) - length(replace(whole, chr(10), '')) + 1 AS INTEGER) AS end_line, CAST(length(list_last(string_split(whole, chr(10)))) + 1 AS INTEGER) AS end_column FROM b""")
+def q_span_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.candidates(table(spark, sf_dir, "documents")).select("doc_id", "kind", "start", "end", "line", "column", "end_line", "end_column")
+
+
+@query("q_token_containment", """
+    SELECT doc_id, true AS in_whole, doc_id % 2 = 0 AS in_part, false AS in_longer FROM documents""")
+def q_token_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an unmasked part holds the value that a placeholder of the whole stands for: itself, not a longer one."""
+    own = F.concat(F.lit("u"), F.col("doc_id").cast("string"), F.lit("@one.org"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(own, F.lit(" "), F.coalesce("text", F.lit(""))).alias("whole"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("see "), F.upper(own))).otherwise("none").alias("part"), F.concat(F.lit("x"), own).alias("longer"))
+    hashed = docs.select("doc_id", *[spans.token_hashes(F.col(c) if c == "whole" else F.lower(c)).alias(c) for c in ("whole", "part", "longer")])
+    name = F.lit("[EMAIL_1]")
+    return hashed.select("doc_id", *[spans.placed(name, F.col("whole"), F.col(c)).alias(f"in_{c}") for c in ("whole", "part", "longer")])
+
+
+# Reports of evaluations
+
+
+@query("q_offline_report", f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    m AS (SELECT doc_id, CAST(len(list_filter(list_distinct(regexp_extract_all(text, '{IPV4}')), lambda v: regexp_matches(v, {_PRIVATE_IP}))) AS BIGINT) AS ips FROM t)
+    SELECT doc_id, ips + CASE WHEN doc_id % 5 IN (0, 2) THEN 1 ELSE 0 END AS n_violations, ips = 0 AND doc_id % 5 NOT IN (0, 2) AS passed,
+           CASE WHEN doc_id % 5 IN (0, 2) THEN 'PII Exposure: [PHONE_1] is an individual phone number' END AS phone, 'offline-rules' AS model FROM m""")
+def q_offline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows of the rules, each message once however often a value occurs."""
+    number = _picked(F.col("doc_id") % 5, [F.lit(p) for p in _PHONES])
+    near = F.when(F.col("doc_id") % 5 == 4, "support ").otherwise("")
+    line = F.concat(F.lit("." * 60 + " "), near, number, F.lit(" " + "." * 60 + " "), near, number, F.lit(" " + "." * 60))
+    r = evaluate.offline(_behind(spark, sf_dir, line), "safety")
+    phone = F.try_element_at(F.filter("violations", lambda v: v.contains("[PHONE_")), F.lit(1))
+    return r.select("doc_id", F.size("violations").cast("long").alias("n_violations"), "passed", phone.alias("phone"), "model")
+
+
+@query("q_mock_report", """
+    SELECT doc_id, 0.78::DOUBLE AS composite_score, true AS passed, true AS mock, 0.78::DOUBLE AS has_test_plan FROM documents""")
+def q_mock_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = evaluate.mock(table(spark, sf_dir, "documents").select("doc_id", "text"), "tech-spec")
+    return r.select("doc_id", F.round("composite_score", 9).alias("composite_score"), "passed", "mock", F.col("answers")["has_test_plan"].alias("has_test_plan"))
+
+
+class LengthProvider:
+    """A provider whose answers go by the length of what it is given; it fails on every 17th length."""
+
+    def decide(self, state: dict, questions: dict) -> dict:
+        n = len(state["document"])
+        if n % 17 == 0:
+            raise RuntimeError("refused")
+        given = {"score": {"score": 2 * (n % 101) / 100}, "noul": (n % 101) / 100, "choice": {"choice": "informal" if n % 2 else "professional"}}
+        return {q: given[d["type"]] for q, d in questions.items()} | {"_usage": {"input_tokens": n, "output_tokens": n % 3, "model": "length"}}
+
+
+@query("q_online_report", """
+    WITH d AS (SELECT conv_id * 100 + turn AS doc_id, length(text) AS n FROM conversations), v AS (SELECT doc_id, n, round((n % 101) / 100.0::DOUBLE, 6) AS v FROM d)
+    SELECT doc_id, CASE WHEN n % 17 <> 0 THEN v END AS clarity, CASE WHEN n % 17 <> 0 THEN v END AS composite, CASE WHEN n % 17 <> 0 THEN CASE WHEN n % 2 = 1 THEN 'informal' ELSE 'professional' END END AS tone,
+           CASE WHEN n % 17 = 0 THEN 'refused' END AS error, CASE WHEN n % 17 <> 0 THEN true END AS passed, n % 17 <> 0 AND v < 0.6 AS warned,
+           CASE WHEN n % 17 <> 0 AND v < 0.6 THEN 'Clarity & Structure: score ' || printf('%.2f', v) || ' is below minimum 0.60 (warning)' END AS warning,
+           n % 17 <> 0 AND abs(v - 0.6) <= 0.1 + 1e-9 AS near, CASE WHEN n % 17 <> 0 THEN CAST(n AS BIGINT) END AS input_tokens FROM v""")
+def q_online_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as documents, asked one by one; a refused one is an error of its row."""
+    docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
+    r = evaluate.online(docs, "quality", LengthProvider, pause=0.0)
+    value = F.round(F.try_element_at("answers", F.lit("clarity")), 6)
+    return r.select("doc_id", value.alias("clarity"), F.round("composite_score", 6).alias("composite"), F.try_element_at("choices", F.lit("tone")).alias("tone"), "error", "passed", (F.size("warnings") > 0).alias("warned"), F.try_element_at("warnings", F.lit(1)).alias("warning"), F.array_contains("near_threshold", "clarity").alias("near"), "input_tokens")
+
+
+@query("q_chunk_max_pool", """
+    SELECT conv_id AS doc_id, role AS question_id, max((length(text) * 37 % 101) / 100.0::DOUBLE) AS value FROM conversations GROUP BY ALL""")
+def q_chunk_max_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as its chunks."""
+    none = F.lit(None).cast("string")
+    answers = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("question_id"), (F.length("text") * 37 % 101 / 100.0).alias("probability"), none.alias("choice"), none.alias("error"))
+    return decide.pooled(answers).select("doc_id", "question_id", "value")
+
+
+@query("q_token_usage", "SELECT conv_id AS doc_id, CAST(nullif(sum(length(text)), 0) AS BIGINT) AS input_tokens, CAST(nullif(sum(CASE WHEN conv_id % 2 = 0 THEN turn ELSE 0 END), 0) AS BIGINT) AS output_tokens FROM conversations GROUP BY conv_id")
+def q_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = F.when(F.col("conv_id") % 2 == 0, F.col("turn")).otherwise(0).cast("long")
+    answers = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.length("text").cast("long").alias("input_tokens"), out.alias("output_tokens"), F.lit("m").alias("model"))
+    return decide.usage(answers).drop("model")
+
+
+@query("q_unplaced", """
+    SELECT doc_id, doc_id % 3 = 0 AS lost, CASE WHEN doc_id % 3 = 0 THEN '1 redacted item(s) ([IP_9]) were not found in any of 2 chunks and were treated as present in every chunk; any candidate probabilities for them may be less reliable.' END AS message,
+           doc_id % 3 = 0 AS is_unplaced FROM documents""")
+def q_unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two items, one is in a chunk; the other is in none for every third document and went with a comment for the others."""
+    text = F.coalesce("text", F.lit(""))
+    items = F.array(F.struct(F.lit("[EMAIL_9]").alias("placeholder")), F.struct(F.lit("[IP_9]").alias("placeholder")))
+    gone = F.col("doc_id") % 3 != 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", items.alias("items"), F.concat(text, F.when(gone, "<!-- [IP_9] -->").otherwise("")).alias("before"), text.alias("after"), F.array(F.concat(F.lit("[EMAIL_9] "), text), text).alias("parts"))
+    names = evaluate.unplaced(F.col("items"), F.col("before"), F.col("after"), F.col("parts"))
+    message = evaluate.unplaced_message(names, F.size("parts"))
+    return docs.select("doc_id", (F.size(names) > 0).alias("lost"), message.alias("message"), F.coalesce(validate.unplaced_warning(message), F.lit(False)).alias("is_unplaced"))
+
+
+@query("q_transient", """
+    SELECT page_id, page_id % 4 <> 3 AS again FROM pages""")
+def q_transient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which failures are tried again: by status and by what went wrong, whatever URL the message names."""
+    messages = ["status 429 at ", "HTTP 503 from ", "Connection reset by ", "refused by "]
+
+    @F.pandas_udf("boolean")
+    def again(page: pd.Series, host: pd.Series) -> pd.Series:
+        return pd.Series([decide.transient(messages[p % 4] + re.sub(r"\d", "", h)) for p, h in zip(page, host, strict=True)])
+
+    return table(spark, sf_dir, "pages").select("page_id", again("page_id", X.url_host(F.col("url"))).alias("again"))
+
+
+# Gate and reports again, by the operators
+
+
+@query("q_union_violations", _GATE_SQL + """
+    , b AS (SELECT doc_id, q AS rule, 1 AS source FROM a WHERE v > hi UNION ALL SELECT doc_id, q, 2 FROM a WHERE v < lo)
+    SELECT rule, min(source) AS first_source, count(DISTINCT doc_id) AS documents FROM b GROUP BY rule""")
+def q_union_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.violations(_gated(spark, sf_dir)).groupBy("rule").agg(F.min("source").alias("first_source"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query("q_json_report", _GATE_SQL + """
+    , r AS (SELECT doc_id, count(*) FILTER (WHERE (v < lo OR v > hi) AND NOT warns) AS violations, count(*) FILTER (WHERE (v < lo OR v > hi) AND warns) AS warnings FROM a GROUP BY doc_id)
+    SELECT '{"doc_id":' || doc_id || ',"violations":' || violations || ',"warnings":' || warnings || ',"passed":' || CASE WHEN violations = 0 THEN 'true' ELSE 'false' END || '}' AS json FROM r""")
+def q_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.json_rows(gate.verdicts(_gated(spark, sf_dir)))
+
+
+@query("q_published", "SELECT lang AS preset_name, count(*) AS documents, count(*) FILTER (WHERE doc_id % 3 = 0) AS passed, count(*) FILTER (WHERE doc_id % 3 = 1) AS failed, count(*) FILTER (WHERE doc_id % 3 = 2) AS errors, round(avg(n_chars), 6) AS mean_composite FROM documents GROUP BY lang")
+def q_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("preset_name"), F.when(k == 0, True).when(k == 1, False).alias("passed"), F.when(k == 2, "refused").alias("error"), F.col("n_chars").cast("double").alias("composite_score"))
+    return report.published(rows).withColumn("mean_composite", F.round("mean_composite", 6))
+
+
+@query("q_leaks", "SELECT 'text ' || url AS line FROM pages WHERE contains(url, 'casino') OR contains(url, '/de/')")
+def q_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "pages").select(F.concat(F.lit("text "), "url").alias("line"))
+    return report.leaks(lines, ["casino", "/de/"])
+
+
+@query("q_masked_ids", "SELECT CASE WHEN lang = 'en' THEN CAST(doc_id AS VARCHAR) ELSE '(private)' END AS doc_id, count(*) AS n FROM documents GROUP BY ALL")
+def q_masked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.masked_ids(table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("lang") == "en").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_run_median", f"WITH r AS ({_RUNS}) SELECT doc_id, round(median(v), 6) AS median_value FROM r GROUP BY doc_id")
+def q_run_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.run_median(_runs(spark, sf_dir), ["doc_id"], "value").withColumn("median_value", F.round("median_value", 6))
+
+
+@query("q_semi_changed", "SELECT d.source, count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AND d.doc_id % 3 <> 2 GROUP BY d.source")
+def q_semi_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed files, of which only those that are texts by their names count."""
+    end = _picked(F.col("doc_id") % 3, [F.lit(".md"), F.lit(".TXT"), F.lit(".bin")])
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), end).alias("path")
+    listed = table(spark, sf_dir, "labels").where("toxic = 1").select(path)
+    return files.changed(table(spark, sf_dir, "documents").select("source", path), listed, explicit=False).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q_missing_answers", "SELECT d.lang, count(*) AS missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY d.lang")
+def q_missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = table(spark, sf_dir, "labels").select("doc_id", F.lit("q").alias("question_id"), F.lit(0).alias("run"), F.lit(1.0).alias("value"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    lost = validate.lost_answers(answers, docs.select("doc_id", F.lit("q").alias("question_id")), 1)
+    return lost.join(docs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query("q_min_detected", "SELECT lang, CAST(ceil(0.8 * count(*) FILTER (WHERE quality = 0)) AS BIGINT) AS min_detected FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
+def q_min_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return validate.least_detected(j.select("lang", F.when(F.col("quality") == 0, "absent").otherwise("present").alias("expected")), ["lang"], 0.8)
+
+
+# Baselines of reports
+
+
+@query("q_baseline_report", """
+    WITH b AS (SELECT doc_id, ((doc_id * 37) % 101) / 100.0::DOUBLE AS p, ((doc_id * 37 + (doc_id % 5) * 9) % 101) / 100.0::DOUBLE AS c FROM labels)
+    SELECT 'docs/' || doc_id || '.md' AS path, CASE WHEN doc_id % 4 = 3 THEN 'new' ELSE 'compared' END AS status, CASE WHEN doc_id % 4 <> 3 THEN doc_id % 2 = 0 END AS truncation_mismatch,
+           CASE WHEN doc_id % 4 <> 3 AND c - p > 0.10 THEN 'Baseline risk rise: ''has_pii'' rose by ' || printf('%.2f', c - p) || ' (prev: ' || printf('%.2f', p) || ', curr: ' || printf('%.2f', c) || ', max allowed rise: 0.10)' END AS violation,
+           NOT (doc_id % 4 <> 3 AND c - p > 0.10) AS passed FROM b""")
+def q_baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    name = F.concat(F.lit("docs/"), d.cast("string"), F.lit(".md"))
+    none = F.array().cast("array<string>")
+    now = table(spark, sf_dir, "labels").select(name.alias("path"), F.create_map(F.lit("has_pii"), (d * 37 + (d % 5) * 9) % 101 / 100.0).alias("answers"), F.lit(True).alias("was_truncated"), none.alias("violations"), none.alias("warnings"), F.lit(True).alias("passed"))
+    then = table(spark, sf_dir, "labels").where(d % 4 != 3).select(F.concat(F.lit("/repo/"), name).alias("path"), F.create_map(F.lit("has_pii"), d * 37 % 101 / 100.0).alias("answers"), (d % 2 == 1).alias("was_truncated"))
+    rows = [q for q in V.QUESTIONS if q[1] == "has_pii"]
+    r = baseline.compared(now, then, rows, root="/repo")
+    return r.select("path", F.col("baseline.status").alias("status"), F.col("baseline.truncation_mismatch").alias("truncation_mismatch"), F.try_element_at("violations", F.lit(1)).alias("violation"), "passed")
+
+
+@query("q_truncation_mismatch", """
+    SELECT 'd/' || doc_id AS path, 'Truncation status differs for ' || doc_id || ' (baseline was_truncated=' || CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END || ', current was_truncated=' || CASE WHEN doc_id % 3 = 0 THEN 'True' ELSE 'False' END || '). Scores may be shifted by truncation.' AS message
+    FROM labels WHERE (doc_id % 2 = 0) <> (doc_id % 3 = 0)""")
+def q_truncation_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("d/"), d.cast("string")).alias("path"), d.cast("string").alias("filename"), (d % 3 == 0).alias("was_truncated"), (d % 2 == 0).alias("then"))
+    return baseline.truncation_mismatch(rows.drop("then"), rows.select("path", F.col("then").alias("was_truncated")))
+
+
+@query("q_path_resolved", "SELECT page_id, '/root/' || regexp_extract(url, '://[^/?#]*/([^?#]*[^?#/])', 1) AS path FROM pages")
+def q_path_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.regexp_extract("url", "://[^/?#]*/([^?#]*[^?#/])", 1)
+    given = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("./x/../"), p)).otherwise(F.concat(F.lit("/root/./a/b/../../"), p))
+    return table(spark, sf_dir, "pages").select("page_id", baseline.resolved(given, "/root").alias("path"))
+
+
+# Texts: chunks, sections, edits
+
+
+def _chunk_end(start: str) -> str:
+    """Where a chunk of 2,000 characters that starts there ends: at the last blank line or else line break that leaves 200 of overlap."""
+    seg = f"substr(text, {start} + 201, 1800)"
+    last = lambda mark: f"{start} + 200 + length({seg}) - strpos(reverse({seg}), {mark}) + 1"
+    two, one = "chr(10) || chr(10)", "chr(10)"
+    return f"CASE WHEN {start} + 2000 >= length(text) THEN length(text) WHEN contains({seg}, {two}) THEN {last(two)} WHEN contains({seg}, {one}) THEN {last(one)} ELSE {start} + 2000 END"
+
+
+@query("q_chunks", f"""
+    WITH RECURSIVE c AS (
+      SELECT doc_id, text, 0 AS chunk, CAST(0 AS BIGINT) AS start, CAST({_chunk_end("CAST(0 AS BIGINT)")} AS BIGINT) AS fin FROM documents
+      UNION ALL
+      SELECT doc_id, text, chunk + 1, start, CAST({_chunk_end("start")} AS BIGINT) FROM (
+        SELECT doc_id, text, chunk, CAST(CASE WHEN contains(seg, chr(10) || chr(10)) THEN low + strpos(seg, chr(10) || chr(10)) + 1 WHEN contains(seg, chr(10)) THEN low + strpos(seg, chr(10)) ELSE low END AS BIGINT) AS start
+        FROM (SELECT *, substr(text, low + 1, least(low + 100, fin) - low) AS seg FROM (SELECT *, greatest(start + 1, fin - 200) AS low FROM c WHERE fin < length(text))))
+      WHERE start < length(text))
+    SELECT doc_id, chunk, CAST(start AS INTEGER) AS start, CAST(fin - start AS INTEGER) AS n_chars, sha256(substr(text, start + 1, fin - start)) AS chunk_sha256 FROM c""")
+def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks.chunks(F.col("text"), 2000, 200)).alias("chunk", "c"))
+    return c.select("doc_id", "chunk", F.col("c.start").alias("start"), F.length("c.text").alias("n_chars"), F.sha2("c.text", 256).alias("chunk_sha256"))
+
+
+_LINES = r"""
+    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+    i AS (SELECT doc_id, list_transform(a, lambda x, k: CASE WHEN (k - 1) % 3 = 0 THEN '## Part ' || (k - 1) || chr(10) || x ELSE x END) AS items,
+                 list_filter(list_transform(a, lambda x, k: CASE WHEN (k - 1) % 3 = 0 THEN CASE WHEN regexp_matches(x, '\S') THEN '## Part ' || (k - 1) || chr(10) || x ELSE '## Part ' || (k - 1) END WHEN regexp_matches(x, '\S') THEN x END), lambda x: x IS NOT NULL) AS blocks FROM l),
+    s AS (SELECT doc_id, items, blocks, list_transform(generate_series(0, (len(items) - 1) // 3), lambda k: array_to_string(items[3 * k + 1 : 3 * k + 3], chr(10) || chr(10)) || CASE WHEN k < (len(items) - 1) // 3 THEN chr(10) ELSE '' END) AS bodies FROM i)"""
+
+
+@query("q_ablation", _LINES + """
+    , v AS (SELECT doc_id, bodies, unnest(generate_series(1, len(bodies))) AS k FROM s)
+    SELECT doc_id, CAST(k - 1 AS INTEGER) AS variant, 'part_' || (3 * (k - 1)) AS removed, sha256(chr(10) || array_to_string(list_concat(bodies[1:k-1], bodies[k+1:]), chr(10))) AS text_sha256 FROM v WHERE len(bodies) > 1
+    UNION ALL SELECT doc_id, 0, 'part_0', sha256('') FROM v WHERE len(bodies) = 1""")
 def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _markdown(spark, sf_dir).select("doc_id", chunks.sections(F.col("text")).alias("s"))
     v = s.select("doc_id", F.posexplode(chunks.ablations(F.col("s.preamble"), F.col("s.sections"))).alias("variant", "a"))
-    return v.select("doc_id", "variant", F.col("a.removed").alias("removed"), F.length("a.text").alias("n_chars"))
+    return v.select("doc_id", "variant", F.col("a.removed").alias("removed"), F.sha2("a.text", 256).alias("text_sha256"))
+
+
+@query("q_ablation_labels", _LINES + """
+    , v AS (SELECT doc_id, unnest(generate_series(1, len(bodies))) AS k FROM s), q AS (SELECT unnest(['part_0', 'part_3']) AS question_id)
+    SELECT question_id, CASE WHEN 'part_' || (3 * (k - 1)) = question_id THEN 'absent' ELSE 'present' END AS expected, count(*) AS n FROM v, q GROUP BY ALL""")
+def q_ablation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _markdown(spark, sf_dir).select(chunks.sections(F.col("text")).alias("s"))
+    v = s.select(F.posexplode(chunks.ablations(F.col("s.preamble"), F.col("s.sections"))).alias("variant", "a")).select("variant", "a.removed")
+    return chunks.ablation_labels(v, ["part_0", "part_3"]).groupBy("question_id", "expected").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_degradations")
+_FILLER = corpus.FILLERS["en"]
+_EDITED = _LINES + rf"""
+    , b AS (SELECT doc_id, items, bodies, blocks, list_filter(list_transform(blocks, lambda x, k: CASE WHEN starts_with(ltrim(x), '#') THEN NULL ELSE k END), lambda k: k IS NOT NULL) AS body FROM s),
+    e AS (SELECT doc_id, array_to_string(items, chr(10) || chr(10)) AS text,
+      array_to_string(list_transform(list_sort(list_transform(blocks, lambda x, k: {{'h': sha256('7:' || (k - 1)), 'x': x}})), lambda y: y.x), chr(10) || chr(10)) AS shuffled,
+      array_to_string(list_filter(blocks, lambda x: NOT starts_with(ltrim(x), '#')), chr(10) || chr(10)) AS no_headings,
+      array_to_string(flatten(list_transform(blocks, lambda x: [x, '{_FILLER}'])), chr(10) || chr(10)) AS padded,
+      array_to_string(CASE WHEN len(body) < 6 THEN blocks ELSE list_filter(list_transform(blocks, lambda x, k: CASE WHEN list_contains(body[len(body) // 3 + 1 : 2 * len(body) // 3], k) THEN NULL ELSE x END), lambda x: x IS NOT NULL) END, chr(10) || chr(10)) AS removed_middle,
+      chr(10) || array_to_string(CASE WHEN len(bodies) < 2 THEN bodies ELSE list_concat(bodies[1 : len(bodies) - 2], [bodies[len(bodies)], bodies[len(bodies) - 1]]) END, chr(10)) AS swap_sections,
+      array_to_string(list_append(blocks, '{_FILLER}'), chr(10) || chr(10)) AS unrelated_addition FROM b)"""
+_EDITS = [*corpus.DEGRADATIONS, *corpus.NEUTRAL_EDITS]
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _markdown(spark, sf_dir).select("doc_id", "text", *[corpus.variant(F.col("text"), k).alias(k) for k in _EDITS])
+
+
+@query("q_degradations", _EDITED + f" SELECT doc_id, {', '.join(f'sha256({k}) AS {k}' for k in _EDITS)} FROM e")
 def q_degradations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["shuffled", "no_headings", "padded", "removed_middle", "swap_sections", "unrelated_addition"]
-    m = _markdown(spark, sf_dir)
-    return m.select("doc_id", *[F.sha2(corpus.variant(F.col("text"), k), 256).alias(k) for k in kinds])
+    return _edited(spark, sf_dir).select("doc_id", *[F.sha2(k, 256).alias(k) for k in _EDITS])
 
 
-@query("q_changed_lines")
-def q_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _markdown(spark, sf_dir).withColumn("after", corpus.variant(F.col("text"), "removed_middle"))
-    return m.select("doc_id", corpus.changed_lines(F.col("text"), F.col("after")).alias("changed"))
+def _heads(text: str) -> str:
+    return f"len(list_filter(string_split({text}, chr(10)), lambda x: starts_with(ltrim(x), '#')))"
+
+
+_DIFFERS = " UNION ALL ".join(f"SELECT '{k}' AS kind, '{'down' if k in corpus.DEGRADATIONS else 'neutral'}' AS expected, {_heads(k)} < {_heads('text')} OR abs(length({k}) - length(text)) > 0.1 * length(text) AS down FROM e" for k in _EDITS)
+
+
+@query("q_diff_agreement", _EDITED + f" SELECT kind, expected, count(*) AS pairs, count(*) FILTER (WHERE down = (expected = 'down')) AS agrees FROM ({_DIFFERS}) GROUP BY ALL")
+def q_diff_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the rule agrees with what each kind of edit is: a degradation or neutral."""
+    kinds = [F.struct(F.lit(k).alias("kind"), F.lit("down" if k in corpus.DEGRADATIONS else "neutral").alias("expected"), F.col(k).alias("after")) for k in _EDITS]
+    pairs = _edited(spark, sf_dir).select(F.col("text").alias("before"), F.inline(F.array(*kinds)))
+    return corpus.diff_agreement(pairs)
+
+
+@query("q_inserted", r"""
+    SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN '# T' || chr(10) || '### Non-Goals' || chr(10) || '- new' || chr(10) || text ELSE text END) AS text_sha256, doc_id % 2 = 0 AS found FROM documents""")
+def q_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section put behind a heading of the whole text, or nothing where it has none."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# T\n### Non-Goals\n"), "text")).otherwise(F.col("text"))
+    put = corpus.inserted(text, r"^### Non-Goals\n", "after", "- new\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce(put, text), 256).alias("text_sha256"), put.isNotNull().alias("found"))
+
+
+@query("q_front_matter", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'id: ' || doc_id || chr(10) || '---' || chr(10) ELSE '' END AS front FROM documents")
+def q_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\n---\n"))).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.front_matter(F.concat(head, F.coalesce("text", F.lit("")))).alias("front"))
+
+
+@query("q_heuristic_counts", """
+    SELECT 'risks' AS question_id, count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0) AS detected, count(*) FILTER (WHERE doc_id % 3 = 0) AS n_absent,
+           count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0) AS false_alarms, count(*) FILTER (WHERE doc_id % 3 <> 0) AS n_present FROM documents""")
+def q_heuristic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts behind a heading that every fourth one has, against labels that say otherwise for some."""
+    head = F.when(F.col("doc_id") % 4 == 0, "## Risks and drawbacks\n").otherwise("plain words\n")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+    labels = docs.select("doc_id", F.lit("risks").alias("question_id"), F.when(F.col("doc_id") % 3 == 0, "absent").otherwise("present").alias("expected"))
+    return chunks.presence_counts(docs, labels)
+
+
+# Corpus tables and sources
+
+
+@query("q_manifest", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'org/' || source ELSE source END AS project, CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE 'given' END AS edit_source FROM documents WHERE doc_id % 5 <> 0")
+def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two manifests with columns of their own; a fifth of their documents have no file."""
+    docs = table(spark, sf_dir, "documents")
+    own = F.col("doc_id").cast("string").alias("doc_id")
+    one = docs.where("doc_id % 2 = 0").select(own, F.concat(F.lit("Org/"), F.upper("source")).alias("repo"))
+    two = docs.where("doc_id % 2 = 1").select(own, F.upper("source").alias("source_repo"), F.lit("given").alias("edit_source"))
+    return corpus.manifest([one, two], docs.where("doc_id % 5 <> 0").select(own)).select("doc_id", "project", "edit_source").withColumn("project", F.lower("project"))
+
+
+@query("q_fetched", "SELECT doc_id, doc_id % 3 <> 0 AS intact FROM documents")
+def q_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with other line ends than those whose hash was recorded; a third of them are other texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    parts = docs.select("doc_id", F.sha2(F.replace("text", F.lit("\r"), F.lit("\n")), 256).alias("sha256"))
+    raw = docs.select("doc_id", F.concat(F.replace("text", F.lit("\n"), F.lit("\r\n")), F.when(F.col("doc_id") % 3 == 0, "x").otherwise("")).alias("text"))
+    return corpus.fetched(raw, parts).select("doc_id", "intact")
+
+
+@query("q_split_map", "SELECT CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'heldout' ELSE 'tuning' END AS split, count(*) AS labels FROM labels GROUP BY ALL")
+def q_split_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.col("doc_id").cast("string"), F.lit("/after.md")).alias("path")
+    labels = table(spark, sf_dir, "labels")
+    docs = labels.where("doc_id % 4 <> 0").select(path, F.when(F.col("doc_id") % 3 == 0, "heldout").otherwise("tuning").alias("split"))
+    return corpus.with_split(labels.select(path), docs).groupBy("split").agg(F.count(F.lit(1)).alias("labels"))
+
+
+@query("q_score_pairs", """
+    SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'after' ELSE 'before' END AS better, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'old ' || doc_id END AS before_text, 'new ' || doc_id AS after_text, CASE WHEN doc_id % 5 = 0 THEN 'missing file' END AS error FROM labels""")
+def q_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    none = F.lit(None).cast("string")
+    raw = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("id"), F.concat(n, F.lit(".md")).alias("before"), none.alias("after"), none.alias("before_text"), F.concat(F.lit("new "), n).alias("after_text"), F.when(F.col("doc_id") % 2 == 1, "before").alias("better"), none.alias("split"))
+    texts = table(spark, sf_dir, "labels").where("doc_id % 5 <> 0").select(F.concat(n, F.lit(".md")).alias("path"), F.concat(F.lit("old "), n).alias("text"))
+    return files.score_pairs(raw, texts).select("id", "better", "before_text", "after_text", "error")
+
+
+@query("q_label_paths", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/abs/' || doc_id WHEN 1 THEN 'lab/' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS file FROM labels")
+def q_label_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    labels = table(spark, sf_dir, "labels")
+    rows = labels.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/abs/"), n)).otherwise(n).alias("path"))
+    listing = labels.where("doc_id % 3 = 1").select(F.concat(F.lit("lab/"), n).alias("path"))
+    return files.resolved(rows, listing, "lab").select("doc_id", "file")
+
+
+@query("q_images", """
+    SELECT doc_id, 'a' || doc_id || '.png' AS source, 'image/png' AS mime_type, CAST(2 AS BIGINT) AS byte_size, 'data:image/png;base64,MTI=' AS data_url FROM documents
+    UNION ALL SELECT doc_id, 'data:', 'image/gif', 3, 'data:image/gif;base64,MTIz' FROM documents WHERE doc_id % 2 = 0""")
+def q_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures that whole texts refer to: the first two that are there, one in a file, one written out; not those in code, remote or lost."""
+    n = F.col("doc_id").cast("string")
+    refs = F.concat(F.lit("![x](a"), n, F.lit(".png) `![c](b.png)` ![r](https://h/r.png) ![l](lost.png)"), F.when(F.col("doc_id") % 2 == 0, " ![d](data:image/gif;base64,MTIz)").otherwise(""), F.lit("\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(refs, F.coalesce("text", F.lit(""))).alias("text"))
+    there = docs.select(F.concat(F.lit("a"), n, F.lit(".png")).alias("path"), F.encode(F.lit("12"), "UTF-8").alias("content"), F.lit(2).cast("long").alias("length"))
+    return files.images(docs, there, 2).select("doc_id", "source", "mime_type", "byte_size", "data_url")
+
+
+@query("q_incremental", "SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '" + EMAIL + "')) FROM documents UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(text, '" + IPV4 + "')) FROM documents UNION ALL SELECT doc_id, 'secret', unnest(regexp_extract_all(text, '" + TOKEN + "')) FROM documents) GROUP BY ALL")
+def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expression that the stream applies to each batch, over the whole table."""
+    return incremental.outcomes(table(spark, sf_dir, "documents")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import duckdb
 import pytest
 
 from plumbline.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("PLUMBLINE_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
