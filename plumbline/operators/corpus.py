@@ -44,7 +44,8 @@ def diff_rule(before: Column, after: Column) -> Column:
     """Whether an edit looks like a degradation: fewer headings, or a length that changes by more than a tenth."""
     from .chunks import headings
 
-    return (F.size(headings(after)) < F.size(headings(before))) | (F.abs(F.length(after) - F.length(before)) > 0.1 * F.length(before))
+    # Lengths first: where they decide, no heading is looked for.
+    return (F.abs(F.length(after) - F.length(before)) > 0.1 * F.length(before)) | (F.size(headings(after)) < F.size(headings(before)))
 
 
 def blocks_of(text: str) -> list[str]:
