@@ -17,7 +17,7 @@ from . import evaluate, validation
 from .functions import fixed as V
 from .functions.storage import materialise
 from .operators import baseline, gate, report
-from .sources import files, project, providers, schemas
+from .sources import files, hooks, project, providers, schemas
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -60,6 +60,11 @@ def _parser() -> argparse.ArgumentParser:
     shown.add_argument("kind", nargs="?", choices=["preset", "labels"], default="preset")
     own = commands.add_parser("check-preset", help="read a preset file and show its questions")
     own.add_argument("file")
+    hook = commands.add_parser("hook", help="scan the files that an editor hook names on its input")
+    hook.add_argument("paths", nargs="*")
+    hook.add_argument("--preset", default="safety")
+    setup = commands.add_parser("init", help="write the set-up of a pre-commit hook")
+    setup.add_argument("--workflow", action="store_true", help="and of a CI job")
     cache = commands.add_parser("clear-cache", help="delete kept answers")
     cache.add_argument("--cache-dir")
     return parser
@@ -208,6 +213,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(json.dumps(schemas.labels() if options.kind == "labels" else schemas.preset(), indent=2))
         elif options.command == "clear-cache":
             print(f"{report.clear(spark, options.cache_dir or report.cache_folder())} results deleted")
+        elif options.command == "init":
+            print("\n".join(hooks.scaffold(workflow=options.workflow)) or "nothing to write")
+        elif options.command == "hook":
+            raw = "" if options.paths or sys.stdin.isatty() else sys.stdin.read()
+            named = hooks.files(options.paths, raw)
+            return main(["eval", *named, "--preset", options.preset, "--offline"], spark) if named else 0
         else:
             return _eval(options, spark) if options.command == "eval" else _validate(options, spark)
     except (ValueError, FileNotFoundError) as error:

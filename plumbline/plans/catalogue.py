@@ -16,7 +16,7 @@ from .. import evaluate
 from ..functions import features as X
 from ..functions import fixed as V
 from ..operators import baseline, chunks, corpus, decide, gate, report, spans, stats, validate
-from ..sources import files
+from ..sources import files, hooks
 from ..streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ def _quoted(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
+def _case(column: str, values: list) -> str:
+    show = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else "NULL" if v is None else str(v)
+    return f"CASE {column} " + " ".join(f"WHEN {i} THEN {show(v)}" for i, v in enumerate(values)) + " END"
+
+
 # Spans and features
 
 
@@ -553,7 +558,22 @@ def _heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *[chunks.has_item(F.col("t"), q, F.col("h")).alias(f"has_{q}") for q in V.KEYWORDS])
 
 
-@query("q_heuristic_items")
+_HEADS = ["risks and drawbacks", "testing", "summary", None]
+
+
+def _item_sql(question: str) -> str:
+    """Whether an item is there: a keyword in the heading that the id picks, a reference, or an opening of more than 40 characters."""
+    tests = [_case("doc_id % 4", [h is not None and any(k in h for k in V.KEYWORDS[question]) for h in _HEADS])]
+    if question == "related_issues":
+        tests.append(r"regexp_matches(t, '(?i)(^|\s)#\d+\b|\b(fixes|closes|resolves)\b|/(issues|pull)/\d+')")
+    if question == "summary":
+        tests.append(r"length(regexp_replace(string_split(t, chr(10) || '#')[1], '^\s+|\s+$', '', 'g')) > 40")
+    return " OR ".join(tests)
+
+
+@query("q_heuristic_items", f"""
+    WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '## Risks and drawbacks' WHEN 1 THEN '**Testing**' WHEN 2 THEN 'Summary' || chr(10) || '=====' ELSE 'plain words' END || chr(10) || coalesce(text, '') AS t FROM documents)
+    SELECT doc_id, {", ".join(f"{_item_sql(q)} AS has_{q}" for q in V.KEYWORDS)} FROM d""")
 def q_heuristic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _heuristics(spark, sf_dir)
 
@@ -632,10 +652,17 @@ def q_pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.pivoted(_gate_answers(spark, sf_dir), ["has_secrets", "has_pii", "clarity"])
 
 
-@query("q_changed_lines")
+@query("q_changed_lines", """
+    WITH d AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END AS t, coalesce(text, '') AS whole FROM documents)
+    SELECT doc_id, CAST(CASE WHEN whole = '' THEN 1 ELSE len(string_split(t, chr(10))) + 1 END AS BIGINT) AS all_changed, CAST(1 AS BIGINT) AS one_added FROM d""")
 def q_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _markdown(spark, sf_dir).withColumn("after", corpus.variant(F.col("text"), "removed_middle"))
-    return m.select("doc_id", corpus.changed_lines(F.col("text"), F.col("after")).alias("changed"))
+    """Changed lines, from the ratio: of every line replaced by another one, and of one line put behind the text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    end = F.when(F.col("t").endswith("\n") | (F.col("t") == ""), "").otherwise("\n")
+    n = F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n")) - F.col("t").endswith("\n").cast("int"))
+    other = F.lit("0123456789" * 9)
+    counted = lambda after, of: F.round(corpus.changed_lines(F.col("t"), after) * of).cast("long")
+    return d.select("doc_id", counted(other, F.greatest(n, F.lit(1))).alias("all_changed"), counted(F.concat("t", end, other), n + 1).alias("one_added"))
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -658,11 +685,6 @@ _CREDENTIAL_PLACES = ["[REDACTED_AWS_KEY]", "[REDACTED_GH_TOKEN]", "[REDACTED_SE
 _CREDENTIAL_SQL = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{a}' || '{b}' || " + ("upper(left(h, 16))" if i == 0 else "''" if i == 6 else "h || left(h, 8)") for i, (a, b) in enumerate(_PARTS)) + " END"
 
 
-def _case(column: str, values: list) -> str:
-    show = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else "NULL" if v is None else str(v)
-    return f"CASE {column} " + " ".join(f"WHEN {i} THEN {show(v)}" for i, v in enumerate(values)) + " END"
-
-
 def _picked(column: Column, values: list[Column]) -> Column:
     out = F.lit(None)
     for i, v in reversed(list(enumerate(values))):
@@ -1185,6 +1207,27 @@ def q_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.images(docs, there, 2).select("doc_id", "source", "mime_type", "byte_size", "data_url")
 
 
+@query("q_regressions", """
+    WITH b AS (SELECT doc_id, ((doc_id * 37) % 101) / 100.0::DOUBLE AS p, ((doc_id * 37 + (doc_id % 5) * 9) % 101) / 100.0::DOUBLE AS c FROM labels)
+    SELECT doc_id, round(p, 6) AS previous, round(c, 6) AS current FROM b WHERE c - p > 0.10""")
+def q_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expression that a stream of answers goes through, over the whole table."""
+    d = F.col("doc_id")
+    rows = lambda v: table(spark, sf_dir, "labels").select("doc_id", F.lit("risk").alias("question_id"), v.alias("value"))
+    question = spark.createDataFrame([("risk", 0.5)], "question_id string, max_threshold double")
+    got = incremental.regressions(rows((d * 37 + (d % 5) * 9) % 101 / 100.0), rows(d * 37 % 101 / 100.0), question)
+    return got.select("doc_id", F.round("previous", 6).alias("previous"), F.round("current", 6).alias("current"))
+
+
+@query("q_branch_policy", """
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id % 2 = 0 WHEN 1 THEN page_id % 5 <> 0 ELSE true END AS allowed FROM pages""")
+def q_branch_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    base = F.when(n % 3 == 0, "main").when(n % 3 == 1, "refs/heads/release/v1").otherwise("feature/x")
+    head = F.when(n % 3 == 0, F.when(n % 2 == 0, "release-please--v2").otherwise("feature/y")).otherwise(F.when(n % 5 == 0, "main").otherwise("feature/z"))
+    return table(spark, sf_dir, "pages").select("page_id", hooks.branch_allowed(base, head).alias("allowed"))
+
+
 @query("q_incremental", "SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '" + EMAIL + "')) FROM documents UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(text, '" + IPV4 + "')) FROM documents UNION ALL SELECT doc_id, 'secret', unnest(regexp_extract_all(text, '" + TOKEN + "')) FROM documents) GROUP BY ALL")
 def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expression that the stream applies to each batch, over the whole table."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators import baseline
 from ..operators.decide import offline_outcome
 from ..operators.spans import candidates
 
@@ -21,6 +22,12 @@ def outcomes(docs: DataFrame) -> DataFrame:
     return candidates(docs).withColumn("outcome", offline_outcome()).select("doc_id", "kind", "type", "start", "end", "placeholder", "outcome")
 
 
+def regressions(answers: DataFrame, previous: DataFrame, question: DataFrame) -> DataFrame:
+    """What has become worse, of a stream (or table) of answers (doc_id, question_id, value) against those of an earlier report: a join of the
+    stream with a table, without state."""
+    return baseline.diff(answers, previous, question).where("regressed")
+
+
 def run_once(docs: DataFrame, results: str, checkpoint: str) -> StreamingQuery:
     """Scan what is new since the last call; texts seen before under any id are left out."""
 

@@ -217,3 +217,16 @@ def test_replayed_batch_is_written_once(spark, tmp_path):
     incremental.run_once(incremental.documents(spark, src, df.schema), out, check).awaitTermination()
     assert sorted(map(str, spark.read.parquet(f"{out}/spans").collect())) == before and len(before) == 2
     assert spark.read.parquet(f"{out}/keys").count() == 2
+
+
+def test_regressions_of_a_stream(spark, tmp_path):
+    src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    now = spark.createDataFrame([(1, "g", 0.5), (1, "r", 0.5), (2, "g", 0.9), (3, "g", 0.1)], "doc_id long, question_id string, value double")
+    now.write.parquet(src)
+    before = spark.createDataFrame([(1, "g", 0.9), (1, "r", 0.45), (2, "g", 0.8)], now.schema)
+    question = spark.createDataFrame([("g", None), ("r", 0.3)], "question_id string, max_threshold double")
+    stream = incremental.regressions(incremental.documents(spark, src, now.schema), before, question)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert [(r.doc_id, r.question_id, r.regressed) for r in got] == [(1, "g", True)]
+    assert sorted(map(str, got)) == sorted(map(str, incremental.regressions(now, before, question).collect()))

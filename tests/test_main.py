@@ -196,3 +196,31 @@ def test_validate(spark, tmp_path, capsys, service):
     assert main(["validate", str(labels)], spark) == 2
     labels.write_text("preset: tech-spec\ndocuments:\n- {path: good.md, expect: {readiness: present}}\n")
     assert main(["validate", str(labels), *online], spark) == 2
+
+
+def test_hook_and_set_up(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from plumbline.sources import hooks
+
+    (tmp_path / "a.md").write_text("mail joe@gmail.com")
+    (tmp_path / "b.markdown").write_text("fine")
+    (tmp_path / "c.txt").write_text("x")
+    folder = str(tmp_path)
+    assert hooks.handed(json.dumps({"tool_input": {"file_path": "a.md"}}), folder) == ["a.md"]
+    assert hooks.handed(json.dumps({"path": "gone.md", "file": "b.markdown"}), folder) == ["b.markdown"]
+    assert hooks.handed("'a.md'\nc.txt\na.md\nb.markdown", folder) == ["a.md", "b.markdown"] and hooks.handed("", folder) == []
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@x", "-C", folder, *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "a.md")
+    git("commit", "-qm", "one")
+    assert hooks.touched(folder) == ["b.markdown"]
+    (tmp_path / "a.md").write_text("mail amy@gmail.com")
+    assert hooks.files([], "", folder) == ["a.md", "b.markdown"] and hooks.files(["x"], "", folder) == ["x"]
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr("sys.stdin", io.StringIO(json.dumps({"tool_input": {"path": "a.md"}})))
+    assert main(["hook"], spark) == 1 and "FAIL" in capsys.readouterr().out
+    assert main(["init", "--workflow"], spark) == 0 and len(capsys.readouterr().out.split()) == 2
+    assert main(["init"], spark) == 0 and capsys.readouterr().out == "nothing to write\n"
+    (tmp_path / ".pre-commit-config.yaml").write_text("repos:\n  - repo: other\n")
+    assert hooks.scaffold(folder) and (tmp_path / ".pre-commit-config.yaml").read_text().endswith("  - repo: other\n")
