@@ -450,9 +450,10 @@ def q_feasibility_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(threshold, 6) AS threshold, round(avg(CASE WHEN score <= threshold THEN 1.0 ELSE 0.0 END), 6) AS false_alarm_rate FROM s, t WHERE quality = 1 AND doc_id % 2 = 1 GROUP BY threshold""")
 def q_false_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _scores(spark, sf_dir)
-    threshold = s.where("quality = 0 and doc_id % 2 = 0").agg(F.coalesce(F.median("score"), F.lit(0.5)).alias("threshold")).withColumn("one", F.lit(1))
+    found = stats.quantiles(s.where("quality = 0 and doc_id % 2 = 0"), [], "score", 0.5, "threshold")
+    threshold = found.agg(F.coalesce(F.max("threshold"), F.lit(0.5)).alias("threshold")).withColumn("one", F.lit(1))
     held = s.where("quality = 1 and doc_id % 2 = 1").groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-    joined = held.join(F.broadcast(threshold), "one")
+    joined = held.join(F.broadcast(threshold), "one")  # one row
     return joined.groupBy("threshold").agg(F.round(F.sum(F.when(F.col("score") <= F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("false_alarm_rate")).withColumn("threshold", F.round("threshold", 6))
 
 
