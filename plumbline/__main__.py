@@ -109,7 +109,11 @@ def _previous(spark: SparkSession, path: str, preset: str) -> DataFrame:
     """An earlier report with its answers as a map; a list of rows, or one row."""
     files.baseline(spark, path, preset)  # a dry run or another preset is an error
     raw = json.loads(Path(path).read_text(encoding="utf-8"))
-    rows = [(r["path"], {k: float(v) for k, v in (r.get("answers") or {}).items() if v is not None}, bool(r.get("was_truncated"))) for r in (raw if isinstance(raw, list) else [raw])]
+    rows = [
+        (
+            r["path"], {k: float(v) for k, v in (r.get("answers") or {}).items() if v is not None}, bool(r.get("was_truncated"))
+        ) for r in (raw if isinstance(raw, list) else [raw])
+    ]
     return spark.createDataFrame(rows, "path string, answers map<string,double>, was_truncated boolean")
 
 
@@ -129,7 +133,12 @@ def _eval(options, spark: SparkSession) -> int:
     if options.images:
         pictures = files.pictures(spark, sorted({str(Path(p).parent) for p in paths}) or ["."])
         found = files.images(docs.select("doc_id", "text"), pictures)
-        docs = docs.join(found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "data_url"))), lambda x: x["data_url"]).alias("images")), "doc_id", "left")
+        docs = docs.join(
+            found.groupBy("doc_id").agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("ord", "data_url"))), lambda x: x["data_url"]).alias("images")
+            ),
+            "doc_id", "left"
+        )
     unread = docs.where("error is not null").select("path", F.col("error").alias("message"))
     unreadable = [f"{r['path']}: {r['message']}" for r in unread.collect()]
     docs = docs.where("error is null").drop("error")
@@ -139,7 +148,12 @@ def _eval(options, spark: SparkSession) -> int:
     elif options.provider and not options.offline:
         make = providers.provider(options.provider, options.url, model=options.model)
         ask = lambda d: evaluate.online(d, preset, make, roles, options.max_chars, own=own, mask=not options.no_mask)
-        key = "::".join([preset, report.questions_key(own or [q for q in V.QUESTIONS if q[0] == preset]), str(options.model), str(options.max_chars), str(options.no_mask), str(options.images)])
+        key = "::".join(
+            [
+                preset, report.questions_key(own or [q for q in V.QUESTIONS if q[0] == preset]), str(options.model), str(options.max_chars),
+                str(options.no_mask), str(options.images)
+            ]
+        )
         folder = options.cache_dir or report.cache_folder()
         results = _cached(docs, folder, key, ask) if options.cache else ask(docs)
     else:

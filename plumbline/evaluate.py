@@ -21,7 +21,10 @@ from .functions.storage import materialise
 from .operators import chunks, decide, gate
 from .operators.spans import placed, scan, token_hashes
 
-_TEXT = {"email": "is an individual address", "phone": "is an individual phone number", "ip": "is an internal/sensitive IP address", "url": "is an internal/sensitive URL", "secret": "is an exposed secret"}
+_TEXT = {
+    "email": "is an individual address", "phone": "is an individual phone number", "ip": "is an internal/sensitive IP address",
+    "url": "is an internal/sensitive URL", "secret": "is an exposed secret"
+}
 
 
 def _two(value: Column) -> Column:
@@ -73,7 +76,10 @@ def structured(messages: Column, level: str, spans: Column) -> Column:
     return F.transform(messages, one)
 
 
-def _finished(df: DataFrame, preset: str, composite: Column, passed: Column, violations: Column, warnings: Column, truncated: Column, calls: Column, model: str | Column, mock: bool, error: Column, answers: Column | None = None, **more: Column) -> DataFrame:
+def _finished(
+    df: DataFrame, preset: str, composite: Column, passed: Column, violations: Column, warnings: Column, truncated: Column, calls: Column,
+    model: str | Column, mock: bool, error: Column, answers: Column | None = None, **more: Column
+) -> DataFrame:
     none = F.lit(None)
     own = {
         "preset_name": F.lit(preset),
@@ -93,7 +99,10 @@ def _finished(df: DataFrame, preset: str, composite: Column, passed: Column, vio
         "output_tokens": none.cast("long"),
     }
     out = df.withColumns(own | more)
-    out = out.withColumn("structured_violations", F.concat(structured(F.col("violations"), "error", F.col("spans")), structured(F.col("warnings"), "warning", F.col("spans"))))
+    out = out.withColumn(
+        "structured_violations",
+        F.concat(structured(F.col("violations"), "error", F.col("spans")), structured(F.col("warnings"), "warning", F.col("spans")))
+    )
     return out.drop("text", "spans", "masked", *[c for c in out.columns if c.startswith("_")])
 
 
@@ -104,7 +113,10 @@ def _none() -> Column:
 def offline(docs: DataFrame, preset: str, role_globs: tuple[str, ...] = (), max_chars: int = V.MAX_CHARS) -> DataFrame:
     """Rules only. Any violation fails, whatever the preset asks."""
     found = scanned(docs, role_globs).withColumn("_messages", _offline_messages(F.col("spans")))
-    return _finished(found, preset, F.lit(None).cast("double"), F.size("_messages") == 0, F.col("_messages"), _none(), F.length("masked") > max_chars, F.lit(0), "offline-rules", False, F.lit(None).cast("string"))
+    return _finished(
+        found, preset, F.lit(None).cast("double"), F.size("_messages") == 0, F.col("_messages"), _none(), F.length("masked") > max_chars,
+        F.lit(0), "offline-rules", False, F.lit(None).cast("string")
+    )
 
 
 def mock(docs: DataFrame, preset: str, role_globs: tuple[str, ...] = (), max_chars: int = V.MAX_CHARS) -> DataFrame:
@@ -118,7 +130,10 @@ def mock(docs: DataFrame, preset: str, role_globs: tuple[str, ...] = (), max_cha
     weights = [(0.85 if r[2] == "score" else 0.78, r[4]) for r in rows if r[2] != "choice" and r[4]]
     answers = F.map_from_arrays(F.array(*[F.lit(q) for q in given]), F.array(*given.values())) if given else None
     composite = F.lit(sum(v * w for v, w in weights) / sum(w for _, w in weights)) if weights else F.lit(None).cast("double")
-    return _finished(found, preset, composite, F.lit(True), _none(), _none(), F.length("masked") > max_chars, F.lit(0), "mock", True, F.lit(None).cast("string"), answers)
+    return _finished(
+        found, preset, composite, F.lit(True), _none(), _none(), F.length("masked") > max_chars, F.lit(0), "mock", True,
+        F.lit(None).cast("string"), answers
+    )
 
 
 def _requests(found: DataFrame, question: list, max_chars: int, overlap: int, batch: int, mask: bool) -> DataFrame:
@@ -156,8 +171,16 @@ def unplaced(asked: Column, before: Column, after: Column, parts: Column) -> Col
 
 
 def unplaced_message(names: Column, n_parts: Column) -> Column:
-    head = F.concat(F.size(names).cast("string"), F.lit(" redacted item(s) ("), F.array_join(names, ", "), F.lit(") were not found in any of "), n_parts.cast("string"))
-    return F.when(F.size(names) > 0, F.concat(head, F.lit(" chunks and were treated as present in every chunk; any candidate probabilities for them may be less reliable.")))
+    head = F.concat(
+        F.size(names).cast("string"), F.lit(" redacted item(s) ("), F.array_join(names, ", "), F.lit(") were not found in any of "),
+        n_parts.cast("string")
+    )
+    return F.when(
+        F.size(names) > 0,
+        F.concat(
+            head, F.lit(" chunks and were treated as present in every chunk; any candidate probabilities for them may be less reliable.")
+        )
+    )
 
 
 def definitions(rows: list[tuple]) -> dict[str, dict]:
@@ -165,12 +188,18 @@ def definitions(rows: list[tuple]) -> dict[str, dict]:
     def text(r: tuple) -> str:
         given = r[10].get("instructions") if len(r) > 10 and isinstance(r[10], dict) else None
         label = r[3] or r[1].replace("_", " ")
-        return given or {"noul": f"Whether the document has or shows: {label}", "score": f"How far the document reaches: {label}", "choice": f"Which one describes the document: {label}"}[r[2]]
+        return given or {
+            "noul": f"Whether the document has or shows: {label}", "score": f"How far the document reaches: {label}",
+            "choice": f"Which one describes the document: {label}"
+        }[r[2]]
 
     return {r[1]: {"type": r[2], "instructions": text(r), "criteria": list(r[9]) if r[9] else None} for r in rows}
 
 
-def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], role_globs: tuple[str, ...] = (), max_chars: int = V.MAX_CHARS, overlap: int = V.OVERLAP, batch: int = V.BATCH, own: list[tuple] | None = None, pause: float = 0.5, mask: bool = True) -> DataFrame:
+def online(
+    docs: DataFrame, preset: str, make_provider: Callable[[], object], role_globs: tuple[str, ...] = (), max_chars: int = V.MAX_CHARS,
+    overlap: int = V.OVERLAP, batch: int = V.BATCH, own: list[tuple] | None = None, pause: float = 0.5, mask: bool = True
+) -> DataFrame:
     """Ask a provider. Predicates are pooled over chunks by their maximum; a missing answer or a failed call is the row's ``error``."""
     questions = {(r[0], r[1]): r for r in V.QUESTIONS} | {(r[0], r[1]): r for r in own or []}
     rows = [r for r in questions.values() if r[0].replace("-", "_") == preset.lower().replace("-", "_")]
@@ -178,7 +207,12 @@ def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], ro
         raise ValueError(f"unknown preset: {preset}")
     found = docs.withColumn("_scan", scan(F.col("text"), role_globs, mask))
     count = F.size(F.filter("_scan.spans", lambda s: s["is_redaction"])) if mask else F.lit(0)
-    found = found.withColumns({"spans": F.col("_scan.spans"), "_before": F.col("_scan.masked"), "masked": chunks.strip_comments(F.col("_scan.masked")), "redactions_count": count}).drop("_scan")
+    found = found.withColumns(
+        {
+            "spans": F.col("_scan.spans"), "_before": F.col("_scan.masked"), "masked": chunks.strip_comments(F.col("_scan.masked")),
+            "redactions_count": count
+        }
+    ).drop("_scan")
     if not mask:
         found = found.withColumn("_hashes", token_hashes(F.col("text"), role_globs))
     found = materialise(found)
@@ -206,9 +240,21 @@ def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], ro
         item = "credential(s)" if preflight == "credentials" or q == "has_secrets" else "personal PII item(s)"
         soft = advisory or warn_only
         mark = " (warning)" if soft else ""
-        by_scan = F.when(forced > 0, F.concat(F.lit(f"{label or q}: "), forced.cast("string"), F.lit(f" {item} detected by pre-flight scan"), F.coalesce(F.concat(F.lit(" (model: "), _two(v), F.lit(")")), F.lit("")), F.lit(mark)))
-        below = F.when(v < low, F.concat(F.lit(f"{label or q}: score "), _two(v), F.lit(f" is below {'' if soft else 'required '}minimum {low:.2f}{mark}"))) if low is not None else F.lit(None)
-        above = F.when(v > high, F.concat(F.lit(f"{label or q}: risk "), _two(v), F.lit(f" exceeds {'' if soft else 'allowed '}maximum {high:.2f}{mark}"))) if high is not None else F.lit(None)
+        by_scan = F.when(
+            forced > 0,
+            F.concat(
+                F.lit(f"{label or q}: "), forced.cast("string"), F.lit(f" {item} detected by pre-flight scan"),
+                F.coalesce(F.concat(F.lit(" (model: "), _two(v), F.lit(")")), F.lit("")), F.lit(mark)
+            )
+        )
+        below = F.when(
+            v < low,
+            F.concat(F.lit(f"{label or q}: score "), _two(v), F.lit(f" is below {'' if soft else 'required '}minimum {low:.2f}{mark}"))
+        ) if low is not None else F.lit(None)
+        above = F.when(
+            v > high,
+            F.concat(F.lit(f"{label or q}: risk "), _two(v), F.lit(f" exceeds {'' if soft else 'allowed '}maximum {high:.2f}{mark}"))
+        ) if high is not None else F.lit(None)
         (warns if soft else errors).append(F.coalesce(by_scan, below, above))
         close = [F.abs(v - t) <= V.NEAR + V.EPSILON for t in (low, high) if t is not None]
         near += [F.when(F.greatest(*close) if len(close) > 1 else close[0], F.lit(q))] if close else []
@@ -228,29 +274,44 @@ def online(docs: DataFrame, preset: str, make_provider: Callable[[], object], ro
             head = "Credential Exposure: " if kind == "secret" else "PII Exposure: "
             text = F.concat(F.lit(head), s["placeholder"], F.lit(" " + _TEXT[kind]), shown)
             if kind == "email":
-                return F.when(s["domain_type"] == "free_mail", F.concat(F.lit(head), s["placeholder"], F.lit(f" {_TEXT[kind]} (free-mail)"))).when(p >= V.HALF, text)
+                return F.when(
+                    s["domain_type"] == "free_mail", F.concat(F.lit(head), s["placeholder"], F.lit(f" {_TEXT[kind]} (free-mail)"))
+                ).when(p >= V.HALF, text)
             if kind == "phone":
                 return F.when(s["is_support_prefix"], F.lit(None)).when(F.coalesce(p >= V.HALF, ~s["looks_like_support"]), text)
             return F.when((~s["placeholder_syntax"] if kind == "secret" else F.lit(True)) & (p >= V.HALF), text)
 
         return F.filter(F.transform(F.filter(candidate, lambda s: s["kind"] == kind), one), lambda m: m.isNotNull())
 
-    known = F.transform(F.filter("spans", lambda s: (s["kind"] == "credential") & ~s["is_example"]), lambda s: F.concat(F.lit("Credential Exposure: "), s["placeholder"], F.lit(" is a known format secret")))
+    known = F.transform(
+        F.filter("spans", lambda s: (s["kind"] == "credential") & ~s["is_example"]),
+        lambda s: F.concat(F.lit("Credential Exposure: "), s["placeholder"], F.lit(" is a known format secret"))
+    )
     extra = [F.concat(known, of("secret"))] if "has_secrets" in ids else []
     extra += [of(k) for k in ("email", "phone", "ip", "url")] if "has_pii" in ids else []
     parts = F.transform(chunks.chunks(F.col("masked"), max_chars, overlap), lambda c: c["text"])
     out = joined.withColumn("_parts", F.when(F.length("masked") > max_chars, parts)) if mask else joined.withColumn("_parts", F.lit(None).cast("array<string>"))
-    lost = F.when(F.col("_parts").isNotNull(), unplaced_message(unplaced(F.col("_asked"), F.col("_before"), F.col("masked"), F.col("_parts")), F.size("_parts")))
-    out = out.withColumn("_violations", F.concat(texts(errors), *extra)).withColumn("_warnings", F.filter(F.concat(texts(warns), F.array(lost)), lambda m: m.isNotNull()))
+    lost = F.when(
+        F.col("_parts").isNotNull(),
+        unplaced_message(unplaced(F.col("_asked"), F.col("_before"), F.col("masked"), F.col("_parts")), F.size("_parts"))
+    )
+    out = out.withColumn("_violations", F.concat(texts(errors), *extra)).withColumn(
+        "_warnings", F.filter(F.concat(texts(warns), F.array(lost)), lambda m: m.isNotNull())
+    )
     error = F.col("_error")
     passed = F.when(error.isNull(), F.size("_violations") == 0)
     more = {"choices": F.col("_choices"), "near_threshold": texts(near), "input_tokens": F.col("_in"), "output_tokens": F.col("_out")}
-    return _finished(out, preset, composite, passed, F.col("_violations"), F.col("_warnings"), F.length("masked") > max_chars, F.coalesce("_calls", F.lit(0)), F.coalesce("_model", F.lit("provider")), False, error, F.col("_answers"), **more)
+    return _finished(
+        out, preset, composite, passed, F.col("_violations"), F.col("_warnings"), F.length("masked") > max_chars,
+        F.coalesce("_calls", F.lit(0)), F.coalesce("_model", F.lit("provider")), False, error, F.col("_answers"), **more
+    )
 
 
 def exit_code(results: DataFrame) -> int:
     """1 if any document fails, else 3 if any has an error, else 0."""
-    return results.agg(F.count_if(~F.col("passed")).alias("v"), F.count_if(F.col("error").isNotNull()).alias("e")).select(gate.exit_code(F.col("v"), F.col("e")).alias("c")).first()["c"]
+    return results.agg(
+        F.count_if(~F.col("passed")).alias("v"), F.count_if(F.col("error").isNotNull()).alias("e")
+    ).select(gate.exit_code(F.col("v"), F.col("e")).alias("c")).first()["c"]
 
 
 def ordered(results: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -27,19 +27,25 @@ def email_domain_type(address: Column) -> Column:
 
 def email_shape(address: Column) -> Column:
     local = F.split_part(address, F.lit("@"), F.lit(1))
-    return F.when(local.contains("."), "dotted_name").when(local.contains("-"), "hyphenated").when(F.replace(local, F.lit("_"), F.lit("")).rlike(r"^[\p{L}\p{N}]+$"), "single_word").otherwise("other")
+    return F.when(local.contains("."), "dotted_name").when(local.contains("-"), "hyphenated").when(
+        F.replace(local, F.lit("_"), F.lit("")).rlike(r"^[\p{L}\p{N}]+$"), "single_word"
+    ).otherwise("other")
 
 
 def email_role(address: Column, globs: tuple[str, ...] = ()) -> Column:
     local = F.lower(F.split_part(address, F.lit("@"), F.lit(1)))
-    return local.isin(V.ROLE_WORDS) | any_of([local.startswith(a) | local.endswith(a) for a in V.ROLE_AFFIXES]) | any_of([local.rlike(glob_regex(g.lower())) for g in globs])
+    return local.isin(V.ROLE_WORDS) | any_of(
+        [local.startswith(a) | local.endswith(a) for a in V.ROLE_AFFIXES]
+    ) | any_of([local.rlike(glob_regex(g.lower())) for g in globs])
 
 
 def ipv4_type(address: Column) -> Column:
     """documentation, loopback, private or public; null if an octet is over 255. Ranges are explicit, so no library version matters."""
     octets = F.transform(F.split(address, r"\."), lambda o: o.cast("long"))
     n = F.aggregate(octets, F.lit(0).cast("long"), lambda acc, o: acc * 256 + o)
-    within = lambda first, bits: F.shiftright(n, 32 - bits) == (sum(int(o) << s for o, s in zip(first.split("."), (24, 16, 8, 0), strict=True)) >> (32 - bits))
+    within = lambda first, bits: F.shiftright(n, 32 - bits) == (
+        sum(int(o) << s for o, s in zip(first.split("."), (24, 16, 8, 0), strict=True)) >> (32 - bits)
+    )
     private = ["0.0.0.0/8", "10.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15", "240.0.0.0/4"]
     return (
         F.when(~F.forall(octets, lambda o: o <= 255), F.lit(None))
@@ -61,7 +67,9 @@ def url_suffix(host: Column) -> Column:
 def url_is_example(host: Column) -> Column:
     documented = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     kind = F.when(documented, ipv4_type(F.when(documented, host)))
-    return host.isin(V.EXAMPLE_DOMAINS) | any_of([host.endswith(e) for e in V.EXAMPLE_ENDINGS]) | host.startswith("example.") | host.startswith("api.example.") | F.coalesce(kind.isin("loopback", "documentation"), F.lit(False))
+    return host.isin(V.EXAMPLE_DOMAINS) | any_of([host.endswith(e) for e in V.EXAMPLE_ENDINGS]) | host.startswith("example.") | host.startswith("api.example.") | F.coalesce(
+        kind.isin("loopback", "documentation"), F.lit(False)
+    )
 
 
 def url_is_internal(host: Column) -> Column:
@@ -96,4 +104,6 @@ def normalised_path(path: Column) -> Column:
 def document_type(path: Column, default: str = "generic") -> Column:
     p = F.lower(path)
     has = lambda *parts: any_of([p.contains(x) for x in parts])
-    return F.when(has("design_doc", "designdoc"), "design_doc").when(has("pr_description", "prdescription"), "pr_description").when(has("article", "zenn"), "article").otherwise(default)
+    return F.when(has("design_doc", "designdoc"), "design_doc").when(
+        has("pr_description", "prdescription"), "pr_description"
+    ).when(has("article", "zenn"), "article").otherwise(default)

@@ -17,7 +17,10 @@ def guarded(text: Column, limit: int = V.MAX_CHARS, strict: bool = False) -> Col
     half = max(limit // 2, 1)
     n = F.length(text)
     if strict:
-        return F.when(n > limit, F.raise_error(F.concat(F.lit("the document has "), n.cast("string"), F.lit(f" characters; at most {limit} are allowed")))).otherwise(text)
+        return F.when(
+            n > limit,
+            F.raise_error(F.concat(F.lit("the document has "), n.cast("string"), F.lit(f" characters; at most {limit} are allowed")))
+        ).otherwise(text)
     left_out = F.greatest(n - 2 * half, F.lit(0)).cast("string")
     note = F.concat(F.lit("\n\n... [TRUNCATED "), left_out, F.lit(" CHARACTERS TO PREVENT TOKEN OVERFLOW] ...\n\n"))
     return F.when(n > limit, F.concat(F.left(text, F.lit(half)), note, F.right(text, F.lit(half)))).otherwise(text)
@@ -131,7 +134,15 @@ def sections(text: Column) -> Column:
 
 def ablations(preamble: Column, parts: Column) -> Column:
     """All variants with one section left out: array of (removed slug, text)."""
-    return F.transform(parts, lambda s, i: F.struct(slug(s["title"]).alias("removed"), F.array_join(F.concat(F.array(preamble), F.transform(F.filter(parts, lambda o, j: j != i), lambda o: o["body"])), "\n").alias("text")))
+    return F.transform(
+        parts,
+        lambda s, i: F.struct(
+            slug(s["title"]).alias("removed"),
+            F.array_join(
+                F.concat(F.array(preamble), F.transform(F.filter(parts, lambda o, j: j != i), lambda o: o["body"])), "\n"
+            ).alias("text")
+        )
+    )
 
 
 def ablation_labels(variants: DataFrame, questions: list[str]) -> DataFrame:
@@ -175,7 +186,10 @@ def presence_counts(docs: DataFrame, labels: DataFrame, text: str = "text") -> D
     asked = [F.struct(F.lit(q).alias("question_id"), has_item(F.col(text), q, F.col("_h")).alias("there")) for q in V.KEYWORDS]
     rows = marked.select("doc_id", F.inline(F.array(*asked))).join(labels, ["doc_id", "question_id"])
     gone, asked_for = ~F.col("there"), F.col("expected") == "absent"
-    return rows.groupBy("question_id").agg(F.count_if(gone & asked_for).alias("detected"), F.count_if(asked_for).alias("n_absent"), F.count_if(gone & ~asked_for).alias("false_alarms"), F.count_if(~asked_for).alias("n_present"))
+    return rows.groupBy("question_id").agg(
+        F.count_if(gone & asked_for).alias("detected"), F.count_if(asked_for).alias("n_absent"),
+        F.count_if(gone & ~asked_for).alias("false_alarms"), F.count_if(~asked_for).alias("n_present")
+    )
 
 
 def line_and_column(text: Column, offset: Column) -> Column:

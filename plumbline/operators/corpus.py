@@ -26,7 +26,9 @@ def held_out(docs: DataFrame, cells: list[str], project: str, seed: str = "corpu
     totals = sizes.groupBy(*cells).agg(F.sum("size").alias("all"), F.some("_paired").alias("pairs"))
     order = Window.partitionBy(*cells).orderBy(hash_order(seed, project), project).rowsBetween(Window.unboundedPreceding, -1)
     target = F.when(F.col("all") >= 2, F.greatest(F.bround(F.col("all") * share), F.when(F.col("pairs") & (F.col("all") >= 7), 3).otherwise(1))).otherwise(0)
-    return sizes.join(totals, cells).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).select(*cells, project, "size", (F.col("before") < target).alias("held_out"))
+    return sizes.join(totals, cells).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).select(
+        *cells, project, "size", (F.col("before") < target).alias("held_out")
+    )
 
 
 def picked(docs: DataFrame, cells: list[str], project: str, key: str, n: int = 2, seed: str = "pick") -> DataFrame:
@@ -100,7 +102,10 @@ def inserted(text: Column, pattern: str, where: str, section: str) -> Column:
         raise ValueError(f"where must be before or after, not {where!r}")
     first = rf"(?m)(?s:\A(.*?))({pattern})"
     found = F.regexp_replace(text, first, "$1\u0000$2\u0001")  # marks around the first place
-    put = {"before": F.replace(F.replace(found, F.lit("\u0000"), F.lit(section)), F.lit("\u0001"), F.lit("")), "after": F.replace(F.replace(found, F.lit("\u0000"), F.lit("")), F.lit("\u0001"), F.lit(section))}[where]
+    put = {
+        "before": F.replace(F.replace(found, F.lit("\u0000"), F.lit(section)), F.lit("\u0001"), F.lit("")),
+        "after": F.replace(F.replace(found, F.lit("\u0000"), F.lit("")), F.lit("\u0001"), F.lit(section))
+    }[where]
     return F.when(text.rlike(f"(?m){pattern}"), put)
 
 

@@ -83,7 +83,9 @@ def candidate_questions(distinct_spans: DataFrame, batch: int = V.BATCH) -> Data
     """One row a question: its id and the number of its request; a request has at most ``batch`` questions of one document."""
     order = Window.partitionBy("doc_id").orderBy("kind", "ord")
     asked = distinct_spans.where(needs_question(F.col("kind")))
-    return asked.withColumn("question_id", F.concat("kind", F.lit("_"), F.col("ord").cast("string"))).withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch).cast("int"))
+    return asked.withColumn(
+        "question_id", F.concat("kind", F.lit("_"), F.col("ord").cast("string"))
+    ).withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch).cast("int"))
 
 
 def near_half(probability: Column) -> Column:

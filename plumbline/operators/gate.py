@@ -29,7 +29,9 @@ def gated(answers: DataFrame, question: DataFrame) -> DataFrame:
     breach = F.when(v < low, "below_min").when(v > high, "above_max")
     near = F.coalesce(F.abs(v - low) <= V.NEAR + V.EPSILON, F.lit(False)) | F.coalesce(F.abs(v - high) <= V.NEAR + V.EPSILON, F.lit(False))
     warn = F.col("advisory") | F.col("preset").isin(V.WARN_ONLY)
-    return joined.withColumn("breach", breach).withColumn("level", F.when(breach.isNotNull(), F.when(warn, "warning").otherwise("error"))).withColumn("near_threshold", near)
+    return joined.withColumn("breach", breach).withColumn(
+        "level", F.when(breach.isNotNull(), F.when(warn, "warning").otherwise("error"))
+    ).withColumn("near_threshold", near)
 
 
 def composite(gated_answers: DataFrame) -> DataFrame:
@@ -39,19 +41,31 @@ def composite(gated_answers: DataFrame) -> DataFrame:
 
 
 def verdicts(gated_answers: DataFrame) -> DataFrame:
-    return gated_answers.groupBy("doc_id").agg(F.count_if(F.col("level") == "error").alias("violations"), F.count_if(F.col("level") == "warning").alias("warnings"), (F.count_if(F.col("level") == "error") == 0).alias("passed"))
+    return gated_answers.groupBy("doc_id").agg(
+        F.count_if(F.col("level") == "error").alias("violations"), F.count_if(F.col("level") == "warning").alias("warnings"),
+        (F.count_if(F.col("level") == "error") == 0).alias("passed")
+    )
 
 
 def violations(gated_answers: DataFrame) -> DataFrame:
     """(doc_id, rule, source) of all breaches: those over a maximum (1) and those under a minimum (2)."""
-    of = lambda breach, n: gated_answers.where(F.col("breach") == breach).select("doc_id", F.col("question_id").alias("rule"), F.lit(n).alias("source"))
+    of = lambda breach, n: gated_answers.where(F.col("breach") == breach).select(
+        "doc_id", F.col("question_id").alias("rule"), F.lit(n).alias("source")
+    )
     return of("above_max", 1).unionByName(of("below_min", 2))
 
 
 def overridden(answers: DataFrame, counters: DataFrame) -> DataFrame:
     """Preflight: found credentials force has_secrets to 1, found free mail forces has_pii to 1."""
-    found = answers.join(counters.select("doc_id", "credentials", F.coalesce(F.try_element_at("by_type", F.lit("email_free_mail")), F.lit(0)).alias("free_mail")), "doc_id", "left")
-    by = F.when((F.col("question_id") == "has_secrets") & (F.col("credentials") > 0), "credentials").when((F.col("question_id") == "has_pii") & (F.col("free_mail") > 0), "pii")
+    found = answers.join(
+        counters.select(
+            "doc_id", "credentials", F.coalesce(F.try_element_at("by_type", F.lit("email_free_mail")), F.lit(0)).alias("free_mail")
+        ),
+        "doc_id", "left"
+    )
+    by = F.when(
+        (F.col("question_id") == "has_secrets") & (F.col("credentials") > 0), "credentials"
+    ).when((F.col("question_id") == "has_pii") & (F.col("free_mail") > 0), "pii")
     return found.withColumn("overridden_by", by).withColumn("value", F.when(by.isNotNull(), 1.0).otherwise(F.col("value"))).drop("credentials", "free_mail")
 
 

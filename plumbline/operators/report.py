@@ -106,7 +106,9 @@ def table_report(results: DataFrame, colour: bool = False) -> Iterator[str]:
             yield "      " + ", ".join([*answers, *(f"{q} {c}" for q, c in sorted((r["choices"] or {}).items()))])
         yield from (f"      {v}" for v in [*r["violations"], *(f"(warning) {w}" for w in r["warnings"]), *([f"error: {r['error']}"] if r["error"] else [])])
         if "baseline" in r:
-            yield from (f"      {q['question_id']} {q['previous']:.2f} -> {q['current']:.2f} ({q['delta']:+.2f}){' REGRESSED' if q['regressed'] else ''}" for q in r["baseline"]["questions"])
+            yield from (
+                f"      {q['question_id']} {q['previous']:.2f} -> {q['current']:.2f} ({q['delta']:+.2f}){' REGRESSED' if q['regressed'] else ''}" for q in r["baseline"]["questions"]
+            )
     if none:
         yield "No matching files."
 
@@ -137,25 +139,44 @@ def _validation_tables(v: Validation) -> Iterator[tuple[str, list[str], Iterator
     stats = v.stats.where("n_absent + n_present > 0").orderBy("question_id").collect()
     if stats:
         rate = lambda n, of, none: f"{n} ({n / of * 100:.0f}%)" if of else f"{n} ({none})"
-        rows = ([s["question_id"], str(s["n_absent"]), rate(s["detected"], s["n_absent"], "N/A"), str(s["n_absent"] - s["detected"]), str(s["n_present"]), rate(s["false_alarms"], s["n_present"], "0%"), f"{s['max_spread']:.3f}"] for s in stats)
+        rows = (
+            [
+                s["question_id"], str(s["n_absent"]), rate(s["detected"], s["n_absent"], "N/A"), str(s["n_absent"] - s["detected"]),
+                str(s["n_present"]), rate(s["false_alarms"], s["n_present"], "0%"), f"{s['max_spread']:.3f}"
+            ] for s in stats
+        )
         yield "Presence Questions (Noul)", ["Question", "Expected Absent", "Detected", "Missed", "Expected Present", "False Alarms", "Max Spread"], rows
     if v.pairs.limit(1).count():
         groups = v.groups.orderBy("kind", "question_id", "worst_pair").toLocalIterator()
-        rows = ([g["kind"], g["question_id"], g["expected"], str(g["n"]), f"{g['mean']:+.3f}", f"[{g['low']:+.3f}, {g['high']:+.3f}]", _status(g["passed"], v.mock), f"{g['worst_pair']} ({g['worst_delta']:+.3f})"] for g in groups)
+        rows = (
+            [
+                g["kind"], g["question_id"], g["expected"], str(g["n"]), f"{g['mean']:+.3f}", f"[{g['low']:+.3f}, {g['high']:+.3f}]",
+                _status(g["passed"], v.mock), f"{g['worst_pair']} ({g['worst_delta']:+.3f})"
+            ] for g in groups
+        )
         yield "Pair Groups (Direction & CI)", ["Group (Kind)", "Question", "Expected", "n", "Mean Δ", "95% CI", "Status", "Worst Pair"], rows
 
         def one(p) -> list[str]:
             name = lambda path: path.rsplit("/", 1)[-1]
             status = f"INCOMPLETE ({p['lost_runs']} lost)" if p["incomplete"] else "TRUNCATED" if p["was_truncated"] else _status(p["guard_ok"], False)
-            return [f"{name(p['before_path'])} → {name(p['after_path'])}", p["question_id"], p["expected"], f"{p['mean_delta']:+.3f}", f"[{p['low']:.2f}, {p['high']:.2f}]", "N/A (MOCK)" if v.mock else status]
-
-        yield "Score Pairs (Direction & CI)", ["Pair", "Question", "Expected", "Mean Δ", "95% CI", "Status"], map(one, v.pairs.orderBy("pair_id", "question_id").toLocalIterator())
+            return [
+                f"{name(p['before_path'])} → {name(p['after_path'])}", p["question_id"], p["expected"], f"{p['mean_delta']:+.3f}",
+                f"[{p['low']:.2f}, {p['high']:.2f}]", "N/A (MOCK)" if v.mock else status
+            ]
+
+        yield "Score Pairs (Direction & CI)", ["Pair", "Question", "Expected", "Mean Δ", "95% CI", "Status"], map(
+            one, v.pairs.orderBy("pair_id", "question_id").toLocalIterator()
+        )
     criteria = v.criteria.collect()
     if criteria:
-        yield "Criteria Verification", ["Criterion", "Required", "Actual", "Status"], ([c["criterion"], c["required"], c["actual"], _status(c["passed"], v.mock)] for c in criteria)
+        yield "Criteria Verification", ["Criterion", "Required", "Actual", "Status"], (
+            [c["criterion"], c["required"], c["actual"], _status(c["passed"], v.mock)] for c in criteria
+        )
     choices = v.choices.orderBy("question_id", "choice").collect()
     if choices:
-        yield f"Choice Distributions (Non-gating, counts over {v.runs} run(s))", ["Question", "Choice", "Count", "Share"], ([c["question_id"], c["choice"], str(c["n"]), f"{c['percent']:.1f}%"] for c in choices)
+        yield f"Choice Distributions (Non-gating, counts over {v.runs} run(s))", ["Question", "Choice", "Count", "Share"], (
+            [c["question_id"], c["choice"], str(c["n"]), f"{c['percent']:.1f}%"] for c in choices
+        )
 
 
 def validation_markdown(v: Validation) -> Iterator[str]:
@@ -182,7 +203,10 @@ def validation_json(v: Validation) -> Iterator[str]:
     """One JSON object; its lists are streamed a row a line."""
     head = {"preset_name": v.preset, "runs": v.runs, "mock": v.mock, "all_passed": v.passed, "summary": v.summary, "unplaced_warnings": v.warnings}
     yield json.dumps(head, ensure_ascii=False)[:-1] + ","
-    parts = [("question_stats", v.stats), ("pair_group_results", v.groups), ("pair_results", v.pairs), ("criteria_results", v.criteria), ("choice_distributions", v.choices)]
+    parts = [
+        ("question_stats", v.stats), ("pair_group_results", v.groups), ("pair_results", v.pairs), ("criteria_results", v.criteria),
+        ("choice_distributions", v.choices)
+    ]
     for k, (name, df) in enumerate(parts):
         yield f'"{name}": ['
         before = None
@@ -197,7 +221,10 @@ def validation_json(v: Validation) -> Iterator[str]:
 
 def published(results: DataFrame) -> DataFrame:
     """Aggregates that say nothing of a document: by preset, how many there are, pass, fail or end in an error, and the mean composite."""
-    return results.groupBy("preset_name").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("passed")).alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.avg("composite_score").alias("mean_composite"))
+    return results.groupBy("preset_name").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("passed")).alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
+        F.count_if(F.col("error").isNotNull()).alias("errors"), F.avg("composite_score").alias("mean_composite")
+    )
 
 
 def masked_ids(rows: DataFrame, public: Column) -> DataFrame:

@@ -66,7 +66,10 @@ def email_features(address: str, role_globs: tuple[str, ...] = ()) -> dict:
     local, _, domain = address.lower().partition("@")
     shape = "dotted_name" if "." in local else "hyphenated" if "-" in local else "single_word" if local.replace("_", "").isalnum() else "other"
     role = local in V.ROLE_WORDS or any(local.startswith(a) or local.endswith(a) for a in V.ROLE_AFFIXES)
-    return {"domain_type": "free_mail" if domain in V.FREE_MAIL else "corporate", "local_part_shape": shape, "known_role_word": role, "matches_custom_role": any(fnmatchcase(local, g.lower()) for g in role_globs)}
+    return {
+        "domain_type": "free_mail" if domain in V.FREE_MAIL else "corporate", "local_part_shape": shape, "known_role_word": role,
+        "matches_custom_role": any(fnmatchcase(local, g.lower()) for g in role_globs)
+    }
 
 
 def ip_type(text: str) -> str | None:
@@ -83,7 +86,10 @@ def phone_features(number: str, around: str) -> dict:
     prefix, mobile = number.startswith(tuple(V.SUPPORT_PREFIXES)), number.startswith(("090", "080", "070"))
     near = any(w in around.lower() for w in V.SUPPORT_WORDS)
     country = "US" if number.startswith(("+1", "1-800")) else "international" if number.startswith("+") else "JP"
-    return {"country_format": country, "looks_like_support": prefix or (near and not mobile), "is_support_prefix": prefix, "near_support_keyword": near, "is_mobile": mobile}
+    return {
+        "country_format": country, "looks_like_support": prefix or (near and not mobile), "is_support_prefix": prefix,
+        "near_support_keyword": near, "is_mobile": mobile
+    }
 
 
 def url_features(url: str) -> dict:
@@ -94,17 +100,31 @@ def url_features(url: str) -> dict:
         host = ""
     kind = ip_type(host) if host else None
     ending = next((e for e in [*V.INTERNAL_ENDINGS, *V.EXAMPLE_ENDINGS] if host.endswith(e)), None)
-    example = kind in ("loopback", "documentation") or host in V.EXAMPLE_DOMAINS or host.endswith(tuple(V.EXAMPLE_ENDINGS)) or host.startswith(("example.", "api.example."))
-    return {"ip_type": kind, "is_example_domain": example, "is_internal_tld": host.endswith(tuple(V.INTERNAL_ENDINGS)), "is_public_common": host == "github.com" or host.endswith(".github.com"), "suffix_class": ending}
+    example = kind in ("loopback", "documentation") or host in V.EXAMPLE_DOMAINS or host.endswith(tuple(V.EXAMPLE_ENDINGS)) or host.startswith(
+        ("example.", "api.example.")
+    )
+    return {
+        "ip_type": kind, "is_example_domain": example, "is_internal_tld": host.endswith(tuple(V.INTERNAL_ENDINGS)),
+        "is_public_common": host == "github.com" or host.endswith(".github.com"), "suffix_class": ending
+    }
 
 
 def secret_features(key: str, raw: str, around: str, known: bool) -> dict:
     value, lower = raw.strip("\"'"), around.lower()
-    classes = [n for n, test in (("lower", str.islower), ("upper", str.isupper), ("digit", str.isdigit), ("symbol", lambda c: not c.isalnum())) if any(map(test, value))]
+    classes = [
+        n for n,
+        test in (
+            ("lower", str.islower), ("upper", str.isupper), ("digit", str.isdigit), ("symbol", lambda c: not c.isalnum())
+        ) if any(map(test, value))
+    ]
     bracketed = any(value.startswith(a) and value.endswith(b) for a, b in (("${", "}"), ("<", ">"), ("{{", "}}")))
     name = "\n" + key.lower()
     place = "env_block" if "```env" in lower or name + "=" in lower or name + ":" in lower else "code_block" if "`" in around else "prose"
-    return {"key_name": key, "value_length": len(value), "character_classes": classes, "placeholder_syntax": bracketed or any(p in value.lower() for p in V.SECRET_PLACEHOLDERS), "near_example_words": any(w in lower for w in V.NEAR_EXAMPLE), "location": place, "is_known_format": known}
+    return {
+        "key_name": key, "value_length": len(value), "character_classes": classes,
+        "placeholder_syntax": bracketed or any(p in value.lower() for p in V.SECRET_PLACEHOLDERS),
+        "near_example_words": any(w in lower for w in V.NEAR_EXAMPLE), "location": place, "is_known_format": known
+    }
 
 
 def is_placeholder(token: str) -> bool:
@@ -127,7 +147,12 @@ def scan_text(text: str, role_globs: tuple[str, ...] = (), mask: bool = True) ->
         places.take(m.start(), m.end())
         (line, column), (end_line, end_column) = at(m.start()), at(m.end())
         edits.append((m.start(), m.end(), replacement))
-        spans.append(dict.fromkeys(_FIELDS) | {"kind": kind, "start": m.start(), "end": m.end(), "ord": n, "placeholder": placeholder, "replacement": replacement, "line": line, "column": column, "end_line": end_line, "end_column": end_column, "is_example": example, "is_redaction": True} | features)
+        spans.append(
+            dict.fromkeys(_FIELDS) | {
+                "kind": kind, "start": m.start(), "end": m.end(), "ord": n, "placeholder": placeholder, "replacement": replacement,
+                "line": line, "column": column, "end_line": end_line, "end_column": end_column, "is_example": example, "is_redaction": True
+            } | features
+        )
 
     secrets = 0
     for hint, (pattern, name, real, example) in zip(_HINTS, _CREDENTIALS, strict=True):
@@ -145,7 +170,10 @@ def scan_text(text: str, role_globs: tuple[str, ...] = (), mask: bool = True) ->
             features = secret_features(m["key"], m["val"], text[max(0, m.start() - 60) : m.end() + 60], False)
             quote, placeholder = m["quote"] or "", f"[SECRET_{secrets}]"
             example = features["placeholder_syntax"]
-            accept("secret", m, f"{quote}{m['key']}{quote}{': ' if m['delim'] == ':' else '='}{placeholder}", placeholder, secrets, example, type="example_secret" if example else "ambiguous_secret", is_redaction=not example, **features)
+            accept(
+                "secret", m, f"{quote}{m['key']}{quote}{': ' if m['delim'] == ':' else '='}{placeholder}", placeholder, secrets, example,
+                type="example_secret" if example else "ambiguous_secret", is_redaction=not example, **features
+            )
 
     def numbered(kind: str, pattern: re.Pattern, features_of, type_of, key=lambda v: v) -> None:
         seen: dict[str, tuple[int, dict]] = {}
@@ -162,14 +190,31 @@ def scan_text(text: str, role_globs: tuple[str, ...] = (), mask: bool = True) ->
             accept(kind, m, f"[{kind.upper()}_{n}]", f"[{kind.upper()}_{n}]", n, name.startswith("example"), type=name, **features)
 
     if "@" in text:
-        numbered("email", _EMAIL, lambda v, m: email_features(v, role_globs), lambda f: "email_free_mail" if f["domain_type"] == "free_mail" else "email_role" if f["known_role_word"] or f["matches_custom_role"] else "email_personal", str.lower)
+        numbered(
+            "email", _EMAIL, lambda v, m: email_features(v, role_globs),
+            lambda f: "email_free_mail" if f["domain_type"] == "free_mail" else "email_role" if f["known_role_word"] or f[
+                "matches_custom_role"
+            ] else "email_personal",
+            str.lower
+        )
     if "://" in text:
-        numbered("url", _URL, lambda v, m: url_features(v), lambda f: "example_url" if f["is_example_domain"] or f["is_public_common"] else "url_internal" if f["is_internal_tld"] else "url_public")
+        numbered(
+            "url", _URL, lambda v, m: url_features(v),
+            lambda f: "example_url" if f[
+                "is_example_domain"
+            ] or f["is_public_common"] else "url_internal" if f["is_internal_tld"] else "url_public"
+        )
     digits = _DIGIT.search(text)
     if (digits or ":" in text) and _IP_HINT.search(text):
-        numbered("ip", _IP, lambda v, m: {"ip_type": t} if (t := ip_type(v)) else None, lambda f: {"documentation": "example_ip", "loopback": "example_ip", "private": "ip_private"}.get(f["ip_type"], "ip_public"))
+        numbered(
+            "ip", _IP, lambda v, m: {"ip_type": t} if (t := ip_type(v)) else None,
+            lambda f: {"documentation": "example_ip", "loopback": "example_ip", "private": "ip_private"}.get(f["ip_type"], "ip_public")
+        )
     if digits and _PHONE_HINT.search(text):
-        numbered("phone", _PHONE, lambda v, m: phone_features(v, text[max(0, m.start() - 50) : m.end() + 50]), lambda f: "phone_support" if f["looks_like_support"] else "phone_personal")
+        numbered(
+            "phone", _PHONE, lambda v, m: phone_features(v, text[max(0, m.start() - 50) : m.end() + 50]),
+            lambda f: "phone_support" if f["looks_like_support"] else "phone_personal"
+        )
     if not mask:
         return spans, text
     parts, last = [], 0
@@ -235,7 +280,9 @@ def counters(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame
     kind, type_ = F.col("kind"), F.col("type")
     counted = F.count_if
     pii = kind.isin("email", "phone") | type_.isin("url_internal", "url_public", "ip_private", "ip_public")
-    by_type = spans.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "_n")))).alias("by_type"))
+    by_type = spans.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "_n")))).alias("by_type")
+    )
     return spans.groupBy(*keys).agg(
         counted(F.col("is_redaction")).alias("total"),
         counted((kind == "credential") & ~F.col("is_example")).alias("credentials"),

@@ -20,7 +20,9 @@ def t_critical(df: Column) -> Column:
 
 def mean_ci(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, low, high of each group: 95 % interval of the mean; a single value is its own interval."""
-    g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    g = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")
+    )
     margin = F.when(F.col("n") > 1, t_critical(F.col("n") - 1) * F.col("sd") / F.sqrt("n")).otherwise(0.0)
     return g.select(*keys, "n", "mean", (F.col("mean") - margin).alias("low"), (F.col("mean") + margin).alias("high"))
 
@@ -114,9 +116,14 @@ def feasibility(scores: DataFrame, keys: list[str], least_auc: float = 0.75, mos
     by = keys or ["_k"]
     threshold = quantiles(rows.where(~F.col("is_holdout")), by, "worse_score", 0.5, "t")
     held = rows.where("is_holdout")
-    long = held.select(*by, F.col("better_score").alias("s"), F.lit(True).alias("p")).unionByName(held.select(*by, F.col("worse_score").alias("s"), F.lit(False).alias("p")))
+    long = held.select(*by, F.col("better_score").alias("s"), F.lit(True).alias("p")).unionByName(
+        held.select(*by, F.col("worse_score").alias("s"), F.lit(False).alias("p"))
+    )
     auc = roc_auc(long, by, "s", "p").select(*by, "auc")
-    alarms = held.join(threshold, by, "left").groupBy(*by).agg(F.round(F.avg((F.col("better_score") <= F.coalesce("t", F.lit(0.5))).cast("double")), 4).alias("false_alarm_rate"), F.count(F.lit(1)).alias("n_held_out"))
+    alarms = held.join(threshold, by, "left").groupBy(*by).agg(
+        F.round(F.avg((F.col("better_score") <= F.coalesce("t", F.lit(0.5))).cast("double")), 4).alias("false_alarm_rate"),
+        F.count(F.lit(1)).alias("n_held_out")
+    )
     out = auc.join(alarms, by).withColumn("feasible", (F.col("auc") >= least_auc) & (F.col("false_alarm_rate") <= most_false_alarms))
     if spread is not None:
         wide = spread.withColumns({"_k": F.lit(0)} if not keys else {}).select(*by, "clearly_larger")

@@ -72,7 +72,9 @@ def _case(column: str, values: list) -> str:
 def q_email_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), 0)).alias("v"))
     v = F.col("v")
-    return m.groupBy("lang", X.email_domain_type(v).alias("domain_type"), X.email_shape(v).alias("shape"), X.email_role(v).alias("role")).agg(F.count(F.lit(1)).alias("n"))
+    return m.groupBy(
+        "lang", X.email_domain_type(v).alias("domain_type"), X.email_shape(v).alias("shape"), X.email_role(v).alias("role")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -90,7 +92,9 @@ def q_email_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_ip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(IPV4), 0)).alias("v"))
-    return m.withColumn("ip_type", X.ipv4_type(F.col("v"))).where("ip_type is not null").groupBy("ip_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("addresses"))
+    return m.withColumn("ip_type", X.ipv4_type(F.col("v"))).where("ip_type is not null").groupBy("ip_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("addresses")
+    )
 
 
 _OFFLINE = f"""
@@ -104,7 +108,9 @@ _OFFLINE = f"""
 @query("q_offline_gate", _OFFLINE + " SELECT lang, kind, outcome, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM m GROUP BY ALL")
 def q_offline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.candidates(table(spark, sf_dir, "documents"), keep=("doc_id", "lang"))
-    return found.groupBy("lang", "kind", decide.offline_outcome().alias("outcome")).agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("documents"))
+    return found.groupBy("lang", "kind", decide.offline_outcome().alias("outcome")).agg(
+        F.count(F.lit(1)).alias("occurrences"), F.count_distinct("doc_id").alias("documents")
+    )
 
 
 @query(
@@ -114,7 +120,12 @@ def q_offline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_violations_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    bad = F.exists(spans.scan(F.col("text"))["spans"], lambda s: F.when(s["kind"] == "email", s["domain_type"] == "free_mail").when(s["kind"] == "credential", ~s["is_example"]).when(s["kind"] == "phone", ~s["looks_like_support"]).when(s["kind"] == "ip", s["ip_type"] == "private").when(s["kind"] == "url", s["is_internal_tld"]).otherwise(False))
+    bad = F.exists(
+        spans.scan(F.col("text"))["spans"],
+        lambda s: F.when(
+            s["kind"] == "email", s["domain_type"] == "free_mail"
+        ).when(s["kind"] == "credential", ~s["is_example"]).when(s["kind"] == "phone", ~s["looks_like_support"]).when(s["kind"] == "ip", s["ip_type"] == "private").when(s["kind"] == "url", s["is_internal_tld"]).otherwise(False)
+    )
     return docs.withColumn("bad", bad).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_if("bad").alias("failing"))
 
 
@@ -123,9 +134,13 @@ def q_violations_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT 'secret', 0.88, unnest(regexp_extract_all(text, '{TOKEN}')) FROM documents)
     SELECT kind, CAST(p AS DOUBLE) AS probability, CASE kind WHEN 'email' THEN 'personal' ELSE 'secret' END AS outcome, false AS near_threshold, count(*) AS n FROM m GROUP BY ALL""")
 def q_mock_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.candidates(table(spark, sf_dir, "documents")).where(F.col("kind").isin("email", "secret")).withColumn("probability", decide.mock_probability())
+    found = spans.candidates(table(spark, sf_dir, "documents")).where(F.col("kind").isin("email", "secret")).withColumn(
+        "probability", decide.mock_probability()
+    )
     p = F.col("probability")
-    return found.groupBy("kind", "probability", decide.online_outcome(p).alias("outcome"), decide.near_half(p).alias("near_threshold")).agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(
+        "kind", "probability", decide.online_outcome(p).alias("outcome"), decide.near_half(p).alias("near_threshold")
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q_candidate_questions", f"""
@@ -150,7 +165,10 @@ def q_candidate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_url_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "pages").select(X.url_host(F.col("url")).alias("host"))
     host = F.col("host")
-    return h.groupBy(X.url_is_example(host).alias("is_example"), X.url_is_internal(host).alias("is_internal"), X.url_is_public_common(host).alias("is_public_common")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host").alias("hosts"))
+    return h.groupBy(
+        X.url_is_example(host).alias("is_example"), X.url_is_internal(host).alias("is_internal"),
+        X.url_is_public_common(host).alias("is_public_common")
+    ).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host").alias("hosts"))
 
 
 @query("q_comment_strip", r"""
@@ -170,7 +188,9 @@ def q_comment_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
            length(text) > 2000 AS was_truncated FROM documents""")
 def q_guard_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(chunks.guarded(t, 2000), 256).alias("guarded_sha256"), (F.length(t) > 2000).alias("was_truncated"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(chunks.guarded(t, 2000), 256).alias("guarded_sha256"), (F.length(t) > 2000).alias("was_truncated")
+    )
 
 
 @query("q_chunk_plan", """
@@ -186,8 +206,13 @@ def q_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ASKED = [(q[1], float(i)) for i, q in enumerate(V.QUESTIONS) if q[0] == "design_doc"]
-_GATE = [(q[1], i, q[4], q[5], q[6], q[8], q[0] in V.WARN_ONLY) for i, q in enumerate(V.QUESTIONS) if q[0] in ("safety", "quality", "tech-spec") and q[2] != "choice"]
-_GATE_SQL = "WITH a AS (SELECT doc_id, q, w, lo, hi, adv OR warn AS warns, ((doc_id * 37 + i * 11) % 101) / 100.0::DOUBLE AS v FROM labels, " + _values(_GATE, "q, i, w, lo, hi, adv, warn") + ")"
+_GATE = [
+    (q[1], i, q[4], q[5], q[6], q[8], q[0] in V.WARN_ONLY) for i,
+    q in enumerate(V.QUESTIONS) if q[0] in ("safety", "quality", "tech-spec") and q[2] != "choice"
+]
+_GATE_SQL = "WITH a AS (SELECT doc_id, q, w, lo, hi, adv OR warn AS warns, ((doc_id * 37 + i * 11) % 101) / 100.0::DOUBLE AS v FROM labels, " + _values(
+    _GATE, "q, i, w, lo, hi, adv, warn"
+) + ")"
 
 
 def _gate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +232,10 @@ def q_threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir).groupBy("question_id", "breach", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_near_threshold", _GATE_SQL + " SELECT q AS question_id, coalesce(abs(v - lo) <= 0.1 + 1e-9, false) OR coalesce(abs(v - hi) <= 0.1 + 1e-9, false) AS near_threshold, count(*) AS n FROM a GROUP BY ALL")
+@query(
+    "q_near_threshold",
+    _GATE_SQL + " SELECT q AS question_id, coalesce(abs(v - lo) <= 0.1 + 1e-9, false) OR coalesce(abs(v - hi) <= 0.1 + 1e-9, false) AS near_threshold, count(*) AS n FROM a GROUP BY ALL"
+)
 def q_near_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir).groupBy("question_id", "near_threshold").agg(F.count(F.lit(1)).alias("n"))
 
@@ -230,7 +258,10 @@ def q_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(gate.exit_code(F.col("v"), F.lit(0)).alias("exit_code"))
 
 
-@query("q_score_normalise", "SELECT linenumber_score AS score, round(least(greatest(linenumber_score / 3.0, 0), 1), 6) AS normalised, count(*) AS n FROM (SELECT l_linenumber - 2 AS linenumber_score FROM lineitem) GROUP BY ALL")
+@query(
+    "q_score_normalise",
+    "SELECT linenumber_score AS score, round(least(greatest(linenumber_score / 3.0, 0), 1), 6) AS normalised, count(*) AS n FROM (SELECT l_linenumber - 2 AS linenumber_score FROM lineitem) GROUP BY ALL"
+)
 def q_score_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 2).alias("score"))
     return s.groupBy("score", F.round(gate.normalised_score(F.col("score"), 4), 6).alias("normalised")).agg(F.count(F.lit(1)).alias("n"))
@@ -244,15 +275,22 @@ _RUNS = "SELECT l.doc_id, l.quality, r.run, ((l.doc_id * 37 + r.run * 7) % 101)
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("run"))
-    return r.withColumn("value", ((F.col("doc_id") * 37 + F.col("run") * 7) % 101) / 100.0).withColumn("question_id", F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")))
+    return r.withColumn("value", ((F.col("doc_id") * 37 + F.col("run") * 7) % 101) / 100.0).withColumn(
+        "question_id", F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string"))
+    )
 
 
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")).alias("question_id"), F.when(F.col("quality") == 1, "present").otherwise("absent").alias("expected"))
+    return table(spark, sf_dir, "labels").select(
+        "doc_id", F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")).alias("question_id"),
+        F.when(F.col("quality") == 1, "present").otherwise("absent").alias("expected")
+    )
 
 
 def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    question = spark.createDataFrame([("q0", 0.5, None), ("q1", None, 0.3), ("q2", None, None)], "question_id string, min_threshold double, max_threshold double")
+    question = spark.createDataFrame(
+        [("q0", 0.5, None), ("q1", None, 0.3), ("q2", None, None)], "question_id string, min_threshold double, max_threshold double"
+    )
     return validate.presence(_runs(spark, sf_dir), _expected(spark, sf_dir), question)
 
 
@@ -278,11 +316,16 @@ def q_presence_raised(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _runs(spark, sf_dir)
     found = runs.where("(doc_id + run) % 5 = 0")
     answers = validate.raised(runs.withColumn("value", F.when(F.col("doc_id") % 7 != 0, F.col("value"))), found)
-    question = spark.createDataFrame([("q0", 0.5, None), ("q1", None, 0.3), ("q2", None, None)], "question_id string, min_threshold double, max_threshold double")
+    question = spark.createDataFrame(
+        [("q0", 0.5, None), ("q1", None, 0.3), ("q2", None, None)], "question_id string, min_threshold double, max_threshold double"
+    )
     return validate.presence(answers, _expected(spark, sf_dir), question).select("doc_id", "question_id", "verdict")
 
 
-@query("q_lost_answers", "SELECT doc_id, 'q' || CAST(doc_id % 3 AS VARCHAR) AS question_id, run FROM labels, (VALUES (0), (1), (2)) AS r(run) WHERE (doc_id + run) % 4 = 0")
+@query(
+    "q_lost_answers",
+    "SELECT doc_id, 'q' || CAST(doc_id % 3 AS VARCHAR) AS question_id, run FROM labels, (VALUES (0), (1), (2)) AS r(run) WHERE (doc_id + run) % 4 = 0"
+)
 def q_lost_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.lost_answers(_runs(spark, sf_dir).where("(doc_id + run) % 4 <> 0"), _expected(spark, sf_dir), 3)
 
@@ -309,7 +352,9 @@ _T = "CASE " + " ".join(f"WHEN n - 1 >= {k} THEN {V.T_TABLE[k]}" for k in sorted
     WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS sd FROM events WHERE value IS NOT NULL GROUP BY event_type)
     SELECT event_type, n, round(m, 6) AS mean, round(m - {_T} * sd / sqrt(n), 6) AS low, round(m + {_T} * sd / sqrt(n), 6) AS high FROM g""")
 def q_mean_ci95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.mean_ci(table(spark, sf_dir, "events"), ["event_type"], "value").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return stats.mean_ci(table(spark, sf_dir, "events"), ["event_type"], "value").select(
+        "event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")]
+    )
 
 
 _CRITERIA = validate.Criteria(
@@ -337,7 +382,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(k == 0, "shuffled").when(k == 1, "padded").when(k == 2, "swap").otherwise("paraphrase")
     pair = F.col("doc_id").alias("pair_id")
     path = lambda side: F.concat(F.lit(f"{side}/"), F.col("doc_id").cast("string"), F.lit(".md")).alias(f"{side}_path")
-    labels = table(spark, sf_dir, "labels").select(pair, F.lit("clarity").alias("question_id"), F.when(k < 2, "down").otherwise("neutral").alias("expected"), kind.alias("kind"), F.lit(None).cast("string").alias("doc_id"), path("before"), path("after"), F.lit(3).alias("runs"))
+    labels = table(spark, sf_dir, "labels").select(
+        pair, F.lit("clarity").alias("question_id"), F.when(k < 2, "down").otherwise("neutral").alias("expected"), kind.alias("kind"),
+        F.lit(None).cast("string").alias("doc_id"), path("before"), path("after"), F.lit(3).alias("runs")
+    )
     cut = (F.col("doc_id") % 11 == 0).alias("was_truncated")
     before = r.select(pair, "question_id", "run", "value", cut)
     value = F.when((F.col("doc_id") + F.col("run")) % 10 != 3, F.when(k < 2, F.col("value") * 0.5).otherwise(F.col("value") + (F.col("run") - 1) / 64.0 + 0.01))
@@ -345,23 +393,38 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.pair_results(labels, before, after, _CRITERIA)
 
 
-@query("q_pair_delta", _PAIRS + " SELECT pair_id, kind, expected, CAST(n AS INTEGER) AS n, round(mean_delta, 6) AS mean_delta, round(low, 6) AS low, round(high, 6) AS high, incomplete, was_truncated, guard_ok FROM p")
+@query(
+    "q_pair_delta",
+    _PAIRS + " SELECT pair_id, kind, expected, CAST(n AS INTEGER) AS n, round(mean_delta, 6) AS mean_delta, round(low, 6) AS low, round(high, 6) AS high, incomplete, was_truncated, guard_ok FROM p"
+)
 def q_pair_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("pair_id", "kind", "expected", "n", *[F.round(c, 6).alias(c) for c in ("mean_delta", "low", "high")], "incomplete", "was_truncated", "guard_ok")
+    return _pairs(spark, sf_dir).select(
+        "pair_id", "kind", "expected", "n", *[F.round(c, 6).alias(c) for c in ("mean_delta", "low", "high")], "incomplete", "was_truncated",
+        "guard_ok"
+    )
 
 
-@query("q_active_pairs", _PAIRS + " SELECT kind, count(*) AS pairs, count(*) FILTER (WHERE NOT incomplete AND NOT was_truncated) AS active FROM p GROUP BY kind")
+@query(
+    "q_active_pairs",
+    _PAIRS + " SELECT kind, count(*) AS pairs, count(*) FILTER (WHERE NOT incomplete AND NOT was_truncated) AS active FROM p GROUP BY kind"
+)
 def q_active_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(validate.active()).alias("active"))
 
 
-@query("q_pair_groups", _PAIRS + " SELECT kind, 'clarity' AS question_id, expected, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, passed FROM g WHERE kind <> 'swap'")
+@query(
+    "q_pair_groups",
+    _PAIRS + " SELECT kind, 'clarity' AS question_id, expected, n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, passed FROM g WHERE kind <> 'swap'"
+)
 def q_pair_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = validate.groups(_pairs(spark, sf_dir), _CRITERIA).where("kind <> 'swap'")
     return g.select("kind", "question_id", "expected", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "passed")
 
 
-@query("q_pair_ci_gate", _PAIRS + " SELECT 'after/' || CAST(pair_id AS VARCHAR) || '.md' AS pair, n, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN incomplete OR was_truncated THEN NULL ELSE greatest(abs(low), abs(high)) <= 0.05 END AS passed FROM p WHERE kind = 'swap'")
+@query(
+    "q_pair_ci_gate",
+    _PAIRS + " SELECT 'after/' || CAST(pair_id AS VARCHAR) || '.md' AS pair, n, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN incomplete OR was_truncated THEN NULL ELSE greatest(abs(low), abs(high)) <= 0.05 END AS passed FROM p WHERE kind = 'swap'"
+)
 def q_pair_ci_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the kind that is gated pair by pair, each on the interval of its own runs."""
     g = validate.groups(_pairs(spark, sf_dir), _CRITERIA).where("kind = 'swap'")
@@ -410,7 +473,10 @@ def q_worst_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.worst_pairs(pairs).select("kind", "pair_id", F.round("worst_delta", 6).alias("worst_delta"))
 
 
-@query("q_choice_distribution", "SELECT role AS question_id, choice, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY role), 4) AS percent FROM (SELECT role, CASE conv_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS choice FROM conversations) GROUP BY role, choice")
+@query(
+    "q_choice_distribution",
+    "SELECT role AS question_id, choice, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY role), 4) AS percent FROM (SELECT role, CASE conv_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS choice FROM conversations) GROUP BY role, choice"
+)
 def q_choice_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     choice = F.when(F.col("conv_id") % 3 == 0, "a").when(F.col("conv_id") % 3 == 1, "b").otherwise("c")
     return validate.choice_distribution(table(spark, sf_dir, "conversations").select(F.col("role").alias("question_id"), choice.alias("choice")))
@@ -442,7 +508,9 @@ def q_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     a AS (SELECT lang, sum(p) AS p, sum(q) AS q, CASE WHEN sum(p) = 0 OR sum(q) = 0 THEN 0.5 ELSE round(sum(p * (below + q / 2)) / (sum(p) * sum(q)), 4) END AS auc FROM b GROUP BY lang)
     SELECT lang, CAST(p AS BIGINT) AS n_positive, CAST(q AS BIGINT) AS n_negative, auc, auc >= 0.75 AS feasible FROM a""")
 def q_feasibility_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.roc_auc(_scores(spark, sf_dir).withColumn("good", F.col("quality") == 1), ["lang"], "score", "good").withColumn("feasible", F.col("auc") >= 0.75)
+    return stats.roc_auc(
+        _scores(spark, sf_dir).withColumn("good", F.col("quality") == 1), ["lang"], "score", "good"
+    ).withColumn("feasible", F.col("auc") >= 0.75)
 
 
 @query("q_false_alarm", _SCORES + """
@@ -454,7 +522,9 @@ def q_false_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     threshold = found.agg(F.coalesce(F.max("threshold"), F.lit(0.5)).alias("threshold")).withColumn("one", F.lit(1))
     held = s.where("quality = 1 and doc_id % 2 = 1").groupBy("score").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
     joined = held.join(F.broadcast(threshold), "one")  # one row
-    return joined.groupBy("threshold").agg(F.round(F.sum(F.when(F.col("score") <= F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("false_alarm_rate")).withColumn("threshold", F.round("threshold", 6))
+    return joined.groupBy("threshold").agg(
+        F.round(F.sum(F.when(F.col("score") <= F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("false_alarm_rate")
+    ).withColumn("threshold", F.round("threshold", 6))
 
 
 _SCORE_PAIRS = "SELECT doc_id, quality, doc_id % 2 = 1 AS is_holdout, ((doc_id * 37) % 101) / 200.0::DOUBLE + 0.45 AS better_score, ((doc_id * 53) % 101) / 200.0::DOUBLE AS worse_score FROM labels"
@@ -467,7 +537,10 @@ _SCORE_PAIRS = "SELECT doc_id, quality, doc_id % 2 = 1 AS is_holdout, ((doc_id *
     SELECT a.quality, auc, false_alarm_rate, n_held_out, auc >= 0.75 AND false_alarm_rate <= 0.10 AS feasible FROM a JOIN f ON a.quality = f.quality""")
 def q_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    pairs = table(spark, sf_dir, "labels").select("quality", (d % 2 == 1).alias("is_holdout"), ((d * 37) % 101 / 200.0 + 0.45).alias("better_score"), ((d * 53) % 101 / 200.0).alias("worse_score"))
+    pairs = table(spark, sf_dir, "labels").select(
+        "quality", (d % 2 == 1).alias("is_holdout"), ((d * 37) % 101 / 200.0 + 0.45).alias("better_score"),
+        ((d * 53) % 101 / 200.0).alias("worse_score")
+    )
     return stats.feasibility(pairs, ["quality"])
 
 
@@ -482,7 +555,9 @@ def q_seeded_hold_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH m AS (SELECT user_id, avg(value) AS m FROM events WHERE value IS NOT NULL GROUP BY user_id), g AS (SELECT avg(m) AS a, stddev_samp(m) AS sd FROM m)
     SELECT round(a, 6) AS mean_value, round(sd, 6) AS sd, round(abs(a) / sd, 2) AS ratio, round(abs(a) / sd, 2) >= 1.5 AS clearly_larger FROM g""")
 def q_spread_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.spread_ratio(table(spark, sf_dir, "events").where("value is not null"), "user_id", "value").withColumns({"mean_value": F.round("mean_value", 6), "sd": F.round("sd", 6)})
+    return stats.spread_ratio(
+        table(spark, sf_dir, "events").where("value is not null"), "user_id", "value"
+    ).withColumns({"mean_value": F.round("mean_value", 6), "sd": F.round("sd", 6)})
 
 
 @query("q_noise_pairs", f"""
@@ -508,9 +583,15 @@ def q_noise_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN risk = 1 THEN cur - prev > 0.10 ELSE prev - cur > 0.10 END AS regressed FROM b""")
 def q_baseline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(d % 2 == 1, "risk").otherwise("good").alias("question_id"), ((d * 37) % 101 / 100.0).alias("p"), ((d * 37 + (d % 5) * 9) % 101 / 100.0).alias("c"))
+    rows = table(spark, sf_dir, "labels").select(
+        "doc_id", F.when(d % 2 == 1, "risk").otherwise("good").alias("question_id"), ((d * 37) % 101 / 100.0).alias("p"),
+        ((d * 37 + (d % 5) * 9) % 101 / 100.0).alias("c")
+    )
     question = spark.createDataFrame([("risk", 0.5), ("good", None)], "question_id string, max_threshold double")
-    return baseline.diff(rows.select("doc_id", "question_id", F.col("c").alias("value")), rows.select("doc_id", "question_id", F.col("p").alias("value")), question).withColumn("delta", F.round("delta", 6))
+    return baseline.diff(
+        rows.select("doc_id", "question_id", F.col("c").alias("value")), rows.select("doc_id", "question_id", F.col("p").alias("value")),
+        question
+    ).withColumn("delta", F.round("delta", 6))
 
 
 _PATHS = "SELECT DISTINCT regexp_extract(url, '://(.*)$', 1) AS u, page_id FROM pages"
@@ -529,12 +610,19 @@ _PATHS = "SELECT DISTINCT regexp_extract(url, '://(.*)$', 1) AS u, page_id FROM
 def q_baseline_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://(.*)$", 1).alias("u"), "page_id")
     k = F.col("page_id") % 4
-    cur = p.select(F.when(k == 0, F.col("u")).when(k == 1, F.concat(F.lit("./"), "u")).when(k == 2, F.concat(F.lit("docs/"), "u")).otherwise(F.concat("u", F.lit(".new"))).alias("path"))
+    cur = p.select(
+        F.when(k == 0, F.col("u")).when(k == 1, F.concat(F.lit("./"), "u")).when(
+            k == 2, F.concat(F.lit("docs/"), "u")
+        ).otherwise(F.concat("u", F.lit(".new"))).alias("path")
+    )
     prev = p.select(F.when(k == 2, F.concat(F.lit("repo/docs/"), "u")).otherwise(F.col("u")).alias("path"))
     return baseline.matched(cur, prev)
 
 
-@query("q_exclude_filter", "SELECT page_id FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS p FROM pages) WHERE NOT (starts_with(p, 'de/') OR ends_with(p, '.html'))")
+@query(
+    "q_exclude_filter",
+    "SELECT page_id FROM (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS p FROM pages) WHERE NOT (starts_with(p, 'de/') OR ends_with(p, '.html'))"
+)
 def q_exclude_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://[^/]*/([^?#]*)", 1).alias("path"))
     return p.where(~X.path_excluded(F.col("path"), ["de", "*.html"]) & ~X.default_ignored(F.col("path"))).select("page_id")
@@ -632,7 +720,10 @@ def q_path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.normalised_path(F.concat(F.lit("../."), F.regexp_extract("url", "://(.*)$", 1))).alias("path"))
 
 
-@query("q_line_column", "SELECT doc_id, CAST(length(b) - length(replace(b, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(list_last(string_split(b, chr(10)))) + 1 AS INTEGER) AS col FROM (SELECT doc_id, left(text, length(text) // 2) AS b FROM documents)")
+@query(
+    "q_line_column",
+    "SELECT doc_id, CAST(length(b) - length(replace(b, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(list_last(string_split(b, chr(10)))) + 1 AS INTEGER) AS col FROM (SELECT doc_id, left(text, length(text) // 2) AS b FROM documents)"
+)
 def q_line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     p = table(spark, sf_dir, "documents").select("doc_id", chunks.line_and_column(F.col("text"), half).alias("p"))
@@ -642,13 +733,24 @@ def q_line_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reports and variants
 
 
-@query("q_annotations", _GATE_SQL + " SELECT '::' || CASE WHEN warns THEN 'warning' ELSE 'error' END || ' file=doc-' || CAST(doc_id AS VARCHAR) || ',line=1::' || q || ' fails' AS line FROM a WHERE v < lo OR v > hi")
+@query(
+    "q_annotations",
+    _GATE_SQL + " SELECT '::' || CASE WHEN warns THEN 'warning' ELSE 'error' END || ' file=doc-' || CAST(doc_id AS VARCHAR) || ',line=1::' || q || ' fails' AS line FROM a WHERE v < lo OR v > hi"
+)
 def q_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _gated(spark, sf_dir).where("level is not null")
-    return report.annotations(v.select("level", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("line"), F.lit(None).cast("int").alias("column"), F.concat("question_id", F.lit(" fails")).alias("message")))
+    return report.annotations(
+        v.select(
+            "level", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("line"),
+            F.lit(None).cast("int").alias("column"), F.concat("question_id", F.lit(" fails")).alias("message")
+        )
+    )
 
 
-@query("q_pivot_report", _GATE_SQL + " SELECT doc_id, max(v) FILTER (WHERE q = 'has_secrets') AS has_secrets, max(v) FILTER (WHERE q = 'has_pii') AS has_pii, max(v) FILTER (WHERE q = 'clarity') AS clarity FROM a GROUP BY doc_id")
+@query(
+    "q_pivot_report",
+    _GATE_SQL + " SELECT doc_id, max(v) FILTER (WHERE q = 'has_secrets') AS has_secrets, max(v) FILTER (WHERE q = 'has_pii') AS has_pii, max(v) FILTER (WHERE q = 'clarity') AS clarity FROM a GROUP BY doc_id"
+)
 def q_pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.pivoted(_gate_answers(spark, sf_dir), ["has_secrets", "has_pii", "clarity"])
 
@@ -680,10 +782,19 @@ def _behind(spark: SparkSession, sf_dir: str, line: Column) -> DataFrame:
 
 
 #: Prefixes of credentials, in parts so that no file holds a whole one.
-_PARTS = [("AK", "IA"), ("gh", "p_"), ("sk", "_live_"), ("sk", "-"), ("apikey", "_"), ("Bea", "rer "), ("-----BEGIN RSA PRIV", "ATE KEY-----"), ("xo", "xb-"), ("gh", "p_example")]
+_PARTS = [
+    ("AK", "IA"), ("gh", "p_"), ("sk", "_live_"), ("sk", "-"), ("apikey", "_"), ("Bea", "rer "), ("-----BEGIN RSA PRIV", "ATE KEY-----"),
+    ("xo", "xb-"), ("gh", "p_example")
+]
 _CREDENTIAL_TYPES = ["aws_key", "github_token", "secret_key", "secret_key", "api_key", "bearer_token", "private_key", "slack_token", "example_github_token"]
-_CREDENTIAL_PLACES = ["[REDACTED_AWS_KEY]", "[REDACTED_GH_TOKEN]", "[REDACTED_SECRET_KEY]", "[REDACTED_SECRET_KEY]", "[REDACTED_API_KEY]", "Bearer [REDACTED_TOKEN]", "[REDACTED_PRIVATE_KEY]", "[REDACTED_SLACK_TOKEN]", "[EXAMPLE_GH_TOKEN]"]
-_CREDENTIAL_SQL = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{a}' || '{b}' || " + ("upper(left(h, 16))" if i == 0 else "''" if i == 6 else "h || left(h, 8)") for i, (a, b) in enumerate(_PARTS)) + " END"
+_CREDENTIAL_PLACES = [
+    "[REDACTED_AWS_KEY]", "[REDACTED_GH_TOKEN]", "[REDACTED_SECRET_KEY]", "[REDACTED_SECRET_KEY]", "[REDACTED_API_KEY]",
+    "Bearer [REDACTED_TOKEN]", "[REDACTED_PRIVATE_KEY]", "[REDACTED_SLACK_TOKEN]", "[EXAMPLE_GH_TOKEN]"
+]
+_CREDENTIAL_SQL = "CASE doc_id % 9 " + " ".join(
+    f"WHEN {i} THEN '{a}' || '{b}' || " + ("upper(left(h, 16))" if i == 0 else "''" if i == 6 else "h || left(h, 8)") for i,
+    (a, b) in enumerate(_PARTS)
+) + " END"
 
 
 def _picked(column: Column, values: list[Column]) -> Column:
@@ -744,7 +855,10 @@ def q_preflight_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.overridden(answers, found).select("doc_id", "question_id", "overridden_by", "value")
 
 
-_URLS = ["https://wiki.corp/a?b=1", "http://localhost:8080/x", "https://api.example.com/v", "https://github.com/o/r", "ldap://dir.intra/x", "https://site.org/p"]
+_URLS = [
+    "https://wiki.corp/a?b=1", "http://localhost:8080/x", "https://api.example.com/v", "https://github.com/o/r", "ldap://dir.intra/x",
+    "https://site.org/p"
+]
 _URL_TYPES = ["url_internal", "example_url", "example_url", "example_url", "url_internal", "url_public"]
 
 
@@ -769,7 +883,10 @@ def q_scan_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = _picked(F.col("doc_id") % 5, [F.lit(p) for p in _PHONES])
     near = F.when(F.col("doc_id") % 5 == 4, "support ").otherwise("")
     found = spans.candidates(_behind(spark, sf_dir, F.concat(F.lit("." * 60 + " "), near, number, F.lit(" " + "." * 60)))).where("kind = 'phone'")
-    return found.select("doc_id", "placeholder", "type", "country_format", "is_support_prefix", "near_support_keyword", "is_mobile", "start", (F.col("end") - F.col("start")).alias("n_chars"))
+    return found.select(
+        "doc_id", "placeholder", "type", "country_format", "is_support_prefix", "near_support_keyword", "is_mobile", "start",
+        (F.col("end") - F.col("start")).alias("n_chars")
+    )
 
 
 @query("q_scan_overlap", """
@@ -792,7 +909,10 @@ def q_scan_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_secret_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.candidates(table(spark, sf_dir, "documents"), keep=("doc_id", "lang")).where("kind = 'secret'")
     has = lambda c: F.array_contains("character_classes", c).alias(f"has_{c}")
-    return found.groupBy("lang", F.lower("key_name").alias("key_name"), "value_length", has("lower"), has("upper"), has("digit"), "placeholder_syntax", "is_known_format").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(
+        "lang", F.lower("key_name").alias("key_name"), "value_length", has("lower"), has("upper"), has("digit"), "placeholder_syntax",
+        "is_known_format"
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q_placeholder_numbering", rf"""
@@ -836,7 +956,11 @@ def q_span_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_token_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an unmasked part holds the value that a placeholder of the whole stands for: itself, not a longer one."""
     own = F.concat(F.lit("u"), F.col("doc_id").cast("string"), F.lit("@one.org"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(own, F.lit(" "), F.coalesce("text", F.lit(""))).alias("whole"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("see "), F.upper(own))).otherwise("none").alias("part"), F.concat(F.lit("x"), own).alias("longer"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(own, F.lit(" "), F.coalesce("text", F.lit(""))).alias("whole"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("see "), F.upper(own))).otherwise("none").alias("part"),
+        F.concat(F.lit("x"), own).alias("longer")
+    )
     hashed = docs.select("doc_id", *[spans.token_hashes(F.col(c) if c == "whole" else F.lower(c)).alias(c) for c in ("whole", "part", "longer")])
     name = F.lit("[EMAIL_1]")
     return hashed.select("doc_id", *[spans.placed(name, F.col("whole"), F.col(c)).alias(f"in_{c}") for c in ("whole", "part", "longer")])
@@ -864,7 +988,10 @@ def q_offline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, 0.78::DOUBLE AS composite_score, true AS passed, true AS mock, 0.78::DOUBLE AS has_test_plan FROM documents""")
 def q_mock_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = evaluate.mock(table(spark, sf_dir, "documents").select("doc_id", "text"), "tech-spec")
-    return r.select("doc_id", F.round("composite_score", 9).alias("composite_score"), "passed", "mock", F.col("answers")["has_test_plan"].alias("has_test_plan"))
+    return r.select(
+        "doc_id", F.round("composite_score", 9).alias("composite_score"), "passed", "mock",
+        F.col("answers")["has_test_plan"].alias("has_test_plan")
+    )
 
 
 class LengthProvider:
@@ -889,7 +1016,11 @@ def q_online_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), "text")
     r = evaluate.online(docs, "quality", LengthProvider, pause=0.0)
     value = F.round(F.try_element_at("answers", F.lit("clarity")), 6)
-    return r.select("doc_id", value.alias("clarity"), F.round("composite_score", 6).alias("composite"), F.try_element_at("choices", F.lit("tone")).alias("tone"), "error", "passed", (F.size("warnings") > 0).alias("warned"), F.try_element_at("warnings", F.lit(1)).alias("warning"), F.array_contains("near_threshold", "clarity").alias("near"), "input_tokens")
+    return r.select(
+        "doc_id", value.alias("clarity"), F.round("composite_score", 6).alias("composite"),
+        F.try_element_at("choices", F.lit("tone")).alias("tone"), "error", "passed", (F.size("warnings") > 0).alias("warned"),
+        F.try_element_at("warnings", F.lit(1)).alias("warning"), F.array_contains("near_threshold", "clarity").alias("near"), "input_tokens"
+    )
 
 
 @query("q_chunk_max_pool", """
@@ -897,14 +1028,23 @@ def q_online_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_chunk_max_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of a conversation as its chunks."""
     none = F.lit(None).cast("string")
-    answers = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("question_id"), (F.length("text") * 37 % 101 / 100.0).alias("probability"), none.alias("choice"), none.alias("error"))
+    answers = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("role").alias("question_id"), (F.length("text") * 37 % 101 / 100.0).alias("probability"),
+        none.alias("choice"), none.alias("error")
+    )
     return decide.pooled(answers).select("doc_id", "question_id", "value")
 
 
-@query("q_token_usage", "SELECT conv_id AS doc_id, CAST(nullif(sum(length(text)), 0) AS BIGINT) AS input_tokens, CAST(nullif(sum(CASE WHEN conv_id % 2 = 0 THEN turn ELSE 0 END), 0) AS BIGINT) AS output_tokens FROM conversations GROUP BY conv_id")
+@query(
+    "q_token_usage",
+    "SELECT conv_id AS doc_id, CAST(nullif(sum(length(text)), 0) AS BIGINT) AS input_tokens, CAST(nullif(sum(CASE WHEN conv_id % 2 = 0 THEN turn ELSE 0 END), 0) AS BIGINT) AS output_tokens FROM conversations GROUP BY conv_id"
+)
 def q_token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.when(F.col("conv_id") % 2 == 0, F.col("turn")).otherwise(0).cast("long")
-    answers = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.length("text").cast("long").alias("input_tokens"), out.alias("output_tokens"), F.lit("m").alias("model"))
+    answers = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.length("text").cast("long").alias("input_tokens"), out.alias("output_tokens"),
+        F.lit("m").alias("model")
+    )
     return decide.usage(answers).drop("model")
 
 
@@ -916,10 +1056,16 @@ def q_unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     items = F.array(F.struct(F.lit("[EMAIL_9]").alias("placeholder")), F.struct(F.lit("[IP_9]").alias("placeholder")))
     gone = F.col("doc_id") % 3 != 0
-    docs = table(spark, sf_dir, "documents").select("doc_id", items.alias("items"), F.concat(text, F.when(gone, "<!-- [IP_9] -->").otherwise("")).alias("before"), text.alias("after"), F.array(F.concat(F.lit("[EMAIL_9] "), text), text).alias("parts"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", items.alias("items"), F.concat(text, F.when(gone, "<!-- [IP_9] -->").otherwise("")).alias("before"), text.alias("after"),
+        F.array(F.concat(F.lit("[EMAIL_9] "), text), text).alias("parts")
+    )
     names = evaluate.unplaced(F.col("items"), F.col("before"), F.col("after"), F.col("parts"))
     message = evaluate.unplaced_message(names, F.size("parts"))
-    return docs.select("doc_id", (F.size(names) > 0).alias("lost"), message.alias("message"), F.coalesce(validate.unplaced_warning(message), F.lit(False)).alias("is_unplaced"))
+    return docs.select(
+        "doc_id", (F.size(names) > 0).alias("lost"), message.alias("message"),
+        F.coalesce(validate.unplaced_warning(message), F.lit(False)).alias("is_unplaced")
+    )
 
 
 @query("q_transient", """
@@ -952,10 +1098,16 @@ def q_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.json_rows(gate.verdicts(_gated(spark, sf_dir)))
 
 
-@query("q_published", "SELECT lang AS preset_name, count(*) AS documents, count(*) FILTER (WHERE doc_id % 3 = 0) AS passed, count(*) FILTER (WHERE doc_id % 3 = 1) AS failed, count(*) FILTER (WHERE doc_id % 3 = 2) AS errors, round(avg(n_chars), 6) AS mean_composite FROM documents GROUP BY lang")
+@query(
+    "q_published",
+    "SELECT lang AS preset_name, count(*) AS documents, count(*) FILTER (WHERE doc_id % 3 = 0) AS passed, count(*) FILTER (WHERE doc_id % 3 = 1) AS failed, count(*) FILTER (WHERE doc_id % 3 = 2) AS errors, round(avg(n_chars), 6) AS mean_composite FROM documents GROUP BY lang"
+)
 def q_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id") % 3
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("preset_name"), F.when(k == 0, True).when(k == 1, False).alias("passed"), F.when(k == 2, "refused").alias("error"), F.col("n_chars").cast("double").alias("composite_score"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("preset_name"), F.when(k == 0, True).when(k == 1, False).alias("passed"),
+        F.when(k == 2, "refused").alias("error"), F.col("n_chars").cast("double").alias("composite_score")
+    )
     return report.published(rows).withColumn("mean_composite", F.round("mean_composite", 6))
 
 
@@ -967,7 +1119,9 @@ def q_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_masked_ids", "SELECT CASE WHEN lang = 'en' THEN CAST(doc_id AS VARCHAR) ELSE '(private)' END AS doc_id, count(*) AS n FROM documents GROUP BY ALL")
 def q_masked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.masked_ids(table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("lang") == "en").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return report.masked_ids(
+        table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("lang") == "en"
+    ).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q_run_median", f"WITH r AS ({_RUNS}) SELECT doc_id, round(median(v), 6) AS median_value FROM r GROUP BY doc_id")
@@ -975,7 +1129,10 @@ def q_run_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.run_median(_runs(spark, sf_dir), ["doc_id"], "value").withColumn("median_value", F.round("median_value", 6))
 
 
-@query("q_semi_changed", "SELECT d.source, count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AND d.doc_id % 3 <> 2 GROUP BY d.source")
+@query(
+    "q_semi_changed",
+    "SELECT d.source, count(*) AS n FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AND d.doc_id % 3 <> 2 GROUP BY d.source"
+)
 def q_semi_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed files, of which only those that are texts by their names count."""
     end = _picked(F.col("doc_id") % 3, [F.lit(".md"), F.lit(".TXT"), F.lit(".bin")])
@@ -984,7 +1141,10 @@ def q_semi_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.changed(table(spark, sf_dir, "documents").select("source", path), listed, explicit=False).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q_missing_answers", "SELECT d.lang, count(*) AS missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY d.lang")
+@query(
+    "q_missing_answers",
+    "SELECT d.lang, count(*) AS missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY d.lang"
+)
 def q_missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = table(spark, sf_dir, "labels").select("doc_id", F.lit("q").alias("question_id"), F.lit(0).alias("run"), F.lit(1.0).alias("value"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -992,7 +1152,10 @@ def q_missing_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.join(docs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("missing"))
 
 
-@query("q_min_detected", "SELECT lang, CAST(ceil(0.8 * count(*) FILTER (WHERE quality = 0)) AS BIGINT) AS min_detected FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang")
+@query(
+    "q_min_detected",
+    "SELECT lang, CAST(ceil(0.8 * count(*) FILTER (WHERE quality = 0)) AS BIGINT) AS min_detected FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang"
+)
 def q_min_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
     return validate.least_detected(j.select("lang", F.when(F.col("quality") == 0, "absent").otherwise("present").alias("expected")), ["lang"], 0.8)
@@ -1010,11 +1173,20 @@ def q_baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     name = F.concat(F.lit("docs/"), d.cast("string"), F.lit(".md"))
     none = F.array().cast("array<string>")
-    now = table(spark, sf_dir, "labels").select(name.alias("path"), F.create_map(F.lit("has_pii"), (d * 37 + (d % 5) * 9) % 101 / 100.0).alias("answers"), F.lit(True).alias("was_truncated"), none.alias("violations"), none.alias("warnings"), F.lit(True).alias("passed"))
-    then = table(spark, sf_dir, "labels").where(d % 4 != 3).select(F.concat(F.lit("/repo/"), name).alias("path"), F.create_map(F.lit("has_pii"), d * 37 % 101 / 100.0).alias("answers"), (d % 2 == 1).alias("was_truncated"))
+    now = table(spark, sf_dir, "labels").select(
+        name.alias("path"), F.create_map(F.lit("has_pii"), (d * 37 + (d % 5) * 9) % 101 / 100.0).alias("answers"),
+        F.lit(True).alias("was_truncated"), none.alias("violations"), none.alias("warnings"), F.lit(True).alias("passed")
+    )
+    then = table(spark, sf_dir, "labels").where(d % 4 != 3).select(
+        F.concat(F.lit("/repo/"), name).alias("path"), F.create_map(F.lit("has_pii"), d * 37 % 101 / 100.0).alias("answers"),
+        (d % 2 == 1).alias("was_truncated")
+    )
     rows = [q for q in V.QUESTIONS if q[1] == "has_pii"]
     r = baseline.compared(now, then, rows, root="/repo")
-    return r.select("path", F.col("baseline.status").alias("status"), F.col("baseline.truncation_mismatch").alias("truncation_mismatch"), F.try_element_at("violations", F.lit(1)).alias("violation"), "passed")
+    return r.select(
+        "path", F.col("baseline.status").alias("status"), F.col("baseline.truncation_mismatch").alias("truncation_mismatch"),
+        F.try_element_at("violations", F.lit(1)).alias("violation"), "passed"
+    )
 
 
 @query("q_truncation_mismatch", """
@@ -1022,7 +1194,10 @@ def q_baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM labels WHERE (doc_id % 2 = 0) <> (doc_id % 3 = 0)""")
 def q_truncation_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    rows = table(spark, sf_dir, "labels").select(F.concat(F.lit("d/"), d.cast("string")).alias("path"), d.cast("string").alias("filename"), (d % 3 == 0).alias("was_truncated"), (d % 2 == 0).alias("then"))
+    rows = table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("d/"), d.cast("string")).alias("path"), d.cast("string").alias("filename"), (d % 3 == 0).alias("was_truncated"),
+        (d % 2 == 0).alias("then")
+    )
     return baseline.truncation_mismatch(rows.drop("then"), rows.select("path", F.col("then").alias("was_truncated")))
 
 
@@ -1110,13 +1285,22 @@ def _heads(text: str) -> str:
     return f"len(list_filter(string_split({text}, chr(10)), lambda x: starts_with(ltrim(x), '#')))"
 
 
-_DIFFERS = " UNION ALL ".join(f"SELECT '{k}' AS kind, '{'down' if k in corpus.DEGRADATIONS else 'neutral'}' AS expected, {_heads(k)} < {_heads('text')} OR abs(length({k}) - length(text)) > 0.1 * length(text) AS down FROM e" for k in _EDITS)
+_DIFFERS = " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, '{'down' if k in corpus.DEGRADATIONS else 'neutral'}' AS expected, {_heads(k)} < {_heads('text')} OR abs(length({k}) - length(text)) > 0.1 * length(text) AS down FROM e" for k in _EDITS
+)
 
 
-@query("q_diff_agreement", _EDITED + f" SELECT kind, expected, count(*) AS pairs, count(*) FILTER (WHERE down = (expected = 'down')) AS agrees FROM ({_DIFFERS}) GROUP BY ALL")
+@query(
+    "q_diff_agreement",
+    _EDITED + f" SELECT kind, expected, count(*) AS pairs, count(*) FILTER (WHERE down = (expected = 'down')) AS agrees FROM ({_DIFFERS}) GROUP BY ALL"
+)
 def q_diff_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the rule agrees with what each kind of edit is: a degradation or neutral."""
-    kinds = [F.struct(F.lit(k).alias("kind"), F.lit("down" if k in corpus.DEGRADATIONS else "neutral").alias("expected"), F.col(k).alias("after")) for k in _EDITS]
+    kinds = [
+        F.struct(
+            F.lit(k).alias("kind"), F.lit("down" if k in corpus.DEGRADATIONS else "neutral").alias("expected"), F.col(k).alias("after")
+        ) for k in _EDITS
+    ]
     pairs = _edited(spark, sf_dir).select(F.col("text").alias("before"), F.inline(F.array(*kinds)))
     return corpus.diff_agreement(pairs)
 
@@ -1130,7 +1314,10 @@ def q_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce(put, text), 256).alias("text_sha256"), put.isNotNull().alias("found"))
 
 
-@query("q_front_matter", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'id: ' || doc_id || chr(10) || '---' || chr(10) ELSE '' END AS front FROM documents")
+@query(
+    "q_front_matter",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'id: ' || doc_id || chr(10) || '---' || chr(10) ELSE '' END AS front FROM documents"
+)
 def q_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\n---\n"))).otherwise("")
     return table(spark, sf_dir, "documents").select("doc_id", corpus.front_matter(F.concat(head, F.coalesce("text", F.lit("")))).alias("front"))
@@ -1150,14 +1337,19 @@ def q_heuristic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Corpus tables and sources
 
 
-@query("q_manifest", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'org/' || source ELSE source END AS project, CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE 'given' END AS edit_source FROM documents WHERE doc_id % 5 <> 0")
+@query(
+    "q_manifest",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'org/' || source ELSE source END AS project, CASE WHEN doc_id % 2 = 0 THEN 'unknown' ELSE 'given' END AS edit_source FROM documents WHERE doc_id % 5 <> 0"
+)
 def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two manifests with columns of their own; a fifth of their documents have no file."""
     docs = table(spark, sf_dir, "documents")
     own = F.col("doc_id").cast("string").alias("doc_id")
     one = docs.where("doc_id % 2 = 0").select(own, F.concat(F.lit("Org/"), F.upper("source")).alias("repo"))
     two = docs.where("doc_id % 2 = 1").select(own, F.upper("source").alias("source_repo"), F.lit("given").alias("edit_source"))
-    return corpus.manifest([one, two], docs.where("doc_id % 5 <> 0").select(own)).select("doc_id", "project", "edit_source").withColumn("project", F.lower("project"))
+    return corpus.manifest(
+        [one, two], docs.where("doc_id % 5 <> 0").select(own)
+    ).select("doc_id", "project", "edit_source").withColumn("project", F.lower("project"))
 
 
 @query("q_fetched", "SELECT doc_id, doc_id % 3 <> 0 AS intact FROM documents")
@@ -1169,7 +1361,10 @@ def q_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.fetched(raw, parts).select("doc_id", "intact")
 
 
-@query("q_split_map", "SELECT CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'heldout' ELSE 'tuning' END AS split, count(*) AS labels FROM labels GROUP BY ALL")
+@query(
+    "q_split_map",
+    "SELECT CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'heldout' ELSE 'tuning' END AS split, count(*) AS labels FROM labels GROUP BY ALL"
+)
 def q_split_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("doc_id").cast("string"), F.lit("/after.md")).alias("path")
     labels = table(spark, sf_dir, "labels")
@@ -1182,12 +1377,18 @@ def q_split_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
     none = F.lit(None).cast("string")
-    raw = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("id"), F.concat(n, F.lit(".md")).alias("before"), none.alias("after"), none.alias("before_text"), F.concat(F.lit("new "), n).alias("after_text"), F.when(F.col("doc_id") % 2 == 1, "before").alias("better"), none.alias("split"))
+    raw = table(spark, sf_dir, "labels").select(
+        "doc_id", F.col("doc_id").alias("id"), F.concat(n, F.lit(".md")).alias("before"), none.alias("after"), none.alias("before_text"),
+        F.concat(F.lit("new "), n).alias("after_text"), F.when(F.col("doc_id") % 2 == 1, "before").alias("better"), none.alias("split")
+    )
     texts = table(spark, sf_dir, "labels").where("doc_id % 5 <> 0").select(F.concat(n, F.lit(".md")).alias("path"), F.concat(F.lit("old "), n).alias("text"))
     return files.score_pairs(raw, texts).select("id", "better", "before_text", "after_text", "error")
 
 
-@query("q_label_paths", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/abs/' || doc_id WHEN 1 THEN 'lab/' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS file FROM labels")
+@query(
+    "q_label_paths",
+    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '/abs/' || doc_id WHEN 1 THEN 'lab/' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS file FROM labels"
+)
 def q_label_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
     labels = table(spark, sf_dir, "labels")
@@ -1202,9 +1403,15 @@ def q_label_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures that whole texts refer to: the first two that are there, one in a file, one written out; not those in code, remote or lost."""
     n = F.col("doc_id").cast("string")
-    refs = F.concat(F.lit("![x](a"), n, F.lit(".png) `![c](b.png)` ![r](https://h/r.png) ![l](lost.png)"), F.when(F.col("doc_id") % 2 == 0, " ![d](data:image/gif;base64,MTIz)").otherwise(""), F.lit("\n"))
+    refs = F.concat(
+        F.lit("![x](a"), n, F.lit(".png) `![c](b.png)` ![r](https://h/r.png) ![l](lost.png)"),
+        F.when(F.col("doc_id") % 2 == 0, " ![d](data:image/gif;base64,MTIz)").otherwise(""), F.lit("\n")
+    )
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(refs, F.coalesce("text", F.lit(""))).alias("text"))
-    there = docs.select(F.concat(F.lit("a"), n, F.lit(".png")).alias("path"), F.encode(F.lit("12"), "UTF-8").alias("content"), F.lit(2).cast("long").alias("length"))
+    there = docs.select(
+        F.concat(F.lit("a"), n, F.lit(".png")).alias("path"), F.encode(F.lit("12"), "UTF-8").alias("content"),
+        F.lit(2).cast("long").alias("length")
+    )
     return files.images(docs, there, 2).select("doc_id", "source", "mime_type", "byte_size", "data_url")
 
 
@@ -1229,7 +1436,10 @@ def q_branch_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", hooks.branch_allowed(base, head).alias("allowed"))
 
 
-@query("q_incremental", "SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '" + EMAIL + "')) FROM documents UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(text, '" + IPV4 + "')) FROM documents UNION ALL SELECT doc_id, 'secret', unnest(regexp_extract_all(text, '" + TOKEN + "')) FROM documents) GROUP BY ALL")
+@query(
+    "q_incremental",
+    "SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '" + EMAIL + "')) FROM documents UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(text, '" + IPV4 + "')) FROM documents UNION ALL SELECT doc_id, 'secret', unnest(regexp_extract_all(text, '" + TOKEN + "')) FROM documents) GROUP BY ALL"
+)
 def q_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The expression that the stream applies to each batch, over the whole table."""
     return incremental.outcomes(table(spark, sf_dir, "documents")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -89,7 +89,10 @@ def labels(spark: SparkSession, text: str) -> dict[str, DataFrame]:
     for p in raw.get("pairs") or []:
         if more := set(p) - {"before", "after", "expect", "kind", "doc_id", "runs"}:
             raise ValueError(f"unknown keys of a pair: {sorted(more)}")
-    return {"documents": spark.createDataFrame(docs, "path string, question_id string, expected string"), "pairs": spark.createDataFrame(pairs, "pair_id int, before string, after string, question_id string, expected string, kind string")}
+    return {
+        "documents": spark.createDataFrame(docs, "path string, question_id string, expected string"),
+        "pairs": spark.createDataFrame(pairs, "pair_id int, before string, after string, question_id string, expected string, kind string")
+    }
 
 
 def preset(text: str) -> list[tuple]:
@@ -101,7 +104,12 @@ def preset(text: str) -> list[tuple]:
     for q, c in (raw.get("questions") or {}).items():
         criteria = c.get("criteria") or []
         more = {k: c[k] for k in ("instructions", "max_drop") if k in c}
-        out.append((raw["name"], q, c["type"], c.get("label"), c.get("weight"), c.get("min_threshold"), c.get("max_threshold"), c.get("preflight"), bool(c.get("advisory", False)), list(criteria), more))
+        out.append(
+            (
+                raw["name"], q, c["type"], c.get("label"), c.get("weight"), c.get("min_threshold"), c.get("max_threshold"),
+                c.get("preflight"), bool(c.get("advisory", False)), list(criteria), more
+            )
+        )
     return out
 
 
@@ -123,7 +131,10 @@ def baseline(spark: SparkSession, path: str, preset_name: str) -> DataFrame:
 def image_references(text: Column) -> Column:
     """Targets of Markdown and HTML images outside code."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", ""), r"`[^`\n]*`", "")
-    return F.concat(F.regexp_extract_all(plain, F.lit(r"!\[[^\]]*\]\(\s*<?([^)\s>]+)"), 1), F.regexp_extract_all(plain, F.lit(r"(?i)<img[^>]*\ssrc=[\"']([^\"']+)"), 1))
+    return F.concat(
+        F.regexp_extract_all(plain, F.lit(r"!\[[^\]]*\]\(\s*<?([^)\s>]+)"), 1),
+        F.regexp_extract_all(plain, F.lit(r"(?i)<img[^>]*\ssrc=[\"']([^\"']+)"), 1)
+    )
 
 
 def pictures(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -143,12 +154,17 @@ def images(docs: DataFrame, files: DataFrame, most: int = IMAGES_EACH) -> DataFr
 
     refs = docs.select("doc_id", F.posexplode(image_references(F.col("text"))).alias("ord", "source")).where(~F.col("source").rlike("^(?i)https?:"))
     inline = r"^data:(image/(?:png|jpeg|gif|webp));base64,([A-Za-z0-9+/=]+)$"
-    given = refs.where(F.col("source").rlike(inline)).select("doc_id", "ord", F.lit("data:").alias("source"), F.regexp_extract("source", inline, 1).alias("mime_type"), F.floor(F.length(F.regexp_extract("source", inline, 2)) * 3 / 4).alias("byte_size"), F.col("source").alias("data_url"))
+    given = refs.where(F.col("source").rlike(inline)).select(
+        "doc_id", "ord", F.lit("data:").alias("source"), F.regexp_extract("source", inline, 1).alias("mime_type"),
+        F.floor(F.length(F.regexp_extract("source", inline, 2)) * 3 / 4).alias("byte_size"), F.col("source").alias("data_url")
+    )
     kind = F.lower(F.regexp_extract("source", r"\.([^.]+)$", 1))
     mime = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in IMAGE_TYPES.items()])
     found = refs.withColumn("mime_type", mime).where("mime_type is not null").join(files.select(F.col("path").alias("source"), "content", "length"), "source")
     coded = F.concat(F.lit("data:"), "mime_type", F.lit(";base64,"), F.base64("content")).alias("data_url")
-    found = found.select("doc_id", "ord", "source", "mime_type", F.col("length").alias("byte_size"), coded).unionByName(given).where(F.col("byte_size") <= IMAGE_BYTES)
+    found = found.select(
+        "doc_id", "ord", "source", "mime_type", F.col("length").alias("byte_size"), coded
+    ).unionByName(given).where(F.col("byte_size") <= IMAGE_BYTES)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
     return found.withColumn("nth", nth).where(F.col("nth") <= min(most, IMAGES_MOST)).drop("nth")
 

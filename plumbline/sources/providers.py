@@ -55,7 +55,10 @@ def answers_of(raw: dict, questions: dict[str, dict]) -> dict:
             out[name] = {key: one.get(key, "" if key == "choice" else 0.0), "confidence": float(one.get("confidence", 1.0))}
     usage = raw.get("usage") if isinstance(raw.get("usage"), dict) else {}
     tokens = lambda *names: next((int(usage[n]) for n in names if usage.get(n)), 0)
-    out["_usage"] = {"input_tokens": tokens("input_tokens", "prompt_tokens"), "output_tokens": tokens("output_tokens", "completion_tokens"), "model": raw.get("model")}
+    out["_usage"] = {
+        "input_tokens": tokens("input_tokens", "prompt_tokens"), "output_tokens": tokens("output_tokens", "completion_tokens"),
+        "model": raw.get("model")
+    }
     return out
 
 

@@ -58,6 +58,12 @@ def labels() -> dict:
     expect = lambda *words: {"type": "object", "additionalProperties": {"enum": list(words)}}
     strict = lambda properties, *required: {"type": "object", "additionalProperties": False, "required": list(required), "properties": properties}
     document = strict({"path": _TEXT, "expect": expect("present", "absent")}, "path", "expect")
-    pair = strict({"before": _TEXT, "after": _TEXT, "expect": expect("down", "neutral"), "kind": _TEXT, "doc_id": _TEXT, "runs": _INTEGER}, "before", "after", "expect")
-    properties = {"preset": _TEXT, "config": _TEXT, "runs": _INTEGER, "criteria": strict(criteria), "documents": {"type": "array", "items": document}, "pairs": {"type": "array", "items": pair}}
+    pair = strict(
+        {"before": _TEXT, "after": _TEXT, "expect": expect("down", "neutral"), "kind": _TEXT, "doc_id": _TEXT, "runs": _INTEGER}, "before",
+        "after", "expect"
+    )
+    properties = {
+        "preset": _TEXT, "config": _TEXT, "runs": _INTEGER, "criteria": strict(criteria), "documents": {"type": "array", "items": document},
+        "pairs": {"type": "array", "items": pair}
+    }
     return {"$schema": _DRAFT, "title": "labels", **strict(properties)}

@@ -31,7 +31,10 @@ def test_guard_comments_sections_headings(spark):
     long = "a" * 30 + "b" * 30
     text = "pre\n## One\nbody\n```\n## not\n```\n## 二つ\nmore\n**Bold**\nTitle\n=====\n# h"
     df = spark.createDataFrame([(long, "x <!-- c --> `<!-- k -->` <!-- open", text)], "a string, b string, c string")
-    r = df.select(chunks.guarded(F.col("a"), 20).alias("g"), chunks.strip_comments(F.col("b")).alias("s"), chunks.sections(F.col("c")).alias("x"), chunks.headings(F.col("c")).alias("h")).first()
+    r = df.select(
+        chunks.guarded(F.col("a"), 20).alias("g"), chunks.strip_comments(F.col("b")).alias("s"), chunks.sections(F.col("c")).alias("x"),
+        chunks.headings(F.col("c")).alias("h")
+    ).first()
     assert r.g == "a" * 10 + "\n\n... [TRUNCATED 40 CHARACTERS TO PREVENT TOKEN OVERFLOW] ...\n\n" + "b" * 10
     assert r.s == "x  `<!-- k -->` <!-- open"
     assert r.x.preamble == "pre" and [s.title for s in r.x.sections] == ["One", "二つ"] and "## not" in r.x.sections[0].body
@@ -67,7 +70,9 @@ def test_paths_and_globs(spark):
     rows = [("docs/a.md",), ("docs/sub/b.md",), ("x/node_modules/c.md",), ("readme.txt",)]
     df = spark.createDataFrame(rows, "p string")
     kept = lambda patterns: {r.p for r in df.where(~X.path_excluded(F.col("p"), patterns)).collect()}
-    assert kept(["docs"]) == {"x/node_modules/c.md", "readme.txt"} and kept(["*.md"]) == {"readme.txt"} and kept(["sub/"]) == {"docs/a.md", "x/node_modules/c.md", "readme.txt"}
+    assert kept(["docs"]) == {"x/node_modules/c.md", "readme.txt"} and kept(["*.md"]) == {"readme.txt"} and kept(["sub/"]) == {
+        "docs/a.md", "x/node_modules/c.md", "readme.txt"
+    }
     assert df.where(X.default_ignored(F.col("p"))).count() == 1
 
 
@@ -77,27 +82,40 @@ def test_sources(spark, tmp_path):
     (tmp_path / "build" / "b.md").write_text("no")
     df = files.text_files(spark, [str(tmp_path / "*.md"), str(tmp_path / "*" / "*.md")])
     assert [(r.filename, r.text) for r in df.collect()] == [("a.md", "one\ntwo")]
-    got = files.labels(spark, "preset: safety\ndocuments:\n- path: x\n  expect: {has_pii: present, tone: absent}\npairs:\n- {before: a, after: b, expect: {clarity: down}, kind: k}\n")
+    got = files.labels(
+        spark,
+        "preset: safety\ndocuments:\n- path: x\n  expect: {has_pii: present, tone: absent}\npairs:\n- {before: a, after: b, expect: {clarity: down}, kind: k}\n"
+    )
     assert got["documents"].count() == 2 and got["pairs"].first().kind == "k"
     for bad in ("wrong: 1", "documents:\n- path: x\n  expect: {q: maybe}"):
         with pytest.raises(ValueError):
             files.labels(spark, bad)
     from plumbline.operators import gate
 
-    assert [r.question_id for r in files.unknown_questions(got["documents"], gate.questions(spark, "quality").unionByName(gate.questions(spark, "safety"))).collect()] == ["tone"]
+    assert [
+        r.question_id for r in files.unknown_questions(
+            got["documents"], gate.questions(spark, "quality").unionByName(gate.questions(spark, "safety"))
+        ).collect()
+    ] == ["tone"]
     rows = files.preset("name: own\nquestions:\n  a: {type: noul, min_threshold: 0.4}\n")
     assert gate.questions(spark, "own", rows).first().min_threshold == 0.4
 
 
 def test_images(spark):
-    docs = spark.createDataFrame([(1, "![a](x.png) `![c](no.png)` <img src='y.jpg'> ![b](http://h/z.png) ![d](w.bmp)\n```\n![e](x.png)\n```")], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "![a](x.png) `![c](no.png)` <img src='y.jpg'> ![b](http://h/z.png) ![d](w.bmp)\n```\n![e](x.png)\n```")],
+        "doc_id long, text string"
+    )
     pics = spark.createDataFrame([("x.png", bytearray(b"12"), 2), ("y.jpg", bytearray(b"3"), 99_999_999)], "path string, content binary, length long")
     got = files.images(docs, pics).collect()
     assert [(r.source, r.mime_type, r.data_url) for r in got] == [("x.png", "image/png", "data:image/png;base64,MTI=")]
 
 
 def test_report(spark):
-    v = spark.createDataFrame([("error", "a.md", 3, 4, "m"), ("warning", "b.md", None, None, "n")], "level string, path string, line int, column int, message string")
+    v = spark.createDataFrame(
+        [("error", "a.md", 3, 4, "m"), ("warning", "b.md", None, None, "n")],
+        "level string, path string, line int, column int, message string"
+    )
     assert [r.line for r in report.annotations(v).collect()] == ["::error file=a.md,line=3,col=4::m", "::warning file=b.md::n"]
     a = spark.createDataFrame([(1, "q", 0.5), (2, "r", 0.25)], "doc_id long, question_id string, value double")
     assert report.markdown(a, ["q", "r"]).splitlines()[2:] == ["| 1 | 0.50 | - |", "| 2 | - | 0.25 |"]
@@ -126,7 +144,9 @@ def test_project_config(tmp_path):
     inner.mkdir(parents=True)
     (tmp_path / ".git").mkdir()
     assert project.loaded(inner) is None
-    (tmp_path / "pyproject.toml").write_text('[tool.plumbline]\npreset = "quality"\n[tool.plumbline.questions.clarity]\nmin_threshold = 0.8\n[tool.plumbline.questions.own]\ntype = "noul"\n')
+    (tmp_path / "pyproject.toml").write_text(
+        '[tool.plumbline]\npreset = "quality"\n[tool.plumbline.questions.clarity]\nmin_threshold = 0.8\n[tool.plumbline.questions.own]\ntype = "noul"\n'
+    )
     name, rows = project.loaded(inner)
     assert name == "quality" and [(r[1], r[5]) for r in rows] == [("clarity", 0.8), ("tone", None), ("own", None)] and rows[0][3] == "Clarity & Structure"
     (inner / ".plumbline.yaml").write_text("name: mine\nquestions:\n  q: {type: score, max_threshold: 0.4}\n")
@@ -137,7 +157,10 @@ def test_project_config(tmp_path):
 
 
 def test_score_pairs_and_label_paths(spark):
-    raw = spark.createDataFrame([("1", "d", "a.md", None, None, "new", None, "tuning"), ("2", None, None, "gone.md", "x", None, "before", None)], "id string, doc_id string, before string, after string, before_text string, after_text string, better string, split string")
+    raw = spark.createDataFrame(
+        [("1", "d", "a.md", None, None, "new", None, "tuning"), ("2", None, None, "gone.md", "x", None, "before", None)],
+        "id string, doc_id string, before string, after string, before_text string, after_text string, better string, split string"
+    )
     texts = spark.createDataFrame([("a.md", "old")], "path string, text string")
     got = {r.id: r for r in files.score_pairs(raw, texts).collect()}
     assert (got["1"].before_text, got["1"].after_text, got["1"].better, got["1"].split, got["1"].error) == ("old", "new", "after", None, None)
@@ -185,11 +208,15 @@ def test_corpus_building(spark):
 
 def test_heuristic_counts_and_ablation_labels(spark):
     docs = spark.createDataFrame([(1, "## Risks\nx"), (2, "plain")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, "risks", "present"), (2, "risks", "absent"), (1, "testing", "present")], "doc_id long, question_id string, expected string")
+    labels = spark.createDataFrame(
+        [(1, "risks", "present"), (2, "risks", "absent"), (1, "testing", "present")], "doc_id long, question_id string, expected string"
+    )
     got = {r.question_id: (r.detected, r.n_absent, r.false_alarms, r.n_present) for r in chunks.presence_counts(docs, labels).collect()}
     assert got == {"risks": (1, 1, 0, 1), "testing": (0, 0, 1, 1)}
     v = spark.createDataFrame([(0, "risks"), (1, "goal")], "variant int, removed string")
-    assert {(r.variant, r.question_id): r.expected for r in chunks.ablation_labels(v, ["risks", "goal"]).collect()} == {(0, "risks"): "absent", (0, "goal"): "present", (1, "risks"): "present", (1, "goal"): "absent"}
+    assert {
+        (r.variant, r.question_id): r.expected for r in chunks.ablation_labels(v, ["risks", "goal"]).collect()
+    } == {(0, "risks"): "absent", (0, "goal"): "present", (1, "risks"): "present", (1, "goal"): "absent"}
     with pytest.raises(Exception, match="at most 3"):
         docs.select(chunks.guarded(F.col("text"), 3, strict=True)).collect()
 

@@ -11,7 +11,9 @@ TEXT = f"Mail joe@gmail.com, amy@corp.com\nand {KEY} {KEY}\npwd=hunter2 10.0.0.5
 
 
 def test_offline(spark):
-    df = spark.createDataFrame([(1, TEXT, "a"), (2, "fine info@corp.com", "b"), (3, None, "c"), (4, "x" * 30_000, "d")], "doc_id long, text string, path string")
+    df = spark.createDataFrame(
+        [(1, TEXT, "a"), (2, "fine info@corp.com", "b"), (3, None, "c"), (4, "x" * 30_000, "d")], "doc_id long, text string, path string"
+    )
     r = {x.doc_id: x for x in evaluate.offline(df, "quality").collect()}
     assert r[1].violations == [
         "PII Exposure: [EMAIL_1] is an individual address (free-mail)",
@@ -45,7 +47,10 @@ class Provider:
         assert "hunter2" not in text and len(questions) <= V.BATCH and all(q["instructions"] for q in questions.values())
         if "FAIL" in text:
             raise RuntimeError("400")
-        given = {"clarity": {"score": 1.1}, "has_secrets": 0.9 if "late secret" in text else 0.1, "has_pii": 0.05, "confidentiality_risk": 0.3, "policy_compliance": {"choice": "compliant"}}
+        given = {
+            "clarity": {"score": 1.1}, "has_secrets": 0.9 if "late secret" in text else 0.1, "has_pii": 0.05, "confidentiality_risk": 0.3,
+            "policy_compliance": {"choice": "compliant"}
+        }
         return {q: given.get(q, 0.8 if q in ("email_2", "secret_3") else 0.2) for q in questions}
 
 

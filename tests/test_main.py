@@ -43,7 +43,9 @@ def test_eval_formats_and_codes(spark, tmp_path, capsys):
 
 
 def test_changed_files(spark, tmp_path, capsys, monkeypatch):
-    git = lambda *a: subprocess.run(["git", "-c", "user.name=x", "-c", "user.email=x@x", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    git = lambda *a: subprocess.run(
+        ["git", "-c", "user.name=x", "-c", "user.email=x@x", "-C", str(tmp_path), *a], check=True, capture_output=True
+    )
     git("init", "-q")
     (tmp_path / "old.md").write_text("old")
     git("add", ".")
@@ -88,7 +90,10 @@ class Service(BaseHTTPRequestHandler):
             Service.failed.add(text)
             return self.reply(503, {})
         worse = 0.3 if "worse" in text else 0.9
-        given = {"predicate": {"probability": 0.05 if "absent" in text else worse}, "score": {"score": 2 * worse, "confidence": 0.8}, "choice": {"choice": "professional"}}
+        given = {
+            "predicate": {"probability": 0.05 if "absent" in text else worse}, "score": {"score": 2 * worse, "confidence": 0.8},
+            "choice": {"choice": "professional"}
+        }
         answers = [{"name": q["name"], **given[q["type"]]} for q in body["questions"]]
         if "mapping" in text:
             return self.reply(200, {"decisions": {a.pop("name"): a for a in answers}, "usage": {"prompt_tokens": 7, "completion_tokens": 2}})
@@ -124,7 +129,9 @@ def test_provider_over_http(spark, tmp_path, capsys, service):
     assert main(["eval", every, "--images", *options], spark) == 0
     rows = {r["filename"]: r for r in json.loads(capsys.readouterr().out)}
     a, b = rows["a.md"], rows["b.md"]
-    assert a["answers"] == {"clarity": 0.9} and a["choices"] == {"tone": "professional"} and (a["input_tokens"], a["output_tokens"], a["model"]) == (10, 5, "m1")
+    assert a["answers"] == {"clarity": 0.9} and a["choices"] == {"tone": "professional"} and (
+        a["input_tokens"], a["output_tokens"], a["model"]
+    ) == (10, 5, "m1")
     assert b["warnings"] == ["Clarity & Structure: score 0.30 is below minimum 0.60 (warning)"] and b["input_tokens"] == 7 and b["passed"]
     assert any(isinstance(x["input"], list) and x["input"][1]["image_url"] == "data:image/png;base64,MTI=" for x in Service.seen)
     levels = next(q for q in Service.seen[0]["questions"] if q["type"] == "score")["levels"]
@@ -158,7 +165,9 @@ def test_baseline_and_project_file(spark, tmp_path, capsys, service, monkeypatch
     assert main(["eval", "a.md", *online, "--baseline", str(report)], spark) == 1
     row = json.loads(capsys.readouterr().out)[0]
     assert any(v.startswith("Baseline drop: 'has_test_plan' dropped by 0.85") for v in row["violations"])
-    assert row["baseline"]["status"] == "compared" and {q["question_id"]: q["regressed"] for q in row["baseline"]["questions"]} == {"has_test_plan": True, "own": False}
+    assert row["baseline"]["status"] == "compared" and {
+        q["question_id"]: q["regressed"] for q in row["baseline"]["questions"]
+    } == {"has_test_plan": True, "own": False}
     assert main(["eval", "a.md", *online, "--preset", "quality", "--baseline", str(report)], spark) == 2
 
 
@@ -188,7 +197,11 @@ def test_validate(spark, tmp_path, capsys, service):
     assert main(["validate", str(labels), *online, "--format", "markdown"], spark) == 0
     text = capsys.readouterr().out
     assert "## Pair Groups" in text and "| good.md → worse.md | has_test_plan | down | -0.600 |" in text and "**Verdict:** PASS" in text
-    labels.write_text(LABELS.replace("min_degradation_drop: 0.2", "min_degradation_drop: 0.7").replace("good.md, expect: {has_test_plan: present", "gone.md, expect: {has_test_plan: present"))
+    labels.write_text(
+        LABELS.replace("min_degradation_drop: 0.2", "min_degradation_drop: 0.7").replace(
+            "good.md, expect: {has_test_plan: present", "gone.md, expect: {has_test_plan: present"
+        )
+    )
     assert main(["validate", str(labels), *online, "--format", "table"], spark) == 1
     shown = capsys.readouterr()
     assert "FAIL" in shown.out and "gone.md: no such file" in shown.err

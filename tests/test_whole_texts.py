@@ -9,7 +9,10 @@ from plumbline.operators import corpus
 from plumbline.plans import catalogue
 
 HEADS = ["## Risks and drawbacks", "**Testing**", "Summary\n=====", "plain words"]
-TEXTS = ["", None, "x\n" * 3000 + "## Rollback plan", "see /issues/12", "# Goal\nbody\n## 対象外\nmore", "Metrics\n----\n**Owner**:", "a b c", "w " * 4000 + "\nImpact\n~~~~\nfixes nothing", "## Breaking\n# Future\n## Test plan"]
+TEXTS = [
+    "", None, "x\n" * 3000 + "## Rollback plan", "see /issues/12", "# Goal\nbody\n## 対象外\nmore", "Metrics\n----\n**Owner**:", "a b c",
+    "w " * 4000 + "\nImpact\n~~~~\nfixes nothing", "## Breaking\n# Future\n## Test plan"
+]
 
 
 def headings(text):
