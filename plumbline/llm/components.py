@@ -18,7 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("low"))
-        lower = materialise(labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("was"), F.least("component", "low").alias("via")))
+        lower = materialise(
+            labels.join(near, labels["node"] == near["a"]).select(
+                "node", F.col("component").alias("was"), F.least("component", "low").alias("via")
+            )
+        )
         jump = lower.select(F.col("node").alias("via"), F.col("via").alias("to"))
         after = materialise(lower.join(jump, "via").select("node", "was", F.least("via", "to").alias("component")))
         moved = after.where("component <> was").limit(1).count()

@@ -238,6 +238,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 counts.append(len(words))
                 places.append([{"start": s, "label": x} for s, x in scanner.base(words)])
                 covered.append([vars(s) for s in scanner.spans(words)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(places, base), pa.array(covered, spans)], ["doc_id", "n_words", "base", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(places, base), pa.array(covered, spans)],
+                ["doc_id", "n_words", "base", "spans"]
+            )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, _SCHEMA)

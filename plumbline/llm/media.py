@@ -167,7 +167,9 @@ def _bmp(b: bytes, at: int) -> int | None:
     size, reserved, start, header, width, height, planes, depth = struct.unpack_from("<IIIIiiHH", b, at + 2)
     if reserved or header not in (40, 108, 124) or planes != 1 or depth not in (1, 4, 8, 16, 24, 32) or not 14 + header <= start <= size or width <= 0:
         return None
-    return size if at + size <= len(b) and struct.unpack_from("<I", b, at + 30)[0] == 0 and start + (width * depth + 31) // 32 * 4 * abs(height) <= size else None
+    return size if at + size <= len(b) and struct.unpack_from("<I", b, at + 30)[0] == 0 and start + (
+        width * depth + 31
+    ) // 32 * 4 * abs(height) <= size else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
@@ -263,11 +265,16 @@ def _flac(b: Value, at: int) -> int | None:
 
 def _form(b: bytes, at: int) -> int | None:
     size = int.from_bytes(b[at + 4 : at + 8], "big")
-    return size + 8 if b[at + 8 : at + 12] in (b"AIFF", b"AIFC") and size >= 4 and at + 8 + size <= len(b) and b[at + 12 : at + 16] in (b"COMM", b"FVER", b"MARK", b"NAME", b"SSND", b"COMT") else None
+    return size + 8 if b[at + 8 : at + 12] in (b"AIFF", b"AIFC") and size >= 4 and at + 8 + size <= len(b) and b[at + 12 : at + 16] in (
+        b"COMM", b"FVER", b"MARK", b"NAME", b"SSND", b"COMT"
+    ) else None
 
 
 # Boxes at the top level of ISO base media files.
-_BOXES = {b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"sidx", b"ssix", b"styp", b"meta", b"uuid", b"udta", b"pdin", b"prft", b"emsg"}
+_BOXES = {
+    b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"moof", b"mfra", b"sidx", b"ssix", b"styp", b"meta", b"uuid", b"udta", b"pdin",
+    b"prft", b"emsg"
+}
 
 
 def _boxes(b: bytes, at: int) -> int | None:
@@ -437,7 +444,9 @@ def sniffed(df: DataFrame, value: str, declared: str, keep: list[str]) -> DataFr
     bounded_batches(df.sparkSession)
     known = {kind for _, kind, *_ in FORMATS}
     fields = [df.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", media_type string, corrected boolean, media array<struct<offset: long, length: long, type: string>>"
+    schema = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in fields
+    ) + ", media_type string, corrected boolean, media array<struct<offset: long, length: long, type: string>>"
     listed = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,7 +460,10 @@ def sniffed(df: DataFrame, value: str, declared: str, keep: list[str]) -> DataFr
                 kinds.append(kind)
                 wrong.append(kind != said)
                 found.append([{"offset": m.offset, "length": m.length, "type": m.kind} for m in media])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kinds), pa.array(wrong), pa.array(found, listed)], [*batch.schema.names[:-2], "media_type", "corrected", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], pa.array(kinds), pa.array(wrong), pa.array(found, listed)],
+                [*batch.schema.names[:-2], "media_type", "corrected", "media"]
+            )
 
     return df.select(*keep, F.col(value).alias("_value"), F.col(declared).alias("_declared")).mapInArrow(run, schema)
 
@@ -498,7 +510,11 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     import hashlib
 
     bounded_batches(docs.sparkSession)
-    stored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.encode(text_or_empty(text_col), "UTF-8")).cast("long").alias("n_bytes"), as_wav(payload(F.col(text_col))).alias("media"))
+    stored = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.octet_length(F.encode(text_or_empty(text_col), "UTF-8")).cast("long").alias("n_bytes"),
+        as_wav(payload(F.col(text_col))).alias("media")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sniffer = Sniffer()
@@ -514,10 +530,18 @@ def texts_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 crossings = int((np.signbit(level[1:]) != np.signbit(level[:-1])).sum())
                 inside = len(media) - (kind is not None)
                 feature = f"{kind};declared={declared};samples={len(back)};mean={level.mean() if len(level) else 0:.4f};rms={rms:.4f};crossings={crossings};embedded={inside}"
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, kind, inside))
+                rows.append(
+                    (
+                        len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(raw), hashlib.sha256(raw).hexdigest(),
+                        feature, kind, inside
+                    )
+                )
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "embedded"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, embedded long")
+    return stored.mapInArrow(
+        run,
+        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_type string, embedded long"
+    )

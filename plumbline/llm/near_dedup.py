@@ -92,11 +92,20 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             high, low, size, keys, sketch = (np.concatenate(x) for x in zip(*parts, strict=True))
             text_key = batch.column(1).to_numpy(zero_copy_only=False)
             high, low = np.where(size > 0, high, text_key), np.where(size > 0, low, 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (high, low, size)), *[pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS)], *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH_COLUMNS))]], names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), *map(pa.array, (high, low, size)),
+                    *[pa.array(np.ascontiguousarray(keys[:, i])) for i in range(BANDS)],
+                    *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH_COLUMNS))]
+                ],
+                names
+            )
 
     names = ["doc_id", "text_key", "bag_hi", "bag_lo", "n", *BAND_COLUMNS, *SKETCH_COLUMNS]
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), word_hashes(text).alias("words")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), word_hashes(text).alias("words")
+    ).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _equal_bytes(prefix_a: str, prefix_b: str) -> Column:
@@ -228,11 +237,19 @@ def _dealt(led: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
         .where("components > 1")
         .select("leader", F.col("largest.c").alias("major"), F.col("largest.rows").alias("major_rows"), "all_rows", "all_shingles")
     )
-    blocks = lambda rows: F.greatest(F.ceil(rows / _ROWS), F.ceil(F.col("all_shingles") * rows / F.col("all_rows") / _SHINGLES), F.lit(1)).cast("int")
-    groups = groups.select("leader", "major", blocks(F.col("all_rows") - F.col("major_rows")).alias("left_blocks"), blocks(F.col("all_rows")).alias("right_blocks"))
+    blocks = lambda rows: F.greatest(
+        F.ceil(rows / _ROWS), F.ceil(F.col("all_shingles") * rows / F.col("all_rows") / _SHINGLES), F.lit(1)
+    ).cast("int")
+    groups = groups.select(
+        "leader", "major", blocks(F.col("all_rows") - F.col("major_rows")).alias("left_blocks"),
+        blocks(F.col("all_rows")).alias("right_blocks")
+    )
     placed = rest.join(groups, "leader").withColumn("minor", F.col("component") != F.col("major"))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    right = F.transform(F.sequence(F.lit(0), F.col("left_blocks") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), own("right_blocks").alias("j")))
+    right = F.transform(
+        F.sequence(F.lit(0), F.col("left_blocks") - 1),
+        lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), own("right_blocks").alias("j"))
+    )
     left = F.transform(F.sequence(F.lit(0), F.col("right_blocks") - 1), lambda j: F.struct(F.lit(0).alias("side"), own("left_blocks").alias("i"), j.alias("j")))
     return placed.select("leader", "node", "component", "minor", F.inline(F.when(F.col("minor"), F.concat(left, right)).otherwise(right)))
 
@@ -249,7 +266,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     bounded_batches(docs.sparkSession)
     found = materialise(profiles(docs, id_col, text_col))
     # Of the copies of a text one is read again: the one of the smallest id, known by a hash of text and id.
-    nodes = found.groupBy("bag_hi", "bag_lo").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "doc_id")).alias("copy"), F.count(F.lit(1)).alias("copies"), *[F.max(c).alias(c) for c in ("n", *BAND_COLUMNS, *SKETCH_COLUMNS)])
+    nodes = found.groupBy("bag_hi", "bag_lo").agg(
+        F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "doc_id")).alias("copy"), F.count(F.lit(1)).alias("copies"),
+        *[F.max(c).alias(c) for c in ("n", *BAND_COLUMNS, *SKETCH_COLUMNS)]
+    )
     nodes = materialise(nodes.withColumns({"node": F.monotonically_increasing_id(), "copy": F.xxhash64("copy.text_key", "copy.doc_id")}))
     least = _least_equal(threshold)
 
@@ -257,7 +277,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     members = materialise(keyed.join(shared, "key"))
     central = members.groupBy("node").agg(F.sum("rows").alias("score"))
-    leaders = members.join(central, "node").groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("low"))).alias("most")).select("key", (-F.col("most.low")).alias("leader"))
+    leaders = members.join(central, "node").groupBy("key").agg(
+        F.max(F.struct("score", (-F.col("node")).alias("low"))).alias("most")
+    ).select("key", (-F.col("most.low")).alias("leader"))
     led = materialise(members.join(leaders, "key").where("node <> leader").select("leader", "node").distinct())
     pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     sketch = lambda p: nodes.select(F.col("node").alias(p), F.col("n").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in SKETCH_COLUMNS])
@@ -278,13 +300,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     if more.limit(1).count():
         old, labels = labels, components(links.unionByName(more))
         release(old)
-    grouped = nodes.select("node", "bag_hi", "bag_lo", "first_id", "copies").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = nodes.select(
+        "node", "bag_hi", "bag_lo", "first_id", "copies"
+    ).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped)
     release(led, bag, links, more, labels, nodes)
     totals = materialise(grouped.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_rows")))
     of_bag = materialise(grouped.join(totals, "component").select("bag_hi", "bag_lo", F.col("component").alias("class_key"), "class_id", "class_rows"))
     release(grouped, totals)
-    return found.select("doc_id", "text_key", "bag_hi", "bag_lo").join(of_bag, ["bag_hi", "bag_lo"]).select("doc_id", "text_key", "class_key", "class_id", "class_rows")
+    return found.select("doc_id", "text_key", "bag_hi", "bag_lo").join(of_bag, ["bag_hi", "bag_lo"]).select(
+        "doc_id", "text_key", "class_key", "class_id", "class_rows"
+    )
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,12 @@ from .common import bounded_batches, text_or_empty
 from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+_ARROW = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
+        ("sequence_id", pa.int64()), ("offset", pa.int64())
+    ]
+)
 
 
 def assign(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 1024) -> list[tuple[int, int, int, int, int]]:
@@ -67,7 +72,10 @@ class _Rows:
         return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
 
 
-def pack(docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 0, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_json: str, capacity: int = 1024, end_id: int = 0, block: int = 4096, id_col: str = "doc_id",
+    text_col: str = "text"
+) -> DataFrame:
     """One row for each piece: its document, place and ids (little-endian unsigned 32-bit), its sequence and place there."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")

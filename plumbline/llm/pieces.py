@@ -187,7 +187,9 @@ class Codec:
             score = np.bincount(row, uscores[index], last - first)
             score[empty] = 0
             ids = uids[_spread(ustart[index], counts)]
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), pa.array(ids, pa.int32())), pa.array(score, pa.float64())
+            yield pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), pa.array(ids, pa.int32())
+            ), pa.array(score, pa.float64())
             first = last
 
     def decode(self, ids: np.ndarray) -> str:
@@ -221,7 +223,9 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
         for batch in batches:
             first = 0
             for ids, score in codec.encode(batch.column(batch.num_columns - 1)):
-                yield pa.RecordBatch.from_arrays([*[c.slice(first, len(ids)) for c in batch.columns[:-1]], ids, score], [*batch.schema.names[:-1], "ids", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(first, len(ids)) for c in batch.columns[:-1]], ids, score], [*batch.schema.names[:-1], "ids", "score"]
+                )
                 first += len(ids)
 
     return docs.select(*keep, text_or_empty(text_col).alias("_text")).mapInArrow(run, schema)
@@ -240,6 +244,9 @@ def decode(coded: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), id
             lists = batch.column(batch.num_columns - 1)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             texts = [codec.decode(values[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], [*batch.schema.names[:-1], "text"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))],
+                [*batch.schema.names[:-1], "text"]
+            )
 
     return coded.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(run, schema)

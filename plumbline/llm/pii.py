@@ -81,7 +81,9 @@ def permute_pair(high: Column, low: Column, sizes: tuple[int, int], key: str, tw
 
     def one(state: Column, step: Column) -> Column:
         h, l = state["h"], state["l"]
-        return F.when(step % 2 == 0, F.struct(F.pmod(h + sign * _drawn(key, tweak, step, l, sizes[0]), F.lit(sizes[0])).alias("h"), l.alias("l"))).otherwise(F.struct(h.alias("h"), F.pmod(l + sign * _drawn(key, tweak, step, h, sizes[1]), F.lit(sizes[1])).alias("l")))
+        return F.when(
+            step % 2 == 0, F.struct(F.pmod(h + sign * _drawn(key, tweak, step, l, sizes[0]), F.lit(sizes[0])).alias("h"), l.alias("l"))
+        ).otherwise(F.struct(h.alias("h"), F.pmod(l + sign * _drawn(key, tweak, step, h, sizes[1]), F.lit(sizes[1])).alias("l")))
 
     return F.aggregate(steps, F.struct(high.cast("long").alias("h"), low.cast("long").alias("l")), one)
 
@@ -93,9 +95,14 @@ def _class_of(c: Column, kind: Column) -> Column:
     of = lambda a, b: F.struct((point - a).alias("at"), F.lit(a).alias("first"), F.lit(b - a + 1).alias("size"))
     hexed = F.struct((F.instr(F.lit(_HEX), c) - 1).alias("at"), F.lit(-1).alias("first"), F.lit(16).alias("size"))
     plain = [(kind == "secret", F.when(F.instr(F.lit(_HEX), c) > 0, hexed)), (point.between(0x30, 0x39), of(0x30, 0x39))]
-    plain += [((kind == "ipv6") & point.between(a, b), of(a, b)) for a, b in ((0x61, 0x66), (0x41, 0x46))] + [(point.between(a, b), of(a, b)) for a, b in RANGES[1:3]]
+    plain += [
+        ((kind == "ipv6") & point.between(a, b), of(a, b)) for a, b in ((0x61, 0x66), (0x41, 0x46))
+    ] + [(point.between(a, b), of(a, b)) for a, b in RANGES[1:3]]
     others = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in RANGES[3:]])
-    other = let(F.get(F.filter(others, lambda r: point.between(r["a"], r["b"])), F.lit(0)), lambda r: F.when(r.isNotNull(), F.struct((point - r["a"]).alias("at"), r["a"].alias("first"), (r["b"] - r["a"] + 1).alias("size"))))
+    other = let(
+        F.get(F.filter(others, lambda r: point.between(r["a"], r["b"])), F.lit(0)),
+        lambda r: F.when(r.isNotNull(), F.struct((point - r["a"]).alias("at"), r["a"].alias("first"), (r["b"] - r["a"] + 1).alias("size")))
+    )
     out = F.when(point > 0x7F, other)
     for test, found in reversed(plain):
         out = F.when(test, found).otherwise(out)
@@ -111,7 +118,9 @@ def permute_characters(value: Column, key: str, kind: Column, invert: bool = Fal
         def one(c: Column, i: Column) -> Column:
             def put(k: Column) -> Column:
                 to = F.pmod(k["at"] + sign * _drawn(key, kind, step * 1_000_000 + i, other, k["size"]), k["size"])
-                return F.when(k.isNull(), c).when(k["first"] < 0, F.substring(F.lit(_HEX), (to + 1).cast("int"), F.lit(1))).otherwise(F.decode(F.unhex(F.lpad(F.hex(k["first"] + to), 4, "0")), "UTF-16BE"))
+                return F.when(k.isNull(), c).when(
+                    k["first"] < 0, F.substring(F.lit(_HEX), (to + 1).cast("int"), F.lit(1))
+                ).otherwise(F.decode(F.unhex(F.lpad(F.hex(k["first"] + to), 4, "0")), "UTF-16BE"))
 
             return let(_class_of(c, kind), put)
 
@@ -134,7 +143,10 @@ def _digits(value: Column) -> Column:
 
 def _luhn_sum(digits: Column) -> Column:
     """Sum of a digit string whose last digit counts once."""
-    values = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(c.try_cast("int") * 2 - F.when(c >= "5", 9).otherwise(0)))
+    values = F.transform(
+        F.split(F.reverse(digits), ""),
+        lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(c.try_cast("int") * 2 - F.when(c >= "5", 9).otherwise(0))
+    )
     return F.aggregate(values, F.lit(0), lambda s, x: s + x)
 
 
@@ -175,16 +187,26 @@ def _pseudonym_date(value: Column, key: str, invert: bool) -> Column:
         before = lambda month: F.datediff(F.add_months(first, month), first) - 12 * month
 
         def back(new: Column) -> Column:
-            about = let(F.floor(new / (_LATE_HIGH * _LATE_LOW / 4800)).cast("int"), lambda k: F.when(before(k + 1) <= new, k + 1).when(before(k) <= new, k).otherwise(k - 1))
+            about = let(
+                F.floor(new / (_LATE_HIGH * _LATE_LOW / 4800)).cast("int"),
+                lambda k: F.when(before(k + 1) <= new, k + 1).when(before(k) <= new, k).otherwise(k - 1)
+            )
             return let(about, lambda month: F.date_add(F.add_months(first, month), 12 + new - before(month)))
 
         return let(let(pair, lambda p: (p["h"] * _LATE_LOW + p["l"]).cast("int")), back)
 
     def of(d: Column) -> Column:
         sep = F.when(d["year_first"], F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1))
-        written = lambda date, *forms: F.concat(F.date_format(date, forms[0]), sep, F.date_format(date, forms[1]), sep, F.date_format(date, forms[2]))
+        written = lambda date, *forms: F.concat(
+            F.date_format(date, forms[0]), sep, F.date_format(date, forms[1]), sep, F.date_format(date, forms[2])
+        )
         new = F.when(d["late"], late_day(d["day"])).otherwise(any_day(d["day"]))
-        return let(new, lambda n: F.when(d["year_first"], written(n, "yyyy", "MM", "dd")).when(d["late"], written(n, "MM", "dd", "yyyy")).otherwise(written(n, "dd", "MM", "yyyy")))
+        return let(
+            new,
+            lambda n: F.when(
+                d["year_first"], written(n, "yyyy", "MM", "dd")
+            ).when(d["late"], written(n, "MM", "dd", "yyyy")).otherwise(written(n, "dd", "MM", "yyyy"))
+        )
 
     return let(_date(value), of)
 
@@ -231,9 +253,19 @@ def pseudonym(value: Column, kind: Column, key: str, invert: bool = False) -> Co
     country = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .\-(])", 0)
     hashed = F.concat(F.lit("x"), F.left(F.sha2(F.concat(F.lit(key + "|address|"), value).cast("binary"), 256), F.lit(16)), F.lit("@"))
     head = F.when(fixed, hashed).when(kind == "phone", country).otherwise("")
-    body = F.when(fixed, F.substring_index(value, "@", -1)).when(kind == "phone", F.substring(value, F.length(country) + 1, F.length(value))).when(kind == "card", F.substring(value, F.lit(1), F.length(value) - 1)).when(kind == "secret", F.lower(value)).otherwise(value)
+    body = F.when(fixed, F.substring_index(value, "@", -1)).when(
+        kind == "phone", F.substring(value, F.length(country) + 1, F.length(value))
+    ).when(kind == "card", F.substring(value, F.lit(1), F.length(value) - 1)).when(kind == "secret", F.lower(value)).otherwise(value)
     check = lambda b: ((10 - _luhn_sum(F.concat(_digits(b), F.lit("0"))) % 10) % 10).cast("string")
-    moved = let(body, lambda b: let(permute_characters(b, key, kind, invert), lambda n: F.when(kind == "card", F.concat(n, check(n))).when((kind == "secret") & (value != F.lower(value)), F.upper(n)).otherwise(F.concat(head, n))))
+    moved = let(
+        body,
+        lambda b: let(
+            permute_characters(b, key, kind, invert),
+            lambda n: F.when(kind == "card", F.concat(n, check(n))).when(
+                (kind == "secret") & (value != F.lower(value)), F.upper(n)
+            ).otherwise(F.concat(head, n))
+        )
+    )
     return (
         F.when(kind == "ip", let(_octets(value), ip))
         .when(kind == "date", _pseudonym_date(value, key, invert))
@@ -250,7 +282,15 @@ def _card_within(value: Column) -> Column:
     places = F.sequence(F.lit(1), n)
     starts = F.filter(places, lambda i: alone(i - 1) & F.substring(value, i, F.lit(3)).rlike(r"^\d{3}$"))
     ends = F.filter(places, lambda j: alone(j + 1) & F.substring(value, F.greatest(j - 2, F.lit(1)), F.lit(3)).rlike(r"^\d{3}$"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: j - i >= 12), lambda j: F.struct((j - i).alias("n"), (-i).alias("first"), i.alias("from"), j.alias("to")))))
+    runs = F.flatten(
+        F.transform(
+            starts,
+            lambda i: F.transform(
+                F.filter(ends, lambda j: j - i >= 12),
+                lambda j: F.struct((j - i).alias("n"), (-i).alias("first"), i.alias("from"), j.alias("to"))
+            )
+        )
+    )
     best = F.array_max(F.filter(runs, lambda r: _is_card(F.substring(value, r["from"], r["to"] - r["from"] + 1))))
     return F.when(value.rlike(r"^\d[\d \-]{12,}$") & value.rlike(r"\d{3}[ \-]\d{3}"), best)
 
@@ -258,7 +298,15 @@ def _card_within(value: Column) -> Column:
 def _rewritten(text: Column, key: str, invert: bool, again: bool = True) -> Column:
     """Struct (text, kinds): the text with its values replaced, and the kinds of those that changed, in order."""
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind")))
-    found = F.transform(found, lambda m: F.struct(m["value"].alias("value"), m["kind"].alias("kind"), pseudonym(m["value"], m["kind"], key, invert).alias("new"), (F.when(m["kind"].isNull(), _card_within(m["value"])) if again else F.lit(None).cast("struct<from: int, to: int>")).alias("card")))
+    found = F.transform(
+        found,
+        lambda m: F.struct(
+            m["value"].alias("value"), m["kind"].alias("kind"), pseudonym(m["value"], m["kind"], key, invert).alias("new"),
+            (
+                F.when(m["kind"].isNull(), _card_within(m["value"])) if again else F.lit(None).cast("struct<from: int, to: int>")
+            ).alias("card")
+        )
+    )
     none = F.array().cast("array<string>")
 
     def one(m: Column, behind: Column) -> Column:
@@ -268,12 +316,26 @@ def _rewritten(text: Column, key: str, invert: bool, again: bool = True) -> Colu
         value, card = m["value"], m["card"]
         number = F.substring(value, card["from"], card["to"] - card["from"] + 1)
         rest = _rewritten(F.concat(F.substring(value, card["to"] + 1, F.length(value)), behind), key, invert, again=False)
-        bound = F.transform(F.array(rest), lambda r: F.struct(F.concat(F.substring(value, F.lit(1), card["from"] - 1), pseudonym(number, F.lit("card"), key, invert), r["text"]).alias("text"), F.concat(F.array(F.lit("card")), r["kinds"]).alias("kinds")))
+        bound = F.transform(
+            F.array(rest),
+            lambda r: F.struct(
+                F.concat(
+                    F.substring(value, F.lit(1), card["from"] - 1), pseudonym(number, F.lit("card"), key, invert), r["text"]
+                ).alias("text"),
+                F.concat(F.array(F.lit("card")), r["kinds"]).alias("kinds")
+            )
+        )
         return F.when(card.isNotNull(), bound[0]).otherwise(plain)
 
     parts = F.split(text, ANY, -1)
     pieces = F.zip_with(found, F.slice(parts, 2, F.size(parts)), one)
-    whole = F.transform(F.array(pieces), lambda p: F.struct(F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(p, lambda x: x["text"]), "")).alias("text"), F.flatten(F.transform(p, lambda x: x["kinds"])).alias("kinds")))
+    whole = F.transform(
+        F.array(pieces),
+        lambda p: F.struct(
+            F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(p, lambda x: x["text"]), "")).alias("text"),
+            F.flatten(F.transform(p, lambda x: x["kinds"])).alias("kinds")
+        )
+    )
     return whole[0]
 
 

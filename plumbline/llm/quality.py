@@ -28,8 +28,14 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, text_or_empty
 
 #: Bytes whose shares of the text are measured, each as one class.
-CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\n", ".", ",", "!", "?", "#", "$", "%", "&", "*", "|", "@", "=", "<>", "()[]{}", "\"'`", ":;", "-_/\\+~^", "\t\r\x0b\x0c")
-MEASURES = (*CLASSES, "other bytes", "mean word", "long words", "distinct words", "repeated lines", "packed size", "log length", "empty", "capital words", "few words")
+CLASSES = (
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\n", ".", ",", "!", "?", "#", "$", "%", "&", "*", "|", "@", "=", "<>", "()[]{}", "\"'`",
+    ":;", "-_/\\+~^", "\t\r\x0b\x0c"
+)
+MEASURES = (
+    *CLASSES, "other bytes", "mean word", "long words", "distinct words", "repeated lines", "packed size", "log length", "empty",
+    "capital words", "few words"
+)
 _CLASS_OF = np.full(256, len(CLASSES) + 1)
 for _i, _c in enumerate(CLASSES):
     _CLASS_OF[list(_c.encode())] = _i
@@ -103,7 +109,9 @@ def fit(x: np.ndarray, y: np.ndarray, at: float = 0.7, pairs_each: int = 40, rid
     order = np.argsort(strength, kind="stable")
     ranked, label = strength[order], y[order]
     quantile = np.arange(len(ranked) + 1)
-    right = np.concatenate([[0], np.cumsum(label == 0)]) / max(1, (label == 0).sum()) + 1 - np.concatenate([[0], np.cumsum(label == 1)]) / max(1, (label == 1).sum())
+    right = np.concatenate(
+        [[0], np.cumsum(label == 0)]
+    ) / max(1, (label == 0).sum()) + 1 - np.concatenate([[0], np.cumsum(label == 1)]) / max(1, (label == 1).sum())
     best = quantile[right >= right.max() - 1e-12]
     k = int(best[len(best) // 2])
     cut = float(ranked[0] - 1 if k == 0 else ranked[-1] + 1 if k == len(ranked) else (ranked[k - 1] + ranked[k]) / 2)
@@ -113,7 +121,9 @@ def fit(x: np.ndarray, y: np.ndarray, at: float = 0.7, pairs_each: int = 40, rid
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([measure(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["doc_id", "measures"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([measure(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["doc_id", "measures"]
+            )
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, measures array<double>")

@@ -51,7 +51,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.numbered(sharding.assign(sharding.metadata(table(spark, sf_dir, "documents")), 24))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
+        F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +92,9 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
-    coded = pieces.encode(docs, model, ("doc_id", "text_sha256")).select("doc_id", "text_sha256", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "score", "ids")
+    coded = pieces.encode(docs, model, ("doc_id", "text_sha256")).select(
+        "doc_id", "text_sha256", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "score", "ids"
+    )
     back = pieces.decode(coded, model, ("doc_id", "n_ids", "ids_hash", "score", "text_sha256"))
     return back.select("doc_id", "n_ids", "ids_hash", "score", "text_sha256", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 

@@ -30,7 +30,10 @@ _COPIES = 100_000
 
 def metadata(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     raw = F.encode(text_or_empty(text_col), "UTF-8")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("text_hash"))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
+        F.xxhash64(raw).alias("text_hash")
+    )
 
 
 def dimensions() -> list[Column]:
@@ -97,7 +100,10 @@ def _level(rows: DataFrame, whole: list[int], tree: Tree, nodes: dict[tuple[int,
             continue
         width = lambda d: (found[first, d][-1][3] - found[first, d][0][2]) / (whole[d] or 1)  # noqa: B023, E731
         widest = max(range(dims), key=lambda d: (width(d), -d))
-        open_[first] = {"node": node, "dim": widest, "left": 0, "want": sum(b[1] for b in found[first, widest]) * tree.share(node), "bins": found[first, widest]}
+        open_[first] = {
+            "node": node, "dim": widest, "left": 0, "want": sum(b[1] for b in found[first, widest]) * tree.share(node),
+            "bins": found[first, widest]
+        }
     while open_:
         for first, o in list(open_.items()):
             total = o["left"]
@@ -125,7 +131,9 @@ def _parts(meta: DataFrame, target: float) -> tuple[list[tuple[float, int, int]]
     several = [(h, n) for h, n in cut.items() if n > 1]
     if several:
         counts = meta.sparkSession.createDataFrame(several, "text_hash long, _n long")
-        by = meta.join(F.broadcast(counts), "text_hash").groupBy("text_hash", F.pmod(F.xxhash64("doc_id"), "_n").alias("part")).agg(F.sum("size").alias("b")).collect()
+        by = meta.join(F.broadcast(counts), "text_hash").groupBy(
+            "text_hash", F.pmod(F.xxhash64("doc_id"), "_n").alias("part")
+        ).agg(F.sum("size").alias("b")).collect()
         parts += [(r["b"], r["text_hash"], r["part"]) for r in by]
     return sorted(parts, reverse=True), cut
 
@@ -152,7 +160,12 @@ def assign(meta: DataFrame, shards: int = 24, dims: list[Column] | None = None,
     tree = Tree([max(0.0, level - x) for x in load])
     dims = dims or dimensions()
     below = F.col("text_hash").bitwiseAND(F.lit(0xFFFFFFFF))
-    scaled = [F.shiftleft(F.least(F.greatest(F.floor(d * _SCALE), F.lit(0)), F.lit(_SCALE)).cast("long"), 32).bitwiseOR(below).alias(f"_c{i}") for i, d in enumerate(dims)]
+    scaled = [
+        F.shiftleft(
+            F.least(F.greatest(F.floor(d * _SCALE), F.lit(0)), F.lit(_SCALE)).cast("long"), 32
+        ).bitwiseOR(below).alias(f"_c{i}") for i,
+        d in enumerate(dims)
+    ]
     other = meta.where(~F.col("text_hash").isin(list(cut))) if cut else meta
     rows = materialise(other.select("*", *scaled))
     ends = rows.agg(*[f(f"_c{d}").alias(f"{n}{d}") for d in range(len(dims)) for n, f in (("low", F.min), ("high", F.max))]).first()
@@ -171,7 +184,9 @@ def assign(meta: DataFrame, shards: int = 24, dims: list[Column] | None = None,
         return out
     homes = F.create_map(*[x for t, n in cut.items() for x in (F.lit(t), F.array(*[F.lit(home.get((t, p), 0)) for p in range(n)]))])
     placed = F.element_at(homes, F.col("text_hash"))
-    whole_texts = meta.where(F.col("text_hash").isin(list(cut))).withColumn("shard", F.element_at(placed, (F.pmod(F.xxhash64("doc_id"), F.size(placed).cast("long")) + 1).cast("int")))
+    whole_texts = meta.where(F.col("text_hash").isin(list(cut))).withColumn(
+        "shard", F.element_at(placed, (F.pmod(F.xxhash64("doc_id"), F.size(placed).cast("long")) + 1).cast("int"))
+    )
     return out.unionByName(whole_texts)
 
 
@@ -183,8 +198,15 @@ def numbered(rows: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
     buckets = max(1, distinct.count() // rows_per_bucket)
     dealt = distinct.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
     order = Window.partitionBy("shard").orderBy("_bucket")
-    before = dealt.groupBy("shard", "_bucket").agg(F.sum("_m").alias("_n")).withColumn("_before", F.sum("_n").over(order) - F.col("_n")).select("shard", "_bucket", "_before")
-    within = dealt.withColumn("_nth", F.sum("_m").over(Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m"))
+    before = dealt.groupBy("shard", "_bucket").agg(F.sum("_m").alias("_n")).withColumn(
+        "_before", F.sum("_n").over(order) - F.col("_n")
+    ).select("shard", "_bucket", "_before")
+    within = dealt.withColumn(
+        "_nth",
+        F.sum("_m").over(
+            Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+        ) - F.col("_m")
+    )
     start = within.join(before, ["shard", "_bucket"]).select(*columns, "_m", (F.col("_before") + F.col("_nth")).alias("_start"))
 
     def repeated(df: DataFrame) -> DataFrame:
@@ -193,6 +215,11 @@ def numbered(rows: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
     if not distinct.where(F.col("_m") > _COPIES).limit(1).count():
         return repeated(start)
     start = materialise(start)
-    many = start.where(F.col("_m") > _COPIES).select(*columns, "_m", "_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(_COPIES).cast("long"))).alias("_from"))
-    parts = many.select(*columns, F.least(F.col("_m") - F.col("_from"), F.lit(_COPIES).cast("long")).alias("_m"), (F.col("_start") + F.col("_from")).alias("_start")).repartition("shard", "_start")
+    many = start.where(F.col("_m") > _COPIES).select(
+        *columns, "_m", "_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(_COPIES).cast("long"))).alias("_from")
+    )
+    parts = many.select(
+        *columns, F.least(F.col("_m") - F.col("_from"), F.lit(_COPIES).cast("long")).alias("_m"),
+        (F.col("_start") + F.col("_from")).alias("_start")
+    ).repartition("shard", "_start")
     return repeated(start.where(F.col("_m") <= _COPIES)).unionByName(repeated(parts))

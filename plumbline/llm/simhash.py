@@ -46,11 +46,17 @@ def vote(df: DataFrame, keys: list[str], text: str, carried: dict[str, Column] |
     terms = words.select(*keys, *carried, F.posexplode(F.arrays_zip(run(1).alias("a"), run(2).alias("b"))).alias("_p", "_t"))
     a, b = F.col("_t.a"), F.col("_t.b")
     weight = (F.lit(1) + F.shiftright(a.bitwiseAND(F.lit(15)) + b.bitwiseAND(F.lit(15)), 3)).cast("long")
-    terms = terms.select(*keys, *carried, F.shiftright("_p", _CHUNK).alias("_c"), F.xxhash64(a, b).alias("_h"), F.xxhash64(b, a, F.lit(1)).alias("_l"), weight.alias("_v"))
+    terms = terms.select(
+        *keys, *carried, F.shiftright("_p", _CHUNK).alias("_c"), F.xxhash64(a, b).alias("_h"), F.xxhash64(b, a, F.lit(1)).alias("_l"),
+        weight.alias("_v")
+    )
     sums = [F.sum(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_LANES)) * F.col("_v")).alias(f"{x}{k}") for x in ("_h", "_l") for k in range(16)]
     narrow = terms.groupBy(*keys, "_c").agg(F.sum("_v").alias("_n"), *[F.max(n).alias(n) for n in carried], *sums)
     lanes = lambda x, shift: F.sum(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(_WIDE)))
-    summed = narrow.groupBy(*keys).agg(F.sum("_n").alias("_n"), *[F.max(n).alias(n) for n in carried], *[lanes(f"{x}{k}", s).alias(f"{x}{k}_{s}") for x in ("_h", "_l") for k in range(16) for s in (0, 16)])
+    summed = narrow.groupBy(*keys).agg(
+        F.sum("_n").alias("_n"), *[F.max(n).alias(n) for n in carried],
+        *[lanes(f"{x}{k}", s).alias(f"{x}{k}_{s}") for x in ("_h", "_l") for k in range(16) for s in (0, 16)]
+    )
 
     def packed(x: str) -> Column:
         out = F.lit(0).cast("long")
@@ -142,11 +148,17 @@ def _both(rows: DataFrame, keys: list[str]) -> DataFrame:
     longs = _as_longs(F.sha2(F.encode("_edited", "UTF-8"), 256))
     body = lambda which, c: F.struct(F.lit(which).alias("which"), F.col(c).alias("body"))
     bodies = F.when(F.col("_edited").isNull(), F.array(body(0, "_text"))).otherwise(F.array(body(0, "_text"), body(1, "_edited")))
-    rows = rows.select(*keys, F.length("_text").cast("long").alias("_n_chars"), *[c.alias(k) for k, c in longs.items()], F.inline(bodies).alias("_which", "_body"))
+    rows = rows.select(
+        *keys, F.length("_text").cast("long").alias("_n_chars"), *[c.alias(k) for k, c in longs.items()],
+        F.inline(bodies).alias("_which", "_body")
+    )
     carried = {c: F.col(c) for c in ("_n_chars", *longs)}
     voted = vote(rows, [*keys, "_which"], "_body", carried)
     edited = F.col("_which") == 1
-    return voted.groupBy(*keys).agg(*[F.max(c).alias(c) for c in carried], *[F.max(F.when(edited if e else ~edited, F.col(f))).alias(f"{e}{f}") for e in ("", "e_") for f in ("fp_hi", "fp_lo")])
+    return voted.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in carried],
+        *[F.max(F.when(edited if e else ~edited, F.col(f))).alias(f"{e}{f}") for e in ("", "e_") for f in ("fp_hi", "fp_lo")]
+    )
 
 
 def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,13 +169,18 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     next bucket as a guest. So no task sees more than its bucket, and the whole texts move once. Rows of an equal text and id that fill a
     bucket alone become one row in that order; all but the last of them are followed by themselves.
     """
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_SMALLEST)).alias("_key"), F.col(id_col).cast("long").isNull().alias("_null"), text_or_empty(text_col).alias("_text"))
+    source = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_SMALLEST)).alias("_key"), F.col(id_col).cast("long").isNull().alias("_null"),
+        text_or_empty(text_col).alias("_text")
+    )
     source = source.withColumn("_tie", F.xxhash64("_text"))
     cuts, alone = _cuts(source.select("_key", "_tie"))
     copies = None
     if alone:
         repeated = source.sparkSession.createDataFrame(alone, "_key long, _tie long")
-        copies = source.join(F.broadcast(repeated), ["_key", "_tie"]).groupBy("_key", "_null", "_tie").agg(F.max("_text").alias("_text"), F.count(F.lit(1)).alias("_copies"))
+        copies = source.join(F.broadcast(repeated), ["_key", "_tie"]).groupBy("_key", "_null", "_tie").agg(
+            F.max("_text").alias("_text"), F.count(F.lit(1)).alias("_copies")
+        )
         copies = materialise(copies.select("_key", "_null", "_text", "_tie", "_copies"))
         source = source.join(F.broadcast(repeated), ["_key", "_tie"], "left_anti").select("_key", "_null", "_text", "_tie").unionByName(copies.drop("_copies"))
     n = len(cuts)
@@ -174,7 +191,10 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     guest = F.struct(F.pmod(F.col("_bucket") + (n - 1), F.lit(n)).cast("int").alias("bucket"), F.lit(True).alias("guest"))
     rows = placed.select("_key", "_null", "_text", F.inline(F.when(first, F.array(own, guest)).otherwise(F.array(own))).alias("_b", "_guest"))
     order = Window.partitionBy("_b").orderBy("_guest", "_key", F.xxhash64("_text"), "_text")
-    rows = rows.select("_b", "_guest", "_key", "_null", "_text", F.row_number().over(order).alias("_rn"), F.coalesce(F.lead("_text").over(order), F.lit("")).alias("_next"))
+    rows = rows.select(
+        "_b", "_guest", "_key", "_null", "_text", F.row_number().over(order).alias("_rn"),
+        F.coalesce(F.lead("_text").over(order), F.lit("")).alias("_next")
+    )
     keys = ["_b", "_rn", "_guest", "_key", "_null"]
     merged = _both(rows.select(*keys, "_text", F.when(~F.col("_guest"), _edited(F.col("_text"), F.col("_next"))).alias("_edited")), keys)
     after = Window.partitionBy("_b").orderBy("_rn")
@@ -183,7 +203,9 @@ def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if copies is None:
         return out
     keys = ["_key", "_null", "_copies"]
-    same = _both(copies.select(*keys, "_text", _edited(F.col("_text"), F.col("_text")).alias("_edited")), keys).withColumns({"n_hi": F.col("fp_hi"), "n_lo": F.col("fp_lo")})
+    same = _both(
+        copies.select(*keys, "_text", _edited(F.col("_text"), F.col("_text")).alias("_edited")), keys
+    ).withColumns({"n_hi": F.col("fp_hi"), "n_lo": F.col("fp_lo")})
     more = F.col("_copies") - 1
     parts = same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((more - 1) / _COPIES))).alias("_part")).repartition("_key", "_part")
     parts = parts.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_COPIES).cast("long"), more - F.col("_part") * _COPIES))).alias("_nth"))
@@ -286,11 +308,18 @@ def within_radius(queries: DataFrame, against: DataFrame, radius: int = RADIUS,
         for t, (s, e) in enumerate(spans):
             masks = [sum(1 << b for b in chosen) for k in range(flips + 1) for chosen in combinations(range(e - s), k)]
             near = F.when(F.col("table") == t, F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")).otherwise(near)
-        left = left.select("q_hi", "q_lo", "table", "key", F.explode(near).alias("_mask")).select("q_hi", "q_lo", "table", F.col("key").bitwiseXOR(F.col("_mask")).alias("key"))
+        left = left.select("q_hi", "q_lo", "table", "key", F.explode(near).alias("_mask")).select(
+            "q_hi", "q_lo", "table", F.col("key").bitwiseXOR(F.col("_mask")).alias("key")
+        )
     right = keyed(against.select("fp_hi", "fp_lo"), "fp_hi", "fp_lo")
     left, right = _split(left, right, split)
     apart = distance(F.col("q_hi"), F.col("q_lo"), F.col("fp_hi"), F.col("fp_lo"))
-    pairs = right.join(left, (left["table"] == right["table"]) & (left["key"] == right["key"]) & (left["part"] == right["part"]) & (apart <= radius) & (F.coalesce(*firsts) == left["table"]))
+    pairs = right.join(
+        left,
+        (left["table"] == right["table"]) & (left["key"] == right["key"]) & (left["part"] == right["part"]) & (apart <= radius) & (
+            F.coalesce(*firsts) == left["table"]
+        )
+    )
     return pairs.select("q_hi", "q_lo", "fp_hi", "fp_lo", apart.alias("distance"))
 
 
@@ -300,7 +329,11 @@ def search(marked: DataFrame, is_query: Column, radius: int = RADIUS, id_col: st
     order, and ``near_docs``, the number of documents that have one of them. So copies are never listed one by one, and no link between
     different fingerprints is lost. The class of null ids alone is null and comes first."""
     marked = materialise(marked)
-    classes = materialise(marked.groupBy("fp_hi", "fp_lo").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("docs"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked")))
+    classes = materialise(
+        marked.groupBy("fp_hi", "fp_lo").agg(
+            F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("docs"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked")
+        )
+    )
     pairs = within_radius(classes.where("asked"), classes, radius)
     ids = F.sort_array(F.transform(F.collect_list(F.struct("class_id")), lambda s: s["class_id"]))
     near = pairs.join(classes.drop("asked"), ["fp_hi", "fp_lo"]).groupBy("q_hi", "q_lo").agg(F.sum("docs").alias("near_docs"), ids.alias("near_ids"))

@@ -42,7 +42,9 @@ class Encoder:
     @staticmethod
     def _ranked(parts: dict):
         model, before = parts["model"], parts.get("pre_tokenizer") or {}
-        if model.get("type") != "BPE" or parts.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        if model.get("type") != "BPE" or parts.get("normalizer") or before.get("type") != "ByteLevel" or before.get(
+            "add_prefix_space"
+        ) or not before.get("use_regex", True):
             return None
         if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
             return None

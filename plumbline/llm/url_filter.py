@@ -63,7 +63,9 @@ def segments(path: Column, depth: int) -> Column:
 
     def shaped(s: Column) -> Column:
         stem = F.regexp_extract(s, r"^(.*?)(\.[A-Za-z]{1,5})?$", 1)
-        kind = F.when(stem.rlike(r"^[0-9]+$"), F.lit("{n}")).when(stem.rlike(r"^[0-9]+([-_.][0-9]+)+$"), F.lit("{n}")).when(stem.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), F.lit("{x}")).when(stem.rlike(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_-]{6,}$"), F.lit("{id}"))
+        kind = F.when(stem.rlike(r"^[0-9]+$"), F.lit("{n}")).when(stem.rlike(r"^[0-9]+([-_.][0-9]+)+$"), F.lit("{n}")).when(stem.rlike(r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), F.lit("{x}")).when(
+            stem.rlike(r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_-]{6,}$"), F.lit("{id}")
+        )
         return F.coalesce(F.concat(kind, F.substring(s, F.length(stem) + 1, F.length(s))), s)
 
     return F.transform(cut, shaped)
@@ -88,7 +90,9 @@ def _branches(children: DataFrame) -> DataFrame:
     known = F.col("bad") + F.col("good")
     low, high = _wilson(F.col("bad"), known)
     ranked = children.where("not wild and bad + good > 0").select("host", "template", "child", low.alias("low"), high.alias("high"), "step")
-    steps = ranked.groupBy("host", "template", "step").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("child").alias("first"), F.count(F.lit(1)).alias("size"))
+    steps = ranked.groupBy("host", "template", "step").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.min("child").alias("first"), F.count(F.lit(1)).alias("size")
+    )
     order = Window.partitionBy("host", "template").orderBy("step")
     steps = steps.withColumn("starts", F.coalesce(F.lag("high").over(order) < F.col("low"), F.lit(True)).cast("int"))
     steps = steps.withColumn("branch", F.sum("starts").over(order))
@@ -99,13 +103,17 @@ def _branches(children: DataFrame) -> DataFrame:
 
 def template_tree(urls: DataFrame, depth: int = 6, most_children: int = 16, rare: float = 8.0, weight: float = 1.0) -> DataFrame:
     """``urls``: host, segs (array), bad (boolean or null). One row a distinct (host, raw): template, its counts and purity, and n."""
-    raw = urls.groupBy("host", F.col("segs").alias("raw")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad")).alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    raw = urls.groupBy("host", F.col("segs").alias("raw")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("bad")).alias("bad"), F.count_if(~F.col("bad")).alias("good")
+    )
     tree = materialise(raw.withColumn("rest", F.col("raw")).withColumn("template", F.lit("")))
     rows, levels = tree.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("rest")), F.lit(0)).alias("d")).first()
     for _ in range(levels):
         open_ = tree.withColumn("child", F.try_element_at("rest", F.lit(1)))
         step = F.round(F.col("bad") / F.nullif(F.col("bad") + F.col("good"), F.lit(0)) * STEPS)
-        children = open_.where("child is not null").groupBy("host", "template", "child").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("raws")).withColumn("step", F.coalesce(step, F.lit(-1)))
+        children = open_.where("child is not null").groupBy("host", "template", "child").agg(
+            *[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("raws")
+        ).withColumn("step", F.coalesce(step, F.lit(-1)))
         children = materialise(children)
         nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"))
         nodes = nodes.withColumn("wild", (F.col("kinds") > most_children) & (F.col("all") / F.col("kinds") < rare))
@@ -115,19 +123,29 @@ def template_tree(urls: DataFrame, depth: int = 6, most_children: int = 16, rare
         names = materialise(named.select("host", "template", "child", "raws", name.alias("part")))
         step = hot_join(open_, names, ["host", "template", "child"], "raws", rows, F.col("raw"))
         template = F.when(F.col("child").isNotNull(), F.concat("template", F.lit("/"), "part")).otherwise(F.col("template"))
-        tree = materialise(step.select("host", "raw", "n", "bad", "good", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"), template.alias("template")))
+        tree = materialise(
+            step.select(
+                "host", "raw", "n", "bad", "good", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"),
+                template.alias("template")
+            )
+        )
     whole = tree.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     known = (whole["bad"] or 0) + (whole["good"] or 0)
     prior = whole["bad"] / known if known else 0.0
     templates = materialise(tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("raws")))
     own = (F.col("bad") + weight * prior) / (F.col("bad") + F.col("good") + weight)
     hosts = templates.groupBy("host").agg(((F.sum(own) + prior) / (F.count(F.lit(1)) + 1)).alias("host_purity"), F.count(F.lit(1)).alias("templates"))
-    judged = hot_join(templates, hosts, ["host"], "templates", rows, F.col("template")).withColumn("purity", (F.col("bad") + weight * F.col("host_purity")) / (F.col("bad") + F.col("good") + weight))
+    judged = hot_join(templates, hosts, ["host"], "templates", rows, F.col("template")).withColumn(
+        "purity", (F.col("bad") + weight * F.col("host_purity")) / (F.col("bad") + F.col("good") + weight)
+    )
     judged = judged.select("host", "template", "purity", F.col("n").alias("template_urls"), "raws")
     return hot_join(tree.select("host", "raw", "template", "n"), judged, ["host", "template"], "raws", rows, F.col("raw"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], label: Column | None = None, reject: float = 0.7, depth: int = 6, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame, rules: list[tuple[str, str]], label: Column | None = None, reject: float = 0.7, depth: int = 6,
+    id_col: str = "page_id", url_col: str = "url"
+) -> DataFrame:
     """host, path, rule, verdict, template, purity and template_urls of every row; ``label`` says whether a row that no rule fits is bad."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"), (label if label is not None else F.lit(None).cast("boolean")).alias("bad"))

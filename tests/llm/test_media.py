@@ -20,7 +20,9 @@ def png():
 
 
 def gif():
-    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 128, 0, 0) + b"\0\0\0\xff\xff\xff" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
+    return b"GIF89a" + struct.pack(
+        "<HHBBB", 1, 1, 128, 0, 0
+    ) + b"\0\0\0\xff\xff\xff" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
 
 
 def jpeg():
@@ -114,9 +116,15 @@ def test_types_lengths_truncation_and_carving(spark):
             assert media.own_type(raw[:cut], sniffer.media(raw[:cut])) is None, (kind, cut)
         inside = b"some text BM GIF89a " + raw + b" and more"
         assert [(m.offset, m.length, m.kind) for m in sniffer.media(inside)] == [(20, len(raw), kind)]
-    rows = [(1, ALL["image/png"], "image/jpeg"), (2, ALL["audio/wav"], "audio/wav"), (3, b"RIFF nothing", "audio/wav"), (4, None, "image/png"), (5, b"plain", "text/plain"), (6, ALL["image/gif"] + ALL["image/png"], "image/gif"), (7, b"", None)]
+    rows = [
+        (1, ALL["image/png"], "image/jpeg"), (2, ALL["audio/wav"], "audio/wav"), (3, b"RIFF nothing", "audio/wav"), (4, None, "image/png"),
+        (5, b"plain", "text/plain"), (6, ALL["image/gif"] + ALL["image/png"], "image/gif"), (7, b"", None)
+    ]
     got = {r.id: r for r in media.sniffed(spark.createDataFrame(rows, "id long, value binary, declared string"), "value", "declared", ["id"]).collect()}
-    assert [(got[i].media_type, got[i].corrected) for i in range(1, 8)] == [("image/png", True), ("audio/wav", False), ("unknown", True), ("empty", True), ("text/plain", False), ("unknown", True), ("empty", True)]
+    assert [(got[i].media_type, got[i].corrected) for i in range(1, 8)] == [
+        ("image/png", True), ("audio/wav", False), ("unknown", True), ("empty", True), ("text/plain", False), ("unknown", True),
+        ("empty", True)
+    ]
     assert [m.type for m in got[6].media] == ["image/gif", "image/png"]
 
 
@@ -171,4 +179,6 @@ def test_query(spark):
     for r in rows:
         raw = texts[r.doc_id]
         want = raw + b"\0" * (64 if not raw else -len(raw) % 64)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]), len(want) + 44)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes) == (
+            len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]), len(want) + 44
+        )

@@ -107,7 +107,13 @@ def test_classes_on_the_small_table(spark):
 
 def test_repeated_and_null_ids_and_empty_table(spark):
     text = "some words that are long enough to make runs"
-    df = spark.createDataFrame([(1, text), (1, text), (1, "another text of some words here"), (None, text), (None, "only here and nowhere else at all"), (7, None)], "doc_id long, text string")
+    df = spark.createDataFrame(
+        [
+            (1, text), (1, text), (1, "another text of some words here"), (None, text), (None, "only here and nowhere else at all"),
+            (7, None)
+        ],
+        "doc_id long, text string"
+    )
     kept = sorted(((r.doc_id, r.text) for r in near_dedup.deduplicate(df).collect()), key=str)
     assert kept == sorted([(1, text), (1, "another text of some words here"), (None, "only here and nowhere else at all"), (7, None)], key=str)
     assert near_dedup.classes(df).count() == 6

@@ -19,7 +19,13 @@ def plain(text):
     return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["", " ", "a", "one two  three", " lead", "trail ", "x\ny z\n\nq", "tab\tx y", "don't we'll 12 345!! ¿qué?", "a<|endoftext|>b <|endoftext|> c", "é😀 漢字 かな", "a　b c", "it 's  \n 's x", " a b", "a  b", "a\xa0 b", "a \x1c b", "a\r\n b"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "", " ", "a", "one two  three", " lead", "trail ", "x\ny z\n\nq", "tab\tx y", "don't we'll 12 345!! ¿qué?",
+        "a<|endoftext|>b <|endoftext|> c", "é😀 漢字 かな", "a　b c", "it 's  \n 's x", " a b", "a  b", "a\xa0 b", "a \x1c b", "a\r\n b"
+    ]
+)
 def test_ids_equal_the_library(text):
     assert Encoder(JSON).ids(text).tolist() == plain(text)
 
@@ -28,7 +34,11 @@ def test_ids_of_random_texts_and_long_runs():
     rng, enc = random.Random(5), Encoder(JSON)
     assert enc.fast is not None
     for _ in range(300):
-        text = "".join(rng.choice(["the ", "x", "'s", " ", "\n", "12", "é", ". ", "Word", "\t", "\u2003", "漢字", "<|endoftext|>"]) for _ in range(rng.randint(0, 60)))
+        text = "".join(
+            rng.choice(
+                ["the ", "x", "'s", " ", "\n", "12", "é", ". ", "Word", "\t", "\u2003", "漢字", "<|endoftext|>"]
+            ) for _ in range(rng.randint(0, 60))
+        )
         assert enc.ids(text).tolist() == plain(text)
     for text in ("a" * 20_000, " " * 100_000 + "x", "ab " * 50_000, "\n" * 30_000, "!?" * 10_000):
         assert enc.ids(text).tolist() == plain(text)
@@ -54,7 +64,9 @@ def check_pieces(rows, texts):
 
 def test_pack_round_trip(spark):
     rng = random.Random(2)
-    texts = {i: " ".join(rng.choices(["alpha", "beta", "Γ", "longerword", "x\ny"], k=rng.choice([0, 1, 5, 300, 1500]))) for i in range(150)} | {150: "z " * 9000, 151: ""}
+    texts = {
+        i: " ".join(rng.choices(["alpha", "beta", "Γ", "longerword", "x\ny"], k=rng.choice([0, 1, 5, 300, 1500]))) for i in range(150)
+    } | {150: "z " * 9000, 151: ""}
     rows = [(k, v, "en", 1) for k, v in texts.items()] + [(None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length string, start long").repartition(3)
     got = packing.pack(df, JSON, block=40).collect()

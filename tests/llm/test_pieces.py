@@ -18,7 +18,10 @@ for _i, _b, _s, _byte in PIECES:
         BEST[_b] = (_i, _s)
 LONGEST = max(map(len, BEST))
 RNG = random.Random(11)
-TEXTS = ["", "a", " ", "  ", "   x", "x   ", "The quick  brown fox", " lead", "tab\tnew\nline ", "▁", "a▁b", "\u0000\u0001", "漢字かな交じり", "😀🏽", "naïve café", "q" * 1500, "word " * 300, "�", "'s don't", "é"]
+TEXTS = [
+    "", "a", " ", "  ", "   x", "x   ", "The quick  brown fox", " lead", "tab\tnew\nline ", "▁", "a▁b", "\u0000\u0001", "漢字かな交じり", "😀🏽",
+    "naïve café", "q" * 1500, "word " * 300, "�", "'s don't", "é"
+]
 TEXTS += ["".join(RNG.choice(["the", " ", "  ", "er", "ing", "é", "漢", "\n", "▁", "Q", "12", "."]) for _ in range(RNG.randint(1, 50))) for _ in range(150)]
 
 

@@ -64,13 +64,23 @@ def test_values_change_within_their_format_and_invert(spark):
 
 
 def test_clean_texts_stay(spark):
-    clean = ["no data", "room 42 in 2024", "4111111111111112", "1234567890123456 x", "999.1.1.1", "1.2.3", "31/02/2001", "02/30/2001", "a@b", "v1.2.3.4.5", "000-12-3456", "x4111111111111111", "deadbeef", "f" * 40, "q" * 200_000, "1 " * 5000, "", "std::vector", "face::beef", "12:34:56", "00:1a:2b:3c:4d:5e", "1:2:3:4:5:6:7:8"]
+    clean = [
+        "no data", "room 42 in 2024", "4111111111111112", "1234567890123456 x", "999.1.1.1", "1.2.3", "31/02/2001", "02/30/2001", "a@b",
+        "v1.2.3.4.5", "000-12-3456", "x4111111111111111", "deadbeef", "f" * 40, "q" * 200_000, "1 " * 5000, "", "std::vector", "face::beef",
+        "12:34:56", "00:1a:2b:3c:4d:5e", "1:2:3:4:5:6:7:8"
+    ]
     for text, r in zip(clean, one(spark, clean), strict=True):
         assert r.text == text and r.n_values == 0 and r.kinds == ""
 
 
 def test_equal_values_stay_linked_and_nulls_pass(spark):
-    df = spark.createDataFrame([(1, "x 10.1.2.3 y 10.1.2.3", "k"), (2, "10.1.2.3", None), (2, "10.1.2.3", None), (None, None, "z"), (3, "call +1 (212) 555-0100 or mail a.b@c.org### 4111111111111111$$$", "q")], "doc_id long, text string, kinds string")
+    df = spark.createDataFrame(
+        [
+            (1, "x 10.1.2.3 y 10.1.2.3", "k"), (2, "10.1.2.3", None), (2, "10.1.2.3", None), (None, None, "z"),
+            (3, "call +1 (212) 555-0100 or mail a.b@c.org### 4111111111111111$$$", "q")
+        ],
+        "doc_id long, text string, kinds string"
+    )
     rows = pii.pseudonymise(df, KEY).collect()
     ips = {x for r in rows if r.text for x in re.findall(r"\d+\.\d+\.\d+\.\d+", r.text)}
     assert len(ips) == 1 and "10.1.2.3" not in ips
@@ -87,14 +97,22 @@ def permuted(spark, values, kind):
 
 
 def _permuted(spark, values, kind):
-    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(8).withColumn("kind", pii.kind_of(F.col("v"))).withColumn("new", pii.pseudonym(F.col("v"), F.lit(kind), KEY))
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(8).withColumn("kind", pii.kind_of(F.col("v"))).withColumn(
+        "new", pii.pseudonym(F.col("v"), F.lit(kind), KEY)
+    )
     df = df.select("v", "kind", "new", pii.kind_of(F.col("new")).alias("again"), pii.pseudonym(F.col("new"), F.lit(kind), KEY, invert=True).alias("back"))
     bad = df.where(f"kind <> '{kind}' or again <> '{kind}' or back <> v or kind is null or again is null").collect()
     assert not bad, bad[:5]
     assert df.select("new").distinct().count() == len(values)
 
 
-@pytest.mark.parametrize("form", ["{y:04}-{m:02}-{d:02}", "{y:04}/{m:02}/{d:02}", "{y:04}.{m:02}.{d:02}", "{d:02}-{m:02}-{y:04}", "{d:02}/{m:02}/{y:04}", "{d:02}.{m:02}.{y:04}", "{m:02}-{d:02}-{y:04}", "{m:02}/{d:02}/{y:04}"])
+@pytest.mark.parametrize(
+    "form",
+    [
+        "{y:04}-{m:02}-{d:02}", "{y:04}/{m:02}/{d:02}", "{y:04}.{m:02}.{d:02}", "{d:02}-{m:02}-{y:04}", "{d:02}/{m:02}/{y:04}",
+        "{d:02}.{m:02}.{y:04}", "{m:02}-{d:02}-{y:04}", "{m:02}/{d:02}/{y:04}"
+    ]
+)
 def test_dates_are_permuted(spark, form):
     every = {form.format(y=y, m=m, d=d) for y in range(1800, 2200) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1)}
     assert len(every) == 146_097
@@ -102,7 +120,10 @@ def test_dates_are_permuted(spark, form):
 
 
 def test_day_and_month_first_dates_do_not_collide(spark):
-    every = {f"{a:02}-{b:02}-{y}" for y in range(1990, 2030) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1) for a, b in ((m, d), (d, m))}
+    every = {
+        f"{a:02}-{b:02}-{y}" for y in range(1990, 2030) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1) for a,
+        b in ((m, d), (d, m))
+    }
     permuted(spark, sorted(every), "date")
 
 

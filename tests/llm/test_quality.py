@@ -34,14 +34,19 @@ def test_pairs_are_ranked_and_the_loss_is_at_its_minimum():
 
 
 def test_edge_cases(spark):
-    docs = spark.createDataFrame([(1, "a fine text of words", "x"), (1, "a fine text of words", "y"), (2, None, "x"), (3, "", None), (None, "Q" * 100_000, "x")], "doc_id long, text string, score string")
+    docs = spark.createDataFrame(
+        [(1, "a fine text of words", "x"), (1, "a fine text of words", "y"), (2, None, "x"), (3, "", None), (None, "Q" * 100_000, "x")],
+        "doc_id long, text string, score string"
+    )
     labels = spark.createDataFrame([(1, 1), (1, None), (9, 0)], "doc_id long, quality int")
     model = quality.learn(docs, labels)
     rows = quality.scored(docs, model).collect()
     assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert len({r.score for r in rows if r.doc_id in (2, 3)}) == 1 and len({r.score for r in rows if r.doc_id == 1}) == 1
     assert quality.scored(docs.where("false"), model).count() == 0
-    assert sorted(str(r) for r in quality.accepted(docs, model).collect()) == sorted(str(d) for d, r in zip(docs.collect(), rows, strict=True) if r.score >= 0.7)
+    assert sorted(str(r) for r in quality.accepted(docs, model).collect()) == sorted(
+        str(d) for d, r in zip(docs.collect(), rows, strict=True) if r.score >= 0.7
+    )
     neutral = quality.learn(docs, labels.where("false"))
     assert all(r.score >= 0.7 for r in quality.scored(docs, neutral).collect())
     assert random.Random(0) and len(quality.measure("x")) == len(quality.MEASURES) == len(quality.measure(""))

@@ -94,7 +94,11 @@ def test_licences_and_media_and_sharding_cover_all_rows(spark, texts):
 def test_stages_take_nulls_long_texts_repeats_and_clashing_columns(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     docs = table(spark, SF, "documents").select(*corpus_pipeline.COLUMNS).where("doc_id < 40")
-    odd = [(None, None, None, None, None), (None, "no id", "en", "a", 5), (9001, "", None, None, 0), (9002, "word " * 60_000, "en", "b", 300_000), (9003, "Again and again the same.", "en", "c", 25), (9003, "Again and again the same.", "en", "c", 25)]
+    odd = [
+        (None, None, None, None, None), (None, "no id", "en", "a", 5), (9001, "", None, None, 0),
+        (9002, "word " * 60_000, "en", "b", 300_000), (9003, "Again and again the same.", "en", "c", 25),
+        (9003, "Again and again the same.", "en", "c", 25)
+    ]
     rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
     clashing = rows.withColumns({c: F.lit("x") for c in ("_text", "words", "near_dedup:id", "pii:rewritten", "score", "ids", "bag", "hot_join:value")})
     got = stage(spark, clashing, SF)

@@ -16,7 +16,9 @@ def shards_of(spark, rows, n=24):
 
 def test_bytes_are_near_equal_and_copies_stay(spark):
     rng = random.Random(1)
-    rows = [(i, "".join(rng.choices("abcé ", k=int(rng.paretovariate(1.2) * 30) % 2000))) for i in range(4000)] + [(10_000 + i, "copy " * 20) for i in range(25)] + [(1, None), (2, ""), (2, "")]
+    rows = [
+        (i, "".join(rng.choices("abcé ", k=int(rng.paretovariate(1.2) * 30) % 2000))) for i in range(4000)
+    ] + [(10_000 + i, "copy " * 20) for i in range(25)] + [(1, None), (2, ""), (2, "")]
     got = shards_of(spark, rows)
     texts = defaultdict(list)
     for i, t in rows:
@@ -61,7 +63,12 @@ def test_cuts_against_brute_force(spark):
         sharding.Tree.column = whole
     tree = seen[-1]
     scale = lambda v: min(max(math.floor(v * sharding._SCALE), 0), sharding._SCALE) << 32
-    points = [((scale(math.log2(r["size"]) / 31.0) | r.text_hash & 0xFFFFFFFF, scale(r.text_crc32 / 2**32) | r.text_hash & 0xFFFFFFFF), r["size"], r.shard) for r in got]
+    points = [
+        (
+            (scale(math.log2(r["size"]) / 31.0) | r.text_hash & 0xFFFFFFFF, scale(r.text_crc32 / 2**32) | r.text_hash & 0xFFFFFFFF),
+            r["size"], r.shard
+        ) for r in got
+    ]
     total = sum(p[1] for p in points)
     spread = [max(p[0][d] for p in points) - min(p[0][d] for p in points) for d in (0, 1)]
     stack, cuts = [((0, 7), points)], 0

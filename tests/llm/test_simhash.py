@@ -58,7 +58,13 @@ def test_tables_miss_no_pair(spark):
     df = spark.createDataFrame([(signed(v >> 64), signed(v & (2**64 - 1))) for v in values], "fp_hi long, fp_lo long")
     for radius in (3, 6):
         want = {(a, b) for a in values[::5] for b in values if (a ^ b).bit_count() <= radius}
-        got = simhash.within_radius(df.join(spark.createDataFrame([(signed(v >> 64), signed(v & (2**64 - 1))) for v in values[::5]], df.schema), ["fp_hi", "fp_lo"], "left_semi"), df, radius).collect()
+        got = simhash.within_radius(
+            df.join(
+                spark.createDataFrame([(signed(v >> 64), signed(v & (2**64 - 1))) for v in values[::5]], df.schema), ["fp_hi", "fp_lo"],
+                "left_semi"
+            ),
+            df, radius
+        ).collect()
         unsigned = lambda h, l: ((h & (2**64 - 1)) << 64) | (l & (2**64 - 1))
         pairs = [(unsigned(r.q_hi, r.q_lo), unsigned(r.fp_hi, r.fp_lo)) for r in got]
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
@@ -120,7 +126,9 @@ def test_hot_ids_and_copies_are_split(spark, monkeypatch):
     """An id with most rows is cut by the hash of the text; a text and id that fill a bucket alone become one row. Neither changes a result."""
     rng = random.Random(2)
     some = [f"text number {i} {rng.random()}" for i in range(400)]
-    rows = [(5, t) for t in some] + [(None, t) for t in some[:150]] + [(9, "the same again")] * 700 + [(i * 3, some[i]) for i in range(100)] + [(5, some[0]), (5, some[0])]
+    rows = [(5, t) for t in some] + [(None, t) for t in some[:150]] + [(9, "the same again")] * 700 + [
+        (i * 3, some[i]) for i in range(100)
+    ] + [(5, some[0]), (5, some[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     cuts, alone = simhash._cuts(df.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"), F.xxhash64("text").alias("_tie")), rows_per_bucket=50)
     assert [k for k, _ in cuts].count(5) >= 6 and [k for k, _ in cuts].count(-(2**63)) >= 2 and [k for k, _ in alone] == [9]

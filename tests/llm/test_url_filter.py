@@ -17,11 +17,18 @@ def plain(url):
     host = re.match(r"[^/?#]*", rest)[0]
     path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
-    fits = [(len(r), r, v) for v, r in URL_RULES for name, p in [(r.split("/", 1)[0], "/" + r.split("/", 1)[1])] if (host == name or host.endswith("." + name)) and path.startswith(p)]
+    fits = [
+        (len(r), r, v) for v, r in URL_RULES for name,
+        p in [(r.split("/", 1)[0], "/" + r.split("/", 1)[1])] if (host == name or host.endswith("." + name)) and path.startswith(p)
+    ]
     return (host, path, *max(fits)[1:]) if fits else (host, path, None, None)
 
 
-URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.ORG/en/12?x#y", "http://example.org/es/", "http://example.org", "http://xexample.org/es/1", "a://b://c/d", "http://É.COM/fr/x", "http://com/de/1", "http://a.com?/fr/", "http://a.com#/x", "http://a.net/" + "d/" * 3000, "http://a.net/x\ny/1", "http://org/"]
+URLS = [
+    None, "", "no scheme", "http://", "HTTP://A.Example.ORG/en/12?x#y", "http://example.org/es/", "http://example.org",
+    "http://xexample.org/es/1", "a://b://c/d", "http://É.COM/fr/x", "http://com/de/1", "http://a.com?/fr/", "http://a.com#/x",
+    "http://a.net/" + "d/" * 3000, "http://a.net/x\ny/1", "http://org/"
+]
 
 
 def test_hosts_paths_and_rules(spark):
@@ -99,7 +106,12 @@ def plain_tree(urls, depth=6, most_children=16, rare=8.0, weight=1.0, z=1.645):
     hosts = {}
     for (host, _), (b, g) in sums.items():
         hosts.setdefault(host, []).append((b + weight * prior) / (b + g + weight))
-    return {key: (t, (sums[key[0], t][0] + weight * (sum(hosts[key[0]]) + prior) / (len(hosts[key[0]]) + 1)) / (sum(sums[key[0], t]) + weight)) for key, t in template.items()}
+    return {
+        key: (
+            t, (sums[key[0], t][0] + weight * (sum(hosts[key[0]]) + prior) / (len(hosts[key[0]]) + 1)) / (sum(sums[key[0], t]) + weight)
+        ) for key,
+        t in template.items()
+    }
 
 
 def visible_label(html, words):
@@ -144,14 +156,24 @@ def test_held_out_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     label = url_filter.content_label(F.col("html"), BAD_WORDS)
     held = F.crc32(F.col("page_id").cast("string").cast("binary")) % 4 == 2
-    got = url_filter.judge(pages, URL_RULES, F.when(~held, label)).where("rule is null").join(pages.where(held).select("page_id", label.alias("bad")), "page_id")
-    n = got.agg(F.count_if(F.col("bad") & (F.col("verdict") == "block")).alias("both"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.count_if("bad").alias("bad")).first()
+    got = url_filter.judge(pages, URL_RULES, F.when(~held, label)).where("rule is null").join(
+        pages.where(held).select("page_id", label.alias("bad")), "page_id"
+    )
+    n = got.agg(
+        F.count_if(F.col("bad") & (F.col("verdict") == "block")).alias("both"), F.count_if(F.col("verdict") == "block").alias("blocked"),
+        F.count_if("bad").alias("bad")
+    ).first()
     print("held out:", n)
     assert n.both >= 0.9 * n.blocked > 0 and n.both >= 0.8 * n.bad
 
 
 def test_hot_keys_go_by_broadcast(spark):
-    left = spark.range(3000).select(F.col("id").alias("page"), F.when(F.col("id") < 1500, "hot").when(F.col("id") < 1510, None).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
+    left = spark.range(3000).select(
+        F.col("id").alias("page"),
+        F.when(F.col("id") < 1500, "hot").when(F.col("id") < 1510, None).otherwise(
+            F.concat(F.lit("k"), F.col("id").cast("string"))
+        ).alias("k")
+    )
     right = left.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.length("k"))
     got = hot_join(left, right, ["k"], "n", 3000, F.col("page"))
     assert got.columns == ["page", "k", "v"] and got.count() == 3000
@@ -165,7 +187,10 @@ def test_tree_generalises_merges_and_rejects(spark):
     rows += [(100 + i, f"http://shop.net/tag/word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abc' [i // 26]}") for i in range(60)]
     rows += [(200 + i, f"http://shop.net/bad{k}/{i}") for i in range(40) for k in "ab"]
     rows += [(300 + i, f"http://calm.net/p/{i}") for i in range(9)]
-    rules = [("block", "shop.net/bada/1"), ("block", "shop.net/bada/2"), ("block", "shop.net/badb/1"), ("block", "shop.net/badb/2"), ("allow", "shop.net/item/1"), ("allow", "ok.net/")]
+    rules = [
+        ("block", "shop.net/bada/1"), ("block", "shop.net/bada/2"), ("block", "shop.net/badb/1"), ("block", "shop.net/badb/2"),
+        ("allow", "shop.net/item/1"), ("allow", "ok.net/")
+    ]
     rows += [(400 + i, f"http://ok.net/x/{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = url_filter.judge(df, rules).collect()
