@@ -1,4 +1,4 @@
-"""The queries of this subpackage by name, and their SQL where SQL can express them."""
+"""The queries of this subpackage by name; :mod:`.sql` has the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -22,7 +22,8 @@ BAD_WORDS = ("casino", "casinos", "bets", "betting", "pills", "adult", "poker",
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.content_label(F.col("html"), BAD_WORDS))
+    found = url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.content_label(F.col("html"), BAD_WORDS))
+    return found.withColumn("purity", F.round("purity", 9))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,5 +112,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_pieces": op10_pieces,
 }
-
-SQL: dict[str, str] = {}

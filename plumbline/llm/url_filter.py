@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import hot_join, materialise
 
 STEPS = 64
-_Z = 1.645
+Z = 1.645
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -80,8 +80,8 @@ def content_label(html: Column, bad_words: tuple[str, ...], least_words: int = 3
 
 
 def _wilson(bad: Column, n: Column) -> tuple[Column, Column]:
-    p, z2 = bad / n, _Z * _Z
-    centre, half = (p + z2 / (2 * n)) / (1 + z2 / n), _Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
+    p, z2 = bad / n, Z * Z
+    centre, half = (p + z2 / (2 * n)) / (1 + z2 / n), Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
     return centre - half, centre + half
 
 

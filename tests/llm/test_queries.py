@@ -136,3 +136,19 @@ def test_pipeline_of_the_small_table(spark, texts):
     assert 0 < len(kept) < len(texts) and {r.doc_id for r in got.select("doc_id").distinct().collect()} == set(kept)
     left = [p for n in set(os.listdir(folder)) - before if n.startswith("pipeline-") for p in os.listdir(os.path.join(folder, n))]
     assert left == ["pii"]
+
+
+@pytest.mark.parametrize("name", ["op2_url_filter", "op9_near_dedup"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    from plumbline.llm.sql import SQL
+
+    connection = duckdb.connect()
+    for t in ("documents", "pages"):
+        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    result = connection.sql(SQL[name])
+    found = queries.QUERIES[name](spark, SF)
+    assert sorted(found.columns) == sorted(result.columns)
+    shown = lambda v: repr(round(v, 7)) if isinstance(v, float) else str(v)
+    assert sorted([shown(r[c]) for c in result.columns] for r in found.collect()) == sorted([shown(v) for v in r] for r in result.fetchall())
