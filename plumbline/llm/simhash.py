@@ -19,7 +19,7 @@ from math import comb, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialise, text_or_empty
+from .common import hot_join, materialise, release, text_or_empty
 
 BITS = 128
 #: Texts with a five-word Jaccard similarity of at least 0.8 in the given documents are at most 19 bits apart (median 10).
@@ -113,6 +113,7 @@ def _cuts(source: DataFrame, rows_per_bucket: int = 2_000, max_buckets: int = 20
     part = F.floor((F.col("_tie") / 2.0**64 + 0.5) * F.col("_parts"))
     starts = texts.groupBy("_key", part.alias("part")).agg(F.min("_tie").alias("tie")).collect()
     alone = texts.where(F.col("n") > max(rows_per_bucket, stats["n"] // buckets)).select("_key", "_tie").collect()
+    release(texts)
     return sorted(plain | {(r["_key"], r["tie"]) for r in starts}), [tuple(r) for r in alone]
 
 

@@ -30,7 +30,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, materialise
+from .common import hot_join, materialise, release
 
 STEPS = 64
 Z = 1.645
@@ -123,12 +123,13 @@ def template_tree(urls: DataFrame, depth: int = 6, most_children: int = 16, rare
         names = materialise(named.select("host", "template", "child", "raws", name.alias("part")))
         step = hot_join(open_, names, ["host", "template", "child"], "raws", rows, F.col("raw"))
         template = F.when(F.col("child").isNotNull(), F.concat("template", F.lit("/"), "part")).otherwise(F.col("template"))
-        tree = materialise(
+        before, tree = tree, materialise(
             step.select(
                 "host", "raw", "n", "bad", "good", F.slice("rest", 2, F.greatest(F.size("rest") - 1, F.lit(0))).alias("rest"),
                 template.alias("template")
             )
         )
+        release(before, children, names)
     whole = tree.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
     known = (whole["bad"] or 0) + (whole["good"] or 0)
     prior = whole["bad"] / known if known else 0.0
