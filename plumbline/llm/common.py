@@ -74,20 +74,24 @@ def deep_expressions(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, spread: Column, share: int = 1000) -> DataFrame:
+def hot_join(
+    left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int, spread: Column, share: int = 1000, least: int = 10_000
+) -> DataFrame:
     """Left join with a ``right`` side of one row a key, whose column ``rows`` says how many rows of ``left`` have the key.
 
-    Keys of over ``total / share`` rows, fewer than ``share`` whatever the size, are joined by broadcast; the others by shuffle, in which the
-    rows of those keys are dealt by the hash of ``spread``. The column ``rows`` is dropped.
+    Keys of over ``total / share`` rows and over ``least``, fewer than ``share`` whatever the size, are joined by broadcast; the others by
+    sorting, in which the rows of those keys are dealt by the hash of ``spread``. Where no key is that hot there is no broadcast at all. The
+    column ``rows`` is dropped.
     """
     values = [c for c in right.columns if c not in (*on, rows)]
-    packed = right.select(*on, F.struct(*values).alias("hot_join:value"), F.col(rows).alias("hot_join:rows"))
-    many = F.col("hot_join:rows") * share > total
-    hot = packed.where(many & (F.col("hot_join:rows") > 1)).select(*on, F.col("hot_join:value").alias("hot_join:hot"))
-    marked = left.join(F.broadcast(hot), on, "left")
+    hot = right.where((F.col(rows) * share > total) & (F.col(rows) > least))
+    if not hot.limit(1).count():
+        return left.join(right.drop(rows).hint("merge"), on, "left").select(*left.columns, *values)
+    packed = lambda df, name: df.select(*on, F.struct(*values).alias(name))
+    marked = left.join(F.broadcast(packed(hot, "hot_join:hot")), on, "left")
     salt = F.when(F.col("hot_join:hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread).bitwiseOR(F.lit(1)))
-    cold = packed.select(*on, "hot_join:value", F.lit(0).cast("long").alias("hot_join:salt"))
-    joined = marked.withColumn("hot_join:salt", salt).join(cold, [*on, "hot_join:salt"], "left")
+    cold = packed(right, "hot_join:value").withColumn("hot_join:salt", F.lit(0).cast("long"))
+    joined = marked.withColumn("hot_join:salt", salt).join(cold.hint("merge"), [*on, "hot_join:salt"], "left")
     value = F.coalesce(F.col("hot_join:hot"), F.col("hot_join:value"))
     return joined.withColumn("hot_join:value", value).select(*left.columns, *[F.col("hot_join:value")[v].alias(v) for v in values])
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import url_filter
@@ -167,7 +168,8 @@ def test_held_out_pages(spark):
     assert n.both >= 0.9 * n.blocked > 0 and n.both >= 0.8 * n.bad
 
 
-def test_hot_keys_go_by_broadcast(spark):
+@pytest.mark.parametrize("least", [100, 10_000])
+def test_hot_keys_go_by_broadcast(spark, least):
     left = spark.range(3000).select(
         F.col("id").alias("page"),
         F.when(F.col("id") < 1500, "hot").when(F.col("id") < 1510, None).otherwise(
@@ -175,7 +177,8 @@ def test_hot_keys_go_by_broadcast(spark):
         ).alias("k")
     )
     right = left.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.length("k"))
-    got = hot_join(left, right, ["k"], "n", 3000, F.col("page"))
+    got = hot_join(left, right, ["k"], "n", 3000, F.col("page"), least=least)
+    assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == (least < 1500)
     assert got.columns == ["page", "k", "v"] and got.count() == 3000
     assert got.where("v = length(k) or (k is null and v is null)").count() == 3000
     empty = right.where("false")
