@@ -94,7 +94,7 @@ def _as_longs(sha: Column) -> dict[str, Column]:
     return {f"_s{i}": F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)}
 
 
-def _cuts(source: DataFrame, rows_per_bucket: int = 2_000, max_buckets: int = 20_000) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _cuts(source: DataFrame, rows_per_bucket: int = 500, max_buckets: int = 20_000) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Ascending (key, tie) that cut the rows, ordered by (_key, _tie), into buckets of near equal counts, each starting at its cut; and the
     (key, tie) of the texts that fill a bucket alone. At most twice ``max_buckets`` numbers reach the driver. The tie of a cut is the
     smallest number where its id is not split; ids that hold several buckets are split by the hash of the text."""
@@ -252,13 +252,19 @@ def _block(high: Column, low: Column, start: int, end: int) -> Column:
     return F.shiftrightunsigned(low, start).bitwiseOR(F.shiftleft(high, 64 - start)).bitwiseAND(mask)
 
 
-def probe_plan(radius: int, bits: int = BITS) -> tuple[list[tuple[int, int]], int]:
+def probe_plan(radius: int, rows: int, bits: int = BITS) -> tuple[list[tuple[int, int]], int]:
     """Blocks (start, end) and how many bits of a block a query flips, so that no pair within ``radius`` is missed.
 
-    Of B blocks at least one has at most radius // B of the flipped bits. The plan does not depend on the number of rows: with two
-    flips in a block a query has about B * w * w / 2 keys of w bits, a fingerprint only B.
+    Of B blocks at least one has at most radius // B of the flipped bits. Fewer blocks are longer: a query has more keys, and each meets fewer
+    fingerprints. The plan, for two or three flips, is the one with the fewest keys and comparisons among ``rows`` fingerprints.
     """
-    blocks = radius // 3 + 1
+
+    def plan(most: int) -> tuple[float, int]:
+        blocks = radius // (most + 1) + 1
+        width, flips = bits // blocks, radius // blocks
+        return blocks * sum(comb(width, k) for k in range(flips + 1)) * (1 + rows / 2**width), blocks
+
+    blocks = min(plan(2), plan(3))[1]
     cuts = [i * bits // blocks for i in range(blocks + 1)]
     return list(zip(cuts, cuts[1:], strict=False)), radius // blocks
 
@@ -276,17 +282,18 @@ def _split(left: DataFrame, right: DataFrame, rows: int) -> tuple[DataFrame, Dat
     return left, right
 
 
-def within_radius(queries: DataFrame, against: DataFrame, radius: int = RADIUS, split: int = 10_000) -> DataFrame:
+def within_radius(queries: DataFrame, against: DataFrame, radius: int = RADIUS, split: int = 10_000, rows: int | None = None) -> DataFrame:
     """All pairs of a query fingerprint and a fingerprint at most ``radius`` bits away, each pair once.
 
     Both inputs have distinct (fp_hi, fp_lo); the result has q_hi, q_lo, fp_hi, fp_lo and distance. The tables are the rows of one
     exploded join on (table, key); a pair counts in the first table that holds it, so it is never emitted twice. Up to 6 bits the
-    tables are sets of equal blocks; beyond, single blocks, in which a query looks up every value a few bits away.
+    tables are sets of equal blocks; beyond, single blocks, in which a query looks up every value a few bits away. ``rows`` is the number of
+    fingerprints to plan for, if not that of ``against``.
     """
     x, y = F.col("q_hi").bitwiseXOR(F.col("fp_hi")), F.col("q_lo").bitwiseXOR(F.col("fp_lo"))
     firsts = []
     if radius <= 6:
-        spans, tables = table_plan(radius, against.count())
+        spans, tables = table_plan(radius, against.count() if rows is None else rows)
         same = [_block(x, y, s, e) == 0 for s, e in spans]
         for t, chosen in enumerate(tables):
             hit = same[chosen[0]]
@@ -294,7 +301,7 @@ def within_radius(queries: DataFrame, against: DataFrame, radius: int = RADIUS,
                 hit = hit & same[b]
             firsts.append(F.when(hit, F.lit(t)))
     else:
-        spans, flips = probe_plan(radius)
+        spans, flips = probe_plan(radius, against.count() if rows is None else rows)
         tables = [(b,) for b in range(len(spans))]
         firsts = [F.when(F.bit_count(_block(x, y, s, e)) <= flips, F.lit(t)) for t, (s, e) in enumerate(spans)]
 

@@ -170,9 +170,10 @@ def test_wide_radius_misses_no_pair(spark):
     unsigned = lambda h, l: ((h & (2**64 - 1)) << 64) | (l & (2**64 - 1))
     frame = lambda vs: spark.createDataFrame([(signed(v >> 64), signed(v & (2**64 - 1))) for v in vs], "fp_hi long, fp_lo long")
     values = sorted(values)
-    for radius in (7, 13, simhash.RADIUS):
+    assert len(simhash.probe_plan(simhash.RADIUS, 10_000)[0]) == 8 and len(simhash.probe_plan(simhash.RADIUS, 10**10)[0]) == 6
+    for radius, rows in ((7, None), (13, None), (simhash.RADIUS, None), (simhash.RADIUS, 10**10)):
         want = {(a, b) for a in values[::5] for b in values if (a ^ b).bit_count() <= radius}
-        got = [(unsigned(r.q_hi, r.q_lo), unsigned(r.fp_hi, r.fp_lo)) for r in simhash.within_radius(frame(values[::5]), frame(values), radius).collect()]
+        got = [(unsigned(r.q_hi, r.q_lo), unsigned(r.fp_hi, r.fp_lo)) for r in simhash.within_radius(frame(values[::5]), frame(values), radius, rows=rows).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
