@@ -155,15 +155,15 @@ def ablation_labels(variants: DataFrame, questions: list[str]) -> DataFrame:
 def headings(text: Column) -> Column:
     """Lines with ``#``, lines above a row of =, -, ~ or ^, and bold-only lines, in order."""
     lines = F.split(text, "\n")
-    n = F.size(lines)
 
     def one(line: Column, i: Column) -> Column:
-        s = F.regexp_replace(line, r"^\s+|\s+$", "")
-        below = F.regexp_replace(F.coalesce(F.get(lines, i + 1), F.lit("")), r"^\s+|\s+$", "")
+        # Most lines are none of these, and fail each test at their first characters.
+        trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
+        underlined = F.coalesce(F.get(lines, i + 1).rlike(r"^\s*[=\-~^]{3,}\s*$"), F.lit(False))
         return (
-            F.when(s.startswith("#"), F.regexp_replace(s, r"^#+\s*", ""))
-            .when((i + 1 < n) & (s != "") & below.rlike(r"^[=\-~^]{3,}$"), s)
-            .when(s.rlike(r"^\*\*[^*]+\*\*:?$"), F.regexp_replace(s, r"^[*: ]+|[*: ]+$", ""))
+            F.when(line.rlike(r"^\s*#"), F.regexp_replace(trimmed, r"^#+\s*", ""))
+            .when(underlined & line.rlike(r"\S"), trimmed)
+            .when(line.rlike(r"^\s*\*\*[^*]+\*\*:?\s*$"), F.regexp_replace(trimmed, r"^[*: ]+|[*: ]+$", ""))
         )
 
     return F.filter(F.transform(lines, one), lambda h: h.isNotNull())
