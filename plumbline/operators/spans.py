@@ -270,18 +270,19 @@ def distinct_candidates(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -
 
 
 def counters(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Occurrence-level counters of each document that has spans."""
+    """Occurrence-level counters of each document that has spans. Spans are counted by type first, which also tells kind and flags, so the scan
+    runs once and a document has few rows after it."""
     kind, type_ = F.col("kind"), F.col("type")
-    counted = F.count_if
+    by = spans.groupBy(*keys, "kind", "type", "is_redaction", "is_example").agg(F.count(F.lit(1)).alias("_n"))
+    counted = lambda test: F.sum(F.when(test, F.col("_n")).otherwise(0))
     pii = kind.isin("email", "phone") | type_.isin("url_internal", "url_public", "ip_private", "ip_public")
-    by_type = spans.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "_n")))).alias("by_type")
-    )
-    return spans.groupBy(*keys).agg(
+    personal = type_.isin("email_free_mail", "email_personal", "url_internal", "ip_private", "phone_personal")
+    return by.groupBy(*keys).agg(
         counted(F.col("is_redaction")).alias("total"),
         counted((kind == "credential") & ~F.col("is_example")).alias("credentials"),
         counted(pii).alias("pii"),
-        counted(type_.isin("email_free_mail", "email_personal", "url_internal", "ip_private", "phone_personal")).alias("pii_personal"),
+        counted(personal).alias("pii_personal"),
         counted(type_.isin("email_role", "phone_support")).alias("pii_role"),
         counted(F.col("is_example")).alias("examples"),
-    ).join(by_type, list(keys))
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", F.col("_n"))))).alias("by_type"),
+    )
