@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from functools import cached_property
 
 import numpy as np
 
@@ -31,13 +32,20 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(tokenizer_json)
-        self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.json = tokenizer_json
         parts = json.loads(tokenizer_json)
-        self.added = [t["content"] for t in parts.get("added_tokens") or []]
+        added = parts.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
         self.fast = self._ranked(parts)
+        most = max([t["id"] for t in added] + list(parts["model"]["vocab"].values())) if self.fast else 1 << 16
+        self.dtype = np.dtype("<u2") if most < 1 << 16 else np.dtype("<u4")
+
+    @cached_property
+    def library(self):
+        """The library's tokenizer, which most workers never need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.json)
 
     @staticmethod
     def _ranked(parts: dict):
