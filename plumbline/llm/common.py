@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batches
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -58,7 +60,7 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Arrow batches of at most ``size`` between the JVM and Python, unless the session sets its own; Spark's 64 MB a batch, several
     times over for each running task, is much beside an executor of a few GB."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) in (None, "67108864b", "64MB", "64m"):
+    if spark.conf.get(name, None) in (None, "67108864b", "64MB", "64m", batches.SIZE):
         spark.conf.set(name, size)
 
 

@@ -155,18 +155,21 @@ def ablation_labels(variants: DataFrame, questions: list[str]) -> DataFrame:
 def headings(text: Column) -> Column:
     """Lines with ``#``, lines above a row of =, -, ~ or ^, and bold-only lines, in order."""
     lines = F.split(text, "\n")
+    # Each line with the next one: a look-up in ``lines`` from inside the lambda would split the whole text again for every line.
+    pairs = F.arrays_zip(lines.alias("line"), F.slice(lines, F.lit(2), F.size(lines)).alias("next"))
 
-    def one(line: Column, i: Column) -> Column:
+    def one(pair: Column) -> Column:
+        line = pair["line"]
         # Most lines are none of these, and fail each test at their first characters.
         trimmed = F.regexp_replace(line, r"^\s+|\s+$", "")
-        underlined = F.coalesce(F.get(lines, i + 1).rlike(r"^\s*[=\-~^]{3,}\s*$"), F.lit(False))
+        underlined = F.coalesce(pair["next"].rlike(r"^\s*[=\-~^]{3,}\s*$"), F.lit(False))
         return (
             F.when(line.rlike(r"^\s*#"), F.regexp_replace(trimmed, r"^#+\s*", ""))
             .when(underlined & line.rlike(r"\S"), trimmed)
             .when(line.rlike(r"^\s*\*\*[^*]+\*\*:?\s*$"), F.regexp_replace(trimmed, r"^[*: ]+|[*: ]+$", ""))
         )
 
-    return F.filter(F.transform(lines, one), lambda h: h.isNotNull())
+    return F.filter(F.transform(pairs, one), lambda h: h.isNotNull())
 
 
 def has_item(text: Column, question: str, found_headings: Column | None = None) -> Column:
