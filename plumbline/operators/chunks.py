@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import fixed as V
 
 
@@ -74,6 +75,8 @@ def split_text(text: str, limit: int = V.MAX_CHARS, overlap: int = V.OVERLAP) ->
 
 
 def chunks(text: Column, limit: int = V.MAX_CHARS, overlap: int = V.OVERLAP) -> Column:
+    batches.bounded()
+
     @F.pandas_udf("array<struct<start: int, text: string>>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"start": s, "text": c} for s, c in split_text(t, limit, overlap)] if isinstance(t, str) else None for t in texts])

@@ -7,18 +7,19 @@ import sys
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.functions import batches
-from plumbline.operators import corpus
+from plumbline.operators import chunks, corpus, spans
 from plumbline.plans import catalogue
 
 NAME = "spark.sql.execution.arrow.maxBytesPerBatch"
-ROWS, CHARS = 400, 15_000
+ROWS, CHARS = 200, 15_000
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    """6 MB of texts in one file, so that one task reads them."""
+    """3 MB of texts in one file, so that one task reads them."""
     folder = tmp_path_factory.mktemp("batches")
     line = "plain words of a line, ann@gmail.com\n"
     rows = [(i, f"# {i}\n" + line * (CHARS // len(line)), "en") for i in range(ROWS)]
@@ -64,3 +65,7 @@ def test_session_that_sets_its_own(spark):
 
 def test_edits_of_pairs(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_diff_agreement", corpus, "degraded") < 1.2e6
+
+
+def test_chunks(spark, monkeypatch, tmp_path, folder):
+    assert largest(spark, monkeypatch, tmp_path, folder, "q_chunks", chunks, "split_text") < 1.2e6
