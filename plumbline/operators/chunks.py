@@ -127,6 +127,8 @@ def sections_of(text: str) -> tuple[str, list[tuple[str, str]]]:
 
 
 def sections(text: Column) -> Column:
+    batches.bounded()
+
     @F.pandas_udf("struct<preamble: string, sections: array<struct<title: string, body: string>>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         found = [sections_of(t or "") for t in texts]

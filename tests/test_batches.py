@@ -69,3 +69,7 @@ def test_edits_of_pairs(spark, monkeypatch, tmp_path, folder):
 
 def test_chunks(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_chunks", chunks, "split_text") < 1.2e6
+
+
+def test_sections(spark, monkeypatch, tmp_path, folder):
+    assert largest(spark, monkeypatch, tmp_path, folder, "q_ablation_labels", chunks, "sections_of") < 1.2e6
