@@ -73,3 +73,7 @@ def test_chunks(spark, monkeypatch, tmp_path, folder):
 
 def test_sections(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_ablation_labels", chunks, "sections_of") < 1.2e6
+
+
+def test_edits(spark, monkeypatch, tmp_path, folder):
+    assert largest(spark, monkeypatch, tmp_path, folder, "q_degradations", corpus, "degraded") < 1.2e6
