@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import fixed as V
 
 SPAN = (
@@ -226,6 +227,7 @@ def scan_text(text: str, role_globs: tuple[str, ...] = (), mask: bool = True) ->
 
 def scan(text: Column, role_globs: tuple[str, ...] = (), mask: bool = True) -> Column:
     """Struct (spans, masked); null texts give no spans and a null text."""
+    batches.bounded()
 
     @F.pandas_udf(RESULT)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -238,6 +240,7 @@ def scan(text: Column, role_globs: tuple[str, ...] = (), mask: bool = True) -> C
 def token_hashes(text: Column, role_globs: tuple[str, ...] = ()) -> Column:
     """(placeholder, hash) of every value that a scan finds. Two texts hold the same value, as a whole and not as a part of a longer one, if
     they share a hash; the values themselves never leave the worker."""
+    batches.bounded()
 
     @F.pandas_udf("array<struct<placeholder: string, hash: string>>")
     def run(texts: pd.Series) -> pd.Series:
@@ -258,6 +261,7 @@ def placed(placeholder: Column, whole: Column, part: Column) -> Column:
 
 def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), role_globs: tuple[str, ...] = ()) -> DataFrame:
     """One row a span, with the ``keep`` columns."""
+    batches.bounded(docs.sparkSession)  # a stream's batch has a session of its own
     return docs.select(*keep, F.explode(scan(F.col(text), role_globs)["spans"]).alias("s")).select(*keep, "s.*")
 
 

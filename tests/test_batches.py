@@ -67,6 +67,10 @@ def test_edits_of_pairs(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_diff_agreement", corpus, "degraded") < 1.2e6
 
 
+def test_scan(spark, monkeypatch, tmp_path, folder):
+    assert largest(spark, monkeypatch, tmp_path, folder, "q_scan_phones", spans, "scan_text") < 1.2e6
+
+
 def test_chunks(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_chunks", chunks, "split_text") < 1.2e6
 
