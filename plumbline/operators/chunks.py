@@ -93,6 +93,7 @@ _COMMENT = re.compile(
 
 def strip_comments(text: Column) -> Column:
     """Comments outside code go; unclosed ones stay. Texts without ``<!--`` never reach Python's pattern."""
+    batches.bounded()
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import batches
 from ..functions import fixed as V
 
 # Mock probabilities for a rule-like yes and no by kind.
@@ -131,6 +132,7 @@ def provider_answers(requests: DataFrame, make: Callable[[], object], known: dic
     """``requests``: doc_id, questions (array of string), state, images (array of string). One row a question: value, choice or error; the
     tokens of a request stand with its first question."""
     known = known or {}
+    batches.bounded(requests.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()

@@ -75,6 +75,16 @@ def test_chunks(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_chunks", chunks, "split_text") < 1.2e6
 
 
+def test_report(spark, monkeypatch, tmp_path, folder):
+    assert largest(spark, monkeypatch, tmp_path, folder, "q_offline_report", spans, "scan_text") < 1.2e6
+
+
+def test_comments(spark):
+    spark.conf.unset(NAME)
+    chunks.strip_comments(F.col("text"))
+    assert spark.conf.get(NAME) == batches.SIZE
+
+
 def test_sections(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_ablation_labels", chunks, "sections_of") < 1.2e6
 
