@@ -91,3 +91,7 @@ def test_sections(spark, monkeypatch, tmp_path, folder):
 
 def test_edits(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_degradations", corpus, "degraded") < 1.2e6
+
+
+def test_overrides(spark, monkeypatch, tmp_path, folder):
+    assert largest(spark, monkeypatch, tmp_path, folder, "q_preflight_override", spans, "scan_text") < 1.2e6
