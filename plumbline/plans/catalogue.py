@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import evaluate
+from ..functions import batches
 from ..functions import features as X
 from ..functions import fixed as V
 from ..operators import baseline, chunks, corpus, decide, gate, report, spans, stats, validate
@@ -39,6 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batches.bounded(spark)  # a step on a column knows the active session only, which need not be the query's
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -95,3 +95,10 @@ def test_edits(spark, monkeypatch, tmp_path, folder):
 
 def test_overrides(spark, monkeypatch, tmp_path, folder):
     assert largest(spark, monkeypatch, tmp_path, folder, "q_preflight_override", spans, "scan_text") < 1.2e6
+
+
+def test_edits_in_another_session(spark, monkeypatch, tmp_path, folder):
+    """The query's session need not be the active one."""
+    own = spark.newSession()
+    assert SparkSession.active() is spark
+    assert largest(own, monkeypatch, tmp_path, folder, "q_degradations", corpus, "degraded") < 1.2e6
