@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import batches
 from .functions import fixed as V
 from .functions.storage import materialise
 from .operators import chunks, decide, gate
@@ -34,6 +35,7 @@ def _two(value: Column) -> Column:
 
 def scanned(docs: DataFrame, role_globs: tuple[str, ...] = (), mask: bool = True) -> DataFrame:
     """Add spans, masked (comments stripped) and redactions_count."""
+    batches.bounded(docs.sparkSession)
     found = docs.withColumn("_scan", scan(F.col("text"), role_globs, mask))
     masked = chunks.strip_comments(F.col("_scan.masked"))
     count = F.size(F.filter("_scan.spans", lambda s: s["is_redaction"])) if mask else F.lit(0)
@@ -205,6 +207,7 @@ def online(
     rows = [r for r in questions.values() if r[0].replace("-", "_") == preset.lower().replace("-", "_")]
     if not rows:
         raise ValueError(f"unknown preset: {preset}")
+    batches.bounded(docs.sparkSession)
     found = docs.withColumn("_scan", scan(F.col("text"), role_globs, mask))
     count = F.size(F.filter("_scan.spans", lambda s: s["is_redaction"])) if mask else F.lit(0)
     found = found.withColumns(

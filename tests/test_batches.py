@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from plumbline import evaluate
 from plumbline.functions import batches
 from plumbline.operators import chunks, corpus, spans
 from plumbline.plans import catalogue
@@ -102,3 +103,12 @@ def test_edits_in_another_session(spark, monkeypatch, tmp_path, folder):
     own = spark.newSession()
     assert SparkSession.active() is spark
     assert largest(own, monkeypatch, tmp_path, folder, "q_degradations", corpus, "degraded") < 1.2e6
+
+
+def test_scan_in_another_session(spark, folder):
+    """Of tables that do not come from the catalogue too."""
+    for scan in (spans.candidates, lambda d: evaluate.offline(d, "safety"), lambda d: evaluate.mock(d, "tech-spec")):
+        own = spark.newSession()
+        scan(own.read.parquet(f"{folder}/documents.parquet"))
+        assert SparkSession.active() is spark
+        assert own.conf.get(NAME) == batches.SIZE
